@@ -14,8 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 BLANKS = b" \t\n\x0b\x0c\r"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_IS_BLANK = np.zeros(256, dtype=bool)
-_IS_BLANK[list(BLANKS)] = True
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text handled at once by the vectorised helpers.
 SLICE_BYTES = 2 << 20
@@ -85,37 +83,43 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _IS_BLANK) -> tuple[np.ndarray, np.ndarray]:
+def class_table(*groups: bytes, rest: int) -> np.ndarray:
+    """The class of each byte: that of the group holding it, from 0 on, or `rest`. Class 0 parts words."""
+    out = np.full(256, rest, np.uint8)
+    for i, group in enumerate(groups):
+        out[list(group)] = i
+    return out
+
+
+#: Words between ASCII white space.
+WORDS = class_table(BLANKS, rest=1)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray = WORDS, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
     """64-bit hashes of the words of rows laid end to end, A-Z lower-cased, and each row's first word.
 
-    A word is a maximal run of bytes that `blank` doesn't mark; words never cross rows.
-    Returns (hashes of all words, word offsets by row).
+    A word is a maximal run of bytes of one class other than 0; words never cross rows.
+    Returns (hashes, word offsets by row), and for each length in `prefixes` the hashes of the words'
+    first so many bytes, 0 for words no longer than that.
     """
-    n = len(data)
-    rows = len(offsets) - 1
-    if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
-    inside = ~blank[data]
-    edge = np.zeros(n + 1, bool)
-    edge[offsets] = True
-    before = np.empty(n, bool)
-    before[0] = False
-    before[1:] = inside[:-1]
-    starts = np.flatnonzero(inside & (~before | edge[:-1]))
-    if len(starts) == 0:
-        return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
-    after = np.empty(n, bool)
-    after[-1] = False
-    after[:-1] = inside[1:]
-    ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    length = ends - starts
+    n, rows = len(data), len(offsets) - 1
+    kind = classes[data]
+    inside = kind > 0
+    if n == 0 or not inside.any():
+        return (np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64), *[np.zeros(0, np.uint64)] * len(prefixes))
+    new = np.ones(n, bool)
+    new[1:] = kind[1:] != kind[:-1]
+    new[offsets[:-1][offsets[:-1] < n]] = True
+    starts = np.flatnonzero(new & inside)
     low = _LOWER[data[inside]]
-    first = np.zeros(len(starts), np.int64)
-    np.cumsum(length[:-1], out=first[1:])
+    first = np.flatnonzero(new[inside])
+    length = np.diff(np.append(first, len(low)))
     place = np.arange(len(low), dtype=np.int64) - np.repeat(first, length)
-    sums = np.add.reduceat((low.astype(np.uint64) + np.uint64(1)) * _powers(int(length.max()))[place], first)
-    hashes = mix(sums + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return hashes, np.searchsorted(starts, offsets).astype(np.int64)
+    parts = (low.astype(np.uint64) + np.uint64(1)) * _powers(int(length.max()))[place]
+    tag = np.uint64(0xD6E8FEB86659FD93)
+    hashes = mix(np.add.reduceat(parts, first) + length.astype(np.uint64) * tag)
+    heads = [np.where(length > k, mix(np.add.reduceat(np.where(place < k, parts, np.uint64(0)), first) + np.uint64((1000 + k) * int(tag) % 2**64)), np.uint64(0)) for k in prefixes]
+    return (hashes, np.searchsorted(starts, offsets).astype(np.int64), *heads)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -2,7 +2,7 @@
 
 Every step is a grouped minimum (combined before its shuffle) and a join whose hot side Spark can
 split, so a node with very many links stays no single task's work. Nothing goes to the driver but
-one row of counts a round.
+whether a round settled.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ def _with_least(pairs: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _with_least(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return _with_least(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -31,20 +31,24 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every linked node has one parent and no parent has one."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
+    return ends.groupBy("node").agg(F.sum("child").alias("children"), F.max("parent").alias("parent")).where("children + parent > 1").isEmpty()
+
+
 def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """links: two long columns. Returns (node, component): each linked node and the smallest reachable.
 
     Self-links and nulls are dropped; a node without links isn't in the result.
     """
     a, b = links.columns[:2]
-    edges = checkpoint(links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null and u <> v").distinct())
-    mark = None
+    edges = links.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
+    edges = checkpoint(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct())
     for _ in range(most_rounds):
-        edges = checkpoint(_small_star(_large_star(edges)))
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == mark or now[0] == 0:
+        if _settled(edges):
             break
-        mark = now
+        edges = checkpoint(_small_star(_large_star(edges)))
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("v").alias("node")).distinct()

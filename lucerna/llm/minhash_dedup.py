@@ -3,7 +3,7 @@ r"""MinHash near-dedup: a chosen-path set-similarity join over word shingles.
 Documents with equal shingle sets are one class. Each class enters TREES independent trees at the node of
 one minwise token. A node of up to SMALL classes is compared exhaustively by sketch; a larger node is
 branched: each class goes on to the children named by two further minwise tokens that the node selects,
-for at most DEPTH levels; classes that still share a large node then share four minwise tokens and are
+for at most DEPTH levels; classes that still share a large node then share three minwise tokens and are
 taken as candidates together. Two sets of similarity 0.75 meet in one tree with probability of at
 least 0.66, and so in one of ten with over 0.9999; more similar ones almost surely.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from lucerna.llm.common import checkpoint, group_bounds, keyed, local_components, mix, shingle_sets, shuffle_partitions, slices, utf8
 from lucerna.llm.components import connected_components
 
-TREES, SMALL, DEPTH = 10, 64, 3
+TREES, SMALL, DEPTH = 10, 64, 2
 #: One-permutation minwise sketch: bins, and the estimate below which a pair isn't confirmed (about six
 #: standard deviations under the threshold).
 BINS, FAR = 128, 0.52

@@ -8,7 +8,9 @@ from lucerna.llm.decontaminate import decontamination_report
 from lucerna.llm.embedding_dedup import embedding_dedup
 from lucerna.llm.line_dedup import line_dedup
 from lucerna.llm.minhash_dedup import near_duplicates
+from lucerna.llm.quality import quality_scores
 from lucerna.llm.suffix_dedup import suffix_dedup
+from lucerna.llm.toxicity import toxicity_scores
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -35,6 +41,10 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op5_line_dedup, op6_suffix_dedup, op8_decontamination, op9_minhash_dedup)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op5_line_dedup, op6_suffix_dedup, op7_toxicity, op8_decontamination, op9_minhash_dedup, op10_quality)}
 
 ORACLES: dict[str, str] = {}
