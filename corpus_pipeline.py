@@ -1,16 +1,63 @@
-"""Corpus pipeline: the stages that turn raw documents into encoded training text."""
+"""Corpus pipeline: the stages that turn raw documents into encoded training text.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last
+return the columns of documents. Rows are told apart by doc_id.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lucerna.llm.common import checkpoint
+from lucerna.llm.decontaminate import decontamination_report
+from lucerna.llm.line_dedup import drop_repeated_lines
+from lucerna.llm.minhash_dedup import near_duplicates
+from lucerna.llm.sentencepiece_lattice import encode_texts
+from lucerna.llm.toxicity import fit_severity, score_rows
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity is less likely than not."""
+    model = fit_severity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_rows(docs.select(*COLUMNS), model).where(~(F.col("p_toxic") >= 0.5)).select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their repeated lines; n_chars follows the text."""
+    out = drop_repeated_lines(docs, carry=["lang", "source"])
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    kept = near_duplicates(docs).where("kept").select("doc_id")
+    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    hit = decontamination_report(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select("doc_id")
+    return docs.select(*COLUMNS).join(hit, "doc_id", "left_anti")
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encoded documents."""
+    return encode_texts(docs)
+
 
-STAGES: list = []
+STAGES = [("toxicity", toxicity), ("line dedup", line_dedup), ("MinHash near-dedup", near_dedup), ("benchmark decontamination", decontamination), ("SentencePiece encoding", sentencepiece)]
+#: No SQL states the fitted severity of the first stage; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to the documents table."""
+    """Apply all stages to the documents table, each on what the last one wrote."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = checkpoint(docs)
     return docs

@@ -8,7 +8,10 @@ from lucerna.llm.decontaminate import decontamination_report
 from lucerna.llm.embedding_dedup import embedding_dedup
 from lucerna.llm.line_dedup import line_dedup
 from lucerna.llm.minhash_dedup import near_duplicates
+from lucerna.llm.pii import pii_report
 from lucerna.llm.quality import quality_scores
+from lucerna.llm.quotation import conversations_by_reply
+from lucerna.llm.sentencepiece_lattice import encode_texts
 from lucerna.llm.suffix_dedup import suffix_dedup
 from lucerna.llm.toxicity import toxicity_scores
 
@@ -21,6 +24,22 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(_table(spark, sf_dir, "embeddings"))
 
 
+#: Key of the registered query only; a deployment passes its own.
+QUERY_KEY = "registered-query"
+
+
+def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(_table(spark, sf_dir, "documents"), QUERY_KEY)
+
+
+def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations_by_reply(_table(spark, sf_dir, "conversations"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(_table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_table(spark, sf_dir, "documents"))
 
@@ -45,6 +64,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op5_line_dedup, op6_suffix_dedup, op7_toxicity, op8_decontamination, op9_minhash_dedup, op10_quality)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_embedding_dedup, op2_pii_pseudonyms, op3_quotation_linking, op4_sentencepiece, op5_line_dedup, op6_suffix_dedup,
+        op7_toxicity, op8_decontamination, op9_minhash_dedup, op10_quality,
+    )
+}
 
 ORACLES: dict[str, str] = {}

@@ -185,6 +185,13 @@ def _scorer(model: Severity):
     return score
 
 
+def score_rows(rows: DataFrame, model: Severity) -> DataFrame:
+    """The rows' columns with expected_severity, grade and p_toxic of their text."""
+    out = rows.select(*[c for c in rows.columns if c != "text"], "text").withColumn("whole", F.col("text"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if f.name != "text"), "expected_severity double, grade int, p_toxic double"])
+    return out.mapInArrow(_scorer(model), schema).withColumnRenamed("whole", "text")
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, expected_severity, grade, p_toxic, toxic."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
