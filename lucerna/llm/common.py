@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space of the contracts: space and \t \n \v \f \r (fixed values).
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -37,6 +38,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bounded_sample(df: DataFrame, key: list[str], rows: int) -> DataFrame:
+    """At most `rows` rows, chosen by a hash of `key`. A hash filter comes first, so that what tasks send to
+    be ordered stays near twice the bound however many tasks there are."""
+    hashed = F.xxhash64(*key)
+    step = max(1, df.count() // (2 * rows))
+    return df.where(F.pmod(hashed, F.lit(step)) == 0).orderBy(F.xxhash64(F.lit(1), *key), *key).limit(rows)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix constants), vectorised."""
     h = h ^ (h >> np.uint64(30))

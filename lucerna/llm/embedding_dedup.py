@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucerna.llm.common import checkpoint, local_components
+from lucerna.llm.common import bounded_sample, checkpoint, local_components
 from lucerna.llm.components import connected_components
 
 #: Bound on the vectors that k-means is fitted on (every vector is then assigned).
@@ -141,7 +141,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     good = ids.where("embedding is not null")
     classes = checkpoint(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many")))
     total = classes.count()
-    sample = [r[0] for r in classes.orderBy(F.xxhash64("rep"), "rep").select("embedding").limit(FIT_VECTORS).collect()]
+    sample = [r[0] for r in bounded_sample(classes.select("rep", "embedding"), ["rep"], FIT_VECTORS).select("embedding").collect()]
     centres: dict[int, np.ndarray] = {}
     if sample:
         lengths = np.array([len(v) for v in sample])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucerna.llm.common import BLANKS, class_table, slices, utf8, word_hashes
+from lucerna.llm.common import BLANKS, bounded_sample, class_table, slices, utf8, word_hashes
 
 #: Word buckets, vector length, index entries a word, window and hidden units.
 BUCKETS, DIM, ENTRIES, WINDOW, HIDDEN = 1 << 14, 64, 2, 2, 32
@@ -165,7 +165,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     vectors = word_vectors(rows)
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("y")).where("id is not null and y in (0, 1)")
-    known = known.where(fold(F.col("id")) != 1).groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(fit_rows)
+    known = bounded_sample(known.where(fold(F.col("id")) != 1).groupBy("id").agg(F.max("y").alias("y")), ["id"], fit_rows)
     sample = rows.join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("y", "text")  # fit_rows small rows
     fit = sample.mapInArrow(_pooler(vectors), "y int, x binary").collect()
     x = np.array([np.frombuffer(r["x"], np.float32) for r in fit], np.float64).reshape(len(fit), 2 * DIM)

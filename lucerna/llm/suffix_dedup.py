@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucerna.llm.common import mix, shuffle_partitions, utf8
+from lucerna.llm.common import bounded_sample, mix, shuffle_partitions, utf8
 
 SPAN, GRAM = 50, 24
 #: Leading-byte samples that the splitters are drawn from.
@@ -261,7 +261,7 @@ def _remove(buckets: int, splitters: np.ndarray):
 def _splitters(rows: DataFrame, buckets: int) -> np.ndarray:
     """Quantiles of the leading bytes at sampled places (SAMPLES documents at most, three places in each)."""
     place = lambda k: F.expr(f"encode(substring(text, int(1 + pmod(xxhash64(text_hash, {k}), greatest(length(text) - 8, 1))), 8), 'UTF-8')")
-    taken = rows.where("length(text) >= 16").select("text_hash", "doc_id", *[place(k).alias(f"p{k}") for k in range(3)]).orderBy(F.xxhash64("text_hash", "doc_id")).limit(SAMPLES).collect()
+    taken = bounded_sample(rows.where("length(text) >= 16").select("text_hash", "doc_id", *[place(k).alias(f"p{k}") for k in range(3)]), ["text_hash", "doc_id"], SAMPLES).collect()
     leads = np.sort(np.array([int.from_bytes(bytes(r[f"p{k}"])[:8].ljust(8, b"\0"), "big") for r in taken for k in range(3)], np.uint64))
     return np.unique(leads[(np.arange(1, buckets) * len(leads)) // buckets]) if len(leads) >= buckets else leads[:0]
 
@@ -272,7 +272,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     n = shuffle_partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     splitters = _splitters(rows, n)
-    chunk = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text_hash"))), F.lit(4 * n))
+    chunk = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text_hash"))), F.lit(2 * n))
     chunks = rows.withColumn("chunk", chunk).repartition(n, "chunk")
     reply = "chunk long, kind int, bucket long, flags binary"
     run_flags = (

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucerna.llm.common import checkpoint, class_table, slices, utf8, word_hashes
+from lucerna.llm.common import bounded_sample, checkpoint, class_table, slices, utf8, word_hashes
 
 FIT_ROWS, FEATURES, CANDIDATES = 20_000, 512, 50_000
 PREFIXES = (4, 5, 6, 7, 8)
@@ -141,7 +141,7 @@ def _rows(names: np.ndarray):
 
 def fit_severity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Severity:
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("y")).where("id is not null and y in (0, 1)")
-    known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(fit_rows)
+    known = bounded_sample(known.groupBy("id").agg(F.max("y").alias("y")), ["id"], fit_rows)
     sample = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("y", "text"))
     none = Severity(np.zeros(0, np.uint64), np.zeros(0), np.zeros(GRADES))
     totals = sample.agg(F.sum("y"), F.count("*")).first()
