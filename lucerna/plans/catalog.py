@@ -1,4 +1,6 @@
 """All registered queries of the library and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lucerna.plans import catalog_history, catalog_labels
+
+QUERIES = {**catalog_labels.QUERIES, **catalog_history.QUERIES}
+ORACLES = {**catalog_labels.ORACLES, **catalog_history.ORACLES}
