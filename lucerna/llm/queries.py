@@ -8,6 +8,7 @@ from lucerna.llm.decontaminate import decontamination_report
 from lucerna.llm.embedding_dedup import embedding_dedup
 from lucerna.llm.line_dedup import line_dedup
 from lucerna.llm.minhash_dedup import near_duplicates
+from lucerna.llm.oracles import ORACLES
 from lucerna.llm.pii import pii_report
 from lucerna.llm.quality import quality_scores
 from lucerna.llm.quotation import conversations_by_reply
@@ -64,6 +65,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -71,5 +74,3 @@ QUERIES = {
         op7_toxicity, op8_decontamination, op9_minhash_dedup, op10_quality,
     )
 }
-
-ORACLES: dict[str, str] = {}
