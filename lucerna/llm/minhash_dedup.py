@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from lucerna.llm.common import checkpoint, group_bounds, keyed, local_components, mix, shingle_sets, shuffle_partitions, slices, utf8
 from lucerna.llm.components import connected_components
 
-TREES, SMALL, DEPTH = 10, 64, 2
+TREES, SMALL, DEPTH = 10, 512, 2
 #: One-permutation minwise sketch: bins, and the estimate below which a pair isn't confirmed (about six
 #: standard deviations under the threshold).
 BINS, FAR = 128, 0.52
