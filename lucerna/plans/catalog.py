@@ -1,6 +1,6 @@
 """All registered queries of the library and their SQL."""
 
-from lucerna.plans import catalog_history, catalog_labels
+from lucerna.plans import catalog_audits, catalog_history, catalog_labels
 
-QUERIES = {**catalog_labels.QUERIES, **catalog_history.QUERIES}
-ORACLES = {**catalog_labels.ORACLES, **catalog_history.ORACLES}
+QUERIES = {**catalog_labels.QUERIES, **catalog_history.QUERIES, **catalog_audits.QUERIES}
+ORACLES = {**catalog_labels.ORACLES, **catalog_history.ORACLES, **catalog_audits.ORACLES}
