@@ -1,7 +1,8 @@
 """Corpus pipeline: the stages that turn raw documents into encoded training text.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last
-return the columns of documents. Rows are told apart by doc_id.
+return the columns of documents. Rows are told apart by doc_id, null being an id like others; a null text
+counts as empty and comes out of line dedup as an empty one.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lucerna.llm.common import checkpoint
-from lucerna.llm.decontaminate import decontamination_report
+from lucerna.llm.decontaminate import contamination
 from lucerna.llm.line_dedup import drop_repeated_lines
 from lucerna.llm.minhash_dedup import near_duplicates
 from lucerna.llm.sentencepiece_lattice import encode_texts
@@ -33,14 +34,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    kept = near_duplicates(docs).where("kept").select("doc_id")
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("k"))
+    return docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("k")), "left_semi")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    hit = decontamination_report(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select("doc_id")
-    return docs.select(*COLUMNS).join(hit, "doc_id", "left_anti")
+    hit = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("size(hit_words) > 0").select(F.col("doc_id").alias("k"), F.col("text_hash").alias("h"))
+    same = F.col("doc_id").eqNullSafe(F.col("k")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("h"))
+    return docs.select(*COLUMNS).join(hit, same, "left_anti")
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
