@@ -1,39 +1,46 @@
-"""Connected components of a large link table by alternating large-star and small-star steps.
+"""Connected components of a large link table by local contraction and pointer jumping.
 
-Every step is a grouped minimum (combined before its shuffle) and a join whose hot side Spark can
-split, so a node with very many links stays no single task's work. Nothing goes to the driver but
-whether a round settled.
+A round deals the links by their larger end, joins up what meets in a task (so each task's links become
+a forest), and then lets every node point past its parent to the parent's least parent. The jump is a join
+whose hot side Spark can split, and its other side a grouped minimum, so a node that very many others
+point to stays no single task's work. Nothing goes to the driver but whether a round settled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucerna.llm.common import checkpoint
-
-
-def _with_least(pairs: DataFrame) -> DataFrame:
-    """Each (u, v) with m, the least of u and its neighbours. The no-op on the key keeps both sides of
-    the join behind exchanges of their own, which is what lets Spark split a hot u."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("lo")).select(F.col("u").bitwiseXOR(F.lit(0).cast("long")).alias("k"), F.least("u", "lo").alias("m"))
-    return pairs.join(least, F.col("u") == F.col("k")).select("u", "v", "m")
+from lucerna.llm.common import checkpoint, local_components, shuffle_partitions
 
+#: Links that a task joins up at once; what is left apart meets in a later round.
+AT_ONCE = 1 << 20
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _with_least(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def forest(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        node, root = local_components(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+        below = node != root
+        return pa.RecordBatch.from_arrays([pa.array(node[below]), pa.array(root[below])], names=["u", "v"])
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    near = _with_least(down)
-    return near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    held, size = [], 0
+    for batch in batches:
+        held.append((np.asarray(batch.column("u")), np.asarray(batch.column("v"))))
+        size += batch.num_rows
+        if size >= AT_ONCE:
+            yield forest(held)
+            held, size = [], 0
+    if size:
+        yield forest(held)
 
 
 def _settled(edges: DataFrame) -> bool:
     """Whether every linked node has one parent and no parent has one."""
-    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")), F.struct(F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("parent")))).alias("e")).select("e.*")
     return ends.groupBy("node").agg(F.sum("child").alias("children"), F.max("parent").alias("parent")).where("children + parent > 1").isEmpty()
 
 
@@ -42,13 +49,16 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Self-links and nulls are dropped; a node without links isn't in the result.
     """
+    n = shuffle_partitions(links.sparkSession)
     a, b = links.columns[:2]
-    edges = links.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
-    edges = checkpoint(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct())
+    edges = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
     for _ in range(most_rounds):
+        edges = checkpoint(edges.repartition(n, "u").mapInArrow(_contract, "u long, v long"))
         if _settled(edges):
             break
-        edges = checkpoint(_small_star(_large_star(edges)))
+        # the no-op on the key keeps both sides of the join behind exchanges of their own
+        above = edges.groupBy("u").agg(F.min("v").alias("top")).select(F.col("u").bitwiseXOR(F.lit(0).cast("long")).alias("k"), "top")
+        edges = edges.join(above, F.col("v") == F.col("k"), "left").select("u", F.coalesce("top", "v").alias("v"))
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("v").alias("node")).distinct()
