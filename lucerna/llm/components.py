@@ -40,7 +40,8 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _settled(edges: DataFrame) -> bool:
     """Whether every linked node has one parent and no parent has one."""
-    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")), F.struct(F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("parent")))).alias("e")).select("e.*")
+    end = lambda c, child: edges.select(F.col(c).alias("node"), F.lit(child).alias("child"), F.lit(1 - child).alias("parent"))
+    ends = end("u", 1).unionByName(end("v", 0))
     return ends.groupBy("node").agg(F.sum("child").alias("children"), F.max("parent").alias("parent")).where("children + parent > 1").isEmpty()
 
 

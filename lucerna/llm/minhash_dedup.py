@@ -208,27 +208,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     groups = connected_components(links).withColumnRenamed("component", "comp").withColumnRenamed("node", "rep")
     sizes = groups.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")).select(F.col("comp").bitwiseXOR(F.lit(0).cast("long")).alias("k"), "blocks")
     placed = groups.join(sizes, F.col("comp") == F.col("k")).select("rep", "comp", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("own"))
-    members = checkpoint(sets.select("rep", "rep_hash").join(placed, "rep"))
+    wanted = sets.select("rep", "rep_hash").join(placed, "rep")
+    # texts of candidates only, cut here so that both steps below read them without another shuffle of all texts
+    members = checkpoint(rows.join(wanted, (F.col("doc_id") == F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))).select("rep", "comp", "blocks", "own", "text"))
     below = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
 
-    def confirmed(wanted: DataFrame) -> DataFrame:
-        """Links of the groups (comp, i, j) that `wanted` puts classes in."""
-        texts = rows.join(wanted, (F.col("doc_id") == F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))).select("comp", "i", "j", "rep", "text")
-        return checkpoint(texts.repartition(n, "comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_confirmer(width, percent), "u long, v long"))
+    def confirmed(grouped: DataFrame) -> DataFrame:
+        """Links found in the groups (comp, i, j)."""
+        return checkpoint(grouped.repartition(n, "comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_confirmer(width, percent), "u long, v long"))
 
     # every block with block 0; that settles small components, and large ones whose members are alike
     zero = F.lit(0).cast("long")
-    first = members.select("comp", zero.alias("i"), F.explode(F.when(F.col("own") == 0, below("blocks")).otherwise(F.array("own"))).alias("j"), "rep", "rep_hash")
+    first = members.select("comp", zero.alias("i"), F.explode(F.when(F.col("own") == 0, below("blocks")).otherwise(F.array("own"))).alias("j"), "rep", "text")
     sure = confirmed(first)
     parts = connected_components(sure).select(F.col("node").alias("rep"), "component")
-    large = checkpoint(members.where("blocks > 1").join(parts, "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component"))
+    large = members.where("blocks > 1").join(parts, "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
     sizes = large.groupBy("comp", "part").agg(F.count("*").alias("n")).groupBy("comp").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("all"))
     todo = sizes.where("all > top.n").select(F.col("comp").alias("k"), F.col("top.part").alias("top"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("long").alias("asked"))
     if not todo.isEmpty():
         # what is outside the largest part, with every block
         rest = large.join(todo, F.col("comp") == F.col("k"))
-        ask = rest.where("part <> top").select("comp", F.pmod(F.xxhash64("rep"), F.col("asked")).alias("i"), F.explode(below("blocks")).alias("j"), "rep", "rep_hash")
-        other = rest.select("comp", F.explode(below("asked")).alias("i"), F.col("own").alias("j"), "rep", "rep_hash")
+        ask = rest.where("part <> top").select("comp", F.pmod(F.xxhash64("rep"), F.col("asked")).alias("i"), F.explode(below("blocks")).alias("j"), "rep", "text")
+        other = rest.select("comp", F.explode(below("asked")).alias("i"), F.col("own").alias("j"), "rep", "text")
         parts = connected_components(sure.unionByName(confirmed(ask.unionByName(other)))).select(F.col("node").alias("rep"), "component")
     found = checkpoint(sets.select("digest", "rep").join(parts, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")))
     out = read.select("doc_id", "n_shingles", "digest").join(found, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
