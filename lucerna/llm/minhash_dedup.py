@@ -2,10 +2,10 @@ r"""MinHash near-dedup: a chosen-path set-similarity join over word shingles.
 
 Documents with equal shingle sets are one class. Each class enters TREES independent trees at the node of
 one minwise token. A node of up to SMALL classes is compared exhaustively by sketch; a larger node is
-branched: each class goes on to the children named by two further minwise tokens that the node selects,
-for at most DEPTH levels; classes that still share a large node then share three minwise tokens and are
-taken as candidates together. Two sets of similarity 0.75 meet in one tree with probability of at
-least 0.66, and so in one of ten with over 0.9999; more similar ones almost surely.
+branched: each class goes on to the child named by a further minwise token that the node selects, DEPTH
+times; classes that still share a large node are taken as candidates together. Two sets of similarity
+0.75 meet in one tree with probability 0.75, or 0.56 where their node is branched, and so in one of ten
+with over 0.999; more similar ones almost surely.
 
 Candidates are confirmed on full sets. A candidate component is compared in blocks: each block with the
 first one, and then only what is still outside the component's largest confirmed part with every block.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from lucerna.llm.common import checkpoint, group_bounds, keyed, local_components, mix, shingle_sets, shuffle_partitions, slices, utf8
 from lucerna.llm.components import connected_components
 
-TREES, SMALL, DEPTH = 10, 512, 2
+TREES, SMALL, DEPTH = 10, 512, 1
 #: One-permutation minwise sketch: bins, and the estimate below which a pair isn't confirmed (about six
 #: standard deviations under the threshold).
 BINS, FAR = 128, 0.52
@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
             links = links.unionByName(big.join(least, F.col("node") == F.col("k")).select(F.col("rep").alias("u"), "v"))
             break
         child = lambda salt: F.xxhash64("node", F.lit(salt), F.expr(f"substring(sketch, 2 * int(pmod(xxhash64(node, {salt}), {BINS})) + 1, 2)"))
-        big = big.select(F.explode(F.array(child(1), child(2))).alias("node"), "rep", "sketch")
+        big = big.select(child(1).alias("node"), "rep", "sketch")
     groups = connected_components(links).withColumnRenamed("component", "comp").withColumnRenamed("node", "rep")
     sizes = groups.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")).select(F.col("comp").bitwiseXOR(F.lit(0).cast("long")).alias("k"), "blocks")
     placed = groups.join(sizes, F.col("comp") == F.col("k")).select("rep", "comp", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("own"))
