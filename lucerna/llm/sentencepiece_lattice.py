@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from bisect import insort
 from collections.abc import Iterator
 from itertools import chain
 
@@ -60,8 +61,7 @@ class Lattice:
             raise ValueError("a piece crosses a word's start or a line's end")
         self.lowest = min(s for _, s, _ in pieces if s > -1e8) - 10
         self.byte_ids = byte_ids
-        self.texts = {i: t.replace(MARK, " ") for t, _, i in pieces}
-        self.bytes = {i: b for b, i in enumerate(byte_ids)}
+        self.raw = {i: t.replace(MARK, " ").encode() for t, _, i in pieces} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
         signs = re.escape(_signs([t for t, _, _ in pieces]))
         self.chunks = re.compile(f"{MARK}*[^{MARK}\n{signs}]+|{MARK}*[{signs}]+|{MARK}+|\n")
         self.best: dict[str, tuple] = {}
@@ -77,114 +77,111 @@ class Lattice:
         plain = [i for i in every if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
         return cls([(m.id_to_piece(i), m.get_score(i), i) for i in plain], [i for i in every if m.is_byte(i)])
 
-    def edges(self, chunk: str) -> list[list[tuple[int, float, int]]]:
-        """(start, score, id) of the pieces that end at each place; id -1 is a character without a piece."""
-        n, get = len(chunk), self.scores.get
+    def forward(self, chunk: str) -> tuple[list[list[tuple[int, float, int]]], list[float]]:
+        """Edges and forward Viterbi: (start, score, id) of the pieces that end at each place, id -1 being a
+        character without a piece, and the best score of the paths to each place."""
+        n, get, lowest = len(chunk), self.scores.get, (self.lowest, -1)
         ends: list[list[tuple[int, float, int]]] = [[] for _ in range(n + 1)]
+        first = [0.0] + [-np.inf] * n
         for i in range(n):
-            alone = False
-            for j in range(i + 1, n + 1):
-                piece = chunk[i:j]
-                found = get(piece)
+            here, j = first[i], i + 1
+            # None: no piece, but a piece's beginning; 0: not even that
+            found = get(chunk[i], 0)
+            more = found != 0
+            found = found or lowest
+            while True:
                 if found:
-                    ends[j].append((i, *found))
-                    alone |= j == i + 1
-                elif piece not in self.scores:
+                    score, name = found
+                    ends[j].append((i, score, name))
+                    if here + score > first[j]:
+                        first[j] = here + score
+                j += 1
+                if not more or j > n or (found := get(chunk[i:j], 0)) == 0:
                     break
-            if not alone:
-                ends[i + 1].append((i, self.lowest, -1))
-        return ends
+        return ends, first
+
+    def edges(self, chunk: str) -> list[list[tuple[int, float, int]]]:
+        return self.forward(chunk)[0]
 
     def spell(self, i: int, char: str) -> tuple[int, ...]:
         return (i,) if i >= 0 else tuple(self.byte_ids[b] for b in char.replace(_LITERAL, MARK).encode())
 
-    def viterbi(self, ends: list) -> list[float]:
-        """Best score of the paths to each place."""
-        first = [0.0]
-        for edges in ends[1:]:
-            first.append(max(first[i] + s for i, s, _ in edges))
-        return first
-
     def path(self, chunk: str) -> tuple[tuple[int, ...], float, float]:
         """Ids of the best path, its score, and the loss of the second best (inf without one)."""
         if (known := self.best.get(chunk)) is not None:
             return known
         if len(self.best) >= KEPT_CHUNKS:
             self.older, self.best = self.best, {}
-        known = self.best[chunk] = self.older.get(chunk) or self._search(chunk)
+        known = self.older.get(chunk)
+        if known is None:
+            found = self._search(chunk, 2)
+            known = found[0][1], found[0][0], found[0][0] - found[1][0] if len(found) > 1 else np.inf
+        self.best[chunk] = known
         return known
 
-    def _search(self, chunk: str) -> tuple[tuple[int, ...], float, float]:
-        """Forward Viterbi with the two best scores of each place."""
-        n, get, lowest = len(chunk), self.scores.get, (self.lowest, -1)
-        first, second, start, piece = [0.0] + [-np.inf] * n, [-np.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
-        for i in range(n):
-            here, below, j = first[i], second[i], i + 1
-            # None: no piece, but a piece's beginning; 0: not even that
-            found = get(chunk[i], 0)
-            more = found != 0
-            found = found or lowest
-            while True:
-                if found:
-                    score, name = found
-                    x, old = here + score, first[j]
-                    if x > old:
-                        y = below + score
-                        second[j] = old if old > y else y
-                        first[j], start[j], piece[j] = x, i, name
-                    elif x > second[j]:
-                        second[j] = x
-                j += 1
-                if not more or j > n or (found := get(chunk[i:j], 0)) == 0:
-                    break
-        ids, j = [], n
-        while j:
-            i, name = start[j], piece[j]
-            ids.append((name,) if name >= 0 else self.spell(-1, chunk[i:j]))
-            j = i
-        return tuple(chain(*reversed(ids))), first[-1], first[-1] - second[-1]
-
-    def nbest(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+    def _search(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best (score, ids) of a chunk: backward A-star under the forward scores.
 
         Every open state has a completion of just its rank, and different states have different ones, so
-        no more than n open states are kept; of equal ranks the newest comes first.
+        no more states are kept open than results are wanted. Of equal ranks the newest comes first, of one
+        step's the longest piece, so the first results are the same for every n; as the best child has its
+        parent's rank, it is followed at once.
         """
-        if (known := self.others.get((chunk, n))) is not None:
-            return known
-        ends = self.edges(chunk)
-        first = self.viterbi(ends)
-        open_, serial, out = [(-first[-1], 0, len(chunk), 0.0, None)], 0, []
-        while open_ and len(out) < n:
-            rank, _, j, done, tail = open_.pop(0)
-            if j == 0:
-                ids = []
-                while tail:
-                    ids.append(tail[0])
-                    tail = tail[1]
-                out.append((-rank, tuple(chain(*ids))))
-                continue
-            for i, s, piece in ends[j]:
-                serial -= 1
-                open_.append((-(first[i] + s + done), serial, i, done + s, (self.spell(piece, chunk[i:j]), tail)))
-            open_.sort(key=lambda x: x[:2])
-            del open_[n - len(out) :]
-        if len(self.others) >= KEPT_CHUNKS // 8:
-            self.others.clear()
-        self.others[(chunk, n)] = out
-        return out
+        ends, first = self.forward(chunk)
+        open_: list[tuple] = []
+        serial, out, state = 0, [], (-first[-1], 0, len(chunk), 0.0, None)
+        while True:
+            rank, _, j, done, tail = state
+            room = n - len(out) - 1
+            while j:
+                edges = ends[j]
+                best = edges[0]
+                if len(edges) > 1:
+                    top = first[best[0]] + best[1]
+                    for edge in edges:
+                        if first[edge[0]] + edge[1] > top:
+                            best, top = edge, first[edge[0]] + edge[1]
+                    if room:
+                        for edge in reversed(edges):
+                            if edge is not best:
+                                i, s, piece = edge
+                                other = -(first[i] + s + done)
+                                if len(open_) < room or other <= open_[-1][0]:
+                                    serial -= 1
+                                    insort(open_, (other, serial, i, done + s, (i, piece, j, tail)))
+                                    del open_[room:]
+                i, s, piece = best
+                done, tail, j = done + s, (i, piece, j, tail), i
+            ids = []
+            while tail:
+                i, piece, end, tail = tail
+                if piece >= 0:
+                    ids.append(piece)
+                else:
+                    ids.extend(self.spell(-1, chunk[i:end]))
+            out.append((-rank, tuple(ids)))
+            if len(out) == n or not open_:
+                return out
+            state = open_.pop(0)
+
+    def nbest(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """The n best (score, ids) of a chunk, kept."""
+        if (known := self.others.get((chunk, n))) is None:
+            if len(self.others) >= KEPT_CHUNKS // 8:
+                self.others.clear()
+            known = self.others[(chunk, n)] = self._search(chunk, n)
+        return known
 
     def split(self, text: str) -> list[str]:
         if not text:
             return []
         return self.chunks.findall(MARK + text.replace(MARK, _LITERAL).replace(" ", MARK))
 
-    def encode(self, text: str, n: int = 1) -> tuple[list[int], list[tuple[float, list[tuple[int, int]]]], list[str]]:
-        """Ids of the best segmentation; the n best as (score, [(chunk number, its choice)]), best first."""
+    def _merged(self, text: str, n: int) -> tuple[list[tuple[int, ...]], list[tuple[float, list[tuple[int, int]]]], list[str]]:
+        """Ids of the best path by chunk; the n best as (score, [(chunk number, its choice)]), best first; chunks."""
         chunks = self.split(text)
         known = self.best.get
         paths = [known(c) or self.path(c) for c in chunks]
-        ids = list(chain.from_iterable([p[0] for p in paths]))
         total = float(sum([p[1] for p in paths]))
         best = [(total, [])]
         if n > 1:
@@ -194,7 +191,23 @@ class Lattice:
                 scores = [s for s, _ in self.nbest(chunks[k], n)]
                 sums = [(s - scores[0] + x, [*pick, (k, c)] if c else pick) for s, pick in best for c, x in enumerate(scores)]
                 best = heapq.nlargest(n, sums, key=lambda x: x[0])
-        return ids, best, chunks
+        return [p[0] for p in paths], best, chunks
+
+    def encode(self, text: str, n: int = 1) -> tuple[list[int], list[tuple[float, list[tuple[int, int]]]], list[str]]:
+        """Ids of the best segmentation; the n best as (score, [(chunk number, its choice)]), best first."""
+        parts, best, chunks = self._merged(text, n)
+        return list(chain.from_iterable(parts)), best, chunks
+
+    def segmentations(self, text: str, n: int) -> list[tuple[float, list[int]]]:
+        """The n best (score, ids) of a text, best first."""
+        parts, best, chunks = self._merged(text, n)
+        out = []
+        for score, choices in best:
+            mine = parts.copy()
+            for k, c in choices:
+                mine[k] = self.nbest(chunks[k], n)[c][1]
+            out.append((score, list(chain.from_iterable(mine))))
+        return out
 
     def segmentation(self, chunks: list[str], choices: list[tuple[int, int]], n: int) -> list[int]:
         """Ids of one of the n best."""
@@ -202,18 +215,7 @@ class Lattice:
         return list(chain.from_iterable(self.nbest(c, n)[other[k]][1] if k in other else self.path(c)[0] for k, c in enumerate(chunks)))
 
     def decode(self, ids: list[int]) -> str:
-        out, raw, texts = [], bytearray(), self.texts
-        for i in ids:
-            if (t := texts.get(i)) is None:
-                raw.append(self.bytes[i])
-                continue
-            if raw:
-                out.append(raw.decode())
-                raw.clear()
-            out.append(t)
-        if raw:
-            out.append(raw.decode())
-        return "".join(out)[1:]
+        return b"".join(map(self.raw.__getitem__, ids)).decode()[1:]
 
 
 #: Lattices of this worker process: the paths they keep serve all its tasks.
@@ -240,28 +242,29 @@ def _encoder(vocabulary: tuple, n: int):
             kept = [k for k in batch.schema.names if k != "text"]
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                ids, scores, exact = [], [], []
+                counts, scores, ids, exact = [], [], [], []
                 for text in part.column("text").to_pylist():
-                    if text is None:
-                        ids.append(None)
-                        scores.append(None)
-                        exact.append(None)
-                        continue
-                    one, best, _ = lattice.encode(text, n)
-                    ids.append(np.array(one, np.int32))
-                    scores.append([s for s, _ in best])
-                    exact.append(lattice.decode(one) == text)
-                cols = [part.column(k) for k in kept]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(ids, pa.list_(pa.int32())), pa.array(scores, pa.list_(pa.float64())), pa.array(exact, pa.bool_())], names=[*kept, "ids", "scores", "round_trip"])
+                    best = [] if text is None else lattice.segmentations(text, n)
+                    counts.append(len(best))
+                    scores.extend([s for s, _ in best])
+                    ids.extend([np.array(one, np.int32) for _, one in best])
+                    exact.append(None if text is None else all(lattice.decode(one) == text for _, one in best))
+                paths = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids) if ids else [], pa.int32()))
+                nbest = pa.ListArray.from_arrays(
+                    pa.array(np.cumsum([0, *counts]), pa.int32()), pa.StructArray.from_arrays([pa.array(scores, pa.float64()), paths], names=["score", "ids"]),
+                    mask=part.column("text").is_null(),
+                )
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), nbest, pa.array(exact, pa.bool_())], names=[*kept, "nbest", "round_trip"])
 
     return encode
 
 
 def encode_texts(docs: DataFrame, n: int = 4, model: str = MODEL) -> DataFrame:
-    """doc_id, n_tokens, ids of the best segmentation, scores of the n best, whether decoding gives the text."""
+    """doc_id, n_tokens, ids of the best segmentation, scores and then (score, ids) of the n best, whether decoding each of them gives the text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = rows.mapInArrow(_encoder(_vocabulary(model), n), "doc_id long, ids array<int>, scores array<double>, round_trip boolean")
-    return out.select("doc_id", F.when(F.col("ids").isNotNull(), F.size("ids")).cast("long").alias("n_tokens"), "ids", "scores", "round_trip")
+    out = rows.mapInArrow(_encoder(_vocabulary(model), n), "doc_id long, nbest array<struct<score:double,ids:array<int>>>, round_trip boolean")
+    ids = F.col("nbest")[0]["ids"]
+    return out.select("doc_id", F.when(ids.isNotNull(), F.size(ids)).cast("long").alias("n_tokens"), ids.alias("ids"), F.col("nbest.score").alias("scores"), "nbest", "round_trip")
 
 
 def _decoder(vocabulary: tuple):

@@ -153,6 +153,24 @@ def test_encoding_round_trips_on_odd_texts(spark):
     assert out.where("doc_id = 0").first().n_tokens == 0 and out.where("doc_id = 1").first().n_tokens is None
 
 
+def test_every_one_of_the_nbest_leaves_the_task(spark, lattice):
+    texts = ["the box on it", "attention, hexane", "a▁b 🙂", "", None]
+    out = {r.doc_id: r for r in encode_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), n=4).collect()}
+    assert out[3].nbest == [(0.0, [])] and out[4].nbest is None
+    for i, text in enumerate(texts[:3]):
+        row, score = out[i], {}
+        for s, ids in every_path(lattice, MARK + text.replace(MARK, "\ud800").replace(" ", MARK)):
+            score[ids] = max(s, score.get(ids, s))
+        assert [b.score for b in row.nbest] == sorted(score.values(), reverse=True)[:4] == row.scores and row.round_trip
+        assert len({tuple(b.ids) for b in row.nbest}) == min(4, len(score)) and all(score[tuple(b.ids)] == b.score and lattice.decode(b.ids) == text for b in row.nbest)
+        assert row.ids == row.nbest[0].ids
+
+
+def test_best_path_is_the_first_of_the_astar(lattice):
+    for chunk in ("x" * 7, "aaaa", "hexenxox", MARK * 5, "bathtaxi"):
+        assert lattice.path(chunk)[:2] == lattice.nbest(chunk, 4)[0][::-1]
+
+
 # Classifiers
 
 def rank_quality(rows):
