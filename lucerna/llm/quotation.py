@@ -1,10 +1,12 @@
 r"""Chat formatting by quotation linking, in DataFrame functions.
 
 A message's lines are parsed by quote level: the number of `>` signs in front, with spaces between. Runs
-of lines of one level are passages. A passage is normalised (its marks off, white space single, lower
-case) and hashed, and so are all leading parts of own text that a mail program quotes: the whole own
-text of each message, each of its paragraphs and each of its lines. Quoted passages meet these originals by hash: first an
-earlier message of the same conversation (the latest one), else the first message anywhere. A message
+of lines of one level are passages. A passage and the own text of each message are both cut into parts: the
+whole, each paragraph, each line and each sentence, normalised (marks off, white space single, lower case) and
+hashed. Parts meet by hash: first an earlier message of the same conversation (the latest one), else the
+first message anywhere. A passage is linked by its longest part that meets an original, so a quote of some paragraphs, lines or sentences of a
+message links; one that starts and ends inside sentences and lines doesn't. Parts under LEAST characters
+meet originals of their own conversation only. A message
 answers the original of its shallowest linked passage in its conversation; messages are ordered by thread,
 depth of reply and turn, and carry their text without quotes and attribution lines.
 
@@ -12,7 +14,7 @@ Originals are reduced to one row a hash before they are joined, so a text that a
 hold is one row; nothing is grouped by conversation, and the order is a range-partitioned sort.
 
 Defined results: null text counts as empty and gives empty own text. Rows without conv_id or turn link with
-nothing and come out with null thread_turn. Rows that repeat conv_id and turn each come out; as originals
+nothing and come out with null thread_turn. A passage of white space is none. Rows that repeat conv_id and turn each come out; as originals
 they are one message. An empty table gives no rows. Other columns are ignored.
 """
 
@@ -26,7 +28,9 @@ from lucerna.llm.common import checkpoint
 _QUOTE = r"^(?:[ \t]*>)+[ \t]?"
 #: A line that says whose words follow, such as "On 3 May, Ann wrote:".
 _ATTRIBUTION = r"(?i)^\s*(on\b.{0,200}\bwrote|am\b.{0,200}\bschrieb\b.{0,80}|le\b.{0,200}\ba écrit|el\b.{0,200}\bescribió)\s*:\s*$"
-#: Shortest normalised passage, in characters, that is linked.
+#: Where a sentence or a paragraph ends.
+_SENTENCE = r"\n\s*\n|(?<=[.!?…])\s+|(?<=[。！？])"
+#: Shortest normalised part, in characters, that links to another conversation.
 LEAST = 12
 
 
@@ -50,38 +54,44 @@ def _passages(lines: str) -> Column:
 
     def add(runs: Column, line: Column) -> Column:
         last = F.get(runs, F.size(runs) - 1)
-        joined = F.struct(line["level"].alias("level"), F.concat(last["text"], F.lit(" "), line["body"]).alias("text"))
+        joined = F.struct(line["level"].alias("level"), F.concat(last["text"], F.lit("\n"), line["body"]).alias("text"))
         return F.when(last["level"] == line["level"], F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), F.array(joined))).otherwise(F.concat(runs, F.array(F.struct(line["level"].alias("level"), line["body"].alias("text")))))
 
     return F.filter(F.aggregate(lines, start, add), lambda p: p["level"] > 0)
 
 
 def _hash(plain: Column) -> Column:
-    return F.when(F.length(plain) >= LEAST, F.substring(F.sha2(plain.cast("binary"), 256), 1, 32))
+    return F.substring(F.sha2(plain.cast("binary"), 256), 1, 32)
+
+
+def _parts(text: Column) -> Column:
+    """Normalised parts by which a text is linked: the whole, its paragraphs, lines and sentences."""
+    cuts = F.concat(F.array(text), F.split(text, r"\n\s*\n"), F.split(text, "\n"), F.split(text, _SENTENCE))
+    return F.filter(F.array_distinct(F.transform(cuts, _plain)), lambda p: p != "")
 
 
 def quotation_links(messages: DataFrame) -> DataFrame:
     """conv_id, turn, level, passage hash and the linked original (to_conv, to_turn; null if none)."""
     rows = _parsed(messages).where("conv_id is not null and turn is not null")
-    parts = F.concat(F.array("own"), F.split("own", r"\n\s*\n"), F.split("own", "\n"))
-    originals = rows.select("conv_id", "turn", F.explode(F.array_distinct(F.transform(parts, lambda p: _hash(_plain(p))))).alias("hash")).where("hash is not null")
+    originals = rows.select("conv_id", "turn", F.explode(_parts(F.col("own"))).alias("part")).select("conv_id", "turn", _hash(F.col("part")).alias("hash"))
     quotes = checkpoint(
         rows.where("has_quote").select("conv_id", "turn", F.explode(_passages("lines")).alias("p"))
-        .select("conv_id", "turn", F.col("p.level").alias("level"), _hash(_plain(F.col("p.text"))).alias("hash")).where("hash is not null").distinct()
+        .select("conv_id", "turn", F.col("p.level").alias("level"), _hash(_plain(F.col("p.text"))).alias("passage"), F.explode(_parts(F.col("p.text"))).alias("part"))
+        .select("conv_id", "turn", "level", "passage", F.length("part").alias("n"), _hash(F.col("part")).alias("hash")).distinct()
     )
     wanted = quotes.select("hash").distinct()
     known = checkpoint(originals.join(wanted, "hash", "left_semi").distinct())
     near = (
         quotes.join(known.select(F.col("conv_id").alias("o_conv"), F.col("turn").alias("o_turn"), F.col("hash").alias("o_hash")), (F.col("hash") == F.col("o_hash")) & (F.col("conv_id") == F.col("o_conv")) & (F.col("o_turn") < F.col("turn")), "left")
-        .groupBy("conv_id", "turn", "level", "hash").agg(F.max("o_turn").alias("near_turn"))
+        .groupBy("conv_id", "turn", "level", "passage", "n", "hash").agg(F.max("o_turn").alias("near_turn"))
     )
     first = known.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
     linked = near.join(first, "hash", "left")
-    other = F.when((F.col("first.conv_id") != F.col("conv_id")) | (F.col("first.turn") < F.col("turn")), F.col("first"))
-    return linked.select(
-        "conv_id", "turn", "level", "hash",
-        F.when(F.col("near_turn").isNotNull(), F.col("conv_id")).otherwise(other["conv_id"]).alias("to_conv"), F.coalesce("near_turn", other["turn"]).alias("to_turn"),
-    )
+    elsewhere = (F.col("n") >= LEAST) & ((F.col("first.conv_id") != F.col("conv_id")) | (F.col("first.turn") < F.col("turn")))
+    inside = F.struct("n", F.lit(1).alias("inside"), F.col("near_turn").alias("by"), F.lit(0).cast("long").alias("then"), F.col("conv_id").alias("to_conv"), F.col("near_turn").alias("to_turn"))
+    other = F.struct("n", F.lit(0).alias("inside"), (-F.col("first.conv_id")).alias("by"), (-F.col("first.turn")).alias("then"), F.col("first.conv_id").alias("to_conv"), F.col("first.turn").alias("to_turn"))
+    best = F.max(F.when(F.col("near_turn").isNotNull(), inside).when(elsewhere, other))
+    return linked.groupBy("conv_id", "turn", "level", "passage").agg(best.alias("best")).select("conv_id", "turn", "level", F.col("passage").alias("hash"), "best.to_conv", "best.to_turn")
 
 
 def conversations_by_reply(messages: DataFrame, most_rounds: int = 40) -> DataFrame:

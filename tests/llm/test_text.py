@@ -111,6 +111,21 @@ def test_long_reply_chain_has_its_depths(spark):
     assert [(r.thread_turn, r.depth, r.turn) for r in out] == [(0, i, i) for i in range(20)]
 
 
+def test_parts_of_a_message_link(spark):
+    first = "The first paragraph says this.\n\nThe second one says that.\nAnd it goes on.\nAnd on.\n\nThe third one ends it.\n-- \nAnn"
+    quotes = [
+        "> The first paragraph says this.\n>\n> The second one says that.\n> And it goes on.\n> And on.", "> And it goes on.\n> And on.",
+        "".join(f"> {x}\n" for x in first.split("\n")[:-2]), "> The third one\n> ends it.",
+    ]
+    rows = [(1, 0, "u", first), *((1, i, "u", f"{q}\n\nmy answer number {i}") for i, q in enumerate(quotes, 1))]
+    rows += [(2, 0, "u", "We could go there. Shall we take the train? It is late."), (2, 1, "u", "> Shall we take the train?\nYes please"), (2, 2, "u", "> Yes please\nfine"), (2, 3, "u", "你好。我们走吧。"), (2, 4, "u", "> 我们走吧。\nok")]
+    rows += [(3, 0, "u", "> Yes please\nnot said here"), (4, 0, "u", ">\n> \nblank")]
+    out = {(r.conv_id, r.turn): (r.reply_to, r.n_quotes, r.n_linked) for r in conversations_by_reply(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert all(out[(1, i)] == (0, 1, 1) for i in range(1, 5))
+    assert [out[(2, i)] for i in range(5)] == [(None, 0, 0), (0, 1, 1), (1, 1, 1), (None, 0, 0), (3, 1, 1)]
+    assert out[(3, 0)] == (None, 1, 0) and out[(4, 0)] == (None, 0, 0)
+
+
 # Lattices
 
 @pytest.fixture(scope="module")
