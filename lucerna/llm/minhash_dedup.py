@@ -1,11 +1,16 @@
 r"""MinHash near-dedup: a chosen-path set-similarity join over word shingles.
 
 Documents with equal shingle sets are one class. Each class enters TREES independent trees at the node of
-one minwise token. A node of up to SMALL classes is compared exhaustively by sketch; a larger node is
-branched: each class goes on to the child named by a further minwise token that the node selects, DEPTH
-times; classes that still share a large node are taken as candidates together. Two sets of similarity
-0.75 meet in one tree with probability 0.75, or 0.56 where their node is branched, and so in one of ten
-with over 0.999; more similar ones almost surely.
+one minwise token. A node of up to SMALL classes is compared exhaustively; a larger node is
+branched: each class goes on to two children named by further minwise tokens that the node selects, until
+nodes are small. A large child that keeps over half of its node's classes holds sets too alike to tell apart
+so: its classes are taken as candidates together, which loses nothing. Two sets of similarity
+0.75 meet in one tree with probability 0.75, or at least 0.66 however often nodes are branched (with two
+children, 0.89 of such pairs go on for ever), and so in one of ten with over 0.9999; more similar ones almost surely.
+
+In a small node a pair is passed on by its sketches. Each shingle that only one set holds spoils one bin at
+most, and sets at the threshold have at most (|A| + |B|) / 7 of them, so pairs with more spoilt bins are
+no links: this loses nothing. Only pairs of 7 * BINS shingles together or more, for which that says nothing, are judged by the estimate.
 
 Candidates are confirmed on full sets. A candidate component is compared in blocks: each block with the
 first one, and then only what is still outside the component's largest confirmed part with every block.
@@ -32,9 +37,9 @@ from pyspark.sql import functions as F
 from lucerna.llm.common import checkpoint, group_bounds, keyed, local_components, mix, shingle_sets, shuffle_partitions, slices, utf8
 from lucerna.llm.components import connected_components
 
-TREES, SMALL, DEPTH = 10, 512, 1
-#: One-permutation minwise sketch: bins, and the estimate below which a pair isn't confirmed (about six
-#: standard deviations under the threshold).
+TREES, SMALL = 10, 512
+#: One-permutation minwise sketch: bins, and the estimate below which a pair of large sets isn't confirmed (about
+#: six standard deviations under the threshold).
 BINS, FAR = 128, 0.52
 #: Classes in a block of exact comparison.
 BLOCK = 1024
@@ -76,43 +81,51 @@ def _reader(width: int):
     return read
 
 
-def _near(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows whose sketches agree in enough of the bins that either fills."""
+def _alike(a: np.ndarray, b: np.ndarray, together: np.ndarray, percent: int) -> np.ndarray:
+    """Whether pairs of sketches of sets with so many shingles together may be links."""
+    either = ((a != 0) | (b != 0)).sum(-1)
+    agree = ((a == b) & (a != 0)).sum(-1)
+    allowed = (100 - percent) * together
+    return np.where(allowed < (100 + percent) * BINS, (100 + percent) * (either - agree) <= allowed, agree >= FAR * either)
+
+
+def _near(sketches: np.ndarray, sizes: np.ndarray, percent: int = 75) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that may be links by their sketches."""
     us, vs = [], []
-    full = sketches != 0
     for i in range(len(sketches) - 1):
-        either = (full[i] | full[i + 1 :]).sum(1)
-        agree = ((sketches[i] == sketches[i + 1 :]) & full[i]).sum(1)
-        j = np.flatnonzero(agree >= FAR * either) + i + 1
+        j = np.flatnonzero(_alike(sketches[i], sketches[i + 1 :], sizes[i] + sizes[i + 1 :], percent)) + i + 1
         us.append(np.full(len(j), i))
         vs.append(j)
     return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, int), np.zeros(0, int))
 
 
-def _compare_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate links of nodes, which come sorted: a spanning forest of the similar pairs of each."""
-    for table in keyed(batches, ["node"]):
-        table = table.combine_chunks()
-        node, rep = np.asarray(table.column("node")), np.asarray(table.column("rep"))
-        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(len(rep), BINS)
-        bounds = group_bounds([node])
-        size = np.diff(bounds)
-        us, vs = [], []
-        pairs = bounds[:-1][size == 2]
-        for lo in range(0, len(pairs), 8192):
-            a, b = sketches[pairs[lo : lo + 8192]], sketches[pairs[lo : lo + 8192] + 1]
-            ok = ((a == b) & (a != 0)).sum(1) >= FAR * ((a != 0) | (b != 0)).sum(1)
-            us.append(rep[pairs[lo : lo + 8192][ok]])
-            vs.append(rep[pairs[lo : lo + 8192][ok] + 1])
-        for s, n in zip(bounds[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            u, v = _near(sketches[s : s + n])
-            if len(u):
-                u, v = local_components(rep[s + u], rep[s + v])
-                us.append(u)
-                vs.append(v)
-        if us:
-            u, v = np.concatenate(us), np.concatenate(vs)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+def _comparer(percent: int):
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Candidate links of nodes, which come sorted: a spanning forest of the similar pairs of each."""
+        for table in keyed(batches, ["node"]):
+            table = table.combine_chunks()
+            node, rep, sizes = (np.asarray(table.column(k)) for k in ("node", "rep", "size"))
+            sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(len(rep), BINS)
+            bounds = group_bounds([node])
+            held = np.diff(bounds)
+            us, vs = [], []
+            pairs = bounds[:-1][held == 2]
+            for lo in range(0, len(pairs), 8192):
+                x = pairs[lo : lo + 8192]
+                x = x[_alike(sketches[x], sketches[x + 1], sizes[x] + sizes[x + 1], percent)]
+                us.append(rep[x])
+                vs.append(rep[x + 1])
+            for s, n in zip(bounds[:-1][held > 2].tolist(), held[held > 2].tolist(), strict=True):
+                u, v = _near(sketches[s : s + n], sizes[s : s + n], percent)
+                if len(u):
+                    u, v = local_components(rep[s + u], rep[s + v])
+                    us.append(u)
+                    vs.append(v)
+            if us:
+                u, v = np.concatenate(us), np.concatenate(vs)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return compare
 
 
 def _forest(h: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +192,7 @@ def _grow(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     the join behind exchanges that Spark may split."""
     counts = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select(F.col("node").bitwiseXOR(F.lit(0).cast("long")).alias("k"), "n")
     sized = nodes.join(counts, F.col("node") == F.col("k")).drop("k")
-    return sized.where(F.col("n") <= SMALL).drop("n"), sized.where(F.col("n") > SMALL).drop("n")
+    return sized.where(F.col("n") <= SMALL).drop("n"), sized.where(F.col("n") > SMALL)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
@@ -189,22 +202,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     read = checkpoint(rows.mapInArrow(_reader(width), "doc_id long, text_hash long, n_shingles long, digest binary, sketch binary, tokens array<long>"))
     classes = read.where("doc_id is not null and digest is not null").groupBy("digest")
-    sets = checkpoint(classes.agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("sketch").alias("sketch"), F.first("tokens").alias("tokens")).select("digest", F.col("least.doc_id").alias("rep"), F.col("least.text_hash").alias("rep_hash"), "sketch", "tokens"))
-    big = sets.select("rep", "sketch", F.posexplode("tokens").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "rep", "sketch")
+    sets = checkpoint(classes.agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("sketch").alias("sketch"), F.first("tokens").alias("tokens"), F.first("n_shingles").alias("size")).select("digest", F.col("least.doc_id").alias("rep"), F.col("least.text_hash").alias("rep_hash"), "sketch", "tokens", "size"))
+    none = F.lit(None).cast("long")
+    big = sets.select("rep", "sketch", "size", F.posexplode("tokens").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "rep", "sketch", "size", none.alias("parent"))
+    child = lambda salt: F.xxhash64("node", F.lit(salt), F.expr(f"substring(sketch, 2 * int(pmod(xxhash64(node, {salt}), {BINS})) + 1, 2)"))
     links = None
-    for level in range(DEPTH + 1):
+    while True:  # nodes that go on have at most half the classes of their parents
         small, big = _grow(big)
-        near = small.repartition(n, "node").sortWithinPartitions("node").mapInArrow(_compare_nodes, "u long, v long")
+        near = small.select("node", "rep", "sketch", "size").repartition(n, "node").sortWithinPartitions("node").mapInArrow(_comparer(percent), "u long, v long")
         links = near if links is None else links.unionByName(near)
         big = checkpoint(big)
         if big.isEmpty():
             break
-        if level == DEPTH:
-            least = big.groupBy("node").agg(F.min("rep").alias("v")).select(F.col("node").bitwiseXOR(F.lit(0).cast("long")).alias("k"), "v")
-            links = links.unionByName(big.join(least, F.col("node") == F.col("k")).select(F.col("rep").alias("u"), "v"))
-            break
-        child = lambda salt: F.xxhash64("node", F.lit(salt), F.expr(f"substring(sketch, 2 * int(pmod(xxhash64(node, {salt}), {BINS})) + 1, 2)"))
-        big = big.select(child(1).alias("node"), "rep", "sketch")
+        kept = F.coalesce(2 * F.col("n") > F.col("parent"), F.lit(False))
+        alike = big.where(kept)
+        least = alike.groupBy("node").agg(F.min("rep").alias("v")).select(F.col("node").bitwiseXOR(F.lit(0).cast("long")).alias("k"), "v")
+        links = links.unionByName(alike.join(least, F.col("node") == F.col("k")).select(F.col("rep").alias("u"), "v"))
+        big = big.where(~kept).select(F.explode(F.array(child(1), child(2))).alias("node"), "rep", "sketch", "size", F.col("n").alias("parent"))
     groups = connected_components(links).withColumnRenamed("component", "comp").withColumnRenamed("node", "rep")
     sizes = groups.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")).select(F.col("comp").bitwiseXOR(F.lit(0).cast("long")).alias("k"), "blocks")
     placed = groups.join(sizes, F.col("comp") == F.col("k")).select("rep", "comp", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("own"))

@@ -11,7 +11,7 @@ from lucerna.llm.components import connected_components
 from lucerna.llm.decontaminate import decontamination_report
 from lucerna.llm.embedding_dedup import embedding_dedup
 from lucerna.llm.line_dedup import PerfectHash, line_dedup
-from lucerna.llm.minhash_dedup import near_duplicates
+from lucerna.llm.minhash_dedup import _near, _sketch, near_duplicates
 from lucerna.llm.suffix_dedup import suffix_dedup
 
 SCHEMA = "doc_id long, text string, chunk string, rep int, node int, k int, text_hash string, component_id string"
@@ -85,6 +85,19 @@ def test_large_group_of_near_copies(spark):
     assert {r.component_id for r in near_duplicates(frame(spark, docs)).collect()} == {0}
 
 
+def test_small_sets_are_not_lost_by_their_sketches():
+    # the fourth shingle hides one common shingle, and the two others share a bin: 1 of 2 bins agrees at similarity 0.75
+    some = np.array([5, 2**57 + 1, 2**57 + 2], np.uint64)
+    sketches = np.frombuffer(_sketch(some) + _sketch(np.append(np.uint64(1), some)), np.uint16).reshape(2, -1)
+    assert [x.tolist() for x in _near(sketches, np.array([3, 4]))] == [[0], [1]]
+
+
+def test_branched_nodes_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr("lucerna.llm.minhash_dedup.SMALL", 1)
+    docs = corpus(2)
+    assert result(near_duplicates(frame(spark, docs))) == near(docs)
+
+
 @pytest.mark.parametrize("items", [[(1, 30), (2, 12), (3, 10)], [(1, 40), (2, 3), (3, 0), (4, 9)], []])
 def test_decontamination_equals_brute_force(spark, items):
     docs = corpus(5)
