@@ -1,21 +1,25 @@
 r"""MinHash near-dedup: a chosen-path set-similarity join over word shingles.
 
 Documents with equal shingle sets are one class. Each class enters TREES independent trees at the node of
-one minwise token. A node of up to SMALL classes is compared exhaustively; a larger node is
-branched: each class goes on to two children named by further minwise tokens that the node selects, until
-nodes are small. A large child that keeps over half of its node's classes holds sets too alike to tell apart
-so: its classes are taken as candidates together, which loses nothing. Two sets of similarity
-0.75 meet in one tree with probability 0.75, or at least 0.66 however often nodes are branched (with two
-children, 0.89 of such pairs go on for ever), and so in one of ten with over 0.9999; more similar ones almost surely.
-
-In a small node a pair is passed on by its sketches. Each shingle that only one set holds spoils one bin at
-most, and sets at the threshold have at most (|A| + |B|) / 7 of them, so pairs with more spoilt bins are
-no links: this loses nothing. Only pairs of 7 * BINS shingles together or more, for which that says nothing, are judged by the estimate.
-
-Candidates are confirmed on full sets. A candidate component is compared in blocks: each block with the
-first one, and then only what is still outside the component's largest confirmed part with every block.
-Within a task too, a class is compared with all others at once, and only classes outside the largest
-part are asked. So every pair across parts is compared, and a large group of copies costs linear work.
+one minwise token. A node of up to SMALL classes is compared exhaustively; a larger one is branched: each
+class goes on to two children named by further minwise tokens that the node selects, until nodes are
+small. Two sets of similarity 0.75 meet in one tree with probability 0.75, or at least 0.66 however often
+nodes are branched (with two children, 0.89 of such pairs go on for ever), and so in one of ten with over
+0.9999; more similar ones almost surely.
+
+A large child that keeps more than CROWD of its node's classes is a crowd: sets so alike that tokens don't
+part them. It is dealt into blocks, each with the same pivots, so the members of a group of near copies
+meet a pivot or each other at linear cost; later, what is outside the crowd's largest confirmed part
+meets all of its members. So every pair across parts of a crowd is compared too.
+
+Nodes are compared by sketches. Each shingle that only one set holds spoils one bin at most, and sets at
+the threshold have at most (|A| + |B|) / 7 of them, so pairs with more spoilt bins are no links: this loses
+nothing. Only pairs of 7 * BINS shingles together or more, for which that says nothing, are judged by the
+estimate (six standard deviations under the threshold).
+
+Pairs are confirmed on full sets, in two rounds: first each class with its best partners in each node,
+at most two pairs a class; then all similar pairs of nodes that still hold several parts. Each pair is a row
+with its two texts, and a text that very many pairs need is copied to several places, so no group is ever held in one task.
 
 Words are `[^\x20\x09-\x0D]+` after lower-casing A-Z. A document's set: distinct 5-word shingles; with
 fewer words the whole sequence as one; without words none, and it links with nothing.
@@ -31,18 +35,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lucerna.llm.common import checkpoint, group_bounds, keyed, local_components, mix, shingle_sets, shuffle_partitions, slices, utf8
+from lucerna.llm.common import checkpoint, group_bounds, mix, shingle_sets, slices, utf8
 from lucerna.llm.components import connected_components
 
-TREES, SMALL = 10, 512
-#: One-permutation minwise sketch: bins, and the estimate below which a pair of large sets isn't confirmed (about
-#: six standard deviations under the threshold).
+#: Trees, most classes of a node that is compared whole, and the share of its node that makes a large child a crowd.
+TREES, SMALL, CROWD = 10, 512, 0.6
+#: One-permutation minwise sketch: bins, and the estimate below which a pair of large sets isn't confirmed.
 BINS, FAR = 128, 0.52
-#: Classes in a block of exact comparison.
-BLOCK = 1024
+#: Pivots in every block of a crowd, rows a task compares at once, and pairs that one copy of a text serves.
+PIVOTS, AT_ONCE, SERVED = 64, 4096, 256
 _EDGES = (np.arange(BINS + 1, dtype=object) * (2**64 // BINS)).tolist()
 _EDGES = np.array([min(e, 2**64 - 1) for e in _EDGES], np.uint64)
 
@@ -57,6 +61,10 @@ def _sketch(h: np.ndarray) -> bytes:
     return out.tobytes()
 
 
+def _sketches(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), BINS)
+
+
 def _reader(width: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,170 +89,215 @@ def _reader(width: int):
     return read
 
 
-def _alike(a: np.ndarray, b: np.ndarray, together: np.ndarray, percent: int) -> np.ndarray:
-    """Whether pairs of sketches of sets with so many shingles together may be links."""
+def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two children of each class of a large node. A child is named by the sketch's first full bin from a
+    place that the node selects: a minwise token, equal for two sets with the chance of their similarity."""
+    for batch in batches:
+        node, sketch = np.asarray(batch.column("node")), _sketches(batch.column("sketch"))
+        children = []
+        for salt in (1, 2):
+            chosen = mix(node.view(np.uint64) ^ np.uint64(salt * 0x632BE59BD9B4E019))
+            places = ((chosen % np.uint64(BINS)).astype(np.int64)[:, None] + np.arange(BINS)) % BINS
+            tokens = np.take_along_axis(sketch, places, 1)
+            step = (tokens != 0).argmax(1)
+            token = tokens[np.arange(len(node)), step].astype(np.uint64) << np.uint64(8) | step.astype(np.uint64)
+            children.append(mix(chosen + mix(token)).view(np.int64))
+        twice = lambda name: pa.concat_arrays([batch.column(name)] * 2)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(children)), twice("rep"), twice("n")], names=["node", "rep", "parent"])
+
+
+def _likeness(a: np.ndarray, b: np.ndarray, together: np.ndarray, percent: int) -> np.ndarray:
+    """Share of equal bins of pairs of sketches of sets with so many shingles together; -1 where they can't be links."""
     either = ((a != 0) | (b != 0)).sum(-1)
     agree = ((a == b) & (a != 0)).sum(-1)
     allowed = (100 - percent) * together
-    return np.where(allowed < (100 + percent) * BINS, (100 + percent) * (either - agree) <= allowed, agree >= FAR * either)
-
-
-def _near(sketches: np.ndarray, sizes: np.ndarray, percent: int = 75) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows that may be links by their sketches."""
-    us, vs = [], []
-    for i in range(len(sketches) - 1):
-        j = np.flatnonzero(_alike(sketches[i], sketches[i + 1 :], sizes[i] + sizes[i + 1 :], percent)) + i + 1
-        us.append(np.full(len(j), i))
+    ok = np.where(allowed < (100 + percent) * BINS, (100 + percent) * (either - agree) <= allowed, agree >= FAR * either)
+    return np.where(ok, agree / np.maximum(either, 1), -1)
+
+
+def _near(sketches: np.ndarray, sizes: np.ndarray, parts: np.ndarray, every: bool, percent: int = 75) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of rows of different parts that may be links: all of them, or each row's best one before and
+    after it; and whether that leaves others out."""
+    n = len(sketches)
+    us, vs, similar = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    best, before = np.full(n, -1.0), np.zeros(n, np.int64)
+    for i in range(n - 1):
+        like = np.where(parts[i + 1 :] == parts[i], -1, _likeness(sketches[i], sketches[i + 1 :], sizes[i] + sizes[i + 1 :], percent))
+        if every:
+            j = np.flatnonzero(like >= 0) + i + 1
+            us.append(np.full(len(j), i))
+            vs.append(j)
+            continue
+        similar += int((like >= 0).sum())
+        better = np.flatnonzero(like > best[i + 1 :]) + i + 1
+        best[better], before[better] = like[better - i - 1], i
+        if like.max() >= 0:
+            us.append(np.array([i]))
+            vs.append(np.array([int(like.argmax()) + i + 1]))
+    if not every:
+        j = np.flatnonzero(best >= 0)
+        us.append(before[j])
         vs.append(j)
-    return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, int), np.zeros(0, int))
-
-
-def _comparer(percent: int):
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Candidate links of nodes, which come sorted: a spanning forest of the similar pairs of each."""
-        for table in keyed(batches, ["node"]):
-            table = table.combine_chunks()
-            node, rep, sizes = (np.asarray(table.column(k)) for k in ("node", "rep", "size"))
-            sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(len(rep), BINS)
-            bounds = group_bounds([node])
-            held = np.diff(bounds)
-            us, vs = [], []
-            pairs = bounds[:-1][held == 2]
-            for lo in range(0, len(pairs), 8192):
-                x = pairs[lo : lo + 8192]
-                x = x[_alike(sketches[x], sketches[x + 1], sizes[x] + sizes[x + 1], percent)]
-                us.append(rep[x])
-                vs.append(rep[x + 1])
-            for s, n in zip(bounds[:-1][held > 2].tolist(), held[held > 2].tolist(), strict=True):
-                u, v = _near(sketches[s : s + n], sizes[s : s + n], percent)
-                if len(u):
-                    u, v = local_components(rep[s + u], rep[s + v])
-                    us.append(u)
-                    vs.append(v)
-            if us:
-                u, v = np.concatenate(us), np.concatenate(vs)
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+    u, v = np.concatenate(us), np.concatenate(vs)
+    return u, v, not every and similar > len(np.unique(u * n + v))
+
+
+def _comparer(percent: int, every: bool):
+    def compare(table: pa.Table) -> pa.Table:
+        """Candidate pairs of a bucket's nodes, each of which the bucket holds whole; a node with similar
+        pairs that aren't put out comes as a pair (node, null)."""
+        table = table.sort_by([("node", "ascending"), ("rep", "ascending")]).combine_chunks()
+        node, rep, part, sizes = (np.asarray(table.column(k)) for k in ("node", "rep", "part", "size"))
+        sketches = _sketches(table.column("sketch"))
+        bounds = group_bounds([node])
+        held = np.diff(bounds)
+        us, vs, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+        x = bounds[:-1][held == 2]
+        x = x[(part[x] != part[x + 1]) & (_likeness(sketches[x], sketches[x + 1], sizes[x] + sizes[x + 1], percent) >= 0)]
+        us.append(rep[x])
+        vs.append(rep[x + 1])
+        for s, n in zip(bounds[:-1][held > 2].tolist(), held[held > 2].tolist(), strict=True):
+            u, v, open_ = _near(sketches[s : s + n], sizes[s : s + n], part[s : s + n], every, percent)
+            us.append(rep[s + u])
+            vs.append(rep[s + v])
+            if open_:
+                more.append(int(node[s]))
+        u, v = np.concatenate(us), np.concatenate(vs)
+        none = pa.nulls(len(more), pa.int64())
+        return pa.table({"u": pa.chunked_array([np.minimum(u, v), pa.array(more, pa.int64())]), "v": pa.chunked_array([pa.array(np.maximum(u, v)), none])})
 
     return compare
 
 
-def _forest(h: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (100 * common >= percent * union) that span the exact components of some sets.
-
-    The pass for a row compares it with all rows at once; rows outside the largest component known so
-    far are asked until none is left, so every pair across components has had its pass.
-    """
-    n, sizes = len(at) - 1, np.diff(at)
-    owner = np.repeat(np.arange(n), sizes)
-    order = np.argsort(h, kind="stable")
-    h, owner = h[order], owner[order]
-    group = np.cumsum(np.append(False, h[1:] != h[:-1]))
-    starts = np.append(np.flatnonzero(np.append(True, h[1:] != h[:-1])), len(h))
-    by_row = np.argsort(owner, kind="stable")
-    label, asked, us, vs = np.arange(n), np.zeros(n, bool), [], []
-    while True:
-        count = np.bincount(label, minlength=n)
-        left = np.flatnonzero(~asked & (label != count.argmax()))
-        if len(left) == 0 and (asked.any() or n < 2):
+def _judge(width: int, percent: int):
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whether each pair's full sets are a link."""
+        for batch in batches:
+            linked = np.zeros(batch.num_rows, bool)
+            (a, at_a), (b, at_b) = utf8(batch.column("u_text")), utf8(batch.column("v_text"))
+            for lo, hi in slices(at_a + at_b):
+                x, of_x = shingle_sets(a[at_a[lo] : at_a[hi]], at_a[lo : hi + 1] - at_a[lo], width)
+                y, of_y = shingle_sets(b[at_b[lo] : at_b[hi]], at_b[lo : hi + 1] - at_b[lo], width)
+                # pairs' sets side by side: a shingle of both is two equal (pair, hash) rows
+                pair = np.concatenate([np.repeat(np.arange(hi - lo), np.diff(of_x)), np.repeat(np.arange(hi - lo), np.diff(of_y))])
+                h = np.concatenate([x, y])
+                order = np.lexsort((h, pair))
+                h, pair = h[order], pair[order]
+                common = np.bincount(pair[1:][(h[1:] == h[:-1]) & (pair[1:] == pair[:-1])], minlength=hi - lo)
+                linked[lo:hi] = 100 * common >= percent * (np.diff(of_x) + np.diff(of_y) - common)
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(linked)], names=["u", "v", "linked"])
+
+    return judge
+
+
+def _own_exchange(key: str) -> Column:
+    """The key, by a no-op: both sides of a join keep exchanges of their own, which Spark may split."""
+    return F.col(key).bitwiseXOR(F.lit(0).cast("long"))
+
+
+def _blocks(count: Column, size: int) -> Column:
+    return F.greatest(F.ceil(count / size), F.lit(1)).cast("long")
+
+
+def _all_below(count: Column) -> Column:
+    return F.sequence(F.lit(0).cast("long"), count - 1)
+
+
+def _meeting(rows: DataFrame, sets: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Distinct candidate pairs u < v of the nodes of rows (node, rep, part), and (node, null) of those that hold more.
+
+    Grouping by bucket is what Spark must honour: a node's rows are in one bucket, and a bucket in one task."""
+    n = rows.count()
+    held = rows.join(sets.select(F.col("rep").alias("k"), "sketch", "size"), F.col("rep") == F.col("k")).drop("k")
+    bucketed = held.withColumn("bucket", F.pmod(F.xxhash64("node"), F.lit(max(1, -(-n // AT_ONCE)))))
+    return bucketed.groupBy("bucket").applyInArrow(_comparer(percent, every), "u long, v long").distinct()
+
+
+def _confirmed(pairs: DataFrame, rows: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
+    """u, v, linked of the pairs, judged on the whole texts of their classes."""
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("end")).groupBy("end").agg(_blocks(F.count("*"), SERVED).alias("copies"))
+    wanted = ends.join(sets.select("rep", "rep_hash"), F.col("end") == F.col("rep")).select("rep", "rep_hash", "copies")
+    texts = rows.join(wanted, (F.col("doc_id") == F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))).groupBy("rep", "rep_hash").agg(F.first("copies").alias("copies"), F.first("text").alias("text"))
+    texts = checkpoint(texts.select("rep", F.explode(_all_below(F.col("copies"))).alias("copy"), "text"))
+    hubs = ends.where("copies > 1")
+
+    def with_text(df: DataFrame, end: str) -> DataFrame:
+        salt = F.pmod(F.xxhash64("u", "v"), F.coalesce("copies", F.lit(1)))
+        dealt = df.join(hubs, F.col(end) == F.col("end"), "left").withColumn("salt", salt).drop("end", "copies")
+        return dealt.join(texts.select(F.col("rep").alias("r"), F.col("copy").alias("c"), F.col("text").alias(f"{end}_text")), (F.col(end) == F.col("r")) & (F.col("salt") == F.col("c"))).drop("r", "c", "salt")
+
+    return with_text(with_text(pairs, "u"), "v").mapInArrow(_judge(width, percent), "u long, v long, linked boolean")
+
+
+def _trees(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Small nodes of two classes or more, and crowds, as (node, rep); crowds with their size n."""
+    nodes = sets.select("rep", F.posexplode("tokens").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "rep", F.lit(None).cast("long").alias("parent"))
+    small, crowds = [], []
+    while True:  # nodes that go on have at most CROWD of their parents' classes
+        counts = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select(_own_exchange("node").alias("k"), "n")
+        sized = checkpoint(nodes.join(counts, F.col("node") == F.col("k")).select("node", "rep", "n", "parent"))
+        small.append(sized.where(F.col("n") <= SMALL).select("node", "rep"))
+        stuck = F.coalesce(F.col("n") > CROWD * F.col("parent"), F.lit(False))
+        big = sized.where(F.col("n") > SMALL)
+        crowds.append(big.where(stuck).select("node", "rep", "n"))
+        big = big.where(~stuck)
+        if big.isEmpty():
             break
-        x = left[0] if len(left) else 0
-        asked[x] = True
-        mine = group[by_row[at[x] : at[x + 1]]]
-        lens = starts[mine + 1] - starts[mine]
-        first = np.cumsum(lens) - lens
-        where = np.arange(int(lens.sum())) - np.repeat(first, lens) + np.repeat(starts[mine], lens)
-        common = np.bincount(owner[where], minlength=n)
-        near = np.flatnonzero(100 * common >= percent * (sizes + sizes[x] - common))
-        near = near[label[near] != label[x]]
-        if len(near):
-            us.append(np.full(len(near), x))
-            vs.append(near)
-            low = min(label[x], label[near].min())
-            label[np.isin(label, np.append(label[near], label[x]))] = low
-    return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, int), np.zeros(0, int))
-
-
-def _confirmer(width: int, percent: int):
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in keyed(batches, ["comp", "i", "j"]):
-            table = table.combine_chunks()
-            rep = np.asarray(table.column("rep"))
-            bounds = group_bounds([np.asarray(table.column(k)) for k in ("comp", "i", "j")])
-            data, offsets = utf8(table.column("text"))
-            us, vs = [], []
-            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                sets, at = [], [0]
-                mine = offsets[s : e + 1]
-                for lo, hi in slices(mine):
-                    h, o = shingle_sets(data[mine[lo] : mine[hi]], mine[lo : hi + 1] - mine[lo], width)
-                    sets.append(h)
-                    at.extend((o[1:] + at[-1]).tolist())
-                u, v = _forest(np.concatenate(sets), np.array(at), percent)
-                us.append(rep[s + u])
-                vs.append(rep[s + v])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us), pa.int64()), pa.array(np.concatenate(vs), pa.int64())], names=["u", "v"])
-
-    return confirm
-
-
-def _grow(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes that are small enough to compare, and larger ones. The no-op on the key keeps both sides of
-    the join behind exchanges that Spark may split."""
-    counts = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select(F.col("node").bitwiseXOR(F.lit(0).cast("long")).alias("k"), "n")
-    sized = nodes.join(counts, F.col("node") == F.col("k")).drop("k")
-    return sized.where(F.col("n") <= SMALL).drop("n"), sized.where(F.col("n") > SMALL)
+        nodes = big.join(sets.select(F.col("rep").alias("k"), "sketch"), F.col("rep") == F.col("k")).select("node", "rep", "n", "sketch").mapInArrow(_branch, "node long, rep long, parent long")
+    union = lambda dfs: dfs[0] if len(dfs) == 1 else union([dfs[0].unionByName(dfs[1]), *dfs[2:]])
+    return union(small), union(crowds)
+
+
+def _crowd_blocks(crowds: DataFrame) -> DataFrame:
+    """A crowd's members in blocks of about SMALL, each with the same pivots."""
+    size, block = _blocks(F.col("n"), SMALL - PIVOTS), lambda b: F.xxhash64("node", b)
+    own = crowds.select(block(F.pmod(F.xxhash64("rep"), size)).alias("node"), "rep")
+    pivots = crowds.where(F.pmod(F.xxhash64("rep", "node"), _blocks(F.col("n"), PIVOTS)) == 0)
+    return own.unionByName(pivots.select("node", "rep", F.explode(_all_below(size)).alias("b")).select(block(F.col("b")).alias("node"), "rep")).distinct()
+
+
+def _crowd_rest(crowds: DataFrame, parts: DataFrame) -> DataFrame:
+    """Blocks in which what is outside a crowd's largest part meets all members of the crowd."""
+    half = SMALL // 2
+    placed = crowds.join(parts, "rep", "left").withColumn("part", F.coalesce("part", "rep"))
+    top = placed.groupBy("node", "part").agg(F.count("*").alias("m")).groupBy("node").agg(F.max(F.struct("m", "part")).alias("top"), F.sum("m").alias("all")).where("all > top.m")
+    top = top.select(_own_exchange("node").alias("k"), F.col("top.part").alias("largest"), _blocks(F.col("all") - F.col("top.m"), half).alias("asked"), _blocks(F.col("all"), half).alias("blocks"))
+    met = placed.join(top, F.col("node") == F.col("k"))
+    mine = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+    ask = met.where("part <> largest").select("node", "rep", "part", mine("asked").alias("i"), F.explode(_all_below(F.col("blocks"))).alias("j"))
+    told = met.select("node", "rep", "part", F.explode(_all_below(F.col("asked"))).alias("i"), mine("blocks").alias("j"))
+    return ask.unionByName(told).select(F.xxhash64("node", "i", "j").alias("node"), "rep", "part").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
-    n = shuffle_partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     read = checkpoint(rows.mapInArrow(_reader(width), "doc_id long, text_hash long, n_shingles long, digest binary, sketch binary, tokens array<long>"))
-    classes = read.where("doc_id is not null and digest is not null").groupBy("digest")
-    sets = checkpoint(classes.agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("sketch").alias("sketch"), F.first("tokens").alias("tokens"), F.first("n_shingles").alias("size")).select("digest", F.col("least.doc_id").alias("rep"), F.col("least.text_hash").alias("rep_hash"), "sketch", "tokens", "size"))
-    none = F.lit(None).cast("long")
-    big = sets.select("rep", "sketch", "size", F.posexplode("tokens").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "rep", "sketch", "size", none.alias("parent"))
-    child = lambda salt: F.xxhash64("node", F.lit(salt), F.expr(f"substring(sketch, 2 * int(pmod(xxhash64(node, {salt}), {BINS})) + 1, 2)"))
-    links = None
-    while True:  # nodes that go on have at most half the classes of their parents
-        small, big = _grow(big)
-        near = small.select("node", "rep", "sketch", "size").repartition(n, "node").sortWithinPartitions("node").mapInArrow(_comparer(percent), "u long, v long")
-        links = near if links is None else links.unionByName(near)
-        big = checkpoint(big)
-        if big.isEmpty():
-            break
-        kept = F.coalesce(2 * F.col("n") > F.col("parent"), F.lit(False))
-        alike = big.where(kept)
-        least = alike.groupBy("node").agg(F.min("rep").alias("v")).select(F.col("node").bitwiseXOR(F.lit(0).cast("long")).alias("k"), "v")
-        links = links.unionByName(alike.join(least, F.col("node") == F.col("k")).select(F.col("rep").alias("u"), "v"))
-        big = big.where(~kept).select(F.explode(F.array(child(1), child(2))).alias("node"), "rep", "sketch", "size", F.col("n").alias("parent"))
-    groups = connected_components(links).withColumnRenamed("component", "comp").withColumnRenamed("node", "rep")
-    sizes = groups.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")).select(F.col("comp").bitwiseXOR(F.lit(0).cast("long")).alias("k"), "blocks")
-    placed = groups.join(sizes, F.col("comp") == F.col("k")).select("rep", "comp", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("own"))
-    wanted = sets.select("rep", "rep_hash").join(placed, "rep")
-    # texts of candidates only, cut here so that both steps below read them without another shuffle of all texts
-    members = checkpoint(rows.join(wanted, (F.col("doc_id") == F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))).select("rep", "comp", "blocks", "own", "text"))
-    below = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
-
-    def confirmed(grouped: DataFrame) -> DataFrame:
-        """Links found in the groups (comp, i, j)."""
-        return checkpoint(grouped.repartition(n, "comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_confirmer(width, percent), "u long, v long"))
-
-    # every block with block 0; that settles small components, and large ones whose members are alike
-    zero = F.lit(0).cast("long")
-    first = members.select("comp", zero.alias("i"), F.explode(F.when(F.col("own") == 0, below("blocks")).otherwise(F.array("own"))).alias("j"), "rep", "text")
-    sure = confirmed(first)
-    parts = connected_components(sure).select(F.col("node").alias("rep"), "component")
-    large = members.where("blocks > 1").join(parts, "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
-    sizes = large.groupBy("comp", "part").agg(F.count("*").alias("n")).groupBy("comp").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("all"))
-    todo = sizes.where("all > top.n").select(F.col("comp").alias("k"), F.col("top.part").alias("top"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("long").alias("asked"))
-    if not todo.isEmpty():
-        # what is outside the largest part, with every block
-        rest = large.join(todo, F.col("comp") == F.col("k"))
-        ask = rest.where("part <> top").select("comp", F.pmod(F.xxhash64("rep"), F.col("asked")).alias("i"), F.explode(below("blocks")).alias("j"), "rep", "text")
-        other = rest.select("comp", F.explode(below("asked")).alias("i"), F.col("own").alias("j"), "rep", "text")
-        parts = connected_components(sure.unionByName(confirmed(ask.unionByName(other)))).select(F.col("node").alias("rep"), "component")
-    found = checkpoint(sets.select("digest", "rep").join(parts, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")))
+    named = read.where("doc_id is not null and digest is not null")
+    sets = checkpoint(
+        named.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("sketch").alias("sketch"), F.first("tokens").alias("tokens"), F.first("n_shingles").alias("size"))
+        .select("digest", F.col("least.doc_id").alias("rep"), F.col("least.text_hash").alias("rep_hash"), "sketch", "tokens", "size")
+    )
+    small, crowds = _trees(sets)
+    nodes = small.unionByName(_crowd_blocks(crowds)).withColumn("part", F.col("rep"))
+    met = checkpoint(_meeting(nodes, sets, percent, every=False))
+    judged = checkpoint(_confirmed(met.where("v is not null"), rows, sets, width, percent))
+    links = judged.where("linked").select("u", "v")
+    # an id that repeats joins the classes of its texts
+    repeated = named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("id"))
+    of_one = named.join(repeated, F.col("doc_id") == F.col("id")).select("doc_id", "digest").join(sets.select("digest", "rep"), "digest")
+    least = of_one.groupBy("doc_id").agg(F.min("rep").alias("v")).select(_own_exchange("doc_id").alias("k"), "v")
+    links = checkpoint(links.unionByName(of_one.join(least, F.col("doc_id") == F.col("k")).where("rep <> v").select(F.col("rep").alias("u"), "v").distinct()))
+    parts = connected_components(links).select(F.col("node").alias("rep"), F.col("component").alias("part"))
+    # nodes that hold several parts and have similar pairs left: all of these across parts
+    left = met.where("v is null").select(F.col("u").alias("k"))
+    placed = small.join(left, F.col("node") == F.col("k"), "left_semi").join(parts, "rep", "left").select("node", "rep", F.coalesce("part", "rep").alias("part"))
+    mixed = placed.groupBy("node").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select(_own_exchange("node").alias("k"))
+    again = placed.join(mixed, F.col("node") == F.col("k")).select("node", "rep", "part").unionByName(_crowd_rest(crowds, parts))
+    more = checkpoint(_meeting(again, sets, percent, every=True).join(judged.select("u", "v"), ["u", "v"], "left_anti"))
+    if not more.isEmpty():
+        found = _confirmed(more, rows, sets, width, percent).where("linked").select("u", "v")
+        parts = connected_components(checkpoint(links.unionByName(found))).select(F.col("node").alias("rep"), F.col("component").alias("part"))
+    found = checkpoint(sets.select("digest", "rep").join(parts, "rep", "left").select("digest", F.coalesce("part", "rep").alias("component")))
     out = read.select("doc_id", "n_shingles", "digest").join(found, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

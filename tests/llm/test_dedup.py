@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 from brute import components, contaminated, lines, near, repeats
+from pyspark.sql import functions as F
 
 from lucerna.llm.common import local_components, shingle_sets
 from lucerna.llm.components import connected_components
@@ -78,22 +79,70 @@ def test_repeated_ids_do_not_remove_from_each_other(spark):
     assert sorted((r.doc_id, r.n_removed) for r in suffix_dedup(frame(spark, docs)).collect()) == [(1, 0), (1, 0), (2, 80)]
 
 
-def test_large_group_of_near_copies(spark):
-    # more near copies than a node or a block compares at once would be slow to restate; a chain of edits is enough
-    base = [f"w{i}" for i in range(60)]
-    docs = [(i, " ".join([*base[:20], f"edit{i}", *base[20:]])) for i in range(150)]
-    assert {r.component_id for r in near_duplicates(frame(spark, docs)).collect()} == {0}
+def small_nodes(monkeypatch, small, pivots):
+    monkeypatch.setattr("lucerna.llm.minhash_dedup.SMALL", small)
+    monkeypatch.setattr("lucerna.llm.minhash_dedup.PIVOTS", pivots)
+
+
+def test_crowd_of_near_copies_equals_brute_force(spark, monkeypatch):
+    small_nodes(monkeypatch, 64, 8)
+    # nodes over SMALL that tokens don't part: copies with some to many edits, so that only part of them are links
+    rnd = random.Random(4)
+    base = [f"w{i}" for i in range(90)]
+    docs = []
+    for i in range(400):
+        w = base.copy()
+        for _ in range(rnd.choice([1, 2, 2, 3, 4])):
+            w[rnd.randint(0, 89)] = f"edit{rnd.randint(0, 10**6)}"
+        docs.append((i, " ".join(w)))
+    got, want = result(near_duplicates(frame(spark, docs))), near(docs)
+    assert len({c for _, c, _ in want.values()}) > 3 and got == want
+
+
+def test_pairs_under_a_common_beginning_are_all_linked(spark, monkeypatch):
+    small_nodes(monkeypatch, 64, 8)
+    # 64 shared words and then 50 of each pair's own: large nodes of sets that are alike, but no links
+    n, docs = 2000, []
+    shared = [f"s{i}" for i in range(64)]
+    for p in range(n // 2):
+        own = [f"u{k}_{p}" for k in range(50)]
+        docs.append((2 * p, " ".join(shared + own)))
+        own[10], own[20] = f"e10_{p}", f"e20_{p}"
+        docs.append((2 * p + 1, " ".join(shared + own)))
+    got = result(near_duplicates(frame(spark, docs)))
+    assert [i for i in got if got[i][1] != i - i % 2] == []
+
+
+def test_nodes_are_compared_whole(spark):
+    from lucerna.llm.minhash_dedup import _meeting
+
+    # nodes joined and dealt by node before, as in the operator: every pair of a node must meet under AQE
+    ids = spark.range(3000).select(F.col("id").alias("rep"))
+    sketch = _sketch(np.sort(np.random.default_rng(0).integers(0, 2**64, 200, dtype=np.uint64)))
+    sets = ids.select("rep", F.lit(bytearray(sketch)).alias("sketch"), F.lit(200).cast("long").alias("size"))
+    nodes = ids.select(F.floor(F.col("rep") / 3).cast("long").alias("node"), "rep")
+    few = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select(F.col("node").alias("k"))
+    rows = nodes.repartition(50).join(few, F.col("node") == F.col("k")).select("node", "rep", F.col("rep").alias("part"))
+    got = {(r.u, r.v) for r in _meeting(rows, sets, 75, every=True).collect()}
+    assert got == {(3 * k + a, 3 * k + b) for k in range(1000) for a, b in ((0, 1), (0, 2), (1, 2))}
+
+
+def test_texts_of_one_id_are_one_node(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    got = {(r.doc_id, r.component_id) for r in near_duplicates(frame(spark, [(1, a), (7, a), (2, b), (7, b), (3, "c d e f g h")])).collect()}
+    assert got == {(1, 1), (2, 1), (7, 1), (3, 3)}
 
 
 def test_small_sets_are_not_lost_by_their_sketches():
     # the fourth shingle hides one common shingle, and the two others share a bin: 1 of 2 bins agrees at similarity 0.75
     some = np.array([5, 2**57 + 1, 2**57 + 2], np.uint64)
     sketches = np.frombuffer(_sketch(some) + _sketch(np.append(np.uint64(1), some)), np.uint16).reshape(2, -1)
-    assert [x.tolist() for x in _near(sketches, np.array([3, 4]))] == [[0], [1]]
+    u, v, left = _near(sketches, np.array([3, 4]), np.array([0, 1]), False)
+    assert (u.tolist(), v.tolist(), left) == ([0, 0], [1, 1], False)
 
 
 def test_branched_nodes_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr("lucerna.llm.minhash_dedup.SMALL", 1)
+    small_nodes(monkeypatch, 4, 1)
     docs = corpus(2)
     assert result(near_duplicates(frame(spark, docs))) == near(docs)
 
