@@ -1,22 +1,24 @@
 r"""Line dedup: a sharded minimal perfect hash over the distinct line hashes, probed by documents.
 
 Each chunk of documents sends its distinct line hashes once to the shards of their leading bits, with
-counts and largest doc_id. A shard lays a minimal perfect hash over its distinct hashes, with arrays of
-fingerprints, document counts and last holders; the chunks' hashes probe these arrays, and only what is
-frequent goes back to its chunk. So a line that a third of the documents holds is one entry per chunk.
+the `min_docs` largest distinct ids that hold them, which is all that the rule needs of them. A shard lays a minimal
+perfect hash over its distinct hashes, with arrays of fingerprints, document counts (up to `min_docs`) and last holders;
+the chunks' hashes probe these arrays, and only what is frequent goes back to its chunk. So a line that a
+third of the documents holds is one entry per chunk, and never are more entries sent than lines. Chunks hold about CHUNK_CHARS of text, whatever the number of shuffle partitions.
 
 A line's key is the line without `[\x20\x09-\x0D]` at its ends and with A-Z lower-cased. Keys of at
 least `min_chars` code points found in at least `min_docs` documents lose all their lines but those in
 the largest doc_id holding the key.
 
-Defined results: null and empty texts are one empty line. Each row is a document, rows that repeat an id
-included; the lines of all rows of the largest id stay. A null id counts as the smallest. Other columns
+Defined results: null and empty texts are one empty line. Rows that repeat an id each come out and count
+as one document; the lines of all rows of the largest id stay. A null id is an id of its own, the smallest. Other columns
 are carried through by `drop_repeated_lines`. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 
 from lucerna.llm.common import BLANKS, mix, shuffle_partitions
 
+#: Characters of text in a chunk, at which a task holds a few chunks at once.
+CHUNK_CHARS = 16 << 20
 #: Levels of the perfect hash, with two bits a key at each; what is left over goes to a sorted list.
 LEVELS = 24
 _LEAST = -(2**63)
@@ -67,23 +71,26 @@ class PerfectHash:
 
 
 class ShardIndex:
-    """Fingerprints, counts and last holders of a shard's lines, in the order of the perfect hash."""
-
-    def __init__(self, lo: np.ndarray, hi: np.ndarray, count: np.ndarray, last: np.ndarray):
-        order = np.lexsort((hi, lo))
-        lo, hi, count, last = lo[order], hi[order], count[order], last[order]
-        first = np.ones(len(lo), bool)
-        first[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
-        at = np.flatnonzero(first)
+    """Fingerprints, document counts (`most` at most) and last holders of a shard's lines, in the order of the
+    perfect hash; given as (hash, id) entries of which some may repeat."""
+
+    def __init__(self, lo: np.ndarray, hi: np.ndarray, ids: np.ndarray, most: int):
+        order = np.lexsort((ids, hi, lo))
+        lo, hi, ids = lo[order], hi[order], ids[order]
+        line = np.ones(len(lo), bool)
+        line[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+        new = line.copy()
+        new[1:] |= ids[1:] != ids[:-1]
+        at = np.flatnonzero(line)
         keys = mix(lo[at] ^ mix(hi[at]))
         self.hash = PerfectHash(np.unique(keys))
         place = self.hash.index(keys)
         self.fingerprint = np.zeros(self.hash.size, np.uint64)
         self.fingerprint[place] = hi[at]
         self.count = np.zeros(self.hash.size, np.int64)
-        self.count[place] = np.add.reduceat(count, at) if len(at) else 0
+        self.count[place] = np.minimum(np.add.reduceat(new.astype(np.int64), at), most) if len(at) else 0
         self.last = np.zeros(self.hash.size, np.int64)
-        self.last[place] = np.maximum.reduceat(last, at) if len(at) else 0
+        self.last[place] = ids[np.append(at[1:], len(ids)) - 1] if len(at) else 0
 
     def probe(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts (0 where the fingerprint differs) and last holders."""
@@ -108,28 +115,35 @@ def _ids(table: pa.Table) -> np.ndarray:
     return np.array([_LEAST if d is None else d for d in table.column("doc_id").to_pylist()], np.int64)
 
 
-def _sender(shards: int, least: int):
+def _sender(shards: int, least: int, most: int):
     def send(table: pa.Table) -> pa.Table:
-        """A chunk's distinct line hashes, a row of packed arrays for each shard."""
-        found: dict[bytes, list[int]] = {}
+        """A chunk's distinct line hashes, a row of packed arrays for each shard that has any."""
+        found: dict[bytes, int | set[int]] = {}
         for doc, text in zip(_ids(table).tolist(), _texts(table), strict=True):
             for key in {k for _, k in _line_keys(text, least)}:
-                if (x := found.get(key)) is None:
-                    found[key] = [1, doc]
-                else:
-                    x[0] += 1
-                    x[1] = max(x[1], doc)
+                x = found.setdefault(key, doc)
+                if isinstance(x, set):
+                    x.add(doc)
+                    if len(x) > most:
+                        x.remove(min(x))
+                elif x != doc:
+                    found[key] = {x, doc} if most > 1 else max(x, doc)
         both = np.frombuffer(b"".join(found), np.uint64).reshape(-1, 2)
-        count, last = np.array(list(found.values()), np.int64).reshape(-1, 2).T
+        held = [[x] if isinstance(x, int) else sorted(x) for x in found.values()]
+        many = np.array([len(x) for x in held], np.int64)
+        ids = np.array(list(chain.from_iterable(held)), np.int64)
         shard = (mix(both[:, 0]) % np.uint64(shards)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
         ends = np.searchsorted(shard[order], np.arange(shards + 1))
+        start = np.cumsum(many) - many
+        of = np.repeat(start[order] - (np.cumsum(many[order]) - many[order]), many[order]) + np.arange(len(ids))
+        ids, stop = ids[of], np.append(0, np.cumsum(many[order]))
         chunk, out = table.column("chunk")[0].as_py(), []
         for s in np.flatnonzero(np.diff(ends)):
-            rows = order[ends[s] : ends[s + 1]]
-            out.append((int(s), chunk, both[rows].tobytes(), count[rows].astype(np.int32).tobytes(), last[rows].tobytes()))
+            a, b = ends[s], ends[s + 1]
+            out.append((int(s), chunk, both[order[a:b]].tobytes(), many[order[a:b]].astype(np.int32).tobytes(), ids[stop[a] : stop[b]].tobytes()))
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.table({n: pa.array([r[i] for r in out], k) for i, (n, k) in enumerate(zip(("shard", "chunk", "hashes", "counts", "lasts"), kinds, strict=True))})
+        return pa.table({n: pa.array([r[i] for r in out], k) for i, (n, k) in enumerate(zip(("shard", "chunk", "hashes", "counts", "ids"), kinds, strict=True))})
 
     return send
 
@@ -139,9 +153,9 @@ def _answer(min_docs: int):
         """Build one shard's index, probe it with each chunk's hashes, return what is frequent."""
         packed = table.column("hashes").to_pylist()
         both = np.frombuffer(b"".join(packed), np.uint64).reshape(-1, 2)
-        count = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.int32).astype(np.int64)
-        last = np.frombuffer(b"".join(table.column("lasts").to_pylist()), np.int64)
-        index = ShardIndex(both[:, 0], both[:, 1], count, last)
+        many = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.int32)
+        ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64)
+        index = ShardIndex(np.repeat(both[:, 0], many), np.repeat(both[:, 1], many), ids, min_docs)
         chunk, hashes, lasts = [], [], []
         for c, raw in zip(table.column("chunk").to_pylist(), packed, strict=True):
             mine = np.frombuffer(raw, np.uint64).reshape(-1, 2)
@@ -178,13 +192,12 @@ def _dropper(least: int):
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, carry: list[str] | None = None) -> DataFrame:
     """doc_id, the columns named in `carry`, n_lines, n_dropped and the text without its repeated lines."""
-    spark = docs.sparkSession
-    n = shuffle_partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(carry or []))
-    # rows without an id are spread by their text, so that they don't meet in one chunk
-    chunk = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(4 * n))
-    rows = rows.withColumn("chunk", chunk).repartition(n, "chunk")
-    sent = rows.select("chunk", "doc_id", "text").groupBy("chunk").applyInArrow(_sender(n, min_chars), "shard long, chunk long, hashes binary, counts binary, lasts binary")
+    chars = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    n = max(shuffle_partitions(docs.sparkSession), -(-chars // CHUNK_CHARS))
+    # by id and text, so that no id and no text that very many rows have fills a chunk
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
+    sent = rows.select("chunk", "doc_id", "text").groupBy("chunk").applyInArrow(_sender(n, min_chars, min_docs), "shard long, chunk long, hashes binary, counts binary, ids binary")
     hits = sent.groupBy("shard").applyInArrow(_answer(min_docs), "chunk long, hashes binary, lasts binary")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in ["doc_id", *(carry or [])]] + ["n_lines long", "n_dropped long", "text string"])
