@@ -1,15 +1,17 @@
 """Toxicity: cumulative-link ordinal regression on sparse text features.
 
-Features are words and word beginnings, as 64-bit hashes. The labels say only whether a text is toxic; the
-severity grade of a toxic text is the third (1, 2 or 3) in which its sum of discriminating features lies
-among the toxic texts, and 0 for others. One weight vector is shared by all ordered thresholds:
-P(grade >= k) = logistic(w.x - t_k). A text's expected severity is the sum of these over k.
+Features are words and word beginnings, hashed into BUCKETS places: the log of the count, scaled by how surely
+a place's documents differ in grade from the others (so the fit starts from the evidence, and rare features, of
+which most texts have many, don't drown it; none is left out). One weight
+vector is shared by all ordered thresholds: P(grade >= k) = logistic(w.x - t_k) for k = 1..K, where K is the
+largest grade that the labels hold; a text's expected severity is the sum of these over k. Labels that
+say only toxic or not have one threshold; graded labels have as many as grades.
 
-Fitted on at most FIT_ROWS labelled documents; FEATURES features at most. Every text is scored whole.
+Fitted on at most FIT_ROWS labelled documents, on all their features. Every text is scored whole.
 
-Defined results: null and empty texts have no features and the severity of none; without toxic labels
+Defined results: null and empty texts have no features and the severity of none; without labels of a grade above 0
 nothing is toxic and the severity is 0. Rows that repeat an id are each scored; a repeated label takes its
-largest value; a null id is scored. An empty table gives no rows.
+largest value, and its rows are fitted up to FIT_ROWS in all; a null id is scored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucerna.llm.common import bounded_sample, checkpoint, class_table, slices, utf8, word_hashes
+from lucerna.llm.common import bounded_sample, class_table, slices, utf8, word_hashes
 
-FIT_ROWS, FEATURES, CANDIDATES = 20_000, 512, 50_000
-PREFIXES = (4, 5, 6, 7, 8)
-GRADES = 3
+#: Bound on the labelled documents that the weights are fitted on.
+FIT_ROWS = 20_000
+#: Places of hashed features (a bound that no input moves), lengths of word beginnings, largest count told apart.
+BUCKETS, PREFIXES, MOST = 1 << 20, (4, 5, 6, 7, 8), 255
 _PART = bytes(b for b in range(128) if chr(b) not in string.ascii_letters)
 LETTERS = class_table(_PART, rest=1)
 
@@ -42,135 +45,107 @@ def _features(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield lo, h[h != 0], r[h != 0]
 
 
-def _distinct(h: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (row, hash) and their counts."""
-    order = np.lexsort((h, r))
-    h, r = h[order], r[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-    at = np.flatnonzero(new)
-    return h[at], r[at], np.diff(np.append(at, len(h)))
+def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place and count of the features of each row, in order of row and place."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for lo, h, r in _features(column):
+        one, many = np.unique((lo + r) * BUCKETS + (h % np.uint64(BUCKETS)).astype(np.int64), return_counts=True)
+        out.append((one // BUCKETS, one % BUCKETS, np.minimum(many, MOST)))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def _counter(wanted: np.ndarray | None):
-    """Documents of each class that hold a feature, by batch; `wanted` (sorted) limits the features."""
+def _sums(row: np.ndarray, place: np.ndarray, value: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(row, weights=weights[place] * value, minlength=n)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            y = np.asarray(batch.column("y"))
-            for lo, h, r in _features(batch.column("text")):
-                if wanted is not None:
-                    keep = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
-                    h, r = h[keep], r[keep]
-                h, r, _ = _distinct(h, r)
-                one, where = np.unique(h, return_inverse=True)
-                toxic = np.bincount(where, weights=y[lo + r], minlength=len(one)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(toxic), pa.array(np.bincount(where, minlength=len(one)) - toxic)], names=["h", "toxic", "clean"])
-
-    return count
-
-
-def _vectors(column: pa.Array, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, feature number, log(1 + count)) of the features in `names`, which is sorted."""
-    rows, cols, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-    for lo, h, r in _features(column):
-        at = np.minimum(np.searchsorted(names, h), len(names) - 1)
-        keep = names[at] == h
-        c, r, many = _distinct(at[keep], r[keep])
-        rows.append(lo + r)
-        cols.append(c)
-        values.append(np.log1p(many))
-    return np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
+
+def _above(score: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(score[:, None] - thresholds, -500, 500)))
 
 
 @dataclass
 class Severity:
-    """Feature hashes in order, their shared weights, and the ordered thresholds."""
+    """Shared weights of the places, and the ordered thresholds (none: nothing is toxic)."""
 
-    names: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
 
     def at_least(self, column: pa.Array) -> np.ndarray:
-        """P(grade >= 1..GRADES) of each row."""
-        n = len(column)
-        if len(self.names) == 0:
-            return np.zeros((n, GRADES))
-        row, col, value = _vectors(column, self.names)
-        s = np.bincount(row, weights=self.weights[col] * value, minlength=n)
-        return 1 / (1 + np.exp(-np.clip(s[:, None] - self.thresholds, -500, 500)))
-
-
-def fit_cumulative_link(x: np.ndarray, grade: np.ndarray, rounds: int = 400, ridge: float = 1e-5, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds by Adam on the log loss of the grades; gaps between thresholds are
-    exponentials, so their order holds."""
-    w = np.zeros(x.shape[1])
-    raw = np.array([1.0, *[-1.0] * (GRADES - 1)])
-    params, first, second = [w, raw], [np.zeros_like(w), np.zeros_like(raw)], [np.zeros_like(w), np.zeros_like(raw)]
-    rows = np.arange(len(grade))
-    for step in range(1, rounds + 1):
-        t = np.cumsum(np.append(raw[0], np.exp(raw[1:])))
-        q = 1 / (1 + np.exp(-np.clip((x @ w)[:, None] - t, -30, 30)))
-        padded = np.hstack([np.ones((len(x), 1)), q, np.zeros((len(x), 1))])
-        p = np.maximum(padded[rows, grade] - padded[rows, grade + 1], 1e-9)
-        slope = np.hstack([np.zeros((len(x), 1)), q * (1 - q), np.zeros((len(x), 1))])
-        up, down = slope[rows, grade] / p, slope[rows, grade + 1] / p
-        d = -(up - down) / len(x)
-        dt = np.zeros(GRADES + 2)
-        np.add.at(dt, grade, up / len(x))
-        np.add.at(dt, grade + 1, -down / len(x))
-        dt = dt[1:-1]
-        tail = np.cumsum(dt[::-1])[::-1]
-        for p_, g, m, v in zip(params, (x.T @ d + ridge * w, np.append(tail[0], tail[1:] * np.exp(raw[1:]))), first, second, strict=True):
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            p_ -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return w, np.cumsum(np.append(raw[0], np.exp(raw[1:])))
-
-
-def _rows(names: np.ndarray):
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, col, value = _vectors(batch.column("text"), names)
-            ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            cells = [(col[a:b].astype(np.int16).tobytes(), value[a:b].astype(np.float32).tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([c[0] for c in cells], pa.binary()), pa.array([c[1] for c in cells], pa.binary())], names=["y", "cols", "vals"])
-
-    return make
-
-
-def fit_severity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Severity:
-    known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("y")).where("id is not null and y in (0, 1)")
+        """P(grade >= 1..K) of each row."""
+        if len(self.thresholds) == 0:
+            return np.zeros((len(column), 1))
+        row, place, many = _vectors(column)
+        return _above(_sums(row, place, np.log1p(many), self.weights, len(column)), self.thresholds)
+
+
+def link_loss(score: np.ndarray, grade: np.ndarray, thresholds: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean log loss of the grades, and its slopes by score (of each row) and by threshold."""
+    n, rows = len(score), np.arange(len(score))
+    q = _above(score, thresholds)
+    ends = np.hstack([np.ones((n, 1)), q, np.zeros((n, 1))])
+    slope = np.hstack([np.zeros((n, 1)), q * (1 - q), np.zeros((n, 1))])
+    p = np.maximum(ends[rows, grade] - ends[rows, grade + 1], 1e-12)
+    up, down = slope[rows, grade] / p, slope[rows, grade + 1] / p
+    by_threshold = np.bincount(grade, weights=up, minlength=len(thresholds) + 2) - np.bincount(grade + 1, weights=down, minlength=len(thresholds) + 2)
+    return float(-np.log(p).mean()), (down - up) / n, by_threshold[1:-1] / n
+
+
+def fit_cumulative_link(ends: np.ndarray, place: np.ndarray, value: np.ndarray, grade: np.ndarray, width: int, epochs: int = 8, ridge: float = 1e-5, rate: float = 0.1, at_once: int = 256, least: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ordered thresholds of sparse rows (those of row i at ends[i]:ends[i+1]), by Adagrad on the
+    log loss with a ridge, in `least` batches a round or more. Gaps between thresholds are exponentials, so their order holds."""
+    grades, rng = int(grade.max()), np.random.default_rng(11)
+    w, raw = np.zeros(width), np.array([2.0, *[0.0] * (grades - 1)])
+    seen_w, seen_raw = np.full(width, 1e-6), np.full(grades, 1e-6)
+    cut = lambda: np.cumsum(np.append(raw[0], np.exp(raw[1:])))
+    sizes = np.diff(ends)
+    for _ in range(epochs):
+        for rows in np.array_split(rng.permutation(len(grade)), min(len(grade), max(least, len(grade) // at_once))):
+            many = sizes[rows]
+            cells = np.repeat(ends[rows] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            row = np.repeat(np.arange(len(rows)), many)
+            at, x = place[cells], value[cells]
+            _, by_score, by_cut = link_loss(_sums(row, at, x, w, len(rows)), grade[rows], cut())
+            used, where = np.unique(at, return_inverse=True)
+            g = np.bincount(where, weights=by_score[row] * x, minlength=len(used)) + ridge * w[used]
+            seen_w[used] += g * g
+            w[used] -= rate * g / np.sqrt(seen_w[used])
+            tail = np.cumsum(by_cut[::-1])[::-1]
+            g = np.append(tail[0], tail[1:] * np.exp(raw[1:]))
+            seen_raw += g * g
+            raw -= rate * g / np.sqrt(seen_raw)
+    return w, cut()
+
+
+def evidence(ends: np.ndarray, place: np.ndarray, grade: np.ndarray, width: int) -> np.ndarray:
+    """By place: how many standard errors the mean grade of its documents is off the mean of all, squared (in hundreds)."""
+    held = np.bincount(place, minlength=width)
+    off = np.bincount(place, weights=np.repeat(grade - grade.mean(), np.diff(ends)), minlength=width)
+    return off * off / (held * grade.var() + 1) / 100
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        row, place, many = _vectors(batch.column("text"))
+        ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
+        places, counts = place.astype(np.int32), many.astype(np.uint8)
+        cells = [(places[a:b].tobytes(), counts[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([c[0] for c in cells], pa.binary()), pa.array([c[1] for c in cells], pa.binary())], names=["y", "places", "counts"])
+
+
+def fit_severity(docs: DataFrame, labels: DataFrame, grade: str = "toxic", fit_rows: int = FIT_ROWS) -> Severity:
+    """labels: doc_id and an integer grade from 0 on."""
+    known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(grade).cast("int").alias("y")).where("id is not null and y >= 0")
     known = bounded_sample(known.groupBy("id").agg(F.max("y").alias("y")), ["id"], fit_rows)
-    sample = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("y", "text"))
-    none = Severity(np.zeros(0, np.uint64), np.zeros(0), np.zeros(GRADES))
-    totals = sample.agg(F.sum("y"), F.count("*")).first()
-    if not totals[0]:
-        return none
-    counts = "h long, toxic long, clean long"
-    often = sample.where("y = 1").mapInArrow(_counter(None), counts).groupBy("h").agg(F.sum("toxic").alias("toxic")).where("toxic >= 3").orderBy(F.desc("toxic"), "h").limit(CANDIDATES).collect()
-    if not often:
-        return none
-    wanted = np.sort(np.array([r["h"] for r in often], np.int64).view(np.uint64))
-    both = sample.mapInArrow(_counter(wanted), counts).groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect()
-    h, a, b = (np.array([r[k] for r in both], np.int64) for k in ("h", "toxic", "clean"))
-    lead = np.log((a + 0.5) / (totals[0] + 1)) - np.log((b + 0.5) / (totals[1] - totals[0] + 1))
-    good = np.flatnonzero(lead > np.log(8))
-    good = good[np.lexsort((h[good], -(a * lead)[good]))][:FEATURES]
-    if len(good) == 0:
-        return none
-    names = np.sort(h[good].view(np.uint64))
-    fit = sample.mapInArrow(_rows(names), "y int, cols binary, vals binary").collect()
-    fit.sort(key=lambda r: (r["y"], r["cols"], r["vals"]))
-    x = np.zeros((len(fit), len(names)), np.float32)
-    for i, r in enumerate(fit):
-        x[i, np.frombuffer(r["cols"], np.int16)] = np.frombuffer(r["vals"], np.float32)
-    y = np.array([r["y"] for r in fit])
-    dose = x.sum(1)
-    cuts = np.quantile(dose[y == 1], np.arange(1, GRADES) / GRADES)
-    grade = np.where(y == 1, 1 + np.searchsorted(cuts, dose, side="right"), 0)
-    w, t = fit_cumulative_link(x.astype(np.float64), grade)
-    return Severity(names, w, t)
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("y", "text")  # fit_rows small rows
+    fit = sample.limit(fit_rows).mapInArrow(_rows, "y int, places binary, counts binary").collect()
+    if not any(r["y"] for r in fit):
+        return Severity(np.zeros(0), np.zeros(0))
+    fit.sort(key=lambda r: (r["y"], r["places"], r["counts"]))  # the same order however the rows came
+    place, many = np.frombuffer(b"".join([r["places"] for r in fit]), np.int32), np.frombuffer(b"".join([r["counts"] for r in fit]), np.uint8)
+    ends = np.cumsum([0, *(len(r["counts"]) for r in fit)])
+    grade = np.array([r["y"] for r in fit])
+    scale = evidence(ends, place, grade, BUCKETS)
+    w, thresholds = fit_cumulative_link(ends, place, np.log1p(many) * scale[place], grade, BUCKETS)
+    return Severity(w * scale, thresholds)
 
 
 def _scorer(model: Severity):
