@@ -10,7 +10,7 @@ rows whose crc32(doc_id as text) mod 3 is not 1; labels, lang, source and doc_id
 
 Defined results: null and empty texts have an all-zero vector and the score the network gives that; with
 labels of one class or none, every score is the smoothed share of label 1. Rows that repeat an id are
-each scored; a repeated label takes its largest value. A null id is held_out null and is scored. An
+each scored; a repeated label takes its largest value, and its rows are fitted up to FIT_ROWS in all. A null id is held_out null and is scored. An
 empty table gives no rows.
 """
 
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ from lucerna.llm.common import BLANKS, bounded_sample, class_table, slices, utf8
 BUCKETS, DIM, ENTRIES, WINDOW, HIDDEN = 1 << 14, 64, 2, 2, 32
 #: Bound on the labelled documents that the network is fitted on.
 FIT_ROWS = 20_000
-_BLOCK = 256
+_BLOCK, _FAN = 256, 64
 _SIGNS = bytes(b for b in range(128) if chr(b) not in string.ascii_letters + string.digits and b not in BLANKS)
 TOKENS = class_table(BLANKS, _SIGNS, rest=2)
 
@@ -60,22 +61,32 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for mine, other in ((words[:-step][same], words[step:][same]), (words[step:][same], words[:-step][same])):
                     for e in range(ENTRIES):
                         table += np.bincount(mine * DIM + place[other, e], weights=sign[other, e], minlength=BUCKETS * DIM)
-    blocks = table.astype(np.float32).reshape(-1, _BLOCK * DIM)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks))), pa.array([b.tobytes() for b in blocks], pa.binary())], names=["block", "sums"])
+    blocks = table.astype(np.int64).reshape(-1, _BLOCK * DIM)
+    part = TaskContext.get().partitionId()
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks))), pa.array(np.full(len(blocks), part)), pa.array([b.tobytes() for b in blocks], pa.binary())], names=["block", "part", "sums"])
 
 
 def _add(table: pa.Table) -> pa.Table:
-    total = np.sum([np.frombuffer(b, np.float32) for b in table.column("sums").to_pylist()], axis=0, dtype=np.float64)
-    return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int64()), "sums": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+    total = np.zeros(_BLOCK * DIM, np.int64)
+    for b in table.column("sums"):
+        total += np.frombuffer(b.as_buffer(), np.int64)
+    return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int64()), "part": pa.array([table.column("part")[0].as_py() // _FAN], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
-    """Unit word vectors of all buckets (BUCKETS x DIM floats: a bound that no input moves)."""
-    blocks = docs.select("text").mapInArrow(_gather, "block long, sums binary").groupBy("block").applyInArrow(_add, "block long, sums binary").collect()
-    table = np.zeros((BUCKETS, DIM), np.float32)
-    for block, sums in blocks:
-        table[block * _BLOCK : (block + 1) * _BLOCK] = np.frombuffer(sums, np.float32).reshape(_BLOCK, DIM)
-    return table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
+    """Unit word vectors of all buckets (BUCKETS x DIM floats: a bound that no input moves). The partitions'
+    sums, whole numbers, are added up as a tree, so that a task adds _FAN blocks of them at most."""
+    kinds, texts = "block long, part long, sums binary", docs.select("text")
+    blocks, parts = texts.mapInArrow(_gather, kinds), texts.rdd.getNumPartitions()
+    while True:
+        blocks = blocks.groupBy("block", F.floor(F.col("part") / _FAN)).applyInArrow(lambda _, t: _add(t), kinds)
+        if parts <= _FAN:
+            break
+        parts = -(-parts // _FAN)
+    table = np.zeros((BUCKETS, DIM))
+    for block, _, sums in blocks.collect():
+        table[block * _BLOCK : (block + 1) * _BLOCK] = np.frombuffer(sums, np.int64).reshape(_BLOCK, DIM)
+    return (table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
 def _pool(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
@@ -167,7 +178,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("y")).where("id is not null and y in (0, 1)")
     known = bounded_sample(known.where(fold(F.col("id")) != 1).groupBy("id").agg(F.max("y").alias("y")), ["id"], fit_rows)
     sample = rows.join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("y", "text")  # fit_rows small rows
-    fit = sample.mapInArrow(_pooler(vectors), "y int, x binary").collect()
+    fit = sample.limit(fit_rows).mapInArrow(_pooler(vectors), "y int, x binary").collect()
     x = np.array([np.frombuffer(r["x"], np.float32) for r in fit], np.float64).reshape(len(fit), 2 * DIM)
     order = np.lexsort(x.T[::-1]) if len(fit) else np.zeros(0, int)  # the same order however the rows came
     network = Network(x[order], np.array([r["y"] for r in fit], np.float64)[order])
