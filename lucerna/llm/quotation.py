@@ -11,7 +11,8 @@ answers the original of its shallowest linked passage in its conversation; messa
 depth of reply and turn, and carry their text without quotes and attribution lines.
 
 Originals are reduced to one row a hash before they are joined, so a text that a third of all messages
-hold is one row; nothing is grouped by conversation, and the order is a range-partitioned sort.
+hold is one row; nothing is grouped by conversation, and the order is a range-partitioned sort. Very long
+texts are parsed in time in proportion to their length.
 
 Defined results: null text counts as empty and gives empty own text. Rows without conv_id or turn link with
 nothing and come out with null thread_turn. A passage of white space is none. Rows that repeat conv_id and turn each come out; as originals
@@ -30,12 +31,14 @@ _QUOTE = r"^(?:[ \t]*>)+[ \t]?"
 _ATTRIBUTION = r"(?i)^\s*(on\b.{0,200}\bwrote|am\b.{0,200}\bschrieb\b.{0,80}|le\b.{0,200}\ba écrit|el\b.{0,200}\bescribió)\s*:\s*$"
 #: Where a sentence or a paragraph ends.
 _SENTENCE = r"\n\s*\n|(?<=[.!?…])\s+|(?<=[。！？])"
+#: Marks of a run's start and of its text; in messages they count as white space.
+_RUN, _BODY = "\x1e", "\x1f"
 #: Shortest normalised part, in characters, that links to another conversation.
 LEAST = 12
 
 
 def _plain(text: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(text, r"[\s\x1e\x1f]+", " ")))
 
 
 def _parsed(messages: DataFrame) -> DataFrame:
@@ -48,16 +51,14 @@ def _parsed(messages: DataFrame) -> DataFrame:
     return rows.withColumn("own", own).withColumn("has_quote", has)
 
 
-def _passages(lines: str) -> Column:
-    """struct(level, text) of the runs of quoted lines of one level."""
-    start = F.array().cast("array<struct<level:int,text:string>>")
-
-    def add(runs: Column, line: Column) -> Column:
-        last = F.get(runs, F.size(runs) - 1)
-        joined = F.struct(line["level"].alias("level"), F.concat(last["text"], F.lit("\n"), line["body"]).alias("text"))
-        return F.when(last["level"] == line["level"], F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), F.array(joined))).otherwise(F.concat(runs, F.array(F.struct(line["level"].alias("level"), line["body"].alias("text")))))
-
-    return F.filter(F.aggregate(lines, start, add), lambda p: p["level"] > 0)
+def _passages(lines: Column) -> Column:
+    """struct(level, text) of the runs of quoted lines of one level: lines are joined up to one text in which
+    a new level has a mark in front, and that is cut at the marks."""
+    before = F.concat(F.array(F.lit(-1)), F.transform(lines, lambda x: x["level"]))
+    marked = F.zip_with(lines, F.slice(before, F.lit(1), F.size(lines)), lambda x, b: F.concat(F.when(x["level"] == b, F.lit("\n")).otherwise(F.concat(F.lit(_RUN), x["level"].cast("string"), F.lit(_BODY))), F.translate(x["body"], _RUN + _BODY, "  ")))
+    runs = F.split(F.array_join(marked, ""), _RUN, -1)
+    of = lambda r: F.struct(F.substring_index(r, _BODY, 1).cast("int").alias("level"), F.substring_index(r, _BODY, -1).alias("text"))
+    return F.filter(F.transform(F.filter(runs, lambda r: r != ""), of), lambda p: p["level"] > 0)
 
 
 def _hash(plain: Column) -> Column:
@@ -75,7 +76,7 @@ def quotation_links(messages: DataFrame) -> DataFrame:
     rows = _parsed(messages).where("conv_id is not null and turn is not null")
     originals = rows.select("conv_id", "turn", F.explode(_parts(F.col("own"))).alias("part")).select("conv_id", "turn", _hash(F.col("part")).alias("hash"))
     quotes = checkpoint(
-        rows.where("has_quote").select("conv_id", "turn", F.explode(_passages("lines")).alias("p"))
+        rows.where("has_quote").select("conv_id", "turn", F.explode(_passages(F.col("lines"))).alias("p"))
         .select("conv_id", "turn", F.col("p.level").alias("level"), _hash(_plain(F.col("p.text"))).alias("passage"), F.explode(_parts(F.col("p.text"))).alias("part"))
         .select("conv_id", "turn", "level", "passage", F.length("part").alias("n"), _hash(F.col("part")).alias("hash")).distinct()
     )
@@ -110,6 +111,8 @@ def conversations_by_reply(messages: DataFrame, most_rounds: int = 40) -> DataFr
         if met.where("far is not null").isEmpty():
             break
         jumps = checkpoint(met.select("conv_id", "turn", F.coalesce("far", "to").alias("to"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
+    else:
+        raise RuntimeError("reply chains did not end")
     placed = facts.join(jumps.select("conv_id", "turn", F.col("to").alias("top"), "depth"), ["conv_id", "turn"], "left")
     rows = _parsed(messages).select("conv_id", "turn", "role", "own")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
