@@ -47,9 +47,9 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> n
     return centres
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Float32 bytes as rows."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), -1)
+def _matrix(column: pa.Array, kind: type) -> np.ndarray:
+    """Packed numbers as rows."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -59,7 +59,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _assigner(centres: dict[int, np.ndarray], chord: float):
+def _assigner(centres: dict[int, np.ndarray], chord: float, kind: type):
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column("embedding").to_pylist()
@@ -67,9 +67,9 @@ def _assigner(centres: dict[int, np.ndarray], chord: float):
             reps, many = np.asarray(batch.column("rep")), np.asarray(batch.column("many"))
             for dim in np.unique(sizes):
                 rows = np.flatnonzero(sizes == dim)
-                x32 = np.array([raw[i] for i in rows], np.float32)
+                given = np.array([raw[i] for i in rows], kind)
                 if dim in centres:
-                    x, c = _unit(x32), centres[dim]
+                    x, c = _unit(given), centres[dim]
                     near = x @ c.T
                     own = near.argmax(1)
                     lead = near[np.arange(len(x)), own][:, None] - near
@@ -80,7 +80,7 @@ def _assigner(centres: dict[int, np.ndarray], chord: float):
                     own = own[at]
                 else:  # lengths of vector outside the sample: a cell each
                     at, cell, own = np.arange(len(rows)), np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-                binary = pa.array([r.tobytes() for r in x32], pa.binary())
+                binary = pa.array([r.tobytes() for r in given], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array((cell + dim * 100_000).astype(np.int64)), pa.array(cell == own), pa.array(reps[rows][at]), pa.array(many[rows][at]), binary.take(pa.array(at))],
                     names=["cell", "home", "rep", "many", "v"],
@@ -89,11 +89,11 @@ def _assigner(centres: dict[int, np.ndarray], chord: float):
     return assign
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, kind: type):
     def compare(table: pa.Table) -> pa.Table:
         target = np.asarray(table.column("target"))
         reps, many = np.asarray(table.column("rep")), np.asarray(table.column("many"))
-        x = _unit(_matrix(table.column("v").combine_chunks()))
+        x = _unit(_matrix(table.column("v").combine_chunks(), kind))
         x32 = x.astype(np.float32)
         t, q = np.flatnonzero(target), np.flatnonzero(~target)
         out_rep, out_n, us, vs = [], [], [], []
@@ -131,7 +131,9 @@ def _compare(threshold: float):
 def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("embedding"))
+    single = "float" in vectors.schema[vector_col].dataType.simpleString()
+    kind = np.float32 if single else np.float64
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("embedding"))
     ids = rows.where("vec_id is not null").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     fit = F.size("embedding") > 0
     for bad in (lambda v: v.isNull(), lambda v: F.isnan(v), lambda v: F.abs(v) == float("inf")):
@@ -146,10 +148,10 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     if sample:
         lengths = np.array([len(v) for v in sample])
         dim = int(np.bincount(lengths).argmax())
-        x = _unit(np.array([v for v in sample if len(v) == dim], np.float32))
+        x = _unit(np.array([v for v in sample if len(v) == dim], kind))
         centres[dim] = spherical_kmeans(x, min(MOST_CELLS, max(1, -(-total // CELL))))
     chord = float(np.sqrt(2 - 2 * threshold))
-    placed = checkpoint(classes.mapInArrow(_assigner(centres, chord), "cell long, home boolean, rep long, many long, v binary"))
+    placed = checkpoint(classes.mapInArrow(_assigner(centres, chord, kind), "cell long, home boolean, rep long, many long, v binary"))
     # at most MOST_CELLS rows, and one per other vector length
     counts = placed.groupBy("cell").agg(F.sum(F.col("home").cast("long")).alias("n_t"), F.count("*").alias("n_q")).where("n_t > 0")
     blocks = counts.select("cell", F.ceil(F.col("n_t") / TARGETS).cast("long").alias("n_tb"), F.ceil(F.col("n_q") / QUERIES).cast("long").alias("n_qb"))
@@ -158,7 +160,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     whole = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     queries = sized.select("cell", F.explode(whole("n_tb")).alias("tb"), F.pmod(one, F.col("n_qb")).alias("qb"), F.lit(False).alias("target"), "rep", "many", "v")
     targets = sized.where("home").select("cell", F.pmod(one, F.col("n_tb")).alias("tb"), F.explode(whole("n_qb")).alias("qb"), F.lit(True).alias("target"), "rep", "many", "v")
-    found = checkpoint(queries.unionByName(targets).groupBy("cell", "tb", "qb").applyInArrow(_compare(threshold), "rep long, n long, root long"))
+    found = checkpoint(queries.unionByName(targets).groupBy("cell", "tb", "qb").applyInArrow(_compare(threshold, kind), "rep long, n long, root long"))
     linked = found.groupBy("rep").agg(F.sum("n").alias("n"))
     parts = connected_components(found.select("rep", "root"))
     facts = checkpoint(
