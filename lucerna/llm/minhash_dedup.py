@@ -9,17 +9,18 @@ nodes are branched (with two children, 0.89 of such pairs go on for ever), and s
 
 A large child that keeps more than CROWD of its node's classes is a crowd: sets so alike that tokens don't
 part them. It is dealt into blocks, each with the same pivots, so the members of a group of near copies
-meet a pivot or each other at linear cost; later, what is outside the crowd's largest confirmed part
-meets all of its members. So every pair across parts of a crowd is compared too.
+meet a pivot or each other at linear cost; what is then outside the crowd's largest part meets all of its
+members. So every pair across parts of a crowd is compared too.
 
 Nodes are compared by sketches. Each shingle that only one set holds spoils one bin at most, and sets at
 the threshold have at most (|A| + |B|) / 7 of them, so pairs with more spoilt bins are no links: this loses
 nothing. Only pairs of 7 * BINS shingles together or more, for which that says nothing, are judged by the
-estimate (six standard deviations under the threshold).
+estimate (six standard deviations under the threshold). Similar pairs make candidate components.
 
-Pairs are confirmed on full sets, in two rounds: first each class with its best partners in each node,
-at most two pairs a class; then all similar pairs of nodes that still hold several parts. Each pair is a row
-with its two texts, and a text that very many pairs need is copied to several places, so no group is ever held in one task.
+Candidates are confirmed on full sets, component by component. A large component is cut into blocks: each
+block meets the first one, and then what is outside the component's largest confirmed part meets every
+block. Within a task too, a class is compared with all others at once, and only classes outside the largest
+part are asked. So every pair across parts is compared, no pair is ever sent, and a group of copies costs linear work.
 
 Words are `[^\x20\x09-\x0D]+` after lower-casing A-Z. A document's set: distinct 5-word shingles; with
 fewer words the whole sequence as one; without words none, and it links with nothing.
@@ -38,15 +39,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lucerna.llm.common import checkpoint, group_bounds, mix, shingle_sets, slices, utf8
+from lucerna.llm.common import checkpoint, group_bounds, local_components, mix, shingle_sets, slices, utf8
 from lucerna.llm.components import connected_components
 
 #: Trees, most classes of a node that is compared whole, and the share of its node that makes a large child a crowd.
 TREES, SMALL, CROWD = 10, 512, 0.6
 #: One-permutation minwise sketch: bins, and the estimate below which a pair of large sets isn't confirmed.
 BINS, FAR = 128, 0.52
-#: Pivots in every block of a crowd, rows a task compares at once, and pairs that one copy of a text serves.
-PIVOTS, AT_ONCE, SERVED = 64, 4096, 256
+#: Pivots in every block of a crowd, and rows whose sketches are compared at once.
+PIVOTS, AT_ONCE = 64, 4096
+#: Classes and characters in a block of exact comparison.
+BLOCK, BLOCK_CHARS = 512, 8 << 20
 _EDGES = (np.arange(BINS + 1, dtype=object) * (2**64 // BINS)).tolist()
 _EDGES = np.array([min(e, 2**64 - 1) for e in _EDGES], np.uint64)
 
@@ -106,88 +109,105 @@ def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(children)), twice("rep"), twice("n")], names=["node", "rep", "parent"])
 
 
-def _likeness(a: np.ndarray, b: np.ndarray, together: np.ndarray, percent: int) -> np.ndarray:
-    """Share of equal bins of pairs of sketches of sets with so many shingles together; -1 where they can't be links."""
+def _alike(a: np.ndarray, b: np.ndarray, together: np.ndarray, percent: int) -> np.ndarray:
+    """Whether pairs of sketches of sets with so many shingles together may be links."""
     either = ((a != 0) | (b != 0)).sum(-1)
     agree = ((a == b) & (a != 0)).sum(-1)
     allowed = (100 - percent) * together
-    ok = np.where(allowed < (100 + percent) * BINS, (100 + percent) * (either - agree) <= allowed, agree >= FAR * either)
-    return np.where(ok, agree / np.maximum(either, 1), -1)
-
-
-def _near(sketches: np.ndarray, sizes: np.ndarray, parts: np.ndarray, every: bool, percent: int = 75) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs of rows of different parts that may be links: all of them, or each row's best one before and
-    after it; and whether that leaves others out."""
-    n = len(sketches)
-    us, vs, similar = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-    best, before = np.full(n, -1.0), np.zeros(n, np.int64)
-    for i in range(n - 1):
-        like = np.where(parts[i + 1 :] == parts[i], -1, _likeness(sketches[i], sketches[i + 1 :], sizes[i] + sizes[i + 1 :], percent))
-        if every:
-            j = np.flatnonzero(like >= 0) + i + 1
-            us.append(np.full(len(j), i))
-            vs.append(j)
-            continue
-        similar += int((like >= 0).sum())
-        better = np.flatnonzero(like > best[i + 1 :]) + i + 1
-        best[better], before[better] = like[better - i - 1], i
-        if like.max() >= 0:
-            us.append(np.array([i]))
-            vs.append(np.array([int(like.argmax()) + i + 1]))
-    if not every:
-        j = np.flatnonzero(best >= 0)
-        us.append(before[j])
+    return np.where(allowed < (100 + percent) * BINS, (100 + percent) * (either - agree) <= allowed, agree >= FAR * either)
+
+
+def _near(sketches: np.ndarray, sizes: np.ndarray, percent: int = 75) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that may be links by their sketches."""
+    us, vs = [], []
+    for i in range(len(sketches) - 1):
+        j = np.flatnonzero(_alike(sketches[i], sketches[i + 1 :], sizes[i] + sizes[i + 1 :], percent)) + i + 1
+        us.append(np.full(len(j), i))
         vs.append(j)
-    u, v = np.concatenate(us), np.concatenate(vs)
-    return u, v, not every and similar > len(np.unique(u * n + v))
+    return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, int), np.zeros(0, int))
 
 
-def _comparer(percent: int, every: bool):
+def _comparer(percent: int):
     def compare(table: pa.Table) -> pa.Table:
-        """Candidate pairs of a bucket's nodes, each of which the bucket holds whole; a node with similar
-        pairs that aren't put out comes as a pair (node, null)."""
+        """Links that span the similar pairs of each of a bucket's nodes, which the bucket holds whole."""
         table = table.sort_by([("node", "ascending"), ("rep", "ascending")]).combine_chunks()
-        node, rep, part, sizes = (np.asarray(table.column(k)) for k in ("node", "rep", "part", "size"))
+        node, rep, sizes = (np.asarray(table.column(k)) for k in ("node", "rep", "size"))
         sketches = _sketches(table.column("sketch"))
         bounds = group_bounds([node])
         held = np.diff(bounds)
-        us, vs, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
         x = bounds[:-1][held == 2]
-        x = x[(part[x] != part[x + 1]) & (_likeness(sketches[x], sketches[x + 1], sizes[x] + sizes[x + 1], percent) >= 0)]
-        us.append(rep[x])
-        vs.append(rep[x + 1])
+        x = x[_alike(sketches[x], sketches[x + 1], sizes[x] + sizes[x + 1], percent)]
+        us, vs = [rep[x]], [rep[x + 1]]
         for s, n in zip(bounds[:-1][held > 2].tolist(), held[held > 2].tolist(), strict=True):
-            u, v, open_ = _near(sketches[s : s + n], sizes[s : s + n], part[s : s + n], every, percent)
-            us.append(rep[s + u])
-            vs.append(rep[s + v])
-            if open_:
-                more.append(int(node[s]))
+            u, v = _near(sketches[s : s + n], sizes[s : s + n], percent)
+            if len(u):
+                u, v = local_components(rep[s + u], rep[s + v])
+                us.append(u[u != v])
+                vs.append(v[u != v])
         u, v = np.concatenate(us), np.concatenate(vs)
-        none = pa.nulls(len(more), pa.int64())
-        return pa.table({"u": pa.chunked_array([np.minimum(u, v), pa.array(more, pa.int64())]), "v": pa.chunked_array([pa.array(np.maximum(u, v)), none])})
+        return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
 
     return compare
 
 
-def _judge(width: int, percent: int):
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Whether each pair's full sets are a link."""
-        for batch in batches:
-            linked = np.zeros(batch.num_rows, bool)
-            (a, at_a), (b, at_b) = utf8(batch.column("u_text")), utf8(batch.column("v_text"))
-            for lo, hi in slices(at_a + at_b):
-                x, of_x = shingle_sets(a[at_a[lo] : at_a[hi]], at_a[lo : hi + 1] - at_a[lo], width)
-                y, of_y = shingle_sets(b[at_b[lo] : at_b[hi]], at_b[lo : hi + 1] - at_b[lo], width)
-                # pairs' sets side by side: a shingle of both is two equal (pair, hash) rows
-                pair = np.concatenate([np.repeat(np.arange(hi - lo), np.diff(of_x)), np.repeat(np.arange(hi - lo), np.diff(of_y))])
-                h = np.concatenate([x, y])
-                order = np.lexsort((h, pair))
-                h, pair = h[order], pair[order]
-                common = np.bincount(pair[1:][(h[1:] == h[:-1]) & (pair[1:] == pair[:-1])], minlength=hi - lo)
-                linked[lo:hi] = 100 * common >= percent * (np.diff(of_x) + np.diff(of_y) - common)
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(linked)], names=["u", "v", "linked"])
-
-    return judge
+def _forest(h: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (100 * common >= percent * union) that span the exact components of some sets.
+
+    The pass for a row compares it with all rows at once; rows outside the largest component known so
+    far are asked until none is left, so every pair across components has had its pass.
+    """
+    n, sizes = len(at) - 1, np.diff(at)
+    owner = np.repeat(np.arange(n), sizes)
+    order = np.argsort(h, kind="stable")
+    h, owner = h[order], owner[order]
+    group = np.cumsum(np.append(False, h[1:] != h[:-1]))
+    starts = np.append(np.flatnonzero(np.append(True, h[1:] != h[:-1])), len(h))
+    by_row = np.argsort(owner, kind="stable")
+    label, asked, us, vs = np.arange(n), np.zeros(n, bool), [], []
+    while True:
+        count = np.bincount(label, minlength=n)
+        left = np.flatnonzero(~asked & (label != count.argmax()))
+        if len(left) == 0 and (asked.any() or n < 2):
+            break
+        x = left[0] if len(left) else 0
+        asked[x] = True
+        mine = group[by_row[at[x] : at[x + 1]]]
+        lens = starts[mine + 1] - starts[mine]
+        first = np.cumsum(lens) - lens
+        where = np.arange(int(lens.sum())) - np.repeat(first, lens) + np.repeat(starts[mine], lens)
+        common = np.bincount(owner[where], minlength=n)
+        near = np.flatnonzero(100 * common >= percent * (sizes + sizes[x] - common))
+        near = near[label[near] != label[x]]
+        if len(near):
+            us.append(np.full(len(near), x))
+            vs.append(near)
+            low = min(label[x], label[near].min())
+            label[np.isin(label, np.append(label[near], label[x]))] = low
+    return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, int), np.zeros(0, int))
+
+
+def _confirmer(width: int, percent: int):
+    def confirm(table: pa.Table) -> pa.Table:
+        """Links of a bucket's groups (comp, i, j), each of which the bucket holds whole."""
+        keys = ["comp", "i", "j"]
+        table = table.sort_by([(k, "ascending") for k in [*keys, "rep"]]).combine_chunks()
+        rep = np.asarray(table.column("rep"))
+        bounds = group_bounds([np.asarray(table.column(k)) for k in keys])
+        data, offsets = utf8(table.column("text"))
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            sets, at = [], [0]
+            mine = offsets[s : e + 1]
+            for lo, hi in slices(mine):
+                h, o = shingle_sets(data[mine[lo] : mine[hi]], mine[lo : hi + 1] - mine[lo], width)
+                sets.append(h)
+                at.extend((o[1:] + at[-1]).tolist())
+            u, v = _forest(np.concatenate(sets), np.array(at), percent)
+            us.append(rep[s + u])
+            vs.append(rep[s + v])
+        return pa.table({"u": np.concatenate(us), "v": np.concatenate(vs)})
+
+    return confirm
 
 
 def _own_exchange(key: str) -> Column:
@@ -203,30 +223,16 @@ def _all_below(count: Column) -> Column:
     return F.sequence(F.lit(0).cast("long"), count - 1)
 
 
-def _meeting(rows: DataFrame, sets: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Distinct candidate pairs u < v of the nodes of rows (node, rep, part), and (node, null) of those that hold more.
+def _bucketed(rows: DataFrame, key: Column, buckets: int) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(key, F.lit(max(1, buckets))))
 
-    Grouping by bucket is what Spark must honour: a node's rows are in one bucket, and a bucket in one task."""
-    n = rows.count()
-    held = rows.join(sets.select(F.col("rep").alias("k"), "sketch", "size"), F.col("rep") == F.col("k")).drop("k")
-    bucketed = held.withColumn("bucket", F.pmod(F.xxhash64("node"), F.lit(max(1, -(-n // AT_ONCE)))))
-    return bucketed.groupBy("bucket").applyInArrow(_comparer(percent, every), "u long, v long").distinct()
-
-
-def _confirmed(pairs: DataFrame, rows: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
-    """u, v, linked of the pairs, judged on the whole texts of their classes."""
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("end")).groupBy("end").agg(_blocks(F.count("*"), SERVED).alias("copies"))
-    wanted = ends.join(sets.select("rep", "rep_hash"), F.col("end") == F.col("rep")).select("rep", "rep_hash", "copies")
-    texts = rows.join(wanted, (F.col("doc_id") == F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))).groupBy("rep", "rep_hash").agg(F.first("copies").alias("copies"), F.first("text").alias("text"))
-    texts = checkpoint(texts.select("rep", F.explode(_all_below(F.col("copies"))).alias("copy"), "text"))
-    hubs = ends.where("copies > 1")
 
-    def with_text(df: DataFrame, end: str) -> DataFrame:
-        salt = F.pmod(F.xxhash64("u", "v"), F.coalesce("copies", F.lit(1)))
-        dealt = df.join(hubs, F.col(end) == F.col("end"), "left").withColumn("salt", salt).drop("end", "copies")
-        return dealt.join(texts.select(F.col("rep").alias("r"), F.col("copy").alias("c"), F.col("text").alias(f"{end}_text")), (F.col(end) == F.col("r")) & (F.col("salt") == F.col("c"))).drop("r", "c", "salt")
+def _meeting(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that span the similar pairs of the nodes of rows (node, rep).
 
-    return with_text(with_text(pairs, "u"), "v").mapInArrow(_judge(width, percent), "u long, v long, linked boolean")
+    Grouping by bucket is what Spark must honour: a node's rows are in one bucket, and a bucket in one task."""
+    held = rows.join(sets.select(F.col("rep").alias("k"), "sketch", "size"), F.col("rep") == F.col("k")).drop("k")
+    return _bucketed(held, F.xxhash64("node"), -(-rows.count() // AT_ONCE)).groupBy("bucket").applyInArrow(_comparer(percent), "u long, v long")
 
 
 def _trees(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -256,17 +262,57 @@ def _crowd_blocks(crowds: DataFrame) -> DataFrame:
     return own.unionByName(pivots.select("node", "rep", F.explode(_all_below(size)).alias("b")).select(block(F.col("b")).alias("node"), "rep")).distinct()
 
 
+def _outside(members: DataFrame, key: str, size: int) -> DataFrame:
+    """key, its largest part, and the number of blocks of `size` of what is outside it, where anything is."""
+    top = members.groupBy(key, "part").agg(F.count("*").alias("m")).groupBy(key).agg(F.max(F.struct("m", "part")).alias("top"), F.sum("m").alias("all")).where("all > top.m")
+    return top.select(_own_exchange(key).alias("k"), F.col("top.part").alias("largest"), _blocks(F.col("all") - F.col("top.m"), size).alias("asked"))
+
+
+def _mine(count: Column) -> Column:
+    return F.pmod(F.xxhash64("rep"), count)
+
+
 def _crowd_rest(crowds: DataFrame, parts: DataFrame) -> DataFrame:
     """Blocks in which what is outside a crowd's largest part meets all members of the crowd."""
     half = SMALL // 2
     placed = crowds.join(parts, "rep", "left").withColumn("part", F.coalesce("part", "rep"))
-    top = placed.groupBy("node", "part").agg(F.count("*").alias("m")).groupBy("node").agg(F.max(F.struct("m", "part")).alias("top"), F.sum("m").alias("all")).where("all > top.m")
-    top = top.select(_own_exchange("node").alias("k"), F.col("top.part").alias("largest"), _blocks(F.col("all") - F.col("top.m"), half).alias("asked"), _blocks(F.col("all"), half).alias("blocks"))
-    met = placed.join(top, F.col("node") == F.col("k"))
-    mine = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
-    ask = met.where("part <> largest").select("node", "rep", "part", mine("asked").alias("i"), F.explode(_all_below(F.col("blocks"))).alias("j"))
-    told = met.select("node", "rep", "part", F.explode(_all_below(F.col("asked"))).alias("i"), mine("blocks").alias("j"))
-    return ask.unionByName(told).select(F.xxhash64("node", "i", "j").alias("node"), "rep", "part").distinct()
+    met = placed.join(_outside(placed, "node", half), F.col("node") == F.col("k")).withColumn("blocks", _blocks(F.col("n"), half))
+    ask = met.where("part <> largest").select("node", "rep", _mine(F.col("asked")).alias("i"), F.explode(_all_below(F.col("blocks"))).alias("j"))
+    told = met.select("node", "rep", F.explode(_all_below(F.col("asked"))).alias("i"), _mine(F.col("blocks")).alias("j"))
+    return ask.unionByName(told).select(F.xxhash64("node", "i", "j").alias("node"), "rep").distinct()
+
+
+def _parts(links: DataFrame) -> DataFrame:
+    return connected_components(links).select(F.col("node").alias("rep"), F.col("component").alias("part"))
+
+
+def _confirmed(groups: DataFrame, rows: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links on full sets that span the components of the candidate components `groups` (rep, part)."""
+    wanted = sets.select("rep", "rep_hash").join(groups, "rep")
+    texts = rows.join(wanted, (F.col("doc_id") == F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))).groupBy("rep", "rep_hash").agg(F.first("part").alias("comp"), F.first("text").alias("text"))
+    texts = checkpoint(texts.withColumn("size", F.length("text").cast("long")))
+    blocks = F.greatest(_blocks(F.count("*"), BLOCK), _blocks(F.sum("size"), BLOCK_CHARS)).alias("blocks")
+    sizes = texts.groupBy("comp").agg(blocks).select(_own_exchange("comp").alias("k"), "blocks")
+    members = texts.join(sizes, F.col("comp") == F.col("k")).select("rep", "comp", "blocks", _mine(F.col("blocks")).alias("own"), "text", "size")
+    buckets = -(-(texts.agg(F.sum("size")).first()[0] or 0) // BLOCK_CHARS)
+
+    def links(grouped: DataFrame) -> DataFrame:
+        small = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(max(1, buckets))))
+        bucketed = grouped.withColumn("bucket", F.coalesce(small, F.xxhash64("comp", "i", "j"))).select("bucket", "comp", "i", "j", "rep", "text")
+        return checkpoint(bucketed.groupBy("bucket").applyInArrow(_confirmer(width, percent), "u long, v long"))
+
+    # every block with block 0; that settles small components, and large ones whose members are alike
+    zero = F.lit(0).cast("long")
+    sure = links(members.select("comp", "blocks", zero.alias("i"), F.explode(F.when(F.col("own") == 0, _all_below(F.col("blocks"))).otherwise(F.array("own"))).alias("j"), "rep", "text"))
+    large = members.where("blocks > 1")
+    if large.isEmpty():
+        return sure
+    placed = checkpoint(large.select("rep", "comp", "blocks", "own").join(_parts(sure), "rep", "left").withColumn("part", F.coalesce("part", "rep")))
+    met = placed.join(_outside(placed, "comp", BLOCK), F.col("comp") == F.col("k")).drop("k")
+    ask = met.where("part <> largest").select("comp", "rep", _mine(F.col("asked")).alias("i"), F.explode(_all_below(F.col("blocks"))).alias("j"))
+    told = met.select("comp", "rep", F.explode(_all_below(F.col("asked"))).alias("i"), F.col("own").alias("j"))
+    again = ask.unionByName(told).distinct().join(large.select(F.col("rep").alias("k"), "blocks", "text"), F.col("rep") == F.col("k")).drop("k")
+    return sure.unionByName(links(again))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
@@ -279,25 +325,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
         .select("digest", F.col("least.doc_id").alias("rep"), F.col("least.text_hash").alias("rep_hash"), "sketch", "tokens", "size")
     )
     small, crowds = _trees(sets)
-    nodes = small.unionByName(_crowd_blocks(crowds)).withColumn("part", F.col("rep"))
-    met = checkpoint(_meeting(nodes, sets, percent, every=False))
-    judged = checkpoint(_confirmed(met.where("v is not null"), rows, sets, width, percent))
-    links = judged.where("linked").select("u", "v")
+    similar = checkpoint(_meeting(small.unionByName(_crowd_blocks(crowds)), sets, percent))
+    groups = _parts(similar)
+    if not crowds.isEmpty():
+        groups = _parts(checkpoint(similar.unionByName(_meeting(checkpoint(_crowd_rest(crowds, groups)), sets, percent))))
+    links = _confirmed(groups, rows, sets, width, percent)
     # an id that repeats joins the classes of its texts
     repeated = named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("id"))
     of_one = named.join(repeated, F.col("doc_id") == F.col("id")).select("doc_id", "digest").join(sets.select("digest", "rep"), "digest")
     least = of_one.groupBy("doc_id").agg(F.min("rep").alias("v")).select(_own_exchange("doc_id").alias("k"), "v")
     links = checkpoint(links.unionByName(of_one.join(least, F.col("doc_id") == F.col("k")).where("rep <> v").select(F.col("rep").alias("u"), "v").distinct()))
-    parts = connected_components(links).select(F.col("node").alias("rep"), F.col("component").alias("part"))
-    # nodes that hold several parts and have similar pairs left: all of these across parts
-    left = met.where("v is null").select(F.col("u").alias("k"))
-    placed = small.join(left, F.col("node") == F.col("k"), "left_semi").join(parts, "rep", "left").select("node", "rep", F.coalesce("part", "rep").alias("part"))
-    mixed = placed.groupBy("node").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select(_own_exchange("node").alias("k"))
-    again = placed.join(mixed, F.col("node") == F.col("k")).select("node", "rep", "part").unionByName(_crowd_rest(crowds, parts))
-    more = checkpoint(_meeting(again, sets, percent, every=True).join(judged.select("u", "v"), ["u", "v"], "left_anti"))
-    if not more.isEmpty():
-        found = _confirmed(more, rows, sets, width, percent).where("linked").select("u", "v")
-        parts = connected_components(checkpoint(links.unionByName(found))).select(F.col("node").alias("rep"), F.col("component").alias("part"))
+    parts = _parts(links)
     found = checkpoint(sets.select("digest", "rep").join(parts, "rep", "left").select("digest", F.coalesce("part", "rep").alias("component")))
     out = read.select("doc_id", "n_shingles", "digest").join(found, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
