@@ -46,7 +46,7 @@ def item_errors(items: DataFrame, cells: DataFrame, id_parts: list[str], stated:
 def sampling_audit(df: DataFrame, sample: DataFrame, key: str, by: str) -> DataFrame:
     """Eligible and selected rows of each group."""
     taken = sample.groupBy(by).agg(F.count("*").alias("selected"))
-    return df.groupBy(by).agg(F.countDistinct(key).alias("eligible")).join(F.broadcast(taken), by, "left").select(by, "eligible", F.coalesce("selected", F.lit(0)).alias("selected"))
+    return df.groupBy(by).agg(F.countDistinct(key).alias("eligible")).join(taken, by, "left").select(by, "eligible", F.coalesce("selected", F.lit(0)).alias("selected"))
 
 
 def template_candidates(values: DataFrame, template: str) -> DataFrame:
@@ -85,7 +85,7 @@ def count_histograms(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def separated_classes(active: DataFrame, members: DataFrame) -> DataFrame:
     """Cells in which candidates that development couldn't tell apart differ. members: (class, candidate)."""
-    rows = active.join(F.broadcast(members), "candidate")
+    rows = active.join(members, "candidate")
     return rows.groupBy("class", "cell_id").agg(F.countDistinct("state").alias("states"), F.count("*").alias("n")).where("states > 1")
 
 

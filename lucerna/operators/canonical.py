@@ -16,11 +16,34 @@ def canonical_dedup(edges: DataFrame, cell: str = "cell_id", source: str = "sour
     ).select(cell, "n_sources", "n_edges", F.col(f"least.{source}").alias("first_source"), F.col(f"least.{note}").alias("first_note"))
 
 
+def canonical_sources(edges: DataFrame, cell: str = "cell_id", source: str = "source_id", note: str = "note", position: str = "position") -> DataFrame:
+    """The sorted sources and notes of the cells as rows: each distinct source of a cell with its first note
+    by position. Rows rather than an array a cell, since a cell may have any number of sources."""
+    return edges.groupBy(cell, source).agg(F.count("*").alias("n_edges"), F.min_by(note, position).alias("first_note"))
+
+
+def contribution(mappings: DataFrame, edges: DataFrame, result: str = "result", contributes: str = "complete") -> DataFrame:
+    """One row a mapping class with what contributes cells and what doesn't, and why; and one for all, with
+    edges, cells and edges a cell. edges: (cell_id) of the contributing mappings."""
+    why = F.when(F.col(result) == contributes, "contributes").otherwise(F.concat(F.lit("result is "), F.coalesce(result, F.lit("missing"))))
+    rows = mappings.groupBy(why.alias("reason")).agg(F.count("*").alias("n")).select("reason", "n", F.lit(None).cast("double").alias("ratio"))
+    total = edges.agg(F.count("*").alias("n"), F.countDistinct("cell_id").alias("cells"))
+    return rows.unionByName(total.select(F.lit("edges a cell").alias("reason"), "n", F.bround(F.col("n") / F.col("cells"), 6).alias("ratio")))
+
+
+def source_cases(edges: DataFrame, noted, cell: str = "cell_id", source: str = "source_id", note: str = "note") -> DataFrame:
+    """The sources a cell is realised from: its first, and further ones with a note where `noted` holds."""
+    first = edges.groupBy(cell).agg(F.min(source).alias("_first"))
+    rows = edges.join(first.withColumnRenamed(cell, "_cell"), F.col(cell) == F.col("_cell")).drop("_cell")
+    primary = F.col(source) == F.col("_first")
+    return rows.where(primary | (noted & F.col(note).isNotNull())).select(cell, source, note, primary.alias("primary")).distinct()
+
+
 def attrition(mappings: DataFrame, results: list[str], contributes: str = "complete") -> DataFrame:
     """Rows of each result class, also those without rows, and whether they contribute cells."""
     grid = mappings.sparkSession.createDataFrame([(r,) for r in results], "result string")
     found = mappings.groupBy("result").agg(F.count("*").alias("n"))
-    return F.broadcast(grid).join(found, "result", "left").select("result", F.coalesce("n", F.lit(0)).alias("n"), (F.col("result") == contributes).alias("contributes"))
+    return grid.join(found, "result", "left").select("result", F.coalesce("n", F.lit(0)).alias("n"), (F.col("result") == contributes).alias("contributes"))
 
 
 def hamming_one(cells: DataFrame, dimensions: list[str], key: str = "cell_id") -> DataFrame:
@@ -53,6 +76,8 @@ def contrast_matching(pairs: DataFrame, most_rounds: int = 100) -> DataFrame:
         taken = now if taken is None else taken.unionByName(now)
         gone = now.select(F.col("a").alias("x")).unionByName(now.select(F.col("b").alias("x")))
         rest = cut(rest.join(gone, F.col("a") == F.col("x"), "left_anti").join(gone, F.col("b") == F.col("x"), "left_anti"))
+    else:
+        raise RuntimeError(f"matching did not end in {most_rounds} rounds")
     return rest if taken is None else taken
 
 
@@ -66,9 +91,34 @@ def repeat_agreement(primary: DataFrame, repeat: DataFrame, key: str, dimensions
     return both.select(each).select("x.dimension", "x.same").groupBy("dimension").agg(F.count("*").alias("n_pairs"), F.sum("same").cast("long").alias("agreed"), F.bround(F.avg("same"), 6).alias("rate"))
 
 
+def mapping_agreement(pairs: DataFrame, dimensions: list[str]) -> DataFrame:
+    """measure, n, rate over annotation pairs (structs primary and repeat of result and the dimensions): same
+    class, same mapping, both routed alike, complete against partial, both contributing; and each dimension, over pairs
+    that both say something of it (null where none does)."""
+    p, r = (lambda c: F.col(f"primary.{c}")), (lambda c: F.col(f"repeat.{c}"))
+    every = reduce(lambda a, b: a & b, [p(d).eqNullSafe(r(d)) for d in dimensions])
+    complete = lambda x: x("result") == "complete"
+    tests = [
+        ("same class", p("result") == r("result"), None), ("same mapping", (p("result") == r("result")) & every, None), ("same routing", (p("result") == "partial") == (r("result") == "partial"), None),
+        ("complete against partial", (complete(p) & (r("result") == "partial")) | ((p("result") == "partial") & complete(r)), None), ("inventory unaffected", (complete(p) == complete(r)) & (~complete(p) | every), None),
+        *[(f"same {d}", p(d) == r(d), p(d).isNotNull() & r(d).isNotNull()) for d in dimensions],
+    ]
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), F.when(F.lit(True) if among is None else among, t).cast("double").alias("same")) for n, t, among in tests])).alias("x")
+    return pairs.select(each).groupBy("x.measure").agg(F.count("x.same").alias("n"), F.sum("x.same").cast("long").alias("agreed"), F.bround(F.avg("x.same"), 6).alias("rate"))
+
+
 def admissible_grid(cells: DataFrame, frames: DataFrame, admissible) -> DataFrame:
-    """Every (cell, frame) that the predicate admits. Frames are a small declared table and are broadcast."""
-    return cells.crossJoin(F.broadcast(frames)).where(admissible)
+    """Every (cell, frame) that the predicate admits. Frames are a small declared table."""
+    return cells.crossJoin(frames).where(admissible)
+
+
+def whole_grid(cells: DataFrame, frames: DataFrame, admissible, key: str = "cell_id") -> DataFrame:
+    """admissible_grid(), in which every cell must have a row."""
+    from lucerna.operators.guards import require_none
+
+    grid = admissible_grid(cells, frames, admissible)
+    require_none(cells.select(key).join(grid.select(key), key, "left_anti"), "cells without a realisation")
+    return grid
 
 
 def keyed_delta(left: DataFrame, right: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

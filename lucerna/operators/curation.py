@@ -27,24 +27,30 @@ def scope_filter(df: DataFrame, allowed: dict, excluded: dict | None = None) ->
 
 
 def stratified_sample(df: DataFrame, strata: list[dict], key: str, order: list[str] | None = None, seed: int = 0) -> DataFrame:
-    """Rows taken by strata in turn: each {where, quota} takes up to its quota of the rows that earlier ones
+    """Rows taken by strata in turn: each {where, quota, and perhaps minimum} takes up to its quota of the rows that earlier ones
     left, by `order` (compared as strings, null as empty) or by a seeded hash. Adds stratum and rank.
 
+    A stratum that finds fewer rows than its minimum, or whose quota is less, is an error.
     The quota is a top-n, which tasks cut before the shuffle, so a large stratum isn't sorted whole.
     """
     rest, out = df, None
     for i, s in enumerate(strata):
+        least = s.get("minimum", 0)
+        if s["quota"] < least:
+            raise ValueError(f"stratum {i}: quota {s['quota']} is under its minimum {least}")
         by = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order] if order else [F.sha2(F.concat_ws("|", F.lit(str(seed)), F.lit(str(i)), F.col(key).cast("string")).cast("binary"), 256)]
         ranked = rest.where(matches(s["where"])).orderBy(*by, F.col(key)).limit(s["quota"])
         taken = ranked.withColumn("rank", F.row_number().over(Window.orderBy(*by, F.col(key))).cast("long")).withColumn("stratum", F.lit(i).cast("long"))  # at most quota rows
+        if least and (found := taken.count()) < least:
+            raise ValueError(f"stratum {i}: {found} rows of at least {least}")
         out = taken if out is None else out.unionByName(taken)
-        rest = rest.join(F.broadcast(taken.select(key)), key, "left_anti")
+        rest = rest.join(taken.select(key), key, "left_anti")
     return out
 
 
 def ordered_semi_join(df: DataFrame, declared: DataFrame, key: str, position: str = "position") -> DataFrame:
     """The declared rows with their declared position; the position is the order at a sink."""
-    return df.join(F.broadcast(declared), key)
+    return df.join(declared, key)
 
 
 def refines(child: Column, parent: Column) -> Column:

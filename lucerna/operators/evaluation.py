@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lucerna.functions.ids import clipped, hash_uniform
 from lucerna.functions.positions import with_positions
+from lucerna.sources.cuts import cut
 
 EDGE = 1e-6
 
@@ -60,7 +61,7 @@ def paired_bootstrap(pairs: DataFrame, repetitions: int = 1000, seed: int = 17)
     cent quantiles over resampled learners. Events are summed by learner first; the draws are keyed hashes."""
     clip = lambda c: clipped(F.col(c), EDGE, 1 - EDGE)
     loss = lambda c: -F.log(F.when(F.col("correct") == 1, clip(c)).otherwise(1 - clip(c)))
-    per = pairs.groupBy("learner").agg(F.sum(loss("a") - loss("b")).alias("d"), F.count("*").alias("n"))
+    per = cut(pairs.groupBy("learner").agg(F.sum(loss("a") - loss("b")).alias("d"), F.count("*").alias("n")))  # read several times
     numbered = with_positions(per, ["learner"])
     whole = per.agg(F.sum("d").alias("d"), F.sum("n").alias("n"), F.count("*").alias("learners"))
     total = whole.first()

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lucerna.functions.rules import Compiler
+from lucerna.functions.rules import Compiler, operation_scope
+from lucerna.sources.files import checked
 
 
 def label_items(items: DataFrame, compiler: Compiler, rules: list[dict]) -> DataFrame:
@@ -13,6 +16,13 @@ def label_items(items: DataFrame, compiler: Compiler, rules: list[dict]) -> Data
     return items.withColumn("kc_ids", compiler.labels(rules))
 
 
+def covered_items(items: DataFrame, compiler: Compiler, rules: list[dict], every: bool = False) -> DataFrame:
+    """label_items() of which no development item (or, if `every`, no item at all) may stay without a label:
+    one that does fails the job. Holdout items may stay uncovered."""
+    needed = F.lit(every) | (F.col("canonical_split") == "development")
+    return checked(label_items(items, compiler, rules), ~needed | (F.size("kc_ids") > 0), "an item has no label")
+
+
 def full_cell_labels(items: DataFrame, cell: str = "cell_id") -> DataFrame:
     """One label a cell, made as the cell occurs."""
     return items.withColumn("kc_ids", F.array(F.concat(F.lit("K_FULL_"), F.regexp_replace(cell, "^CELL_", ""))))
@@ -29,12 +39,31 @@ def edges(labelled: DataFrame, key: str = "item_id") -> DataFrame:
     return labelled.select(key, F.explode("kc_ids").alias("kc"))
 
 
+def rule_table(spark, rules: list[dict]) -> DataFrame:
+    """kc, scope (realisation if operations decide, else cell) and rule as text: the declared rules."""
+    return spark.createDataFrame([(r["kc_id"], "realisation" if operation_scope(r["rule"]) else "cell", json.dumps(r["rule"], sort_keys=True)) for r in rules], "kc string, scope string, rule string")
+
+
+def scoped_edges(labelled: DataFrame, rules: list[dict]) -> DataFrame:
+    """item_id, kc, scope and rule of each edge."""
+    return edges(labelled).join(rule_table(labelled.sparkSession, rules), "kc")
+
+
+def inventory_members(labelled: DataFrame, sources: DataFrame, rules: list[dict]) -> DataFrame:
+    """The sets behind the labels that fired, as rows: kc, kind (cell or source), member and rule. sources:
+    (item_id, source_id). Rows rather than arrays, since a label may hold any number of cells and sources."""
+    fired = labelled.select("item_id", "cell_id", F.explode("kc_ids").alias("kc"))
+    of_cells = fired.select("kc", F.lit("cell").alias("kind"), F.col("cell_id").cast("string").alias("member"))
+    of_sources = fired.join(sources.select("item_id", "source_id").distinct(), "item_id").select("kc", F.lit("source").alias("kind"), F.col("source_id").cast("string").alias("member"))
+    return of_cells.unionByName(of_sources).distinct().join(rule_table(labelled.sparkSession, rules).select("kc", "rule"), "kc")
+
+
 def inventory(labelled: DataFrame, rules: list[dict]) -> DataFrame:
     """Labels that fired, with their distinct cells, items and rule number; broadcasts the rule list."""
     spark = labelled.sparkSession
     names = spark.createDataFrame([(r["kc_id"], i) for i, r in enumerate(rules)], "kc string, rule_no long")
     fired = labelled.select("item_id", "cell_id", F.explode("kc_ids").alias("kc")).groupBy("kc").agg(F.countDistinct("cell_id").alias("n_cells"), F.countDistinct("item_id").alias("n_items"), F.min("cell_id").alias("first_cell"))
-    return fired.join(F.broadcast(names), "kc")
+    return fired.join(names, "kc")
 
 
 def wide(labelled: DataFrame, kc_ids: list[str], key: str = "item_id") -> DataFrame:
@@ -50,6 +79,33 @@ def matrix_diagnostics(labelled: DataFrame, n_kcs: int, dense: int = 4) -> DataF
     return both.withColumn("density", F.bround(F.col("n_edges") / (F.col("n_items") * n_kcs), 6))
 
 
+def matrix_histograms(labelled: DataFrame, rules: list[dict], least: int = 5) -> DataFrame:
+    """measure, key, n: items by number of labels, edges by scope, labels of support under `least` and labels of none."""
+    held = edges(labelled).groupBy("kc").agg(F.count("*").alias("support"))
+    every = rule_table(labelled.sparkSession, rules).select("kc", "scope").join(held, "kc", "left").withColumn("support", F.coalesce("support", F.lit(0)))
+    rows = labelled.groupBy(F.size("kc_ids").cast("string").alias("key")).agg(F.count("*").alias("n")).select(F.lit("row_sum").alias("measure"), "key", "n")
+    scopes = every.groupBy(F.col("scope").alias("key")).agg(F.sum("support").alias("n")).select(F.lit("scope_edges").alias("measure"), "key", "n")
+    few = every.where(F.col("support") < least).select(F.lit("low_support").alias("measure"), F.col("kc").alias("key"), F.col("support").alias("n"))
+    return rows.unionByName(scopes).unionByName(few)
+
+
+def matrix_integrity(items: DataFrame, labelled: DataFrame, rules: list[dict]) -> DataFrame:
+    """check_name, n and PASS or FAIL: empty inputs, repeated ids, items without a label row or the reverse,
+    labels that no rule names, and rows whose cell differs."""
+    known = labelled.sparkSession.createDataFrame([(r["kc_id"],) for r in rules], "kc string")
+    other = labelled.select("item_id", F.col("cell_id").alias("_cell"))
+    checks = {
+        "no items": items.agg(F.count("*").alias("n")).where("n = 0"), "no labels": labelled.agg(F.count("*").alias("n")).where("n = 0"),
+        "repeated items": repeated_keys(items, ["item_id"]), "repeated label rows": repeated_keys(labelled, ["item_id"]), "items not covered both ways": missing_keys(items, labelled, "item_id"),
+        "unknown labels": edges(labelled).join(known, "kc", "left_anti"), "cell differs": items.join(other, "item_id").where(~F.col("cell_id").eqNullSafe(F.col("_cell"))),
+    }
+    out = None
+    for name, df in checks.items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("check_name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("status", F.when(F.col("n") == 0, "PASS").otherwise("FAIL"))
+
+
 def identical_columns(labelled: DataFrame, kc_ids: list[str]) -> DataFrame:
     """Pairs of labels held by the same items. A label's column is summed up by its number of items and two
     independent sums of hashes, so no list of items is gathered; a label of no item has the empty sums."""
@@ -57,7 +113,7 @@ def identical_columns(labelled: DataFrame, kc_ids: list[str]) -> DataFrame:
     every = spark.createDataFrame([(k,) for k in kc_ids], "kc string")
     wide_hash = lambda salt: F.xxhash64(F.lit(salt), "item_id").cast("decimal(38,0)")
     held = edges(labelled).groupBy("kc").agg(F.count("*").alias("n"), F.sum(wide_hash(1)).alias("a"), F.sum(wide_hash(2)).alias("b"))
-    signed = F.broadcast(every).join(held, "kc", "left").select("kc", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"))
+    signed = every.join(held, "kc", "left").select("kc", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"))
     other = signed.withColumnRenamed("kc", "kc_right")
     return signed.withColumnRenamed("kc", "kc_left").join(other, ["n", "a", "b"]).where("kc_left < kc_right").select("kc_left", "kc_right", F.col("n").alias("n_items"))
 
@@ -73,6 +129,12 @@ def coverage(events: DataFrame, labelled: DataFrame) -> DataFrame:
     )
 
 
+def coverage_by_time(projected: DataFrame) -> DataFrame:
+    """Covered events and their share by temporal split. projected: dataset_split and kc_ids."""
+    covered = (F.size("kc_ids") > 0).cast("long")
+    return projected.groupBy("dataset_split").agg(F.count("*").alias("n_events"), F.sum(covered).alias("covered_events"), F.sum(1 - covered).alias("uncovered_events"), F.bround(F.avg(covered.cast("double")), 6).alias("share"))
+
+
 def rule_support(labelled: DataFrame, split: str = "development") -> DataFrame:
     """Labels with support on one split: items and distinct cells."""
     return labelled.where(F.col("canonical_split") == split).select("item_id", "cell_id", F.explode("kc_ids").alias("kc")).groupBy("kc").agg(F.count("*").alias("n_items"), F.countDistinct("cell_id").alias("n_cells"))

@@ -43,7 +43,7 @@ def diagnostics(active: DataFrame, sources: DataFrame, table: DataFrame, least_c
         F.sum(always.cast("long")).alias("cells"), F.sum((always | mixed).cast("long")).alias("any_cells"), F.sum(mixed.cast("long")).alias("mixed_cells"),
         F.sum(F.when(always, F.col("n_items")).otherwise(0)).alias("items"), F.sum(F.when(always, F.col("realisations")).otherwise(0)).alias("realisations"),
     )
-    parents = table.select("candidate", F.explode("parents").alias("parent")).join(F.broadcast(per.select(F.col("candidate").alias("parent"), F.col("cells").alias("parent_cells"))), "parent")
+    parents = table.select("candidate", F.explode("parents").alias("parent")).join(per.select(F.col("candidate").alias("parent"), F.col("cells").alias("parent_cells")), "parent")
     narrow = parents.groupBy("candidate").agg(F.min("parent_cells").alias("least_parent"))
     joined = table.join(per, "candidate").join(narrow, "candidate", "left")
     reasons = F.array_compact(F.array(
@@ -117,7 +117,7 @@ def greedy_cover(covered_by: DataFrame, table: DataFrame, found: DataFrame) -> D
         members = [(c, m) for c in eligible for m in bundle(c, chosen)]
         if not members:
             break
-        plan = F.broadcast(spark.createDataFrame(members, "chooser string, candidate string"))
+        plan = spark.createDataFrame(members, "chooser string, candidate string")
         gains = left.join(plan, "candidate").groupBy("chooser").agg(F.countDistinct("obligation").alias("gain")).collect()
         ranked = sorted((-g["gain"], len(b), sum(facts[m]["complexity"] for m in b), sum(facts[m]["cells"] for m in b), sum(facts[m]["interaction"] for m in b), -min(min(facts[m]["cells"], facts[m]["items"]) for m in b), g["chooser"]) for g in gains for b in [bundle(g["chooser"], chosen)])
         if not ranked:
@@ -144,7 +144,7 @@ def policy_evaluation(labelled_cells: DataFrame, facts: DataFrame, support: Data
     that development supports."""
     rows = labelled_cells.withColumn("signature", F.array_join("kc_ids", ","))
     own = rows.groupBy("canonical_split", "signature").agg(F.count("*").alias("same"))
-    uses = rows.select("canonical_split", "cell_id", F.explode("kc_ids").alias("kc")).join(F.broadcast(support.select("kc", F.lit(1).alias("ok"))), "kc", "left")
+    uses = rows.select("canonical_split", "cell_id", F.explode("kc_ids").alias("kc")).join(support.select("kc", F.lit(1).alias("ok")), "kc", "left")
     reuse = uses.groupBy("canonical_split").agg(F.bround(F.count("ok") / F.count("*"), 6).alias("component_reuse"))
     base = rows.join(own, ["canonical_split", "signature"]).groupBy("canonical_split").agg(
         F.count("*").alias("n_cells"), F.bround(F.avg((F.size("kc_ids") > 0).cast("double")), 6).alias("coverage"), F.bround(F.avg((F.col("same") == 1).cast("double")), 6).alias("unique_rate"))
@@ -158,6 +158,6 @@ def split_audit(cells: DataFrame, values: list[str]) -> DataFrame:
     each = F.explode(F.array(*[F.concat(F.lit(f"{d}="), F.col(d)) for d in values])).alias("value")
     long = cells.select("cell_id", "canonical_split", each)
     known = long.where("canonical_split = 'development'").select("value").distinct().withColumn("known", F.lit(1))
-    per = long.where("canonical_split <> 'development'").join(F.broadcast(known), "value", "left").groupBy("cell_id", "canonical_split").agg(F.sum(F.col("known").isNull().cast("long")).alias("unseen"))
+    per = long.where("canonical_split <> 'development'").join(known, "value", "left").groupBy("cell_id", "canonical_split").agg(F.sum(F.col("known").isNull().cast("long")).alias("unseen"))
     good = F.when(F.col("canonical_split") == "compositional_holdout", F.col("unseen") == 0).otherwise(F.col("unseen") > 0)
     return per.withColumn("status", F.when(good, "PASS").otherwise("FAIL"))

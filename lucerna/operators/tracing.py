@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lucerna.functions.ids import clipped, smoothed
-from lucerna.operators.history import long_form
+from lucerna.operators.guards import lookup, union_streams
+from lucerna.operators.history import long_form, opportunity_index
 
 
 @dataclass(frozen=True)
@@ -42,21 +43,26 @@ def initial_mastery(projected: DataFrame, kc_ids: list[str], model: Bkt = Bkt(),
     seen = long_form(projected.where("dataset_split = 'train'")).groupBy("kc").agg(F.sum("correct").alias("s"), F.count("*").alias("n"))
     rate = clipped(smoothed(F.coalesce("s", F.lit(0)), F.coalesce("n", F.lit(0)), model.alpha, model.beta), 0.05, 0.95)
     start = rate if cold is None else F.when(F.col("n").isNull(), F.lit(cold)).otherwise(rate)
-    return F.broadcast(every).join(seen, "kc", "left").select("kc", start.alias("initial"), F.coalesce("n", F.lit(0)).alias("train_attempts"))
+    return every.join(seen, "kc", "left").select("kc", start.alias("initial"), F.coalesce("n", F.lit(0)).alias("train_attempts"))
+
+
+#: Events of a chain that are folded into one array at a time.
+_RUN = 64
 
 
 def mastery_before(projected: DataFrame, initial: DataFrame, model: Bkt = Bkt()) -> DataFrame:
     """learner, seq, kc, mastery before the event. Each learner's chain of a label is independent of the
-    others; it is folded in order, the running values come out with their events."""
+    others; it is folded in order by runs of _RUN events: first the mastery at each run's start, then the
+    running values inside the runs, so that arrays that grow stay short."""
     chains = long_form(projected).groupBy("learner", "kc").agg(F.array_sort(F.collect_list(F.struct("seq", "correct"))).alias("chain"))
-    fold = F.aggregate(
-        "chain",
-        F.struct(F.col("initial").alias("m"), F.array().cast("array<double>").alias("out")),
-        lambda s, e: F.struct(model.updated(s["m"], e["correct"]).alias("m"), F.concat(s["out"], F.array(s["m"])).alias("out")),
-        lambda s: s["out"],
-    )
-    runs = chains.join(F.broadcast(initial.select("kc", "initial")), "kc").select("learner", "kc", "chain", fold.alias("before"))
-    return runs.select("learner", "kc", F.explode(F.arrays_zip("chain", "before")).alias("x")).select("learner", F.col("x.chain.seq").alias("seq"), "kc", F.col("x.before").alias("mastery"))
+    after = lambda m, events: F.aggregate(events, m, lambda x, e: model.updated(x, e["correct"]))
+    grown = lambda s, m: F.struct(m.alias("m"), F.concat(s["out"], F.array(s["m"])).alias("out"))
+    none = F.array().cast("array<double>")
+    running = lambda start, events, step: F.aggregate(events, F.struct(start.alias("m"), none.alias("out")), lambda s, e: grown(s, step(s["m"], e)), lambda s: s["out"])
+    cut_up = F.transform(F.sequence(F.lit(0), F.floor((F.size("chain") - 1) / _RUN).cast("int")), lambda i: F.slice("chain", i * _RUN + 1, _RUN))
+    rows = chains.join(initial.select("kc", "initial"), "kc").select("learner", "kc", "initial", F.explode(F.arrays_zip(cut_up.alias("run"), running(F.col("initial"), cut_up, after).alias("start"))).alias("r"))
+    rows = rows.select("learner", "kc", F.explode(F.arrays_zip(F.col("r.run").alias("event"), running(F.col("r.start"), F.col("r.run"), lambda m, e: model.updated(m, e["correct"])).alias("before"))).alias("x"))
+    return rows.select("learner", F.col("x.event.seq").alias("seq"), "kc", F.col("x.before").alias("mastery"))
 
 
 def bkt_predictions(projected: DataFrame, initial: DataFrame, model: Bkt = Bkt()) -> DataFrame:
@@ -71,22 +77,23 @@ def final_mastery(projected: DataFrame, initial: DataFrame, model: Bkt = Bkt())
     """learner, kc, mastery after all the learner's events: the frozen state that probes read."""
     chains = long_form(projected).groupBy("learner", "kc").agg(F.array_sort(F.collect_list(F.struct("seq", "correct"))).alias("chain"))
     last = F.aggregate("chain", F.col("initial"), lambda m, e: model.updated(m, e["correct"]))
-    return chains.join(F.broadcast(initial.select("kc", "initial")), "kc").select("learner", "kc", last.alias("mastery"))
+    return chains.join(initial.select("kc", "initial"), "kc").select("learner", "kc", last.alias("mastery"))
 
 
 def frozen_probes(history: DataFrame, probes: DataFrame, initial: DataFrame, model: Bkt = Bkt(), cold: float = 0.5) -> DataFrame:
     """probes scored from each learner's frozen state, which they never change.
 
     Labels without development support count as cold: their rate is the smoothed prior and their mastery
-    the cold value. Columns: n_supported, n_cold, empirical, bkt, mean_log_opportunity, fallback.
+    the cold value. A probe of a learner without history fails the job. Columns: overall, n_supported, n_cold, empirical, bkt, mean_log_opportunity, fallback.
     """
     state = learner_state(history)
     mastery = final_mastery(history, initial, model)
     supported = long_form(history).select("kc").distinct().withColumn("supported", F.lit(1))
     overall = history.groupBy("learner").agg(F.count("*").alias("n"), F.sum("correct").alias("s"))
+    probes = lookup(probes, overall, "learner")
     keys = probes.select("learner", "seq", F.explode("kc_ids").alias("kc"))
     facts = (
-        keys.join(F.broadcast(supported), "kc", "left").join(state, ["learner", "kc"], "left").join(mastery, ["learner", "kc"], "left").join(F.broadcast(initial.select("kc", "initial")), "kc", "left")
+        keys.join(supported, "kc", "left").join(state, ["learner", "kc"], "left").join(mastery, ["learner", "kc"], "left").join(initial.select("kc", "initial"), "kc", "left")
         .groupBy("learner", "seq").agg(
             F.count("supported").alias("n_supported"), F.sum(F.col("supported").isNull().cast("int")).alias("n_cold"),
             F.avg(F.when(F.col("supported").isNull(), F.lit(model.alpha / (model.alpha + model.beta))).otherwise(smoothed(F.coalesce("successes", F.lit(0)), F.coalesce("attempts", F.lit(0)), model.alpha, model.beta))).alias("rate"),
@@ -94,15 +101,56 @@ def frozen_probes(history: DataFrame, probes: DataFrame, initial: DataFrame, mod
             F.avg(F.log1p(F.coalesce("attempts", F.lit(0)).cast("double"))).alias("mean_log"),
         )
     )
-    out = probes.join(overall, "learner").join(facts, ["learner", "seq"], "left")
+    out = probes.join(facts, ["learner", "seq"], "left")
     prior = smoothed(F.col("s"), F.col("n"), model.alpha, model.beta)
     return out.select(
-        "learner", "seq", "item_id", "correct", F.coalesce("n_supported", F.lit(0)).alias("n_supported"), F.coalesce("n_cold", F.lit(0)).alias("n_cold"),
+        "learner", "seq", "item_id", "correct", "kc_ids", prior.alias("overall"), F.coalesce("n_supported", F.lit(0)).alias("n_supported"), F.coalesce("n_cold", F.lit(0)).alias("n_cold"),
         F.coalesce("rate", prior).alias("empirical"), F.coalesce(model.predicted(F.col("mean_mastery")), prior).alias("bkt"), F.coalesce("mean_log", F.lit(0.0)).alias("mean_log_opportunity"),
         F.when(F.coalesce("n_supported", F.lit(0)) + F.coalesce("n_cold", F.lit(0)) == 0, "no_label").when(F.col("n_cold") > 0, "cold_label").otherwise("none").alias("fallback"),
     )
 
 
+def probe_opportunities(history: DataFrame, probes: DataFrame) -> DataFrame:
+    """learner, seq, kc, opportunity of the probes: one more than the learner's attempts before all probes,
+    the same for every probe of the label."""
+    keys = probes.select("learner", "seq", F.explode("kc_ids").alias("kc"))
+    return keys.join(learner_state(history), ["learner", "kc"], "left").select("learner", "seq", "kc", (F.coalesce("attempts", F.lit(0)) + 1).alias("opportunity"))
+
+
+def compositional_projection(history: DataFrame, probes: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Both streams with their role, index map, supported and cold labels and flags. Labels of development items are
+    supported; probes read the state after all history and never change it; their learners need one."""
+    supported = labelled.where("canonical_split = 'development'").select(F.explode("kc_ids").alias("kc")).distinct().withColumn("_ok", F.lit(1))
+    probes = lookup(probes, history.select("learner").distinct(), "learner")
+    both = union_streams({"acquisition": history, "probe": probes}).withColumnRenamed("stream", "role")
+    numbers = opportunity_index(history).unionByName(probe_opportunities(history, probes))
+    pick = lambda c: F.array_sort(F.array_compact(F.collect_list(c)))
+    facts = numbers.join(supported, "kc", "left").groupBy("learner", "seq").agg(
+        pick(F.when(F.col("_ok").isNotNull(), F.col("kc"))).alias("supported"), pick(F.when(F.col("_ok").isNull(), F.col("kc"))).alias("cold"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("kc", "opportunity")))).alias("indices"),
+    )
+    none, no_map = F.array().cast("array<string>"), F.create_map().cast("map<string,bigint>")
+    out = both.join(facts, ["learner", "seq"], "left").withColumn("supported", F.coalesce("supported", none)).withColumn("cold", F.coalesce("cold", none)).withColumn("indices", F.coalesce("indices", no_map))
+    return out.withColumn("covered", F.size("kc_ids") > 0).withColumn("fully_supported", F.col("covered") & (F.size("cold") == 0))
+
+
+def probe_scopes(scored: DataFrame) -> DataFrame:
+    """Scored probes once for each scope they belong to: all (with fallback), covered, fully supported."""
+    covered = F.col("n_supported") + F.col("n_cold") > 0
+    scopes = F.array_compact(F.array(F.lit("all"), F.when(covered, F.lit("covered")), F.when(covered & (F.col("n_cold") == 0), F.lit("fully_supported"))))
+    return scored.withColumn("scope", F.explode(scopes))
+
+
+NOT_APPLICABLE = "not_applicable_without_holdout_items"
+
+
+def compositional_result(history: DataFrame, probes: DataFrame, evaluate) -> DataFrame:
+    """status, and the columns of evaluate(history, probes); one row that says so where there are no probes."""
+    if probes.isEmpty():
+        return history.agg(F.count("*").alias("n_acquisition")).select(F.lit(NOT_APPLICABLE).alias("status"), "n_acquisition")
+    return evaluate(history, probes).withColumn("status", F.lit("evaluated"))
+
+
 def frozen_state(history: DataFrame, initial: DataFrame, model: Bkt = Bkt()) -> DataFrame:
     """One row a learner with maps of attempts, successes and mastery by label (as many as there are labels)."""
     rows = learner_state(history).join(final_mastery(history, initial, model), ["learner", "kc"])
@@ -110,14 +158,32 @@ def frozen_state(history: DataFrame, initial: DataFrame, model: Bkt = Bkt()) ->
     return rows.groupBy("learner").agg(as_map("attempts"), as_map("successes"), as_map("mastery"))
 
 
-def logistic_predictions(features: DataFrame, columns: list[str], kc_ids: list[str], strength: float = 1.0, rounds: int = 300) -> DataFrame:
-    """features with logistic: L2 regression fitted on the training split (regularisation 1 / (C n))."""
-    from pyspark.ml.classification import LogisticRegression
+def _assembled(features: DataFrame, columns: list[str], kc_ids: list[str]) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
 
     hot = F.array(*[F.array_contains("kc_ids", k).cast("double") for k in kc_ids])
-    rows = VectorAssembler(inputCols=[*columns, "_hot"], outputCol="features").transform(features.withColumn("_hot", array_to_vector(hot)))
-    train = rows.where("dataset_split = 'train'").withColumn("label", F.col("correct").cast("double"))
-    model = LogisticRegression(regParam=1.0 / (strength * max(train.count(), 1)), elasticNetParam=0.0, standardization=False, maxIter=rounds).fit(train)
-    return model.transform(rows).withColumn("logistic", vector_to_array("probability")[1]).drop("features", "_hot", "rawPrediction", "probability", "prediction")
+    rows = features.withColumn("_hot", array_to_vector(hot)).withColumn("_kc_count", F.size("kc_ids").cast("double"))
+    return VectorAssembler(inputCols=[*columns, "_kc_count", "_hot"], outputCol="features").transform(rows)
+
+
+def fit_logistic(features: DataFrame, columns: list[str], kc_ids: list[str], strength: float = 1.0, rounds: int = 300):
+    """L2 regression fitted on the training split (regularisation 1 / (C n)) over the columns, the number of labels
+    and the labels themselves. Returns a function that adds `logistic` to a table with these columns; a row
+    without labels gets its `fallback` column there instead."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import vector_to_array
+
+    train = _assembled(features.where("dataset_split = 'train'"), columns, kc_ids).withColumn("label", F.col("correct").cast("double"))
+    model = LogisticRegression(regParam=1.0 / (strength * max(train.count(), 1)), elasticNetParam=0.0, standardization=False, maxIter=rounds, tol=1e-9).fit(train)
+
+    def predict(rows: DataFrame, fallback: str) -> DataFrame:
+        found = model.transform(_assembled(rows, columns, kc_ids)).withColumn("_p", vector_to_array("probability")[1])
+        return found.withColumn("logistic", F.when(F.size("kc_ids") == 0, F.col(fallback)).otherwise(F.col("_p"))).drop("features", "_hot", "_kc_count", "_p", "rawPrediction", "probability", "prediction")
+
+    return predict
+
+
+def logistic_predictions(features: DataFrame, columns: list[str], kc_ids: list[str], fallback: str = "overall_rate", strength: float = 1.0, rounds: int = 300) -> DataFrame:
+    """features with logistic."""
+    return fit_logistic(features, columns, kc_ids, strength, rounds)(features, fallback)

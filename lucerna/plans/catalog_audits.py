@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lucerna.functions.ids import content_id
 from lucerna.operators import audits, canonical, curation, history, labels, selection
-from lucerna.plans.catalog_history import _ACT, _STATE
+from lucerna.plans.catalog_history import _ACT_ALL, _STATE
 from lucerna.plans.catalog_labels import _PER_ITEM, labelled
 from lucerna.plans.policy import CANDIDATES, RULES
 from lucerna.plans.sql import BIG, CELLS, EVENTS, ITEMS, LABELS, condition, with_
@@ -54,7 +54,7 @@ def sampling_audit(spark, sf):
 def template_candidates(spark, sf):
     rows = items(spark, sf)
     made = audits.template_candidates(rows.select(F.col("kind").alias("value")).distinct(), "C_KIND_{value}")
-    return rows.join(F.broadcast(made), F.col("kind") == F.col("value")).groupBy("candidate").agg(F.count("*").alias("n_items"), F.countDistinct("cell_id").alias("n_cells"))
+    return rows.join(made, F.col("kind") == F.col("value")).groupBy("candidate").agg(F.count("*").alias("n_items"), F.countDistinct("cell_id").alias("n_cells"))
 
 
 @query(with_(ITEMS, CELLS) + "SELECT canonical_split, count(*) AS n_items, CAST(sum((canonical_split = 'development')::INT) AS BIGINT) AS labelled, count(DISTINCT CASE WHEN canonical_split = 'development' THEN cell_id END) AS n_labels FROM items GROUP BY 1")
@@ -86,7 +86,7 @@ def count_histograms(spark, sf):
     return audits.count_histograms(labelled(spark, sf), labels.label_items(items(spark, sf), COMPILER, _B))
 
 
-@query(with_(ITEMS, _ACT, _STATE) + "SELECT class, cell_id, count(DISTINCT state) AS states, count(*) AS n FROM sta JOIN (VALUES ('low', 'C_LOW'), ('low', 'C_LOW_AGAIN'), ('mixed', 'C_LOW'), ('mixed', 'C_SIZE_S0')) m(class, candidate) USING (candidate) GROUP BY ALL HAVING count(DISTINCT state) > 1")
+@query(with_(ITEMS, _ACT_ALL, _STATE) + "SELECT class, cell_id, count(DISTINCT state) AS states, count(*) AS n FROM sta JOIN (VALUES ('low', 'C_LOW'), ('low', 'C_LOW_AGAIN'), ('mixed', 'C_LOW'), ('mixed', 'C_SIZE_S0')) m(class, candidate) USING (candidate) GROUP BY ALL HAVING count(DISTINCT state) > 1")
 def separated_classes(spark, sf):
     active = selection.activations(items(spark, sf), COMPILER, CANDIDATES)
     members = spark.createDataFrame([("low", "C_LOW"), ("low", "C_LOW_AGAIN"), ("mixed", "C_LOW"), ("mixed", "C_SIZE_S0")], "class string, candidate string")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lucerna.operators import canonical, evaluation, history, labels, selection, tracing
+from lucerna.functions.ids import hash_uniform
+from lucerna.operators import canonical, evaluation, history, labels, policies, selection, tracing
 from lucerna.plans.catalog_labels import KCS, _HAMMING, labelled
 from lucerna.plans.policy import CANDIDATES
 from lucerna.plans.sql import BIG, CELLS, EVENTS, ITEMS, LABELS, condition, quoted, with_
@@ -176,7 +177,9 @@ def frozen(spark, sf):
     rows = small(spark, sf).join(items(spark, sf).select("item_id", "canonical_split"), "item_id")
     known = history.chronological_split(rows.where("canonical_split = 'development'"))
     start = tracing.initial_mastery(known, KCS)
-    return known, rows.where("canonical_split <> 'development'"), start
+    # learners without development events have no state that a probe could read
+    probes = rows.where("canonical_split <> 'development'").join(known.select("learner").distinct(), "learner", "left_semi")
+    return known, probes, start
 
 
 _FROZEN = with_(ITEMS, LABELS, EVENTS, _NAMES, "small AS (SELECT learner, seq, item_id, correct, canonical_split FROM ev JOIN items USING (item_id))", "hist AS (SELECT * FROM small WHERE canonical_split = 'development')", "probe AS (SELECT * FROM small WHERE canonical_split <> 'development')",
@@ -191,7 +194,7 @@ _FROZEN = with_(ITEMS, LABELS, EVENTS, _NAMES, "small AS (SELECT learner, seq, i
 
 @query(_FROZEN + "SELECT learner, seq, item_id, correct, n_supported, n_cold, round(empirical, 6) AS empirical, round(bkt, 6) AS bkt, round(mean_log_opportunity, 6) AS mean_log_opportunity, fallback FROM fp")
 def frozen_probe(spark, sf):
-    return rounded(tracing.frozen_probes(*frozen(spark, sf)), "empirical", "bkt", "mean_log_opportunity")
+    return rounded(tracing.frozen_probes(*frozen(spark, sf)).drop("kc_ids", "overall"), "empirical", "bkt", "mean_log_opportunity")
 
 
 @query(_FROZEN + "SELECT learner, count(*) AS n_labels, CAST(sum(attempts) AS BIGINT) AS attempts, round(max(mastery), 6) AS top_mastery FROM st GROUP BY 1")
@@ -209,10 +212,17 @@ def representation_support(spark, sf):
     return evaluation.representation_support(out)
 
 
+FEATURES = ["overall_rate", "active_rate", "mean_log_opportunity", "item_difficulty"]
+
+
+def difficulty():
+    return hash_uniform(F.lit(17), F.col("item_id"), low=0.25, high=0.75)
+
+
 @query()
 def logistic(spark, sf):
-    rows = history.chronological_split(history.prior_rates(small(spark, sf)))
-    out = tracing.logistic_predictions(rows, ["overall_rate", "active_rate", "mean_log_opportunity"], KCS)
+    rows = history.chronological_split(history.prior_rates(small(spark, sf))).withColumn("item_difficulty", difficulty())
+    out = tracing.logistic_predictions(rows, FEATURES, KCS)
     return rounded(out.select("learner", "seq", "dataset_split", "logistic"), "logistic")
 
 
@@ -222,10 +232,19 @@ _PART_CELLS = CELLS
 
 
 def _grid(spark, sf):
-    return items(spark, sf)
+    """Realisations that discovery may read."""
+    return items(spark, sf).where("canonical_split = 'development'")
+
 
+def _dev_cells(spark, sf):
+    return cells(spark, sf).where("canonical_split = 'development'")
 
-_ACT = "act AS (" + " UNION ALL ".join(f"SELECT '{c[0]}' AS candidate, cell_id, CAST(sum(({condition(c[6])})::INT) AS BIGINT) AS active, count(*) AS realisations FROM items GROUP BY cell_id" for c in CANDIDATES) + ")"
+
+def act(where: str) -> str:
+    return "act AS (" + " UNION ALL ".join(f"SELECT '{c[0]}' AS candidate, cell_id, CAST(sum(({condition(c[6])})::INT) AS BIGINT) AS active, count(*) AS realisations FROM items WHERE {where} GROUP BY cell_id" for c in CANDIDATES) + ")"
+
+
+_ACT, _ACT_ALL = act("canonical_split = 'development'"), act("TRUE")
 _STATE = "sta AS (SELECT *, CASE WHEN active = realisations THEN 'always' WHEN active = 0 THEN 'never' ELSE 'mixed' END AS state FROM act)"
 
 
@@ -234,9 +253,9 @@ def activation_long(spark, sf):
     return selection.activations(_grid(spark, sf), COMPILER, CANDIDATES)
 
 
-@query(with_(ITEMS, "w AS (SELECT DISTINCT item_id, cell_id, unnest(operations) AS fact FROM items)", "sz AS (SELECT cell_id, count(*) AS n FROM items GROUP BY 1)") + "SELECT cell_id, fact FROM (SELECT cell_id, fact, count(*) AS k FROM w GROUP BY 1, 2) JOIN sz USING (cell_id) WHERE k = n UNION ALL SELECT cell_id, fact FROM (SELECT cell_id, unnest(['kind:' || kind, 'size:' || size]) AS fact FROM (SELECT DISTINCT cell_id, kind, size FROM items))")
+@query(with_(ITEMS, "di AS (SELECT * FROM items WHERE canonical_split = 'development')", "w AS (SELECT DISTINCT item_id, cell_id, unnest(operations) AS fact FROM di)", "sz AS (SELECT cell_id, count(*) AS n FROM di GROUP BY 1)") + "SELECT cell_id, fact FROM (SELECT cell_id, fact, count(*) AS k FROM w GROUP BY 1, 2) JOIN sz USING (cell_id) WHERE k = n UNION ALL SELECT cell_id, fact FROM (SELECT cell_id, unnest(['kind:' || kind, 'size:' || size]) AS fact FROM (SELECT DISTINCT cell_id, kind, size FROM di))")
 def stable_facts(spark, sf):
-    rows = items(spark, sf).withColumn("facts", F.concat("operations", F.array(F.concat(F.lit("kind:"), "kind"), F.concat(F.lit("size:"), "size"))))
+    rows = _grid(spark, sf).withColumn("facts", F.concat("operations", F.array(F.concat(F.lit("kind:"), "kind"), F.concat(F.lit("size:"), "size"))))
     return selection.stable_facts(rows, "facts")
 
 
@@ -250,9 +269,12 @@ _DIAGS = with_(ITEMS, CELLS, _ACT, _STATE, _TABLE, _PARENT, """dg AS (SELECT can
 
 
 def _found(spark, sf):
-    active = selection.activations(_grid(spark, sf), COMPILER, CANDIDATES)
-    tab = selection.candidate_table(spark, CANDIDATES)
-    return active, tab, selection.diagnostics(active, cells(spark, sf).select("cell_id", "n_items"), tab)
+    parts = _parts(spark, sf)
+    return parts["active"], parts["table"], parts["found"]
+
+
+def _parts(spark, sf):
+    return policies.discover(_dev_cells(spark, sf), _grid(spark, sf), COMPILER, CANDIDATES, DIMENSIONS)
 
 
 @query(_DIAGS + "SELECT candidate, cells, any_cells, mixed_cells, items, realisations, scope, reasons, reasons = '' AS eligible FROM dx")
@@ -275,9 +297,8 @@ def _cell_facts(spark, sf):
 
 
 def _covered(spark, sf):
-    active, tab, found = _found(spark, sf)
-    contrasts = canonical.hamming_one(cells(spark, sf), DIMENSIONS)
-    return selection.obligation_coverage(active, tab, cells(spark, sf), _cell_facts(spark, sf), contrasts), tab, found
+    parts = _parts(spark, sf)
+    return parts["coverage"], parts["table"], parts["found"]
 
 
 _DEV = "dev AS (SELECT cell_id FROM cells WHERE canonical_split = 'development')"
@@ -286,8 +307,7 @@ _CON = f"con AS (SELECT left_id, right_id FROM ({_HAMMING}) WHERE left_id IN (FR
 
 @query(with_(ITEMS, CELLS, _DEV, _CON, _CFACTS) + "SELECT 'cell' AS kind, 'cell:' || cell_id AS obligation FROM dev UNION ALL SELECT DISTINCT 'fact', 'fact:' || fact FROM cfacts WHERE cell_id IN (FROM dev) UNION ALL SELECT 'contrast', 'contrast:' || left_id || ':' || right_id FROM con")
 def obligations(spark, sf):
-    all_cells = cells(spark, sf)
-    return selection.obligations(all_cells, _cell_facts(spark, sf).select("cell_id", "fact"), canonical.hamming_one(all_cells, DIMENSIONS))
+    return _parts(spark, sf)["obligations"]
 
 
 @query(_DIAGS.rstrip() + f""", {_DEV}, {_CON}, {_CFACTS}, onn AS (SELECT candidate, cell_id FROM sta WHERE state = 'always' AND cell_id IN (FROM dev))

@@ -68,7 +68,7 @@ def merged_policy(spark, sf):
 def rule_scope(spark, sf):
     fired = labels.edges(labelled(spark, sf)).select("kc").distinct()
     scopes = spark.createDataFrame([(r["kc_id"], operation_scope(r["rule"])) for r in RULES], "kc string, uses_operation boolean")
-    return fired.join(F.broadcast(scopes), "kc")
+    return fired.join(scopes, "kc")
 
 
 def _fact_sql(r: dict) -> str:
@@ -226,12 +226,16 @@ def hamming_contrasts(spark, sf):
     return canonical.hamming_one(cells(spark, sf), DIMENSIONS)
 
 
-@query(with_(ITEMS, CELLS, f"c AS ({_HAMMING})") + "SELECT b.canonical_split AS split, dimension, count(*) AS n FROM c JOIN cells a ON left_id = a.cell_id JOIN cells b ON right_id = b.cell_id WHERE (a.canonical_split = 'development') <> (b.canonical_split = 'development') AND b.canonical_split <> 'development' GROUP BY ALL")
+@query(with_(ITEMS, CELLS, f"c AS ({_HAMMING})") + """SELECT h.split, dimension, count(*) AS n FROM (VALUES ('compositional_holdout'), ('novel_feature_holdout')) h(split), c JOIN cells a ON left_id = a.cell_id JOIN cells b ON right_id = b.cell_id
+ WHERE (a.canonical_split = h.split AND b.canonical_split IN (h.split, 'development')) OR (b.canonical_split = h.split AND a.canonical_split = 'development') GROUP BY ALL""")
 def cross_split_contrasts(spark, sf):
+    # each holdout's cells against those of its own split and of development, every pair once
     all_cells = cells(spark, sf)
     split = lambda side: all_cells.select(F.col("cell_id").alias(f"{side}_id"), F.col("canonical_split").alias(f"{side}_split"))
-    pairs = canonical.hamming_one(all_cells, DIMENSIONS).join(F.broadcast(split("left")), "left_id").join(F.broadcast(split("right")), "right_id")
-    return pairs.where("left_split = 'development' and right_split <> 'development'").groupBy(F.col("right_split").alias("split"), "dimension").agg(F.count("*").alias("n"))
+    pairs = canonical.hamming_one(all_cells, DIMENSIONS).join(split("left"), "left_id").join(split("right"), "right_id")
+    a, b = F.col("left_split"), F.col("right_split")
+    owner = F.when(a == b, a).when(a == "development", b).when(b == "development", a)
+    return pairs.withColumn("split", owner).where("split <> 'development'").groupBy("split", "dimension").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -324,7 +328,7 @@ def set_operations(spark, sf):
     out = None
     for name, df in zip(("both", "unsold", "repeated", "suppliers"), sizes, strict=True):
         one = df.agg(F.count("*").alias(name))
-        out = one if out is None else out.crossJoin(F.broadcast(one))
+        out = one if out is None else out.crossJoin(one)
     return out
 
 

@@ -24,8 +24,10 @@ def write_jsonl(df: DataFrame, path: str, sort_keys: bool = False) -> None:
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """A one-row report as one JSON object."""
-    df.limit(1).coalesce(1).write.option("ignoreNullFields", "false").json(path)
+    """A one-row report as one JSON object; more or fewer rows are an error."""
+    if len(df.head(2)) != 1:
+        raise ValueError("a report has one row")
+    df.coalesce(1).write.option("ignoreNullFields", "false").json(path)
 
 
 def write_wide_csv(df: DataFrame, path: str, key: str) -> None:
