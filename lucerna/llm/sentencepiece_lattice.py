@@ -6,6 +6,7 @@ Viterbi scores are exact heuristics for a backward A-star search, which therefor
 order of score. No piece has a word mark after another character, holds a line feed, or joins certain
 signs to letters, so the lattice falls apart into chunks at these places (checked when the model is read): a chunk's paths are searched
 alone and kept for its later occurrences, and the N best of a text are the N best sums over its chunks.
+The first two results of new chunks are searched for in lockstep: one numpy step advances the search in all of them.
 
 Encoding: a word mark is put before the text, and stands for each space. Decoding is exact for every
 text: a literal U+2581 has no piece here and is spelled in bytes. Ties go to the longer last piece.
@@ -25,15 +26,21 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lucerna.llm.common import slices, utf8
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Stands in the lattice for a literal word mark of the text (a lone surrogate, which no text holds).
 _LITERAL = "\ud800"
-#: Chunks in each of the two generations of paths that a worker keeps.
-KEPT_CHUNKS = 250_000
+#: Chunks in each of the two generations of paths that a worker keeps; longest chunk that is kept, in characters;
+#: and characters searched in lockstep at once.
+KEPT_CHUNKS, KEPT_CHARS, AT_ONCE = 250_000, 64, 1 << 19
+#: Parts the chunks searched in lockstep (no character).
+_END = 0x110000
 
 
 def _signs(pieces: list[str]) -> str:
@@ -64,9 +71,26 @@ class Lattice:
         self.raw = {i: t.replace(MARK, " ").encode() for t, _, i in pieces} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
         signs = re.escape(_signs([t for t, _, _ in pieces]))
         self.chunks = re.compile(f"{MARK}*[^{MARK}\n{signs}]+|{MARK}*[{signs}]+|{MARK}+|\n")
-        self.best: dict[str, tuple] = {}
-        self.older: dict[str, tuple] = {}
-        self.others: dict[tuple[str, int], list] = {}
+        names = ["", *self.scores]
+        place = {p: i for i, p in enumerate(names)}
+        steps = sorted((place[p[:-1]] << 21 | ord(p[-1]), i) for p, i in place.items() if p)
+        #: The pieces' trie: (node, character) in order, where it leads, and each node's piece; the last two
+        #: pieces are a character that none covers, and no edge at all.
+        self.steps, self.leads = (np.array(c, np.int64) for c in zip(*steps, strict=True))
+        many = max(i for _, _, i in pieces) + 1
+        self.plain, self.no_edge = many, many + 1
+        self.node_piece = np.array([self.no_edge, *[v[1] if v else self.no_edge for v in self.scores.values()]], np.int32)
+        self.piece_scores = np.full(many + 2, -np.inf)
+        for _, score, i in pieces:
+            self.piece_scores[i] = score
+        self.piece_scores[self.plain] = self.lowest
+        self.longest = max(len(t) for t, _, _ in pieces)
+        top = max(self.raw) + 1
+        self.raw_bytes = pa.array([self.raw.get(i, b"") for i in range(top)], pa.large_binary())
+        #: Paths of chunks: (ids as int32 bytes, score, loss of the second best).
+        self.best: dict[str, tuple[bytes, float, float]] = {}
+        self.older: dict[str, tuple[bytes, float, float]] = {}
+        self.others: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
 
     @classmethod
     def read(cls, path: str = MODEL) -> Lattice:
@@ -106,18 +130,88 @@ class Lattice:
     def spell(self, i: int, char: str) -> tuple[int, ...]:
         return (i,) if i >= 0 else tuple(self.byte_ids[b] for b in char.replace(_LITERAL, MARK).encode())
 
-    def path(self, chunk: str) -> tuple[tuple[int, ...], float, float]:
-        """Ids of the best path, its score, and the loss of the second best (inf without one)."""
-        if (known := self.best.get(chunk)) is not None:
-            return known
-        if len(self.best) >= KEPT_CHUNKS:
+    def path(self, chunk: str) -> tuple[bytes, float, float]:
+        """Ids of the best path, its score, and the loss of the second best (inf without one), of one chunk."""
+        found = self._search(chunk, 2)
+        return np.array(found[0][1], np.int32).tobytes(), found[0][0], found[0][0] - found[1][0] if len(found) > 1 else np.inf
+
+    def learn(self, chunks: list[str]) -> dict[str, tuple[bytes, float, float]]:
+        """The paths of these chunks; those of up to KEPT_CHARS characters are kept for later calls."""
+        new, out = [], {}
+        for c in set(chunks):
+            if (known := self.best.get(c) or self.older.get(c)) is not None:
+                out[c] = known
+            else:
+                new.append(c)
+        if len(self.best) + len(new) > KEPT_CHUNKS:
             self.older, self.best = self.best, {}
-        known = self.older.get(chunk)
-        if known is None:
-            found = self._search(chunk, 2)
-            known = found[0][1], found[0][0], found[0][0] - found[1][0] if len(found) > 1 else np.inf
-        self.best[chunk] = known
-        return known
+        short = sorted((c for c in new if len(c) <= KEPT_CHARS), key=len, reverse=True)
+        at, size = 0, 0
+        for i, c in enumerate(short):
+            size += len(c) + 1
+            if size >= AT_ONCE or i == len(short) - 1:
+                self.best.update(zip(short[at : i + 1], self._lockstep(short[at : i + 1]), strict=True))
+                at, size = i + 1, 0
+        for c in new:
+            out[c] = self.best[c] if len(c) <= KEPT_CHARS else self.path(c)
+        return out
+
+    def _lockstep(self, chunks: list[str]) -> list[tuple[bytes, float, float]]:
+        """path() of many chunks, the longest first, by the same sums in the same order."""
+        sizes = np.array([len(c) for c in chunks])
+        base = np.cumsum(sizes + 1) - sizes - 1
+        signs = np.frombuffer("".join(c + "\0" for c in chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        signs[base + sizes] = _END
+        # pieces by length and first character: every place walks down the trie as far as it leads
+        edge = np.full((self.longest + 1, len(signs)), self.no_edge, np.int32)
+        live, node, lengths = np.flatnonzero(signs != _END), np.zeros(len(signs) - len(chunks), np.int64), []
+        for d in range(1, self.longest + 1):
+            key = node << 21 | signs[live + d - 1]
+            at = np.minimum(np.searchsorted(self.steps, key), len(self.steps) - 1)
+            on = self.steps[at] == key
+            if d == 1:
+                edge[1, live] = self.plain
+            live, node = live[on], self.leads[at[on]]
+            piece = self.node_piece[node]
+            has = piece != self.no_edge
+            edge[d, live[has]] = piece[has]
+            if d == 1 or has.any():
+                lengths.append(d)
+            if len(live) == 0:
+                break
+        # forward Viterbi: the best and second best way into each place, and the last piece's length on the best
+        first, second, step = np.zeros(len(signs)), np.full(len(signs), -np.inf), np.zeros(len(signs), np.int64)
+        for r in range(1, int(sizes[0]) + 1):
+            here = base[: int(np.searchsorted(-sizes, -r, side="right"))] + r
+            best, other, length = np.full(len(here), -np.inf), np.full(len(here), -np.inf), np.zeros(len(here), np.int64)
+            for d in reversed(lengths):
+                if d <= r:
+                    score = first[here - d] + self.piece_scores[edge[d, here - d]]
+                    better = score > best
+                    other = np.where(better, best, np.maximum(other, score))
+                    best = np.where(better, score, best)
+                    length[better] = d
+            first[here], second[here], step[here] = best, other, length
+        # backward: the first state popped is followed to the start, and the best other state is left open
+        ends = base + sizes
+        place, done, open_, who = ends.copy(), np.zeros(len(chunks)), np.full(len(chunks), -np.inf), np.arange(len(chunks))
+        owners, pieces = [], []
+        while len(who):
+            at = place[who]
+            open_[who] = np.maximum(open_[who], second[at] + done[who])
+            piece = edge[step[at], at - step[at]]
+            done[who] += self.piece_scores[piece]
+            place[who] = at - step[at]
+            owners.append(who)
+            pieces.append(piece)
+            who = who[place[who] > base[who]]
+        owner, piece = np.concatenate(owners[::-1]), np.concatenate(pieces[::-1])
+        order = np.argsort(owner, kind="stable")
+        owner, ids = owner[order], piece[order].astype(np.int32)
+        bounds = (4 * np.searchsorted(owner, np.arange(len(chunks) + 1))).tolist()
+        spelled = set(owner[ids == self.plain].tolist())
+        raw, total, loss = ids.tobytes(), first[ends].tolist(), (first[ends] - open_).tolist()
+        return [self.path(c) if i in spelled else (raw[bounds[i] : bounds[i + 1]], total[i], loss[i]) for i, c in enumerate(chunks)]
 
     def _search(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best (score, ids) of a chunk: backward A-star under the forward scores.
@@ -164,12 +258,14 @@ class Lattice:
                 return out
             state = open_.pop(0)
 
-    def nbest(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best (score, ids) of a chunk, kept."""
+    def nbest(self, chunk: str, n: int) -> list[tuple[float, bytes]]:
+        """The n best (score, ids as int32 bytes) of a chunk, kept."""
         if (known := self.others.get((chunk, n))) is None:
+            known = [(score, np.array(ids, np.int32).tobytes()) for score, ids in self._search(chunk, n)]
             if len(self.others) >= KEPT_CHUNKS // 8:
                 self.others.clear()
-            known = self.others[(chunk, n)] = self._search(chunk, n)
+            if len(chunk) <= KEPT_CHARS:
+                self.others[(chunk, n)] = known
         return known
 
     def split(self, text: str) -> list[str]:
@@ -177,45 +273,40 @@ class Lattice:
             return []
         return self.chunks.findall(MARK + text.replace(MARK, _LITERAL).replace(" ", MARK))
 
-    def _merged(self, text: str, n: int) -> tuple[list[tuple[int, ...]], list[tuple[float, list[tuple[int, int]]]], list[str]]:
-        """Ids of the best path by chunk; the n best as (score, [(chunk number, its choice)]), best first; chunks."""
-        chunks = self.split(text)
-        known = self.best.get
-        paths = [known(c) or self.path(c) for c in chunks]
-        total = float(sum([p[1] for p in paths]))
-        best = [(total, [])]
-        if n > 1:
+    def segmentations(self, texts: list[str], n: int) -> list[list[tuple[float, bytes]]]:
+        """The n best (score, ids as int32 bytes) of each text, best first."""
+        cut = [self.split(t) for t in texts]
+        known = self.learn(list(chain.from_iterable(cut)))
+        return [self._merged(chunks, [known[c] for c in chunks], n) for chunks in cut]
+
+    def _merged(self, chunks: list[str], paths: list[tuple[bytes, float, float]], n: int) -> list[tuple[float, bytes]]:
+        parts = [p[0] for p in paths]
+        best = [(float(sum([p[1] for p in paths])), ())]
+        if n > 1 and chunks:
             # a segmentation that leaves the best path elsewhere than at the n-1 cheapest chunks has n-1 better ones
-            losses = [p[2] for p in paths]
-            for k in heapq.nsmallest(n - 1, range(len(losses)), key=losses.__getitem__):
-                scores = [s for s, _ in self.nbest(chunks[k], n)]
-                sums = [(s - scores[0] + x, [*pick, (k, c)] if c else pick) for s, pick in best for c, x in enumerate(scores)]
-                best = heapq.nlargest(n, sums, key=lambda x: x[0])
-        return [p[0] for p in paths], best, chunks
-
-    def encode(self, text: str, n: int = 1) -> tuple[list[int], list[tuple[float, list[tuple[int, int]]]], list[str]]:
-        """Ids of the best segmentation; the n best as (score, [(chunk number, its choice)]), best first."""
-        parts, best, chunks = self._merged(text, n)
-        return list(chain.from_iterable(parts)), best, chunks
-
-    def segmentations(self, text: str, n: int) -> list[tuple[float, list[int]]]:
-        """The n best (score, ids) of a text, best first."""
-        parts, best, chunks = self._merged(text, n)
+            losses = np.array([p[2] for p in paths])
+            for k in np.argsort(losses, kind="stable")[: n - 1].tolist():
+                if losses[k] < np.inf:
+                    others = self.nbest(chunks[k], n)
+                    sums = [(s - others[0][0] + x, (*pick, (k, ids)) if c else pick) for s, pick in best for c, (x, ids) in enumerate(others)]
+                    best = heapq.nlargest(n, sums, key=lambda x: x[0])
         out = []
         for score, choices in best:
-            mine = parts.copy()
-            for k, c in choices:
-                mine[k] = self.nbest(chunks[k], n)[c][1]
-            out.append((score, list(chain.from_iterable(mine))))
+            mine = parts
+            if choices:
+                mine = parts.copy()
+                for k, ids in choices:
+                    mine[k] = ids
+            out.append((score, b"".join(mine)))
         return out
 
-    def segmentation(self, chunks: list[str], choices: list[tuple[int, int]], n: int) -> list[int]:
-        """Ids of one of the n best."""
-        other = dict(choices)
-        return list(chain.from_iterable(self.nbest(c, n)[other[k]][1] if k in other else self.path(c)[0] for k, c in enumerate(chunks)))
-
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.raw.__getitem__, ids)).decode()[1:]
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """The bytes of id lists that lie end to end between `bounds`, each with the mark before its text."""
+        taken = self.raw_bytes.take(pa.array(ids, pa.int32()))
+        _, offsets, data = taken.buffers()
+        at = np.frombuffer(offsets, np.int64)[taken.offset + bounds].tolist()
+        data = memoryview(data) if data is not None else b""
+        return [bytes(data[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 #: Lattices of this worker process: the paths they keep serve all its tasks.
@@ -240,21 +331,26 @@ def _encoder(vocabulary: tuple, n: int):
         lattice = _lattice(*vocabulary)
         for batch in batches:
             kept = [k for k in batch.schema.names if k != "text"]
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                counts, scores, ids, exact = [], [], [], []
-                for text in part.column("text").to_pylist():
-                    best = [] if text is None else lattice.segmentations(text, n)
-                    counts.append(len(best))
-                    scores.extend([s for s, _ in best])
-                    ids.extend([np.array(one, np.int32) for _, one in best])
-                    exact.append(None if text is None else all(lattice.decode(one) == text for _, one in best))
-                paths = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids) if ids else [], pa.int32()))
+            _, offsets = utf8(batch.column("text"))
+            for lo, hi in slices(offsets, AT_ONCE):
+                part = batch.slice(lo, hi - lo)
+                texts = part.column("text").to_pylist()
+                best = lattice.segmentations([t or "" for t in texts], n)
+                counts = [0 if t is None else len(b) for t, b in zip(texts, best, strict=True)]
+                every = [x for t, b in zip(texts, best, strict=True) if t is not None for x in b]
+                bounds = np.cumsum([0, *(len(ids) // 4 for _, ids in every)])
+                ids = np.frombuffer(b"".join([x for _, x in every]), np.int32)
+                wanted = [b" " + t.encode() if t else b"" for t, c in zip(texts, counts, strict=True) for _ in range(c)]
+                right = np.array([a == b for a, b in zip(lattice.decode(ids, bounds), wanted, strict=True)], bool)
+                ends = np.cumsum([0, *counts])
+                wrong = np.append(0, np.cumsum(~right))
+                exact = pa.array([None if t is None else bool(wrong[a] == wrong[b]) for t, a, b in zip(texts, ends[:-1], ends[1:], strict=True)], pa.bool_())
+                paths = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
                 nbest = pa.ListArray.from_arrays(
-                    pa.array(np.cumsum([0, *counts]), pa.int32()), pa.StructArray.from_arrays([pa.array(scores, pa.float64()), paths], names=["score", "ids"]),
+                    pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array([s for s, _ in every], pa.float64()), paths], names=["score", "ids"]),
                     mask=part.column("text").is_null(),
                 )
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), nbest, pa.array(exact, pa.bool_())], names=[*kept, "nbest", "round_trip"])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), nbest, exact], names=[*kept, "nbest", "round_trip"])
 
     return encode
 
@@ -271,7 +367,11 @@ def _decoder(vocabulary: tuple):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _lattice(*vocabulary)
         for batch in batches:
-            texts = [None if x is None else lattice.decode(x) for x in batch.column("ids").to_pylist()]
+            column = batch.column("ids")
+            flat = column.flatten()  # leaves nulls out
+            bounds = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)))
+            texts = [x[1:].decode() for x in lattice.decode(flat.to_numpy(zero_copy_only=False), bounds.astype(np.int64))]
+            texts = [t if ok else None for t, ok in zip(texts, column.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return decode
