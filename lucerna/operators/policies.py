@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lucerna.functions.rules import Compiler
 from lucerna.operators import audits, canonical, labels, selection
 from lucerna.operators.guards import require_none
+from lucerna.sources.cuts import cut
 
 Candidate = tuple
 
@@ -87,7 +88,7 @@ def discover(cells: DataFrame, grid: DataFrame, compiler: Compiler, candidates:
     """Everything that selection reads, from development rows alone; others are refused."""
     cells, grid = development_only(cells, "cells"), development_only(grid, "realisations")
     table = selection.candidate_table(cells.sparkSession, candidates)
-    active = selection.activations(grid, compiler, candidates)
+    active = cut(selection.activations(grid, compiler, candidates))  # cells x candidates: what all that follows reads
     found = selection.diagnostics(active, cells.select("cell_id", "n_items"), table)
     facts = cells.select("cell_id", "canonical_split", F.explode(F.array(*[F.concat(F.lit(f"{d}:"), F.col(d)) for d in dimensions])).alias("fact"))
     contrasts = canonical.hamming_one(cells, dimensions)
@@ -155,9 +156,13 @@ def labelled_by(mode: str, items: DataFrame, cells: DataFrame, compiler: Compile
     return labels.label_items(items, compiler, rules)
 
 
-def freeze(spark, policy_id: str, rules: list[dict], path: str) -> DataFrame:
-    """Write the policy and read it back: what is evaluated is what was written before any holdout was read."""
-    spark.createDataFrame([(policy_id, i, r["kc_id"], json.dumps(r, sort_keys=True)) for i, r in enumerate(rules)], "policy_id string, position long, kc string, rule string").write.parquet(path)
+def freeze(spark, policy_id: str, rules: list[dict], path: str | None = None) -> DataFrame:
+    """Write the policy (to the checkpoint folder without a path) and read it back: what is evaluated is what
+    was written before any holdout was read."""
+    table = spark.createDataFrame([(policy_id, i, r["kc_id"], json.dumps(r, sort_keys=True)) for i, r in enumerate(rules)], "policy_id string, position long, kc string, rule string")
+    if path is None:
+        return cut(table)
+    table.write.parquet(path)
     return spark.read.parquet(path)
 
 

@@ -1,6 +1,7 @@
 """All registered queries of the library and their SQL."""
 
-from lucerna.plans import catalog_audits, catalog_history, catalog_labels
+from lucerna.plans import catalog_audits, catalog_guards, catalog_history, catalog_labels, catalog_policies
 
-QUERIES = {**catalog_labels.QUERIES, **catalog_history.QUERIES, **catalog_audits.QUERIES}
-ORACLES = {**catalog_labels.ORACLES, **catalog_history.ORACLES, **catalog_audits.ORACLES}
+_PARTS = (catalog_labels, catalog_history, catalog_audits, catalog_guards, catalog_policies)
+QUERIES = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
