@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lucerna.functions import ids
 from lucerna.functions.positions import with_positions
 from lucerna.functions.rules import Compiler, facts, merged, operation_scope
-from lucerna.operators import canonical, curation, evaluation, history, labels, selection, tracing
+from lucerna.operators import canonical, curation, evaluation, guards, history, labels, policies, selection, tracing
 from lucerna.sources import files
 
 C = Compiler({"a": "a", "b": "b"})
@@ -254,3 +254,188 @@ def test_entry_contract(spark, tables):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+# Guards
+
+def events_of(spark, rows):
+    return spark.createDataFrame(rows, "event_id long, learner string, item_id long, seq long, correct int")
+
+
+def test_exact_projection_refuses_what_does_not_cover(spark):
+    events = events_of(spark, [(1, "a", 1, 1, 1), (2, "a", 2, 2, 0)])
+    marked = spark.createDataFrame([(1, ["K"]), (2, [])], "item_id long, kc_ids array<string>")
+    assert {(r.event_id, tuple(r.kc_ids)) for r in guards.exact_projection(events, marked).collect()} == {(1, ("K",)), (2, ())}
+    for bad_events, bad_marks in [(events, marked.where("item_id = 1")), (events.where("item_id = 1"), marked), (events, marked.union(marked)), (events.union(events), marked)]:
+        with pytest.raises(ValueError):
+            guards.exact_projection(bad_events, bad_marks)
+
+
+def test_lookup_and_probes_fail_on_unknown_keys(spark):
+    left, known = spark.createDataFrame([(1,), (2,)], "k long"), spark.createDataFrame([(1, "x")], "k long, v string")
+    assert guards.lookup(left.where("k = 1"), known, "k").collect()[0].v == "x"
+    with pytest.raises(Exception, match="unknown k"):
+        guards.lookup(left, known, "k").collect()
+    history_ = spark.createDataFrame([("a", 1, 1, 1, ["K"], "train")], "learner string, seq long, item_id long, correct int, kc_ids array<string>, dataset_split string")
+    probes = history_.withColumn("learner", F.lit("nobody")).drop("dataset_split")
+    with pytest.raises(Exception, match="unknown learner"):
+        tracing.frozen_probes(history_, probes, tracing.initial_mastery(history_, ["K"])).collect()
+
+
+def test_paired_predictions_are_of_the_same_events(spark):
+    rows = spark.createDataFrame([(1, "a", 1, 1, 0.5), (2, "a", 2, 0, 0.4)], "event_id long, learner string, item_id long, correct int, p double")
+    assert guards.paired_predictions(rows, rows, "p").count() == 2
+    for other in (rows.where("event_id = 1"), rows.withColumn("correct", 1 - F.col("correct")), rows.withColumn("learner", F.lit("b"))):
+        with pytest.raises(Exception):
+            guards.paired_predictions(rows, other, "p").collect()
+
+
+def test_pairs_partitions_and_grids_must_be_whole(spark):
+    units = spark.createDataFrame([("u2", "u1"), ("u1", None)], "unit_id string, duplicate_of string")
+    outputs = spark.createDataFrame([("u1", 1), ("u2", 2)], "unit_id string, x int")
+    assert one(guards.paired_units(units, outputs)).repeat.x == 2
+    with pytest.raises(Exception, match="incomplete pair"):
+        guards.paired_units(units, outputs.where("unit_id = 'u1'")).collect()
+    cells = spark.createDataFrame([("c1",), ("c2",)], "cell_id string")
+    splits = spark.createDataFrame([("c1", "development"), ("c2", "novel_feature_holdout")], "cell_id string, canonical_split string")
+    assert guards.partition_by_split(cells, splits).count() == 2
+    for bad in (splits.where("cell_id = 'c1'"), splits.withColumn("canonical_split", F.lit("other")), splits.withColumn("canonical_split", F.lit("novel_feature_holdout"))):
+        with pytest.raises(ValueError):
+            guards.partition_by_split(cells, bad)
+    frames = spark.createDataFrame([("f",)], "frame string")
+    with pytest.raises(ValueError, match="without a realisation"):
+        canonical.whole_grid(cells, frames, F.col("cell_id") == "c1")
+
+
+def test_items_must_have_labels_where_asked(spark):
+    items = spark.createDataFrame([(1, "x", "y", [], "development"), (2, "z", "y", [], "novel_feature_holdout")], "item_id long, a string, b string, operations array<string>, canonical_split string")
+    rules = [{"kc_id": "K", "rule": {"cell": {"a": "x"}}}]
+    assert labels.covered_items(items, C, rules).count() == 2
+    with pytest.raises(Exception, match="no label"):
+        labels.covered_items(items, C, rules, every=True).collect()
+    with pytest.raises(Exception, match="no label"):
+        labels.covered_items(items.withColumn("a", F.lit("q")), C, rules).collect()
+
+
+def test_sample_minimum(spark):
+    df = spark.createDataFrame([(i, "x") for i in range(5)], "k long, g string")
+    assert curation.stratified_sample(df, [{"where": {"g": "x"}, "quota": 4, "minimum": 3}], "k").count() == 4
+    for stratum in ({"where": {"g": "y"}, "quota": 4, "minimum": 1}, {"where": {"g": "x"}, "quota": 2, "minimum": 3}):
+        with pytest.raises(ValueError):
+            curation.stratified_sample(df, [stratum], "k")
+
+
+def test_a_report_has_one_row(spark, tmp_path):
+    df = spark.createDataFrame([(1,), (2,)], "x int")
+    with pytest.raises(ValueError):
+        files.write_report(df, str(tmp_path / "two"))
+    files.write_report(df.limit(1), str(tmp_path / "one"))
+
+
+# Policies
+
+def selection_case(spark):
+    cells = spark.createDataFrame([(f"c{i}", a, b, split, 2) for i, (a, b, split) in enumerate([("x", "p", "development"), ("x", "q", "development"), ("y", "p", "development"), ("y", "q", "compositional_holdout"), ("z", "p", "novel_feature_holdout")])], "cell_id string, a string, b string, canonical_split string, n_items long")
+    candidates = policies.from_template(("A_{VALUE}", 0, 1, 1, "a:{value}"), "a", ["x", "y", "z"]) + policies.from_template(("B_{VALUE}", 0, 1, 1, "b:{value}"), "b", ["p", "q"])
+    return cells, cells.withColumn("operations", F.array().cast("array<string>")), policies.interactions(candidates, [("A_X_B_P", "A_X", "B_P")])
+
+
+def test_discovery_refuses_holdouts_and_ignores_their_content(spark):
+    cells, grid, candidates = selection_case(spark)
+    dev = "canonical_split = 'development'"
+    with pytest.raises(ValueError):
+        policies.discover(cells, grid.where(dev), C, candidates, ["a", "b"])
+    with pytest.raises(ValueError):
+        policies.discover(cells.where(dev), grid, C, candidates, ["a", "b"])
+    chosen = []
+    for changed in (cells, cells.withColumn("a", F.when(F.col("canonical_split") != "development", "w").otherwise(F.col("a")))):
+        rows = changed.where(dev)
+        parts = policies.discover(rows, rows.withColumn("operations", F.array().cast("array<string>")), C, candidates, ["a", "b"])
+        trace = policies.select_policy(parts)
+        chosen.append(sorted((r.candidate, r.status) for r in trace.collect()))
+        state = {r.candidate: (r.status, r.reason) for r in policies.statuses(trace, parts["found"], parts["coverage"]).collect()}
+        assert state["A_Z"][0] == "ineligible" and "too few cells" in state["A_Z"][1]
+        kept = {c for c, (s, _) in state.items() if s == "selected"}
+        total = one(policies.objective(trace, parts["found"], parts["table"]))
+        assert total.n_labels == len(kept) == 4 and kept == {"A_X", "A_Y", "B_P", "B_Q"} and total.n_interactions == 0 and total.least_cells == 1
+    assert chosen[0] == chosen[1]
+
+
+def test_uncoverable_obligations_are_an_error(spark):
+    cells, grid, candidates = selection_case(spark)
+    dev = "canonical_split = 'development'"
+    parts = policies.discover(cells.where(dev), grid.where(dev), C, [c for c in candidates if not c[0].startswith("B_") and not c[4]], ["a", "b"])
+    with pytest.raises(ValueError, match="obligations"):
+        policies.select_policy(parts)
+
+
+def test_interactions_need_two_known_parents():
+    known = policies.from_template(("A_{value}", 0, 1, 1, "a:{value}"), "a", ["x", "y"])
+    assert policies.interactions(known, [("I", "A_x", "A_y")])[-1][3] == 3
+    for parents in (("A_x",), ("A_x", "A_x"), ("A_x", "A_q")):
+        with pytest.raises(ValueError):
+            policies.interactions(known, [("I", *parents)])
+
+
+def test_frozen_policy_is_read_back_as_written(spark, tmp_path):
+    _, _, candidates = selection_case(spark)
+    name, rules = policies.compile_policy(["A_X", "B_P"], candidates)
+    assert policies.thawed(policies.freeze(spark, name, rules, str(tmp_path / "p"))) == rules == policies.thawed(policies.freeze(spark, name, rules))
+    assert policies.compile_policy(["B_P", "A_X"], list(reversed(candidates)))[0] == name
+
+
+def test_transfer_of_the_fixture_case(spark):
+    cells, _, candidates = selection_case(spark)
+    _, rules = policies.compile_policy(["A_X", "A_Y", "B_P", "B_Q"], candidates)
+    facts = cells.select("cell_id", "canonical_split", F.explode(F.array(F.concat(F.lit("a:"), "a"), F.concat(F.lit("b:"), "b"))).alias("fact"))
+    out = {r.canonical_split: r for r in policies.transfer(cells, rules, C, facts, canonical.hamming_one(cells, ["a", "b"])).collect()}
+    assert (out["compositional_holdout"].fact_recall, out["compositional_holdout"].reused_cells, out["compositional_holdout"].witness_preservation) == (1.0, 1, 1.0)
+    assert (out["novel_feature_holdout"].fact_recall, out["novel_feature_holdout"].contrast_preservation) == (0.5, 1.0)
+
+
+# Compositional probes
+
+def test_component_case_and_empty_holdout(spark):
+    schema = "event_id long, learner string, seq long, item_id long, correct int, kc_ids array<string>, dataset_split string"
+    known = spark.createDataFrame([(1, "a", 1, 1, 1, ["K"], "train"), (2, "a", 2, 1, 1, ["K"], "train")], schema)
+    probes = spark.createDataFrame([(3, "a", 3, 2, 1, ["K"], None), (4, "a", 4, 2, 0, ["K", "COLD"], None)], schema).drop("dataset_split")
+    out = {r.seq: r for r in tracing.frozen_probes(known, probes, tracing.initial_mastery(known, ["K", "COLD"])).collect()}
+    assert out[3].empirical == 0.75 and out[3].fallback == "none" and out[4].fallback == "cold_label"
+    assert {(r.seq, r.kc): r.opportunity for r in tracing.probe_opportunities(known, probes).collect()} == {(3, "K"): 3, (4, "K"): 3, (4, "COLD"): 1}
+    labelled = spark.createDataFrame([(1, ["K"], "development"), (2, ["K", "COLD"], "compositional_holdout")], "item_id long, kc_ids array<string>, canonical_split string")
+    rows = {r.event_id: r for r in tracing.compositional_projection(known.drop("dataset_split"), probes, labelled).collect()}
+    assert rows[2].indices == {"K": 2} and rows[2].fully_supported and rows[4].cold == ["COLD"] and not rows[4].fully_supported
+    assert one(tracing.compositional_result(known, probes.limit(0), lambda h, p: p)).status == tracing.NOT_APPLICABLE
+
+
+def test_long_chains_equal_a_plain_fold(spark):
+    rnd = random.Random(8)
+    answers = [rnd.randint(0, 1) for _ in range(150)]
+    known = spark.createDataFrame([(i, "a", i + 1, 1, y, ["K"], "train") for i, y in enumerate(answers)], "event_id long, learner string, seq long, item_id long, correct int, kc_ids array<string>, dataset_split string")
+    start = spark.createDataFrame([("K", 0.3)], "kc string, initial double")
+    got = [r.mastery for r in tracing.mastery_before(known, start).orderBy("seq").collect()]
+    m, want = 0.3, []
+    for y in answers:
+        want.append(m)
+        m = m * 0.9 / (m * 0.9 + (1 - m) * 0.2) if y else m * 0.1 / (m * 0.1 + (1 - m) * 0.8)
+        m += (1 - m) * 0.04
+    assert got == pytest.approx(want, abs=1e-12)
+
+
+def test_logistic_is_at_the_optimum_of_its_loss(spark):
+    import numpy as np
+
+    rnd = random.Random(2)
+    rows = [(i, rnd.random(), ["K"] if rnd.random() < 0.5 else [], "train") for i in range(300)]
+    rows = [(i, x, k, s, int(rnd.random() < 0.2 + 0.6 * x)) for i, x, k, s in rows]
+    df = spark.createDataFrame(rows, "event_id long, x double, kc_ids array<string>, dataset_split string, correct int").withColumn("overall", F.lit(0.5))
+    out = {r.event_id: r.logistic for r in tracing.logistic_predictions(df, ["x"], ["K"], fallback="overall").collect()}
+    assert all(out[i] == 0.5 for i, _, k, _, _ in rows if not k)
+    # Newton's method on the same penalised loss: sum of log losses + |w|^2 / 2 with the intercept free
+    z, y = np.array([[1.0, x, len(k), float("K" in k)] for _, x, k, _, _ in rows]), np.array([r[4] for r in rows])
+    w, ridge = np.zeros(4), np.diag([0.0, 1.0, 1.0, 1.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z @ w))
+        w -= np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + ridge, z.T @ (p - y) + ridge @ w)
+    want = 1 / (1 + np.exp(-z @ w))
+    assert max(abs(out[i] - want[i]) for i, _, k, _, _ in rows if k) < 1e-4
