@@ -89,11 +89,15 @@ def implication_violations(spark, sf):
     return items(spark, sf).select("item_id", F.explode(curation.implication_errors(COMPILER, IMPLICATIONS)).alias("error"))
 
 
-@query(with_(EVENTS) + "SELECT CASE WHEN item_id < 0 THEN 'x' ELSE 'ok' END AS verdict, count(*) AS n FROM ev GROUP BY 1")
+@query(with_(EVENTS, """bad AS (SELECT event_id, CASE WHEN item_id % 11 = 0 THEN NULL ELSE item_id END AS item_id, seq - 1 AS seq, CASE WHEN item_id % 7 = 0 THEN 2 ELSE correct END AS correct, CASE WHEN item_id % 13 = 0 THEN NULL ELSE ts END AS ts FROM ev)""") + """SELECT verdict, count(*) AS n FROM (SELECT coalesce(nullif(array_to_string(list_filter([
+  CASE WHEN item_id IS NULL THEN 'missing id' END, CASE WHEN correct IS NULL OR correct NOT IN (0, 1) THEN 'outcome is not 0 or 1' END, CASE WHEN seq < 1 THEN 'sequence is not positive' END, CASE WHEN ts IS NULL THEN 'no time' END], lambda x: x IS NOT NULL), ';'), ''), 'ok') AS verdict FROM bad) GROUP BY 1""")
 def record_checks(spark, sf):
-    events = curation.reject_leaks(interactions(spark, sf))
-    verdict = F.when(F.size(curation.event_errors()) == 0, "ok").otherwise(F.array_join(curation.event_errors(), ";"))
-    return events.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
+    # events numbered from 0, some of them without item or time or with an outcome that is none
+    item = F.col("item_id")
+    events = curation.reject_leaks(interactions(spark, sf)).select(
+        "event_id", "learner", F.when(item % 11 != 0, item).alias("item_id"), (F.col("seq") - 1).alias("seq"), F.when(item % 13 != 0, F.col("ts")).alias("ts"), F.when(item % 7 == 0, 2).otherwise(F.col("correct")).alias("correct"))
+    errors = F.array_join(curation.event_errors(), ";")
+    return events.groupBy(F.when(errors == "", "ok").otherwise(errors).alias("verdict")).agg(F.count("*").alias("n"))
 
 
 @query(with_(ITEMS) + "SELECT item_id, array_to_string(list_filter([CASE WHEN kind NOT IN ('ECONOMY', 'SMALL', 'PROMO') THEN 'kind is not allowed' END, CASE WHEN size NOT IN ('S0', 'S1', 'S2', 'S3') THEN 'size is not allowed' END], lambda x: x IS NOT NULL), ';') AS errors FROM items")
