@@ -33,9 +33,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("k"))
-    return docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("k")), "left_semi")
+    """One document of each group of near duplicates, the one with the smallest doc_id; null is larger than any.
+
+    Rows whose ids are null or repeat are told apart by id and text; rows equal in both are copies like
+    others. Documents without words link with nothing and stay.
+    """
+    rows = docs.select(*COLUMNS)
+    ids = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    if ids.isEmpty():
+        kept = near_duplicates(rows).where("kept").select(F.col("doc_id").alias("k"))
+        return rows.join(kept, F.col("doc_id") == F.col("k"), "left_semi")
+    rows = rows.withColumn("_key", F.xxhash64("doc_id", "text"))
+    found = near_duplicates(rows.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_k"), "component_id", (F.col("n_shingles") > 0).alias("words")).distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key"))
+    own = checkpoint(rows.select("doc_id", "_key").distinct().join(found, F.col("_key") == F.col("_k")).groupBy("component_id").agg(first.alias("first"), F.max("words").alias("words")).select(F.col("first._key").alias("k"), "words"))
+    kept = rows.join(own, F.col("_key") == F.col("k"))
+    # equal rows of one key are one document
+    single = kept.where("words").groupBy("_key").agg(*[F.first(c).alias(c) for c in COLUMNS])
+    return single.select(*COLUMNS).unionByName(kept.where("not words").select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
