@@ -14,7 +14,7 @@ from lucerna.llm.decontaminate import decontamination_report
 from lucerna.llm.embedding_dedup import embedding_dedup
 from lucerna.llm.line_dedup import PerfectHash, line_dedup
 from lucerna.llm.minhash_dedup import _near, _sketch, near_duplicates
-from lucerna.llm.suffix_dedup import suffix_dedup
+from lucerna.llm.suffix_dedup import multikey_order, suffix_dedup
 
 SCHEMA = "doc_id long, text string, chunk string, rep int, node int, k int, text_hash string, component_id string"
 
@@ -75,6 +75,25 @@ def test_repeated_ids_keep_their_lines(spark):
     assert got == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 0), (5, 0)]
 
 
+def test_multikey_order_equals_a_plain_sort():
+    rng = np.random.default_rng(1)
+    words = rng.integers(0, 3, (500, 4)).astype(np.uint64)
+    order, new = multikey_order(words)
+    rows = [tuple(r) for r in words[order].tolist()]
+    assert rows == sorted(map(tuple, words.tolist())) and sorted(order.tolist()) == list(range(500))
+    assert new.tolist() == [i == 0 or rows[i] != rows[i - 1] for i in range(500)]
+    assert [len(x) for x in multikey_order(np.zeros((0, 7), np.uint64))] == [0, 0]
+
+
+def test_common_grams_in_many_surroundings(spark):
+    # one 30-byte passage in every text, with other bytes close before and after it, some of them shared
+    rnd = random.Random(6)
+    mark = "https://www.example.org/path?q"
+    side = ["".join(rnd.choice("abcdefgh ") for _ in range(k)) for k in (5, 12, 19, 24, 30) for _ in range(3)]
+    docs = [(i, "".join(rnd.choice("xyz") for _ in range(rnd.randint(0, 9))) + rnd.choice(side) + mark + rnd.choice(side) + "".join(rnd.choice("uvw") for _ in range(rnd.randint(0, 9)))) for i in range(300)]
+    assert result(suffix_dedup(frame(spark, docs))) == repeats(docs)
+
+
 def test_lines_of_repeated_ids_count_once(spark):
     # three ids only, though five rows hold the line; and ids that meet in different chunks count once
     line = "a line that is long enough to be counted here"

@@ -395,7 +395,7 @@ def test_stages_do_what_their_operators_say(spark, tables, tmp_path):
     import corpus_pipeline as pipeline
 
     docs, bench = spark.read.parquet(f"{tables}/documents.parquet"), [tuple(r) for r in spark.read.parquet(f"{tables}/benchmark.parquet").select("item_id", "text").collect()]
-    columns, seen = docs.columns, {}
+    columns, seen, docs_before = docs.columns, {}, docs.count()
     for name, stage in pipeline.STAGES:
         stage(spark, docs, tables).write.parquet(str(tmp_path / name))
         before = [(r.doc_id, r.text) for r in docs.collect()]
@@ -403,6 +403,10 @@ def test_stages_do_what_their_operators_say(spark, tables, tmp_path):
         seen[name] = (before, docs)
         if name != pipeline.STAGES[-1][0]:
             assert docs.columns == columns
+    from lucerna.llm.toxicity import toxicity_scores
+
+    clean = toxicity_scores(seen["toxicity"][1].limit(0).unionByName(spark.read.parquet(f"{tables}/documents.parquet")), spark.read.parquet(f"{tables}/labels.parquet")).where("not toxic")
+    assert {r.doc_id for r in seen["toxicity"][1].collect()} == {r.doc_id for r in clean.collect()} and clean.count() < docs_before
     before, after = seen["line dedup"]
     assert {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in after.collect()} == {i: v[2] for i, v in lines(before).items()}
     before, after = seen["MinHash near-dedup"]
@@ -412,3 +416,33 @@ def test_stages_do_what_their_operators_say(spark, tables, tmp_path):
     before, after = seen["SentencePiece encoding"]
     assert {r.doc_id for r in after.where("round_trip").collect()} == {i for i, _ in before}
     assert pipeline.run(spark, tables).count() == after.count()
+
+
+def odd_documents(spark):
+    same = "one text that two rows without an id and one with an id hold, long enough to have some shingles"
+    rows = [(1, same), (None, same), (None, same), (5, "a text of its own under an id that repeats"), (5, "and another text under the very same id"), (5, "and another text under the very same id"),
+            (6, None), (None, None), (7, ""), (8, "w " * 30_000), (9, "another text under the very same id and")]
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, rep int, comp string")
+
+
+def test_stages_take_odd_rows(spark, tables):
+    import corpus_pipeline as pipeline
+
+    docs, columns = odd_documents(spark), pipeline.COLUMNS
+    counts = {}
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, tables)
+        counts[name] = out.count()
+        assert stage(spark, docs.limit(0), tables).count() == 0
+        if name != pipeline.STAGES[-1][0]:
+            assert out.columns == columns
+            docs = out
+    # the copies without an id go, as does one of two equal rows; both texts of id 5 stay, and texts without words
+    assert counts["toxicity"] == counts["line dedup"] == 11 and counts["MinHash near-dedup"] == 8
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark, tables):
+    import corpus_pipeline as pipeline
+
+    out = sorted(((r.doc_id, r.text) for r in pipeline.near_dedup(spark, odd_documents(spark), tables).collect()), key=repr)
+    assert [i for i, t in out if t and t.startswith("one text")] == [1] and len(out) == 8 and len([1 for i, _ in out if i == 5]) == 2
