@@ -1,15 +1,18 @@
 """Suffix-array dedup of byte strings of SPAN bytes that an earlier document holds.
 
-Every string of SPAN bytes has an anchor: the least hash among its GRAM-byte grams, which depends on the
-string alone. Neighbouring strings with one anchor make a run, whose bytes are one longer string.
-First, runs meet by anchor: a run that an earlier document holds whole is removed whole. What is left to
-decide are runs whose anchor also occurs in other surroundings: only their suffixes are sorted. Sampled
-splitters range-partition these suffixes by leading bytes; each bucket sorts its suffixes by leading
-bytes and then by a digest of all SPAN, and neighbours with equal keys take the smallest doc_id. Equal
-suffixes have equal leading bytes, so none lie across a splitter.
-
-A chunk of documents sends each distinct run or suffix once, so a passage that a third of the documents
-hold is one entry per chunk. Hashes of 80 bits or more stand for equal strings.
+Every string of SPAN bytes has an anchor: the place of the least hash among its GRAM-byte grams, which depends
+on the string alone. Neighbouring strings with one anchor make a run, whose bytes are one longer string. First,
+runs meet by anchor: a run that an earlier document holds whole is removed whole. What is left to decide are
+runs whose anchor also occurs in other surroundings. These are sorted as suffixes: a run is sent as the
+suffix at its anchor, for the strings that reach back less than HALF bytes from it, and as the suffix HALF
+bytes before, for the others. Either way all of a suffix's strings hold its first SPAN - HALF bytes, so sampled
+splitters can range-partition the suffixes by their leading LEAD bytes: equal strings never lie across a splitter, and a
+gram that is common in many surroundings still spreads. Each bucket sorts the strings of its suffixes by
+multikey quicksort on their bytes, eight at a time; equal neighbours take the smallest doc_id.
+
+A chunk of documents sends each distinct run once, so a passage that a third of the documents hold is one entry
+per chunk, and never are more entries sent than runs. Chunks hold about CHUNK_CHARS of text. In the first step
+hashes of 80 bits stand for equal runs; in the second strings are compared byte by byte.
 
 Defined results: a null text is empty. Rows that repeat an id don't remove from each other; a null id
 counts as larger than any id. Texts under SPAN bytes lose nothing. An empty table gives no rows.
@@ -26,9 +29,9 @@ from pyspark.sql import functions as F
 
 from lucerna.llm.common import bounded_sample, mix, shuffle_partitions, utf8
 
-SPAN, GRAM = 50, 24
-#: Leading-byte samples that the splitters are drawn from.
-SAMPLES = 20_000
+SPAN, GRAM, HALF, LEAD = 50, 24, 13, 16
+#: Documents that the splitters are drawn from, and characters of text in a chunk.
+SAMPLES, CHUNK_CHARS = 20_000, 16 << 20
 _LAST = 2**63 - 1
 _PIECE_BITS = 17
 _PIECE = 1 << _PIECE_BITS
@@ -59,8 +62,8 @@ def _sums(data: np.ndarray) -> np.ndarray:
 
 
 def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(document, first position, number of strings, anchor hash, hash of the run's bytes) of each run."""
-    parts = [[np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2]
+    """(document, first position, number of strings, anchor hash, hash of the run's bytes, anchor's position) of each run."""
+    parts = [[np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)]]
     wide = SPAN - GRAM + 1
     for base, b in _pieces(data):
         m = len(b) - GRAM + 1
@@ -96,21 +99,38 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         start, many = start[keep], many[keep]
         s = _sums(b)
         whole = mix((s[start + many + SPAN - 1] - s[start]) * _DOWN[start] + many.astype(np.uint64) * _C[1])
-        parts.append([doc[start], start + base, many, mix(h[anchor[start]]), whole])
+        parts.append([doc[start], start + base, many, mix(h[anchor[start]]), whole, anchor[start] + base])
     return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
-def _window_keys(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Leading eight bytes in order (big-endian) and digest of the SPAN bytes at each of the positions."""
-    lead, digest = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
-    for base, b in _pieces(data):
-        mine = np.flatnonzero((at >= base) & (at < base + _PIECE))
-        if len(mine):
-            p = at[mine] - base
-            s = _sums(b)
-            digest[mine] = mix((s[p + SPAN] - s[p]) * _DOWN[p] + _C[2])
-            lead[mine] = np.ndarray((len(b) - 7,), ">u8", b.data, strides=(1,))[p]
-    return lead, digest
+def _leading(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The LEAD bytes at each of the positions, in an order that equals theirs."""
+    return np.ascontiguousarray(data[at[:, None] + np.arange(LEAD)]).view(f"S{LEAD}").ravel() if len(at) else np.zeros(0, f"S{LEAD}")
+
+
+def multikey_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows by their words, first to last, and which ordered rows differ from the one before.
+    Multikey quicksort with whole words as characters: each further word is read only where rows still tie."""
+    n, width = words.shape
+    order, new = np.arange(n), np.zeros(n, bool)
+    new[:1] = True
+    live = np.arange(n)  # places in the order whose rows tie so far, with their group
+    group = np.zeros(n, np.int64)
+    for k in range(width):
+        if len(live) == 0:
+            break
+        w = words[order[live], k]
+        by = np.lexsort((w, group))
+        order[live] = order[live[by]]
+        w = w[by]
+        first = np.ones(len(live), bool)
+        first[1:] = (w[1:] != w[:-1]) | (group[1:] != group[:-1])
+        new[live[first]] = True
+        size = np.diff(np.append(np.flatnonzero(first), len(live)))
+        tied = np.repeat(size > 1, size)
+        group = np.cumsum(first)[tied]
+        live = live[tied]
+    return order, new
 
 
 class _Chunk:
@@ -126,7 +146,7 @@ class _Chunk:
     def distinct_runs(self, buckets: int):
         """Runs; for each the number of its distinct (bucket, anchor, bytes); the distinct ones in order of
         bucket with their smallest id."""
-        doc, at, many, anchor, whole = runs(self.data, self.offsets)
+        doc, at, many, anchor, whole, place_of = runs(self.data, self.offsets)
         bucket = (anchor >> np.uint64(40)) % np.uint64(buckets)
         key = mix(anchor ^ mix(whole))
         _, first, which = np.unique(key, return_index=True, return_inverse=True)  # documents come in order of id
@@ -134,7 +154,7 @@ class _Chunk:
         place = np.empty(len(rank), np.int64)
         place[rank] = np.arange(len(rank))
         first = first[rank]
-        return (doc, at, many), place[which], (bucket[first].astype(np.int64), anchor[first], whole[first], self.ids[doc[first]])
+        return (doc, at, many, place_of), place[which], (bucket[first].astype(np.int64), anchor[first], whole[first], self.ids[doc[first]])
 
 
 def _packed(name: str, chunk: int, bucket: np.ndarray, arrays: list[np.ndarray]) -> pa.Table:
@@ -159,8 +179,7 @@ def _joined(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
 
-def _answers(table: pa.Table, kind: int, flags: np.ndarray, width: int) -> pa.Table:
-    sizes = [len(x) // width for x in table.column("a0").to_pylist()]
+def _answers(table: pa.Table, kind: int, flags: np.ndarray, sizes: list[int]) -> pa.Table:
     ends = np.cumsum([0, *sizes])
     return pa.table({"chunk": table.column("chunk"), "kind": pa.array(np.full(len(sizes), kind), pa.int32()), "bucket": table.column("bucket"), "flags": pa.array([flags[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
 
@@ -179,56 +198,76 @@ def _meet_runs(table: pa.Table) -> pa.Table:
     kinds = np.add.reduceat(kind.astype(np.int64), np.flatnonzero(anchor))[np.cumsum(anchor) - 1]
     flags = np.zeros(len(a), np.uint8)
     flags[order] = np.where(least < ids, 1, np.where(kinds > 1, 2, 0))
-    return _answers(table, 1, flags, 4)
+    return _answers(table, 1, flags, [len(x) // 4 for x in table.column("a0").to_pylist()])
 
 
-def _flags(replies: pa.Table, kind: int) -> np.ndarray:
+def _flags(replies: pa.Table, kind: int, of: type = np.uint8) -> np.ndarray:
     """A chunk's flags of one kind, in order of bucket."""
     rows = sorted((b, f) for k, b, f in zip(*(replies.column(c).to_pylist() for c in ("kind", "bucket", "flags")), strict=True) if k == kind)
-    return np.frombuffer(b"".join(f for _, f in rows), np.uint8)
+    return np.frombuffer(b"".join(f for _, f in rows), of)
 
 
-def _open_windows(chunk: _Chunk, buckets: int, replies: pa.Table, splitters: np.ndarray):
-    """Runs removed whole; positions still open, their number among the chunk's distinct suffixes, and
-    those suffixes in order of bucket."""
-    (doc, at, many), which, (_, _, _, least) = chunk.distinct_runs(buckets)
+def _open_runs(chunk: _Chunk, buckets: int, replies: pa.Table, splitters: np.ndarray):
+    """Runs removed whole (start, strings); runs still open (start, and their number among the chunk's distinct
+    open ones); and the suffixes of these (bucket, run's start, length, anchor's offset, far, id, number), in order of bucket."""
+    (doc, at, many, anchor), which, (_, _, _, least) = chunk.distinct_runs(buckets)
     flag = _flags(replies, 1)[which] if len(which) else np.zeros(0, np.uint8)
-    own = chunk.ids[doc]
-    gone = (flag == 1) | (own > least[which])
-    ask = (flag == 2) & ~gone
-    n = many[ask]
-    pos = np.repeat(at[ask] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    ids = np.repeat(own[ask], n)
-    lead, digest = _window_keys(chunk.data, pos)
-    _, first, where = np.unique(mix(lead ^ mix(digest)), return_index=True, return_inverse=True)
-    bucket = np.searchsorted(splitters, lead[first], side="right")
-    rank = np.lexsort((first, bucket))
-    place = np.empty(len(rank), np.int64)
-    place[rank] = np.arange(len(rank))
-    first = first[rank]
-    return (at[gone], many[gone]), (pos, ids, place[where]), (bucket[rank].astype(np.int64), lead[first], digest[first], ids[first])
-
-
-def _send_windows(buckets: int, splitters: np.ndarray):
+    gone = (flag == 1) | (chunk.ids[doc] > least[which])
+    ask = np.flatnonzero((flag == 2) & ~gone)
+    _, first, number = np.unique(which[ask], return_index=True, return_inverse=True)
+    one = ask[first]
+    offset = anchor[one] - at[one]
+    near, far = offset - many[one] + 1 < HALF, offset >= HALF
+    run = np.concatenate([np.flatnonzero(near), np.flatnonzero(far)])
+    back = np.concatenate([np.zeros(int(near.sum()), np.int64), np.full(int(far.sum()), HALF)])
+    bucket = np.searchsorted(splitters, _leading(chunk.data, anchor[one][run] - back), side="right")
+    order = np.argsort(bucket, kind="stable")
+    run, back = run[order], back[order]
+    rows = one[run]
+    return (at[gone], many[gone]), (at[ask], number, len(one)), (bucket[order].astype(np.int64), at[rows], many[rows] + SPAN - 1, offset[run], back > 0, chunk.ids[doc[rows]], run)
+
+
+def _send_suffixes(buckets: int, splitters: np.ndarray):
     def send(docs: pa.Table, replies: pa.Table) -> pa.Table:
         if docs.num_rows == 0:
-            return _packed("a", 0, np.zeros(0, np.int64), [np.zeros(0, np.uint64)] * 3)
-        _, _, (bucket, lead, digest, ids) = _open_windows(_Chunk(docs), buckets, replies, splitters)
-        return _packed("a", docs.column("chunk")[0].as_py(), bucket, [lead, digest, ids])
+            return _packed("a", 0, np.zeros(0, np.int64), [np.zeros(0, np.uint8)] * 5)
+        chunk = _Chunk(docs)
+        _, _, (bucket, at, length, offset, far, ids, _) = _open_runs(chunk, buckets, replies, splitters)
+        ends = np.cumsum(length)
+        blob = chunk.data[np.repeat(at - (ends - length), length) + np.arange(int(length.sum()))]
+        # the bytes lie end to end by bucket, so they are cut where the buckets' runs end
+        packed = _packed("a", docs.column("chunk")[0].as_py(), bucket, [length.astype(np.uint8), offset.astype(np.uint8), far.astype(np.uint8), ids])
+        cuts = np.append(0, np.append(0, ends)[np.searchsorted(bucket, packed.column("bucket").to_numpy(), side="right")])
+        return packed.append_column("a4", pa.array([blob[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()))
 
     return send
 
 
 def _sort_suffixes(table: pa.Table) -> pa.Table:
-    """Sort a bucket's suffixes by leading bytes, then digest, then id; 1 where an earlier id has an equal one."""
-    lead, digest, ids = _joined(table, "a0", np.uint64), _joined(table, "a1", np.uint64), _joined(table, "a2", np.int64)
-    order = np.lexsort((ids, digest, lead))
-    new = np.ones(len(order), bool)
-    new[1:] = (lead[order][1:] != lead[order][:-1]) | (digest[order][1:] != digest[order][:-1])
-    least = ids[order][new][np.cumsum(new) - 1]
-    flags = np.zeros(len(order), np.uint8)
-    flags[order] = least < ids[order]
-    return _answers(table, 2, flags, 8)
+    """Sort the strings of a bucket's suffixes; for each suffix a bit for each string of its run, 1 where an
+    earlier document has an equal one."""
+    length, offset, far = (_joined(table, f"a{i}", np.uint8).astype(np.int64) for i in range(3))
+    ids, blob = _joined(table, "a3", np.int64), _joined(table, "a4", np.uint8)
+    start = np.cumsum(length) - length
+    # a string starts `back` bytes before the anchor: under HALF in the near suffix, HALF and more in the far one
+    low = np.where(far, 0, np.maximum(offset - HALF + 1, 0))
+    high = np.minimum(length - SPAN, np.where(far, offset - HALF, offset))
+    many = high - low + 1
+    row = np.repeat(np.arange(len(ids)), many)
+    place = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+    wide = -(-SPAN // 8) * 8
+    text = np.zeros((len(row), wide), np.uint8)
+    for lo in range(0, len(row), 1 << 18):
+        part = slice(lo, lo + (1 << 18))
+        text[part, :SPAN] = blob[(start[row[part]] + place[part])[:, None] + np.arange(SPAN)]
+    order, new = multikey_order(text.view(">u8").astype(np.uint64))
+    del text
+    mine = ids[row][order]
+    least = np.minimum.reduceat(mine, np.flatnonzero(new))[np.cumsum(new) - 1] if len(mine) else mine
+    earlier = np.zeros(len(row), bool)
+    earlier[order] = least < mine
+    bits = np.bincount(row, weights=np.where(earlier, 2.0**place, 0.0), minlength=len(ids)).astype(np.uint32)
+    return _answers(table, 2, bits, [len(x) for x in table.column("a0").to_pylist()])
 
 
 def _remove(buckets: int, splitters: np.ndarray):
@@ -237,10 +276,12 @@ def _remove(buckets: int, splitters: np.ndarray):
         if docs.num_rows == 0:
             return pa.table({k: pa.array([], t) for k, t in kinds.items()})
         chunk = _Chunk(docs)
-        (at, many), (pos, ids, which), (_, _, _, least) = _open_windows(chunk, buckets, replies, splitters)
-        flag = _flags(replies, 2)
-        gone = (flag[which] == 1) | (ids > least[which]) if len(which) else np.zeros(0, bool)
-        start, end = np.concatenate([at, pos[gone]]), np.concatenate([at + many + SPAN - 1, pos[gone] + SPAN])
+        (at, many), (open_at, number, distinct), (_, _, _, _, _, _, run) = _open_runs(chunk, buckets, replies, splitters)
+        bits = np.zeros(distinct, np.uint32)
+        np.bitwise_or.at(bits, run, _flags(replies, 2, np.uint32))
+        mine = bits[number] if distinct else np.zeros(0, np.uint32)
+        pos = np.concatenate([open_at[:0], *[open_at[(mine >> np.uint32(k)) & np.uint32(1) == 1] + k for k in range(SPAN - GRAM + 1)]])
+        start, end = np.concatenate([at, pos]), np.concatenate([at + many + SPAN - 1, pos + SPAN])
         n = len(chunk.data)
         change = np.bincount(start, minlength=n + 1) - np.bincount(end, minlength=n + 1)
         covered = np.cumsum(change)[:n] > 0
@@ -258,29 +299,38 @@ def _remove(buckets: int, splitters: np.ndarray):
     return remove
 
 
+def _anchor_leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The leading bytes at a few anchors of each text."""
+    for batch in batches:
+        data, offsets = utf8(batch.column("text"))
+        doc, _, _, hashed, _, anchor = runs(data, offsets)
+        order = np.lexsort((hashed, doc))
+        rank = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
+        yield pa.RecordBatch.from_arrays([pa.array(_leading(data, anchor[order[rank < 3]]).tolist(), pa.binary())], names=["lead"])
+
+
 def _splitters(rows: DataFrame, buckets: int) -> np.ndarray:
-    """Quantiles of the leading bytes at sampled places (SAMPLES documents at most, three places in each)."""
-    place = lambda k: F.expr(f"encode(substring(text, int(1 + pmod(xxhash64(text_hash, {k}), greatest(length(text) - 8, 1))), 8), 'UTF-8')")
-    taken = bounded_sample(rows.where("length(text) >= 16").select("text_hash", "doc_id", *[place(k).alias(f"p{k}") for k in range(3)]), ["text_hash", "doc_id"], SAMPLES).collect()
-    leads = np.sort(np.array([int.from_bytes(bytes(r[f"p{k}"])[:8].ljust(8, b"\0"), "big") for r in taken for k in range(3)], np.uint64))
+    """Quantiles of the leading bytes at sampled anchors (SAMPLES documents at most, three anchors in each)."""
+    sample = bounded_sample(rows.where(F.length("text") >= SPAN).select("text", "text_hash", "doc_id"), ["text_hash", "doc_id"], SAMPLES).select("text")
+    leads = np.sort(np.array([r[0] for r in sample.mapInArrow(_anchor_leads, "lead binary").collect()], f"S{LEAD}"))
     return np.unique(leads[(np.arange(1, buckets) * len(leads)) // buckets]) if len(leads) >= buckets else leads[:0]
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary)."""
-    spark = docs.sparkSession
-    n = shuffle_partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    chars = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    n = max(shuffle_partitions(docs.sparkSession), -(-chars // CHUNK_CHARS))
     splitters = _splitters(rows, n)
-    chunk = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text_hash"))), F.lit(2 * n))
-    chunks = rows.withColumn("chunk", chunk).repartition(n, "chunk")
+    # by id and text, so that no id and no text that very many rows have fills a chunk
+    chunks = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(n)))
     reply = "chunk long, kind int, bucket long, flags binary"
     run_flags = (
         chunks.groupBy("chunk").applyInArrow(_send_runs(n), "bucket long, chunk long, a0 binary, a1 binary, a2 binary, a3 binary")
         .groupBy("bucket").applyInArrow(_meet_runs, reply)
     )
     suffix_flags = (
-        chunks.groupBy("chunk").cogroup(run_flags.groupBy("chunk")).applyInArrow(_send_windows(n, splitters), "bucket long, chunk long, a0 binary, a1 binary, a2 binary")
+        chunks.groupBy("chunk").cogroup(run_flags.groupBy("chunk")).applyInArrow(_send_suffixes(n, splitters), "bucket long, chunk long, a0 binary, a1 binary, a2 binary, a3 binary, a4 binary")
         .groupBy("bucket").applyInArrow(_sort_suffixes, reply)
     )
     flags = run_flags.unionByName(suffix_flags)
