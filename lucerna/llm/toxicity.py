@@ -19,18 +19,23 @@ from __future__ import annotations
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucerna.llm.common import bounded_sample, class_table, slices, utf8, word_hashes
+from lucerna.llm.common import bounded_sample, checkpoint, class_table, slices, utf8, word_hashes
 
 #: Bound on the labelled documents that the weights are fitted on.
 FIT_ROWS = 20_000
 #: Places of hashed features (a bound that no input moves), lengths of word beginnings, largest count told apart.
 BUCKETS, PREFIXES, MOST = 1 << 20, (4, 5, 6, 7, 8), 255
+#: Parts in which the labelled rows' features come to the driver.
+_PARTS = 24
+#: Cells that a fit goes over in all, within 8 to 400 rounds.
+_WORK = 50_000_000
 _PART = bytes(b for b in range(128) if chr(b) not in string.ascii_letters)
 LETTERS = class_table(_PART, rest=1)
 
@@ -89,15 +94,16 @@ def link_loss(score: np.ndarray, grade: np.ndarray, thresholds: np.ndarray) -> t
     return float(-np.log(p).mean()), (down - up) / n, by_threshold[1:-1] / n
 
 
-def fit_cumulative_link(ends: np.ndarray, place: np.ndarray, value: np.ndarray, grade: np.ndarray, width: int, epochs: int = 8, ridge: float = 1e-5, rate: float = 0.1, at_once: int = 256, least: int = 32) -> tuple[np.ndarray, np.ndarray]:
+def fit_cumulative_link(ends: np.ndarray, place: np.ndarray, value: np.ndarray, grade: np.ndarray, width: int, epochs: int | None = None, ridge: float = 1e-5, rate: float = 0.1, at_once: int = 256, least: int = 32) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds of sparse rows (those of row i at ends[i]:ends[i+1]), by Adagrad on the
-    log loss with a ridge, in `least` batches a round or more. Gaps between thresholds are exponentials, so their order holds."""
+    log loss with a ridge, in `least` batches a round or more; small samples, which take little time, get more
+    rounds. Gaps between thresholds are exponentials, so their order holds."""
     grades, rng = int(grade.max()), np.random.default_rng(11)
     w, raw = np.zeros(width), np.array([2.0, *[0.0] * (grades - 1)])
     seen_w, seen_raw = np.full(width, 1e-6), np.full(grades, 1e-6)
     cut = lambda: np.cumsum(np.append(raw[0], np.exp(raw[1:])))
     sizes = np.diff(ends)
-    for _ in range(epochs):
+    for _ in range(epochs or int(np.clip(_WORK // max(len(place), 1), 8, 400))):
         for rows in np.array_split(rng.permutation(len(grade)), min(len(grade), max(least, len(grade) // at_once))):
             many = sizes[rows]
             cells = np.repeat(ends[rows] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
@@ -117,9 +123,13 @@ def fit_cumulative_link(ends: np.ndarray, place: np.ndarray, value: np.ndarray,
 
 def evidence(ends: np.ndarray, place: np.ndarray, grade: np.ndarray, width: int) -> np.ndarray:
     """By place: how many standard errors the mean grade of its documents is off the mean of all, squared (in hundreds)."""
-    held = np.bincount(place, minlength=width)
-    off = np.bincount(place, weights=np.repeat(grade - grade.mean(), np.diff(ends)), minlength=width)
-    return off * off / (held * grade.var() + 1) / 100
+    held, off, step = np.zeros(width), np.zeros(width), 1000
+    for lo in range(0, len(grade), step):  # some rows at a time, to hold little
+        hi = min(lo + step, len(grade))
+        mine = place[ends[lo] : ends[hi]]
+        held += np.bincount(mine, minlength=width)
+        off += np.bincount(mine, weights=np.repeat(grade[lo:hi] - grade.mean(), np.diff(ends[lo : hi + 1])), minlength=width)
+    return (off * off / (held * grade.var() + 1) / 100).astype(np.float32)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,15 +146,19 @@ def fit_severity(docs: DataFrame, labels: DataFrame, grade: str = "toxic", fit_r
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(grade).cast("int").alias("y")).where("id is not null and y >= 0")
     known = bounded_sample(known.groupBy("id").agg(F.max("y").alias("y")), ["id"], fit_rows)
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("y", "text")  # fit_rows small rows
-    fit = sample.limit(fit_rows).mapInArrow(_rows, "y int, places binary, counts binary").collect()
-    if not any(r["y"] for r in fit):
+    # features come to the driver a part at a time, at most fit_rows rows in all
+    rows = checkpoint(sample.mapInArrow(_rows, "y int, places binary, counts binary").repartition(_PARTS))
+    fit = [tuple(r) for r in islice(rows.toLocalIterator(), fit_rows)]
+    if not any(y for y, _, _ in fit):
         return Severity(np.zeros(0), np.zeros(0))
-    fit.sort(key=lambda r: (r["y"], r["places"], r["counts"]))  # the same order however the rows came
-    place, many = np.frombuffer(b"".join([r["places"] for r in fit]), np.int32), np.frombuffer(b"".join([r["counts"] for r in fit]), np.uint8)
-    ends = np.cumsum([0, *(len(r["counts"]) for r in fit)])
-    grade = np.array([r["y"] for r in fit])
+    fit.sort()  # the same order however the rows came
+    grade, ends = np.array([y for y, _, _ in fit]), np.cumsum([0, *(len(c) for _, _, c in fit)])
+    place, many = np.frombuffer(b"".join([p for _, p, _ in fit]), np.int32), np.frombuffer(b"".join([c for _, _, c in fit]), np.uint8)
+    del fit
     scale = evidence(ends, place, grade, BUCKETS)
-    w, thresholds = fit_cumulative_link(ends, place, np.log1p(many) * scale[place], grade, BUCKETS)
+    value = np.log1p(np.arange(MOST + 1)).astype(np.float32)[many]
+    value *= scale[place]
+    w, thresholds = fit_cumulative_link(ends, place, value, grade, BUCKETS)
     return Severity(w * scale, thresholds)
 
 
