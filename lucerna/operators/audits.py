@@ -93,3 +93,31 @@ def suite_report(results: dict[str, DataFrame]) -> DataFrame:
     """One row a check: rows that fail it, and PASS or FAIL."""
     parts = [df.agg(F.count("*").alias("n_errors")).select(F.lit(name).alias("check_name"), "n_errors") for name, df in results.items()]
     return reduce(DataFrame.unionByName, parts).withColumn("status", F.when(F.col("n_errors") == 0, "PASS").otherwise("FAIL"))
+
+
+def contrast_set_errors(items: DataFrame, dimensions: list[str], nuisance: str, key: str = "contrast_id") -> DataFrame:
+    """contrast_id and errors of the contrast sets: two items each, alike but for one dimension of their cells.
+    Sets are summed up by counts of distinct values, so one with very many items is no list."""
+    differing = sum((F.col(f"_n_{d}") > 1).cast("int") for d in dimensions)
+    sums = items.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"), F.countDistinct(nuisance).alias("_nuisances"), *[F.countDistinct(d).alias(f"_n_{d}") for d in dimensions])
+    tests = {"contrast set isn't of two": F.col("_n") != 2, "contrast differs in more than its cell": (F.col("_n") == 2) & (F.col("_nuisances") > 1), "contrast isn't of one dimension": (F.col("_n") == 2) & (F.col("_nuisances") == 1) & (differing != 1)}
+    return sums.select(key, F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()])).alias("errors")).where(F.size("errors") > 0)
+
+
+def hard_item_errors(items: DataFrame, edges: DataFrame, contrasts: DataFrame, id_parts: list[str]) -> DataFrame:
+    """item_id and errors of finished items (columns stated_id, cell_id, source_id, clause, voice, object, subject, prompt,
+    answer, operations, derived, tags, reasons, contrast_id). edges: (cell_id, source_id); contrasts: contrast_id, errors."""
+    related = edges.select("cell_id", "source_id").distinct().withColumn("_related", F.lit(True))
+    same = items.groupBy(F.col("prompt").alias("_prompt")).agg(F.count("*").alias("_same"))
+    rows = items.join(related, ["cell_id", "source_id"], "left").join(same, F.col("prompt") == F.col("_prompt"), "left")
+    rows = rows.join(contrasts.select("contrast_id", F.col("errors").alias("_contrast")), "contrast_id", "left")
+    question = F.col("clause").endswith("question")
+    tests = {
+        "id has another form": ~F.col("stated_id").rlike("^ITEM_[A-F0-9]{16}$"), "id differs from its parts": F.col("stated_id") != content_id("ITEM", *[F.col(p) for p in id_parts]),
+        "source isn't of the cell": F.col("_related").isNull(), "evidence differs from its derivation": F.col("operations") != F.col("derived"),
+        "answer ends with another sign": F.substring("answer", -1, 1) != F.when(question, "?").otherwise("."),
+        "passive subject isn't the patient": (F.col("voice") == "passive") & ~F.col("subject").eqNullSafe(F.col("object")),
+        "tags aren't sorted and distinct": F.col("tags") != F.array_sort(F.array_distinct("tags")), "no reasons": F.size("reasons") == 0, "prompt is repeated": F.col("_same") > 1,
+    }
+    own = F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(True)), F.lit(n)) for n, t in tests.items()]))
+    return rows.select("item_id", F.concat(own, F.coalesce("_contrast", F.array().cast("array<string>"))).alias("errors"))

@@ -98,3 +98,40 @@ def eligibility_errors(note: Column, known: list[str], mark: str = "phase2 eligi
         "repeated name": F.size(F.array_distinct(names)) < F.size(names),
         "not in canonical order": F.array_distinct(F.filter(names, lambda x: F.array_contains(every, x))) != F.filter(every, lambda k: F.array_contains(names, k)),
     })
+
+
+def tense_errors(tense: str = "tense", modal: str = "modal", clause: str = "clause", complete: Column | None = None) -> Column:
+    """What is wrong with the scalar tense and modal of a cell: imperatives have neither, a modal excludes a tense,
+    and a complete cell without modal has present or past."""
+    t, m, imperative = F.col(tense), F.col(modal), F.col(clause) == "imperative"
+    whole = F.lit(True) if complete is None else complete
+    return errors_of({
+        "imperative with tense or modal": imperative & ((t != "NA") | (m != "none")),
+        "tense beside a modal": t.isin("present", "past") & (m != "none"),
+        "complete cell without tense": whole & ~imperative & (m == "none") & ~t.isin("present", "past"),
+        "complete modal cell with tense": whole & ~imperative & (m != "none") & (t != "NA"),
+    })
+
+
+#: How a note says that a source contradicts a value (fixed form): dimension, value and the evidence.
+CONTRADICTION = r"^phase2 contradiction: ([a-z_]+)=([^;]+); evidence: (.+)$"
+
+
+def transition_errors(first: str, second: str, note: str, value_of: dict[str, Column], domains: dict[str, list[str]], refined: Column) -> Column:
+    """What is wrong with a second annotation: only partial results may change (`refined` holds the errors of a
+    refinement), an unresolved one must name a value of the first, and others stay as they were."""
+    one, two = F.col(first), F.col(second)
+    dimension, value = F.regexp_extract(note, CONTRADICTION, 1), F.regexp_extract(note, CONTRADICTION, 2)
+    known, exact = F.lit(False), F.lit(False)
+    for d, values in domains.items():
+        known = known | ((dimension == d) & value.isin(values))
+        exact = exact | ((dimension == d) & (value == value_of[d]))
+    form = F.coalesce(F.col(note).rlike(CONTRADICTION), F.lit(False))
+    contradicted = errors_of({"contradiction note has another form": ~form, "contradiction names no known value": form & ~known, "contradiction isn't of a stated value": form & known & ~exact})
+    return (
+        F.when((one == "unresolved") & (two != "unresolved"), F.array(F.lit("an unresolved mapping can't be refined")))
+        .when((two == "unresolved") & (one != "unresolved"), contradicted)
+        .when((one != "partial") & (one != two), F.array(F.lit("only partial mappings change")))
+        .when((one == "partial") & ~two.isin("partial", "complete"), F.array(F.lit("a refinement stays partial or becomes complete")))
+        .when(one == "partial", refined).otherwise(F.array().cast("array<string>"))
+    )

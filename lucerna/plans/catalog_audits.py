@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lucerna.functions.ids import content_id
-from lucerna.operators import audits, canonical, curation, history, labels, selection
+from lucerna.operators import audits, canonical, curation, guards, history, labels, selection
 from lucerna.plans.catalog_history import _ACT_ALL, _STATE
 from lucerna.plans.catalog_labels import _PER_ITEM, labelled
 from lucerna.plans.policy import CANDIDATES, RULES
@@ -93,13 +93,26 @@ def separated_classes(spark, sf):
     return audits.separated_classes(active, members)
 
 
-@query(with_(ITEMS, EVENTS) + """SELECT check_name, n AS n_errors, CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM (SELECT 'repeated line keys' AS check_name, (SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)) AS n
- UNION ALL SELECT 'repeated event ids', (SELECT count(*) FROM (SELECT event_id FROM events GROUP BY 1 HAVING count(*) > 1)) UNION ALL SELECT 'events without item', (SELECT count(*) FROM ev WHERE item_id NOT IN (SELECT item_id FROM items)) UNION ALL SELECT 'events not well formed', 0)""")
+_SUITE = {
+    "repeated line keys": "SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1", "repeated event ids": "SELECT 1 FROM events GROUP BY event_id HAVING count(*) > 1",
+    "events without item": "SELECT 1 FROM ev WHERE item_id NOT IN (SELECT item_id FROM items)", "items without event": "SELECT 1 FROM items WHERE item_id NOT IN (SELECT item_id FROM ev)",
+    "events not well formed": "SELECT 1 WHERE false", "cells in several splits": "SELECT 1 FROM items GROUP BY cell_id HAVING count(DISTINCT canonical_split) > 1",
+    "development items without label": "SELECT 1 FROM per WHERE n = 0 AND canonical_split = 'development'", "learners with gaps": "SELECT 1 FROM ev GROUP BY learner HAVING max(seq) <> count(*)",
+    "orders without line": "SELECT 1 FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)", "items met more than once": "SELECT 1 FROM ev GROUP BY learner, item_id HAVING count(*) > 1",
+}
+
+
+@query(with_(ITEMS, LABELS, _PER_ITEM, EVENTS) + "SELECT check_name, n AS n_errors, CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM (" + " UNION ALL ".join(f"SELECT '{name}' AS check_name, (SELECT count(*) FROM ({sql})) AS n" for name, sql in _SUITE.items()) + ")")
 def suite_report(spark, sf):
-    events = interactions(spark, sf)
+    events, rows, marked = interactions(spark, sf), items(spark, sf), labelled(spark, sf)
+    keys, pairs = labels.missing_keys(events, rows, "item_id"), events.select("learner", "item_id")
     return audits.suite_report({
         "repeated line keys": labels.repeated_keys(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"]), "repeated event ids": labels.repeated_keys(events, ["event_id"]),
-        "events without item": events.join(items(spark, sf), "item_id", "left_anti"), "events not well formed": events.where(F.size(curation.event_errors()) > 0),
+        "events without item": events.join(rows, "item_id", "left_anti"), "items without event": keys.where("side = 'right_only'"), "events not well formed": events.where(F.size(curation.event_errors()) > 0),
+        "cells in several splits": guards.in_several(rows, "cell_id", "canonical_split"), "development items without label": marked.where("canonical_split = 'development' and size(kc_ids) = 0"),
+        "learners with gaps": canonical.schedule_audit(events).where("not contiguous"),
+        "orders without line": labels.missing_keys(table(spark, sf, "orders").select(F.col("o_orderkey").alias("k")), table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k")), "k").where("side = 'left_only'"),
+        "items met more than once": guards.multiset_difference(pairs, pairs.distinct(), ["learner", "item_id"]),
     })
 
 

@@ -7,7 +7,8 @@ import json
 from pyspark.sql import functions as F
 
 from lucerna.functions import forms
-from lucerna.operators import canonical, labels, policies, selection
+from lucerna.functions.ids import content_id
+from lucerna.operators import audits, canonical, labels, policies, records, selection
 from lucerna.plans.catalog_history import _ACT, _CFACTS, _DEV, _DIAGS, _PARENT, _STATE, _cell_facts, _dev_cells, _parts
 from lucerna.plans.catalog_labels import _HAMMING
 from lucerna.plans.policy import CANDIDATES, RULES
@@ -146,7 +147,7 @@ def _at(name: str, expr: str) -> str:
     return f"([{', '.join(map(quoted, values))}])[1 + ({expr}) % {len(values)}] AS {name}"
 
 
-CLAUSES = f"""cl0 AS (SELECT p_partkey AS item_id, {_at('aspect', 'p_size')}, {_at('voice', 'p_partkey // 3')}, {_at('polarity', 'p_size // 4')}, {_at('clause', 'p_partkey')}, {_at('modal', 'p_size // 7')}, {_at('frame_type', 'p_partkey // 7')}, {_at('note', 'p_partkey // 2')}, string_split(p_name, ' ')[1] AS word FROM part),
+CLAUSES = f"""cl0 AS (SELECT p_partkey AS item_id, {_at('tense', 'p_size // 2')}, {_at('aspect', 'p_size')}, {_at('voice', 'p_partkey // 3')}, {_at('polarity', 'p_size // 4')}, {_at('clause', 'p_partkey')}, {_at('modal', 'p_size // 7')}, {_at('frame_type', 'p_partkey // 7')}, {_at('note', 'p_partkey // 2')}, string_split(p_name, ' ')[1] AS word FROM part),
 cl AS (SELECT *, CASE WHEN frame_type = 'transitive' THEN 'the ' || word END AS object FROM cl0)"""
 _SUBTYPE = "CASE WHEN contains(note, 'LET''S NOT') THEN 'lets_not' WHEN contains(note, 'LET''S') THEN 'lets' WHEN contains(note, 'emphatic-DO') THEN 'emphatic_do' WHEN contains(note, 'LET + third-person pronoun') THEN 'let_pronoun' ELSE 'ordinary' END"
 _DO = "(clause <> 'imperative' AND (polarity = 'negative' OR clause IN ('polar_question', 'non_subject_wh_question')) AND aspect = 'none' AND voice = 'active' AND modal = 'none' AND frame_type <> 'copular')"
@@ -203,3 +204,47 @@ def spec_checks(spark, sf):
     rows = clauses(spark, sf).withColumn("wh", wh).withColumn("subtype", subtype).withColumn("subject", subject)
     errors = forms.spec_errors(F.col("clause"), F.col("voice"), F.col("frame_type") == "transitive", F.col("object"), F.col("wh"), F.col("subtype"), F.lit(None).cast("string"), F.col("subject"), F.col("note"))
     return rows.select("item_id", F.array_join(errors, ";").alias("errors"))
+
+
+@query(with_(CLAUSES) + """SELECT item_id, array_to_string(list_filter([CASE WHEN clause = 'imperative' AND (tense <> 'NA' OR modal <> 'none') THEN 'imperative with tense or modal' END, CASE WHEN tense <> 'NA' AND modal <> 'none' THEN 'tense beside a modal' END,
+ CASE WHEN item_id % 3 <> 0 AND clause <> 'imperative' AND modal = 'none' AND tense = 'NA' THEN 'complete cell without tense' END, CASE WHEN item_id % 3 <> 0 AND clause <> 'imperative' AND modal <> 'none' AND tense <> 'NA' THEN 'complete modal cell with tense' END], lambda x: x IS NOT NULL), ';') AS errors FROM cl""")
+def tense_checks(spark, sf):
+    # every third mapping isn't complete
+    return clauses(spark, sf).select("item_id", F.array_join(records.tense_errors(complete=F.col("item_id") % 3 != 0), ";").alias("errors"))
+
+
+_FIRST = "CASE WHEN item_id % 7 = 0 THEN 'unresolved' WHEN item_id % 3 = 0 THEN 'partial' ELSE 'complete' END"
+_SECOND = "CASE WHEN item_id % 5 = 0 THEN 'unresolved' WHEN item_id % 4 = 0 THEN 'complete' WHEN item_id % 7 = 0 THEN 'unresolved' WHEN item_id % 3 = 0 THEN CASE WHEN brand = 'B0' THEN 'out_of_scope' ELSE 'partial' END ELSE 'complete' END"
+
+
+@query(with_(ITEMS, f"tr AS (SELECT item_id, brand, kind, size, {_FIRST} AS a, {_SECOND} AS b FROM items)") + """SELECT item_id, CASE WHEN a = 'unresolved' AND b <> 'unresolved' THEN 'an unresolved mapping can''t be refined'
+ WHEN b = 'unresolved' AND a <> 'unresolved' THEN CASE brand WHEN 'B0' THEN 'contradiction note has another form' WHEN 'B1' THEN CASE WHEN kind = 'SMALL' THEN '' ELSE 'contradiction isn''t of a stated value' END ELSE 'contradiction names no known value' END
+ WHEN a <> 'partial' AND a <> b THEN 'only partial mappings change' WHEN a = 'partial' AND b NOT IN ('partial', 'complete') THEN 'a refinement stays partial or becomes complete' WHEN a = 'partial' AND size = 'S4' THEN 'a child refines no parent' ELSE '' END AS errors FROM tr""")
+def transition_checks(spark, sf):
+    # second annotations of parts: some unresolved with notes of three forms, some changed, the largest refining nothing
+    rows = items(spark, sf).withColumn("first", F.expr(_FIRST)).withColumn("second", F.expr(_SECOND))
+    note = F.when(F.col("brand") == "B0", "it says otherwise").when(F.col("brand") == "B1", "phase2 contradiction: kind=SMALL; evidence: the name").otherwise("phase2 contradiction: colour=RED; evidence: the name")
+    refined = F.when(F.col("size") == "S4", F.array(F.lit("a child refines no parent"))).otherwise(F.array().cast("array<string>"))
+    domains = {"kind": ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"], "size": ["S0", "S1", "S2", "S3", "S4"]}
+    errors = records.transition_errors("first", "second", "note", {"kind": F.col("kind"), "size": F.col("size")}, domains, refined)
+    return rows.withColumn("note", note).select("item_id", F.array_join(errors, ";").alias("errors"))
+
+
+_FINISHED = """fi AS (SELECT dv.*, dv.item_id // 2 AS contrast_id, 'CELL_' || aspect || voice AS cell_id, CASE WHEN item_id % 9 = 0 THEN 'ITEM_1' ELSE 'ITEM_' || upper(substr(sha256(item_id || '|' || clause), 1, 16)) END AS stated_id FROM dv),
+sd AS (SELECT contrast_id, count(*) AS n, count(DISTINCT frame_type) AS fr, (count(DISTINCT aspect) > 1)::INT + (count(DISTINCT voice) > 1)::INT + (count(DISTINCT polarity) > 1)::INT AS diff FROM fi GROUP BY 1),
+pm AS (SELECT clause, note, word, count(*) AS same FROM fi GROUP BY 1, 2, 3)"""
+
+
+@query(_DERIVED.rstrip() + ", " + _FINISHED + """ SELECT item_id, array_to_string(list_filter([CASE WHEN item_id % 9 = 0 THEN 'id has another form' END, CASE WHEN item_id % 9 = 0 THEN 'id differs from its parts' END, CASE WHEN item_id % 8 = 0 THEN 'source isn''t of the cell' END,
+ CASE WHEN ops <> list_filter(ops, lambda x: x <> 'negation') THEN 'evidence differs from its derivation' END, CASE WHEN NOT ends_with(clause, 'question') THEN 'answer ends with another sign' END, CASE WHEN voice = 'passive' AND object IS NOT NULL THEN 'passive subject isn''t the patient' END,
+ CASE WHEN same > 1 THEN 'prompt is repeated' END, CASE WHEN n <> 2 THEN 'contrast set isn''t of two' END, CASE WHEN n = 2 AND fr > 1 THEN 'contrast differs in more than its cell' END, CASE WHEN n = 2 AND fr = 1 AND diff <> 1 THEN 'contrast isn''t of one dimension' END], lambda x: x IS NOT NULL), ';') AS errors
+ FROM fi JOIN sd USING (contrast_id) JOIN pm USING (clause, note, word)""")
+def hard_item_checks(spark, sf):
+    # clauses as finished items that all end with a question mark, lack negation in their evidence, and pair up by number
+    rows = _derived(spark, sf).withColumn("contrast_id", F.floor(F.col("item_id") / 2)).withColumn("cell_id", F.concat(F.lit("CELL_"), "aspect", "voice"))
+    stated = F.when(F.col("item_id") % 9 == 0, "ITEM_1").otherwise(content_id("ITEM", F.col("item_id"), F.col("clause")))
+    rows = rows.withColumn("stated_id", stated).withColumn("source_id", F.col("item_id") % 8).withColumn("subject", F.lit(None).cast("string")).withColumn("prompt", F.concat_ws("|", "clause", "note", "word")).withColumn("answer", F.lit("so?"))
+    rows = rows.withColumn("derived", F.filter("ops", lambda x: x != "negation")).withColumn("operations", F.col("ops")).withColumn("tags", F.col("ops")).withColumn("reasons", F.array("clause"))
+    edges = rows.select("cell_id").distinct().crossJoin(spark.range(1, 8).withColumnRenamed("id", "source_id"))
+    contrasts = audits.contrast_set_errors(rows, ["aspect", "voice", "polarity"], "frame_type")
+    return audits.hard_item_errors(rows, edges, contrasts, ["item_id", "clause"]).select("item_id", F.array_join("errors", ";").alias("errors"))

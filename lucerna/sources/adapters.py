@@ -59,7 +59,7 @@ def interactions_big(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Values of the clause view of the parts, taken in turn.
 CLAUSE_VALUES = {
-    "aspect": ["none", "perfect", "progressive", "perfect_progressive"], "voice": ["active", "passive"], "polarity": ["affirmative", "negative"],
+    "tense": ["present", "past", "NA"], "aspect": ["none", "perfect", "progressive", "perfect_progressive"], "voice": ["active", "passive"], "polarity": ["affirmative", "negative"],
     "clause": ["declarative", "polar_question", "subject_wh_question", "non_subject_wh_question", "imperative"], "modal": ["none", "can", "must"],
     "frame_type": ["transitive", "intransitive", "copular"], "note": ["", "with LET'S NOT", "with LET'S", "an emphatic-DO", "LET + third-person pronoun"],
 }
@@ -70,6 +70,6 @@ def clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda name, e: F.element_at(F.array(*[F.lit(v) for v in CLAUSE_VALUES[name]]), (F.pmod(F.floor(e), F.lit(len(CLAUSE_VALUES[name]))) + 1).cast("int")).alias(name)
     key, size = F.col("p_partkey"), F.col("p_size")
     rows = table(spark, sf_dir, "part").select(
-        key.alias("item_id"), at("aspect", size), at("voice", key / 3), at("polarity", size / 4), at("clause", key), at("modal", size / 7), at("frame_type", key / 7), at("note", key / 2), F.split("p_name", " ")[0].alias("word"),
+        key.alias("item_id"), at("tense", size / 2), at("aspect", size), at("voice", key / 3), at("polarity", size / 4), at("clause", key), at("modal", size / 7), at("frame_type", key / 7), at("note", key / 2), F.split("p_name", " ")[0].alias("word"),
     )
     return rows.withColumn("object", F.when(F.col("frame_type") == "transitive", F.concat(F.lit("the "), "word")))
