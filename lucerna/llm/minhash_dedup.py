@@ -47,9 +47,9 @@ TREES, SMALL, CROWD = 10, 512, 0.6
 #: One-permutation minwise sketch: bins, and the estimate below which a pair of large sets isn't confirmed.
 BINS, FAR = 128, 0.52
 #: Pivots in every block of a crowd, and rows whose sketches are compared at once.
-PIVOTS, AT_ONCE = 64, 4096
-#: Classes and characters in a block of exact comparison.
-BLOCK, BLOCK_CHARS = 512, 8 << 20
+PIVOTS, AT_ONCE = 64, 1024
+#: Classes and characters in a block of exact comparison, and characters of small components compared at once.
+BLOCK, BLOCK_CHARS, BUCKET_CHARS = 512, 8 << 20, 1 << 20
 _EDGES = (np.arange(BINS + 1, dtype=object) * (2**64 // BINS)).tolist()
 _EDGES = np.array([min(e, 2**64 - 1) for e in _EDGES], np.uint64)
 
@@ -294,7 +294,7 @@ def _confirmed(groups: DataFrame, rows: DataFrame, sets: DataFrame, width: int,
     blocks = F.greatest(_blocks(F.count("*"), BLOCK), _blocks(F.sum("size"), BLOCK_CHARS)).alias("blocks")
     sizes = texts.groupBy("comp").agg(blocks).select(_own_exchange("comp").alias("k"), "blocks")
     members = texts.join(sizes, F.col("comp") == F.col("k")).select("rep", "comp", "blocks", _mine(F.col("blocks")).alias("own"), "text", "size")
-    buckets = -(-(texts.agg(F.sum("size")).first()[0] or 0) // BLOCK_CHARS)
+    buckets = -(-(texts.agg(F.sum("size")).first()[0] or 0) // BUCKET_CHARS)
 
     def links(grouped: DataFrame) -> DataFrame:
         small = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(max(1, buckets))))
