@@ -50,13 +50,13 @@ def _features(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield lo, h[h != 0], r[h != 0]
 
 
-def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, place and count of the features of each row, in order of row and place."""
-    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+def _vectors(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row, place and count of the features of each row, in order of row and place, for runs of rows."""
     for lo, h, r in _features(column):
+        if len(h) == 0:
+            continue
         one, many = np.unique((lo + r) * BUCKETS + (h % np.uint64(BUCKETS)).astype(np.int64), return_counts=True)
-        out.append((one // BUCKETS, one % BUCKETS, np.minimum(many, MOST)))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+        yield one // BUCKETS, one % BUCKETS, np.minimum(many, MOST)
 
 
 def _sums(row: np.ndarray, place: np.ndarray, value: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
@@ -78,8 +78,11 @@ class Severity:
         """P(grade >= 1..K) of each row."""
         if len(self.thresholds) == 0:
             return np.zeros((len(column), 1))
-        row, place, many = _vectors(column)
-        return _above(_sums(row, place, np.log1p(many), self.weights, len(column)), self.thresholds)
+        score = np.zeros(len(column))
+        for row, place, many in _vectors(column):
+            lo, hi = int(row[0]), int(row[-1]) + 1
+            score[lo:hi] += _sums(row - lo, place, np.log1p(many), self.weights, hi - lo)
+        return _above(score, self.thresholds)
 
 
 def link_loss(score: np.ndarray, grade: np.ndarray, thresholds: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -134,10 +137,12 @@ def evidence(ends: np.ndarray, place: np.ndarray, grade: np.ndarray, width: int)
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        row, place, many = _vectors(batch.column("text"))
-        ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
-        places, counts = place.astype(np.int32), many.astype(np.uint8)
-        cells = [(places[a:b].tobytes(), counts[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        cells = [(b"", b"")] * batch.num_rows
+        for row, place, many in _vectors(batch.column("text")):
+            places, counts = place.astype(np.int32), many.astype(np.uint8)
+            own, first = np.unique(row, return_index=True)
+            for i, a, b in zip(own.tolist(), first, np.append(first[1:], len(row)), strict=True):
+                cells[i] = places[a:b].tobytes(), counts[a:b].tobytes()
         yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([c[0] for c in cells], pa.binary()), pa.array([c[1] for c in cells], pa.binary())], names=["y", "places", "counts"])
 
 
