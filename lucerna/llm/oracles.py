@@ -48,4 +48,28 @@ reach(id, r) AS (SELECT doc_id, doc_id FROM d UNION SELECT p.a, reach.r FROM p J
 c AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept FROM d JOIN c ON c.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
 
-ORACLES = {"op1_embedding_dedup": OP1, "op5_line_dedup": OP5, "op6_suffix_dedup": OP6, "op8_decontamination": OP8, "op9_minhash_dedup": OP9}
+OP11 = """WITH v AS (SELECT vec_id, row_number() OVER () AS r, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.r <> c.r AND len(q.x) = len(c.x) WHERE q.vec_id % 50 = 0),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5"""
+
+#: CRC32 of the decimal id; fixed values: the reflected polynomial 0xEDB88320 and the start and end mask.
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::BIGINT)), "
+    "lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"
+)
+OP12 = f"""WITH t AS (SELECT conv_id AS c, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS m, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, list(m ORDER BY p) AS own FROM t GROUP BY c),
+h AS (SELECT c, own, {_CRC} % 4 AS h FROM o),
+r AS (SELECT h.c, list_concat(coalesce(b.own[:h], []), h.own[h + 1:]) AS s FROM h LEFT JOIN o b ON b.c = h.c - h.c % 20),
+m AS (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM r),
+n AS (SELECT s[:d] AS k, d, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CASE WHEN len(s) = d THEN c::VARCHAR END, ',' ORDER BY c), '') AS ends FROM m GROUP BY 1, 2),
+w AS (SELECT *, (n_convs - 1) * CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(k[d].text, '[^\\x20\\x09-\\x0D]+')) END AS own FROM n),
+kids AS (SELECT k[:d - 1] AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+up AS (SELECT unnest(list_transform(range(0, d + 1), lambda e: w.k[:e])) AS k, own, (kids.k IS NULL)::INT AS leaf FROM w LEFT JOIN kids ON kids.k = w.k),
+sub AS (SELECT k, CAST(sum(leaf) AS BIGINT) AS n_leaves, CAST(sum(own) AS BIGINT) AS saved_tokens FROM up GROUP BY 1)
+SELECT w.conv_id, w.d AS depth, a.conv_id AS parent_conv_id, w.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(w.ends) AS ends_sha256
+FROM w JOIN sub ON sub.k = w.k LEFT JOIN kids ON kids.k = w.k LEFT JOIN n a ON w.d > 0 AND a.k = w.k[:w.d - 1]"""
+
+ORACLES = {"op1_embedding_dedup": OP1, "op5_line_dedup": OP5, "op6_suffix_dedup": OP6, "op8_decontamination": OP8, "op9_minhash_dedup": OP9, "op11_exact_topk": OP11, "op12_prefix_trie": OP12}

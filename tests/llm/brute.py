@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import math
 import re
 import string
+import zlib
 
 BLANK = " \t\n\x0b\x0c\r"
 LOW = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -90,3 +92,32 @@ def near(docs):
     links = [(a, b) for x, a in enumerate(ids) for b in ids[:x] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
     c = components(ids, links)
     return {i: (len(sets[i]), c[i], c[i] == i) for i in ids}
+
+
+def trie(rows, every=20, most=4):
+    """Nodes of the rebuilt conversations of (conv_id, turn, role, text)."""
+    turns = collections.defaultdict(list)
+    for c, t, role, text in rows:
+        if c is not None:
+            turns[c].append((t is not None, t or 0, role or "", text or ""))
+    own = {c: [x[2:] for x in sorted(v, key=lambda x: x[:2])] for c, v in turns.items()}
+    whole = {}
+    for c, v in own.items():
+        h = zlib.crc32(str(c).encode()) % most
+        whole[c] = tuple(own.get(int(math.fmod(c, -every)) * -1 + c, [])[:h] + v[h:])
+    members = collections.defaultdict(list)
+    for c, v in whole.items():
+        for d in range(len(v) + 1):
+            members[v[:d]].append(c)
+    children = collections.Counter(k[:-1] for k in members if k)
+    saved, leaves = collections.Counter(), collections.Counter()
+    for k, m in members.items():
+        words = len(re.findall(r"[^\x20\x09-\x0D]+", k[-1][1])) if k else 0
+        for d in range(len(k) + 1):
+            saved[k[:d]] += (len(m) - 1) * words
+            leaves[k[:d]] += not children[k]
+    out = []
+    for k, m in members.items():
+        ends = ",".join(map(str, sorted(c for c in m if len(whole[c]) == len(k))))
+        out.append((min(m), len(k), min(members[k[:-1]]) if k else None, len(m), children[k], leaves[k], saved[k], sha(ends)))
+    return sorted(out, key=repr)
