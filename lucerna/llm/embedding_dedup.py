@@ -6,8 +6,9 @@ and x in cell a, then |x - y| is at least x's distance to the plane between a an
 than the chord of the threshold hold no partner of x. Vectors with equal components are one class.
 
 Defined results: a vector that is null, zero, or holds null or non-finite components links with
-nothing, as does a row whose id is null; vectors of different lengths don't link. Of rows that repeat an
-id, the one with the smallest vector counts. Other columns are ignored. An empty table gives no rows.
+nothing, as does a row whose id is null; vectors of different lengths don't link. Rows that repeat an id are
+vectors of their own, each with its row; equal vectors of one id are links too. Other columns are ignored. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -134,14 +135,15 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     single = "float" in vectors.schema[vector_col].dataType.simpleString()
     kind = np.float32 if single else np.float64
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("embedding"))
-    ids = rows.where("vec_id is not null").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    ids = rows.where("vec_id is not null")
     fit = F.size("embedding") > 0
     for bad in (lambda v: v.isNull(), lambda v: F.isnan(v), lambda v: F.abs(v) == float("inf")):
         fit &= ~F.exists("embedding", bad)
     fit &= F.exists("embedding", lambda v: v != 0)
     ids = ids.withColumn("embedding", F.when(fit, F.col("embedding")))
     good = ids.where("embedding is not null")
-    classes = checkpoint(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many")))
+    # a class is known by a number of its own, since rows of one id may lie in several
+    classes = checkpoint(good.groupBy("embedding").agg(F.min("vec_id").alias("low"), F.count("*").alias("many")).withColumn("rep", F.monotonically_increasing_id()))
     total = classes.count()
     sample = [r[0] for r in bounded_sample(classes.select("rep", "embedding"), ["rep"], FIT_VECTORS).select("embedding").collect()]
     centres: dict[int, np.ndarray] = {}
@@ -151,7 +153,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         x = _unit(np.array([v for v in sample if len(v) == dim], kind))
         centres[dim] = spherical_kmeans(x, min(MOST_CELLS, max(1, -(-total // CELL))))
     chord = float(np.sqrt(2 - 2 * threshold))
-    placed = checkpoint(classes.mapInArrow(_assigner(centres, chord, kind), "cell long, home boolean, rep long, many long, v binary"))
+    placed = checkpoint(classes.select("embedding", "rep", "many").mapInArrow(_assigner(centres, chord, kind), "cell long, home boolean, rep long, many long, v binary"))
     # at most MOST_CELLS rows, and one per other vector length
     counts = placed.groupBy("cell").agg(F.sum(F.col("home").cast("long")).alias("n_t"), F.count("*").alias("n_q")).where("n_t > 0")
     blocks = counts.select("cell", F.ceil(F.col("n_t") / TARGETS).cast("long").alias("n_tb"), F.ceil(F.col("n_q") / QUERIES).cast("long").alias("n_qb"))
@@ -162,11 +164,10 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     targets = sized.where("home").select("cell", F.pmod(one, F.col("n_tb")).alias("tb"), F.explode(whole("n_qb")).alias("qb"), F.lit(True).alias("target"), "rep", "many", "v")
     found = checkpoint(queries.unionByName(targets).groupBy("cell", "tb", "qb").applyInArrow(_compare(threshold, kind), "rep long, n long, root long"))
     linked = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    parts = connected_components(found.select("rep", "root"))
-    facts = checkpoint(
-        classes.join(linked, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")
-        .select("embedding", (F.col("many") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    )
+    parts = connected_components(found.select("rep", "root")).select(F.col("node").alias("rep"), "component")
+    placed_rows = classes.join(linked, "rep", "left").join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    lowest = placed_rows.groupBy("component").agg(F.min("low").alias("component_id"))
+    facts = checkpoint(placed_rows.join(lowest, "component").select("embedding", (F.col("many") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id"))
     out = ids.join(facts, "embedding", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
     )

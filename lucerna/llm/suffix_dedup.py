@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from lucerna.llm.common import bounded_sample, mix, shuffle_partitions, utf8
 
-SPAN, GRAM, HALF, LEAD = 50, 24, 13, 16
+SPAN, GRAM, HALF, LEAD = 50, 24, 13, 37
 #: Documents that the splitters are drawn from, and characters of text in a chunk.
-SAMPLES, CHUNK_CHARS = 20_000, 16 << 20
+SAMPLES, CHUNK_CHARS = (20_000, 200_000), 16 << 20
 _LAST = 2**63 - 1
 _PIECE_BITS = 17
 _PIECE = 1 << _PIECE_BITS
@@ -104,8 +104,8 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _leading(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The LEAD bytes at each of the positions, in an order that equals theirs."""
-    return np.ascontiguousarray(data[at[:, None] + np.arange(LEAD)]).view(f"S{LEAD}").ravel() if len(at) else np.zeros(0, f"S{LEAD}")
+    """The LEAD bytes at each of the positions (at the data's end the last byte again), in an order that equals theirs."""
+    return np.ascontiguousarray(data[np.minimum(at[:, None] + np.arange(LEAD), len(data) - 1)]).view(f"S{LEAD}").ravel() if len(at) else np.zeros(0, f"S{LEAD}")
 
 
 def multikey_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -310,10 +310,11 @@ def _anchor_leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _splitters(rows: DataFrame, buckets: int) -> np.ndarray:
-    """Quantiles of the leading bytes at sampled anchors (SAMPLES documents at most, three anchors in each)."""
-    sample = bounded_sample(rows.where(F.length("text") >= SPAN).select("text", "text_hash", "doc_id"), ["text_hash", "doc_id"], SAMPLES).select("text")
+    """Quantiles of the leading bytes at sampled anchors, three in each of as many documents as there are buckets, but
+    SAMPLES[0] at least and SAMPLES[1] at most; as many quantiles as sampled anchors give."""
+    sample = bounded_sample(rows.where(F.length("text") >= SPAN).select("text", "text_hash", "doc_id"), ["text_hash", "doc_id"], min(max(SAMPLES[0], buckets), SAMPLES[1])).select("text")
     leads = np.sort(np.array([r[0] for r in sample.mapInArrow(_anchor_leads, "lead binary").collect()], f"S{LEAD}"))
-    return np.unique(leads[(np.arange(1, buckets) * len(leads)) // buckets]) if len(leads) >= buckets else leads[:0]
+    return np.unique(leads[(np.arange(1, buckets) * len(leads)) // buckets]) if len(leads) else leads
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

@@ -252,3 +252,28 @@ def test_shingle_sets_do_not_cross_rows():
     raw = [t.encode() for t in text]
     h, at = shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), 5)
     assert np.diff(at).tolist() == [2, 0, 1, 2] and len(set(h.tolist())) == 5
+
+
+def test_rows_of_one_id_are_vectors_of_their_own(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [None, 1.0]), (3, [0.0, 1.0]), (5, [0.0, 1.0]), (5, [1.0, 0.0]), (5, [1.0, 0.0]), (7, [-1.0, 0.0]), (7, [0.0, -1.0])]
+    got = sorted(map(tuple, embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+    assert got == [(1, 3, 1, True), (2, 0, 2, True), (2, 3, 1, False), (3, 1, 3, True), (5, 1, 3, False), (5, 3, 1, False), (5, 3, 1, False), (7, 0, 7, True), (7, 0, 7, True)]
+
+
+def test_suffix_splitters_with_more_buckets_than_leads(spark):
+    from lucerna.llm import suffix_dedup as s
+
+    docs = spark.createDataFrame([(i, f"{i} " + " ".join(f"{i * 7919 + k * 104729} word" for k in range(40)), "h") for i in range(30)], "doc_id long, text string, text_hash string")
+    few, many = s._splitters(docs, 40), s._splitters(docs, 5000)
+    assert 30 <= len(few) <= 39 and 60 < len(many) <= 90 and list(many) == sorted(many)
+    # a beginning that very many anchors share still gives splitters, by the bytes that follow it
+    hot = spark.createDataFrame([(i, "the very same twenty four" + f" {i:05d} " * 12, "h") for i in range(60)], "doc_id long, text string, text_hash string")
+    assert len(s._splitters(hot, 40)) > 20
+
+
+def test_suffix_dedup_with_more_buckets_than_leads(spark, monkeypatch):
+    from lucerna.llm import suffix_dedup as s
+
+    monkeypatch.setattr(s, "CHUNK_CHARS", 40)
+    docs = corpus(3, 20)
+    assert result(suffix_dedup(frame(spark, docs))) == repeats(docs)
