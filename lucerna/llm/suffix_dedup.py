@@ -105,7 +105,10 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def _leading(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The LEAD bytes at each of the positions (at the data's end the last byte again), in an order that equals theirs."""
-    return np.ascontiguousarray(data[np.minimum(at[:, None] + np.arange(LEAD), len(data) - 1)]).view(f"S{LEAD}").ravel() if len(at) else np.zeros(0, f"S{LEAD}")
+    out = np.zeros((len(at), LEAD), np.uint8)
+    for k in range(LEAD if len(at) else 0):
+        out[:, k] = data[np.minimum(at + k, len(data) - 1)]
+    return out.view(f"S{LEAD}").ravel()
 
 
 def multikey_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
