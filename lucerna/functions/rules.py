@@ -61,6 +61,36 @@ class Compiler:
         return F.array_sort(F.array_compact(F.array(*[F.when(self.column(r["rule"]), F.lit(r["kc_id"])) for r in rules])))
 
 
+#: Alternatives that a rule may expand to.
+MOST_CONJUNCTS = 10_000
+
+
+def conjuncts(rule: Rule, fields: tuple[str, ...] = ("agreement_site", "frame_type")) -> list[list[frozenset[str]]]:
+    """The rule as alternatives, each a list of sets of atoms: it holds if some alternative has an atom of each of its
+    sets. Atoms are `field=value`; `any` of single sets stays one set, so only nested alternatives multiply."""
+    values = lambda field, v: frozenset(f"{field}={x}" for x in (v if isinstance(v, list) else [v]))
+    if "all" in rule:
+        out: list[list[frozenset[str]]] = [[]]
+        for part in rule["all"]:
+            own = conjuncts(part, fields)
+            if len(out) * len(own) > MOST_CONJUNCTS:
+                raise ValueError(f"a rule has over {MOST_CONJUNCTS} alternatives")
+            out = [a + b for a in out for b in own]
+        return out
+    if "any" in rule:
+        parts = [c for p in rule["any"] for c in conjuncts(p, fields)]
+        single = [c[0] for c in parts if len(c) == 1]
+        return [c for c in parts if len(c) != 1] + ([[frozenset().union(*single)]] if single else [])
+    if "operation" in rule:
+        return [[values("operation", rule["operation"])]]
+    if "cell" in rule:
+        return [[values(f"cell.{k}", v) for k, v in rule["cell"].items()]]
+    for field in fields:
+        if field in rule:
+            return [[values(field, rule[field])]]
+    raise ValueError(f"rule has no known key: {sorted(rule)}")
+
+
 def operation_scope(rule: Rule) -> bool:
     """Whether an operation leaf is reached through `all` alone; `any` isn't looked through."""
     return "operation" in rule or any(operation_scope(p) for p in rule.get("all", ()))

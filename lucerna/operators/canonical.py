@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lucerna.functions.positions import with_positions
 
 def canonical_dedup(edges: DataFrame, cell: str = "cell_id", source: str = "source_id", note: str = "note") -> DataFrame:
     """One row a cell: distinct sources, all edges, and the first source with its note (least source, then position)."""
@@ -155,6 +156,41 @@ def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), F.sum(digits(1)).cast("string").alias("sum_a"), F.sum(digits(13)).cast("string").alias("sum_b"))
 
 
+#: Two primes under 2^31 and bases under them: the digest in order is a polynomial in each.
+MODULI = ((2_147_483_647, 1_103_515_245), (2_147_483_629, 69_621))
+#: Positions are under 2 to this power.
+_POSITION_BITS = 45
+
+
+def _power(base: int, prime: int, exponent: Column) -> Column:
+    """base ** exponent modulo prime, by the bits of the exponent; products of two numbers under 2^31 fit a long."""
+    out, square = F.lit(1).cast("long"), base
+    for bit in range(_POSITION_BITS):
+        out = out * F.when(F.shiftright(exponent, bit).bitwiseAND(F.lit(1)) == 1, F.lit(square)).otherwise(F.lit(1)) % F.lit(prime)
+        square = square * square % prime
+    return out
+
+
+def ordered_digest(df: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
+    """One row (n_rows, hash_a, hash_b) that depends on the rows' values and on their order.
+
+    Each hash is the sum of row hash * base ** position modulo a prime, so rows are summed wherever they lie, and
+    digests of tables that follow each other combine by combined(). `order` is unique together with the columns.
+    """
+    row = F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+    rows = with_positions(df.select(*order, F.sha2(row.cast("binary"), 256).alias("_h")), [*order, "_h"])
+    part = lambda at: F.conv(F.substring("_h", at, 7), 16, 10).cast("long")
+    term = lambda i: F.sum((part(1 + 7 * i) * _power(MODULI[i][1], MODULI[i][0], F.col("position")) % MODULI[i][0]).cast("decimal(38,0)"))
+    out = rows.agg(F.count("*").alias("n_rows"), term(0).alias("a"), term(1).alias("b"))
+    return out.select("n_rows", *[F.coalesce(F.col(c) % m[0], F.lit(0)).cast("long").alias(f"hash_{c}") for c, m in zip("ab", MODULI, strict=True)])
+
+
+def combined(first: tuple[int, int, int], second: tuple[int, int, int]) -> tuple[int, int, int]:
+    """The digest of a table followed by another, from their digests (n_rows, hash_a, hash_b)."""
+    n = first[0]
+    return (n + second[0], *[(h + k * pow(base, n, prime)) % prime for h, k, (prime, base) in zip(first[1:], second[1:], MODULI, strict=True)])
+
+
 def repeats_over(df: DataFrame, keys: list[str], name: str = "n_same") -> DataFrame:
     """Each row with the number of rows of its key."""
     return df.withColumn(name, F.count("*").over(Window.partitionBy(*keys)))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lucerna.functions import scans
 from lucerna.functions.ids import smoothed
 
 
@@ -16,30 +17,59 @@ def long_form(projected: DataFrame) -> DataFrame:
     return projected.select("learner", "seq", "correct", F.explode("kc_ids").alias("kc"))
 
 
+def with_earlier(rows: DataFrame) -> DataFrame:
+    """Blocked rows with what the learner's earlier blocks hold: answers _n and successes _s, and by label the rows k,
+    answers n and successes s in the map _by_kc."""
+    far = rows.join(scans.spread_keys(rows, "learner"), "learner", "left_semi")
+    sums = [F.count("*").alias("k"), F.count("correct").alias("n"), _zero(F.sum("correct")).alias("s")]
+    overall = scans.earlier(far.groupBy("learner", "_block").agg(*sums), ["learner"], ["k", "n", "s"]).select("learner", "_block", F.col("n").alias("_n"), F.col("s").alias("_s"))
+    by_kc = far.select("learner", "_block", "correct", F.explode("kc_ids").alias("kc")).groupBy("learner", "_block", "kc").agg(*sums)
+    # a label may be missing from the block at hand, so what is carried is known for every block of the learner
+    blocks = far.select("learner", "_block").distinct().join(by_kc.select("learner", "kc").distinct(), "learner")
+    every = blocks.join(by_kc, ["learner", "_block", "kc"], "left").select("learner", "kc", "_block", *[_zero(F.col(c)).alias(c) for c in ("k", "n", "s")])
+    as_map = F.map_from_entries(F.collect_list(F.struct("kc", F.struct("k", "n", "s")))).alias("_by_kc")  # as many as labels
+    maps = scans.earlier(every, ["learner", "kc"], ["k", "n", "s"]).groupBy("learner", "_block").agg(as_map)
+    return rows.join(overall.join(maps, ["learner", "_block"], "left"), ["learner", "_block"], "left")
+
+
+def _zero(c) -> Column:
+    return F.coalesce(c, F.lit(0))
+
+
+def _of_label(what: str) -> Column:
+    return _zero(F.try_element_at("_by_kc", F.col("kc"))[what])
+
+
 def opportunity_index(projected: DataFrame) -> DataFrame:
     """learner, seq, kc, opportunity: 1-based number of the learner's event with the label."""
-    w = Window.partitionBy("learner", "kc").orderBy("seq")
-    return long_form(projected).withColumn("opportunity", F.row_number().over(w).cast("long")).select("learner", "seq", "kc", "opportunity")
+    rows = with_earlier(scans.blocked(projected.select("learner", "seq", "correct", "kc_ids"), ["learner"]))
+    long = rows.select("learner", "_block", "seq", "_by_kc", F.explode("kc_ids").alias("kc"))
+    w = Window.partitionBy("learner", "_block", "kc").orderBy("seq")
+    return long.select("learner", "seq", "kc", (F.row_number().over(w) + _of_label("k")).cast("long").alias("opportunity"))
+
+
+def with_overall_rate(rows: DataFrame, alpha: float = 1.0, beta: float = 1.0) -> DataFrame:
+    """rows of with_earlier with overall_rate, the learner's smoothed success before the event."""
+    own = _before("learner", "_block")
+    attempts, successes = F.count("correct").over(own) + _zero(F.col("_n")), _zero(F.sum("correct").over(own)) + _zero(F.col("_s"))
+    return rows.withColumn("overall_rate", smoothed(successes, attempts, alpha, beta))
 
 
 def prior_rates(projected: DataFrame, alpha: float = 1.0, beta: float = 1.0) -> DataFrame:
     """projected with overall_rate, active_rate (overall_rate without labels) and mean_log_opportunity.
 
-    Both windows share the learner's partitioning: the long form is cut by learner first, so one shuffle
-    serves the label windows, the mean by event and the overall window.
+    Rows are dealt once, by learner and block; the windows run inside blocks and the labels' means come back to
+    the event by grouping, not by a join. (learner, seq) is unique.
     """
-    rows = projected.repartition("learner")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    by_kc = _before("learner", "kc")
-    rates = (
-        long_form(rows)
-        .select("learner", "seq", smoothed(zero(F.sum("correct").over(by_kc)), F.count("correct").over(by_kc), alpha, beta).alias("rate"), F.log1p(F.count("correct").over(by_kc).cast("double")).alias("seen"))
-        .groupBy("learner", "seq").agg(F.avg("rate").alias("active"), F.avg("seen").alias("mean_log"))
-    )
-    whole = _before("learner")
-    overall = smoothed(zero(F.sum("correct").over(whole)), F.count("correct").over(whole), alpha, beta)
-    out = rows.withColumn("overall_rate", overall).join(rates, ["learner", "seq"], "left")
-    return out.withColumn("active_rate", F.coalesce("active", "overall_rate")).withColumn("mean_log_opportunity", F.coalesce("mean_log", F.lit(0.0))).drop("active", "mean_log")
+    whole = with_overall_rate(with_earlier(scans.blocked(projected, ["learner"])), alpha, beta)
+    event = F.struct(*projected.columns, "overall_rate").alias("_event")
+    long = whole.select("learner", "_block", "seq", "correct", "_by_kc", event, F.explode_outer("kc_ids").alias("kc"))
+    label = _before("learner", "_block", "kc")
+    seen, right = F.count("correct").over(label) + _of_label("n"), _zero(F.sum("correct").over(label)) + _of_label("s")
+    # a label that is null stands for an event without labels
+    rates = long.select("learner", "_block", "seq", "_event", F.when(F.col("kc").isNotNull(), smoothed(right, seen, alpha, beta)).alias("rate"), F.when(F.col("kc").isNotNull(), F.log1p(seen.cast("double"))).alias("seen"))
+    out = rates.groupBy("learner", "_block", "seq").agg(F.first("_event").alias("e"), F.avg("rate").alias("active"), F.avg("seen").alias("mean_log"))
+    return out.select("e.*", F.coalesce("active", "e.overall_rate").alias("active_rate"), F.coalesce("mean_log", F.lit(0.0)).alias("mean_log_opportunity"))
 
 
 def chronological_split(events: DataFrame, train: float = 0.6, validation: float = 0.2) -> DataFrame:

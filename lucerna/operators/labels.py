@@ -155,5 +155,13 @@ def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def one_hot(kc_ids: list[str], column: str = "kc_ids") -> Column:
-    return F.array(*[F.array_contains(column, k).cast("double") for k in kc_ids])
+def with_label_vector(df: DataFrame, kc_ids: list[str], column: str = "kc_ids", name: str = "label_vector") -> DataFrame:
+    """df with a sparse vector that has 1 at the place in kc_ids of each label of the row; null is no label, unknown
+    labels count for nothing. Size and work of a row go with its own labels, not with their number."""
+    from pyspark.ml.feature import CountVectorizerModel
+
+    if len(set(kc_ids)) < len(kc_ids) or not kc_ids:
+        raise ValueError("labels must be distinct and at least one")
+    own = f"{name}_of"
+    rows = df.withColumn(own, F.coalesce(F.col(column), F.array().cast("array<string>")))
+    return CountVectorizerModel.from_vocabulary(kc_ids, own, name).setBinary(True).transform(rows).drop(own)

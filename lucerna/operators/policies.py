@@ -84,16 +84,28 @@ def development_only(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
-def discover(cells: DataFrame, grid: DataFrame, compiler: Compiler, candidates: list[Candidate], dimensions: list[str]) -> dict[str, DataFrame]:
-    """Everything that selection reads, from development rows alone; others are refused."""
+def discover(
+    cells: DataFrame, grid: DataFrame, compiler: Compiler, candidates: list[Candidate], dimensions: list[str], patterns: dict[str, list[str]] | None = None, stable: DataFrame | None = None, descriptors: DataFrame | None = None, least_descriptors: int = 1
+) -> dict[str, DataFrame]:
+    """Everything that selection reads, from development rows alone; others are refused.
+
+    patterns: the facts of each interaction that may go beyond its parents. stable: (cell_id, fact), the facts that every
+    realisation of a cell has, by default its stable operations. descriptors: (cell_id, source_id).
+    """
     cells, grid = development_only(cells, "cells"), development_only(grid, "realisations")
-    table = selection.candidate_table(cells.sparkSession, candidates)
+    spark = cells.sparkSession
+    table = selection.candidate_table(spark, candidates)
     active = cut(selection.activations(grid, compiler, candidates))  # cells x candidates: what all that follows reads
-    found = selection.diagnostics(active, cells.select("cell_id", "n_items"), table)
+    asked = spark.createDataFrame([(c, f) for c, facts in sorted((patterns or {}).items()) for f in facts], "candidate string, fact string")
+    held = stable if stable is not None else selection.stable_facts(grid, compiler.operations)
+    evidence = residual_evidence(active, table, held, asked)
+    alone = cut(selection.diagnostics(active, cells.select("cell_id", "n_items"), table, least_descriptors=least_descriptors, descriptors=descriptors, residual=evidence))  # a row a candidate
+    members = selection.class_members(active, alone, table)
+    found = selection.collapsed(alone, members)
     facts = cells.select("cell_id", "canonical_split", F.explode(F.array(*[F.concat(F.lit(f"{d}:"), F.col(d)) for d in dimensions])).alias("fact"))
     contrasts = canonical.hamming_one(cells, dimensions)
     return {
-        "table": table, "active": active, "found": found, "facts": facts, "contrasts": contrasts, "classes": selection.equivalence_classes(active, found, table),
+        "table": table, "active": active, "found": found, "facts": facts, "contrasts": contrasts, "classes": selection.equivalence_classes(members), "evidence": evidence,
         "obligations": selection.obligations(cells, facts.select("cell_id", "fact"), contrasts), "coverage": selection.obligation_coverage(active, table, cells, facts, contrasts),
     }
 
@@ -123,14 +135,20 @@ def statuses(trace: DataFrame, found: DataFrame, coverage: DataFrame) -> DataFra
     return rows.select("candidate", status.alias("status"), reason.alias("reason"))
 
 
-def objective(trace: DataFrame, found: DataFrame, table: DataFrame) -> DataFrame:
-    """One row: how many labels were selected, their complexity, activations, interactions and least supports."""
-    rows = trace.where("status = 'selected'").select("candidate").distinct().join(found.select("candidate", "cells", "items"), "candidate").join(table.select("candidate", "complexity", "interaction"), "candidate")
+def objective(trace: DataFrame, found: DataFrame, table: DataFrame, obligations: DataFrame, coverage: DataFrame) -> DataFrame:
+    """One row: whether the selected labels cover all obligations (feasible), how many there are of both, the labels'
+    complexity, activations, interactions and least supports."""
+    kept = trace.where("status = 'selected'").select("candidate").distinct()
+    rows = kept.join(found.select("candidate", "cells", "items", "descriptors"), "candidate").join(table.select("candidate", "complexity", "interaction"), "candidate")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return rows.agg(
+    whole = rows.agg(
         F.count("*").alias("n_labels"), zero(F.sum("complexity")).alias("complexity"), zero(F.sum("cells")).alias("activations"),
-        zero(F.sum(F.col("interaction").cast("long"))).alias("n_interactions"), zero(F.min("cells")).alias("least_cells"), zero(F.min("items")).alias("least_items"),
+        zero(F.sum(F.col("interaction").cast("long"))).alias("n_interactions"), zero(F.min("cells")).alias("least_cells"), zero(F.min("items")).alias("least_items"), zero(F.min("descriptors")).alias("least_descriptors"),
     )
+    covered = coverage.join(kept, "candidate", "left_semi").select("obligation").distinct()
+    open_ = obligations.join(covered, "obligation", "left_anti").agg(F.count("*").alias("_open"))
+    every = obligations.agg(F.count("*").alias("n_obligations"))
+    return whole.crossJoin(F.broadcast(every)).crossJoin(F.broadcast(open_)).withColumn("feasible", F.col("_open") == 0).drop("_open")
 
 
 def compile_policy(selected: list[str], candidates: list[Candidate]) -> tuple[str, list[dict]]:

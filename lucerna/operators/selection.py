@@ -1,22 +1,26 @@
 """Choosing a small label set on development data: activations, diagnostics, classes, obligations, greedy cover.
 
 Candidates are a declared, short list; cells and obligations are distributed. A candidate is
-(id, origin rank, granularity, complexity, parents, represents, rule).
+(id, origin rank, granularity, complexity, parents, represents, rule), and may end with a group of alternatives that
+differ in granularity only.
 """
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucerna.functions.rules import Compiler
+from lucerna.functions.rules import Compiler, operation_scope
 from lucerna.sources.cuts import cut
 
 Candidate = tuple
 
 
 def candidate_table(spark, candidates: list[Candidate]) -> DataFrame:
-    return spark.createDataFrame([(c[0], c[1], c[2], c[3], c[4], c[5], len(c[4]) > 0) for c in candidates], "candidate string, origin long, granularity long, complexity long, parents array<string>, represents string, interaction boolean")
+    rows = [(c[0], c[1], c[2], c[3], c[4], c[5], len(c[4]) > 0, operation_scope(c[6]), c[7] if len(c) > 7 else None) for c in candidates]
+    return spark.createDataFrame(rows, "candidate string, origin long, granularity long, complexity long, parents array<string>, represents string, interaction boolean, operation boolean, alternatives string")
 
 
 def activations(grid: DataFrame, compiler: Compiler, candidates: list[Candidate], cell: str = "cell_id") -> DataFrame:
@@ -35,8 +39,15 @@ def stable_facts(grid: DataFrame, facts: str = "operations", cell: str = "cell_i
     return held.join(size, cell).where("k = n").select(cell, "fact")
 
 
-def diagnostics(active: DataFrame, sources: DataFrame, table: DataFrame, least_cells: int = 1, least_interaction: int = 2) -> DataFrame:
-    """Support, scope and rejection reasons of each candidate. sources: (cell_id, n_items)."""
+def diagnostics(
+    active: DataFrame, sources: DataFrame, table: DataFrame, least_cells: int = 1, least_interaction: int = 2, least_descriptors: int = 1, descriptors: DataFrame | None = None, residual: DataFrame | None = None
+) -> DataFrame:
+    """Support, scope and reasons against each candidate by itself (collapsed adds what its class says).
+
+    sources: (cell_id, n_items). descriptors: (cell_id, source_id), the source descriptors of the cells; without them
+    their number is null and no reason. residual: policies.residual_evidence; an interaction needs a fact beyond its parents.
+    """
+    spark = table.sparkSession
     rows = active.join(sources, "cell_id")
     always, mixed = F.col("state") == "always", F.col("state") == "mixed"
     per = rows.groupBy("candidate").agg(
@@ -45,24 +56,53 @@ def diagnostics(active: DataFrame, sources: DataFrame, table: DataFrame, least_c
     )
     parents = table.select("candidate", F.explode("parents").alias("parent")).join(per.select(F.col("candidate").alias("parent"), F.col("cells").alias("parent_cells")), "parent")
     narrow = parents.groupBy("candidate").agg(F.min("parent_cells").alias("least_parent"))
-    joined = table.join(per, "candidate").join(narrow, "candidate", "left")
+    none = spark.createDataFrame([], "candidate string, n long")
+    shown = none if descriptors is None else active.where("state = 'always'").join(descriptors.select("cell_id", "source_id").distinct(), "cell_id").groupBy("candidate").agg(F.countDistinct("source_id").alias("n"))
+    beyond = none if residual is None else residual.where("beyond_parents").groupBy("candidate").agg(F.countDistinct("fact").alias("n"))
+    joined = table.join(per, "candidate").join(narrow, "candidate", "left").join(shown.withColumnRenamed("n", "_sources"), "candidate", "left").join(beyond.withColumnRenamed("n", "_facts"), "candidate", "left")
+    n_sources = F.lit(None).cast("long") if descriptors is None else F.coalesce("_sources", F.lit(0))
+    facts = F.coalesce("_facts", F.lit(0))
+    scope = F.when(F.col("mixed_cells") > 0, "realisation").when(F.col("operation") & (F.col("any_cells") == 0), "unverified").otherwise("cell")
     reasons = F.array_compact(F.array(
         F.when(F.col("cells") < least_cells, F.lit("too few cells")),
-        F.when(F.col("mixed_cells") > 0, F.lit("scope is realisation")),
+        F.when(n_sources < least_descriptors, F.lit("too few source descriptors")),
+        F.when(scope != "cell", F.concat(F.lit("scope is "), scope)),
         F.when(F.col("interaction") & (F.col("cells") < least_interaction), F.lit("too few interaction cells")),
         F.when(F.col("interaction") & ~F.coalesce((F.col("cells") > 0) & (F.col("cells") < F.col("least_parent")), F.lit(False)), F.lit("not a strict part of its parents")),
+        F.when(F.col("interaction") & (facts == 0), F.lit("no fact beyond its parents")),
         F.when(~F.col("interaction") & (F.col("represents") == ""), F.lit("stands for nothing")),
     ))
-    return joined.select("candidate", "cells", "any_cells", "mixed_cells", "items", "realisations", F.when(F.col("mixed_cells") > 0, "realisation").otherwise("cell").alias("scope"), reasons.alias("reasons")).withColumn("eligible", F.size("reasons") == 0)
+    out = joined.select("candidate", "cells", "any_cells", "mixed_cells", "items", "realisations", n_sources.alias("descriptors"), facts.alias("residual_facts"), (F.col("cells") < 2).alias("fragile"), scope.alias("scope"), reasons.alias("reasons"))
+    return out.withColumn("eligible", F.size("reasons") == 0)
 
 
-def equivalence_classes(active: DataFrame, found: DataFrame, table: DataFrame) -> DataFrame:
-    """Candidates with the same state in every cell, with the representative of each class. The vector is
+def class_members(active: DataFrame, found: DataFrame, table: DataFrame) -> DataFrame:
+    """candidate, its class of candidates with the same state in every cell, and the class's representative. The vector is
     summed up by hashes of (cell, state), so it isn't gathered; never is the background."""
     marks = active.withColumn("h", F.xxhash64("cell_id", "state").cast("decimal(38,0)")).groupBy("candidate").agg(F.sum(F.when(F.col("state") != "never", F.col("h")).otherwise(0)).alias("a"), F.sum((F.col("state") != "never").cast("long")).alias("b"))
     rank = F.struct(~F.col("eligible"), "origin", "granularity", -F.length("represents"), "complexity", "candidate")
-    rows = marks.join(found.select("candidate", "eligible"), "candidate").join(table.select("candidate", "origin", "granularity", "represents", "complexity"), "candidate")
-    return rows.groupBy("a", "b").agg(F.array_join(F.array_sort(F.collect_list("candidate")), ",").alias("members"), F.count("*").alias("n_members"), F.min_by("candidate", rank).alias("representative"), F.max("b").alias("active_cells")).drop("a", "b")
+    rows = marks.join(found.select("candidate", "eligible"), "candidate").join(table.select("candidate", "origin", "granularity", "represents", "complexity", "alternatives"), "candidate")
+    first = rows.groupBy("a", "b").agg(F.min_by("candidate", rank).alias("representative"))
+    return rows.join(first, ["a", "b"]).select("candidate", "a", "b", "alternatives", "representative")
+
+
+def equivalence_classes(members: DataFrame) -> DataFrame:
+    """One row a class: members, representative, whether development rows can't tell its members apart, and the groups of
+    alternatives (group=members, joined by ;) of which it holds several."""
+    text = lambda c: F.array_join(F.array_sort(F.collect_list(c)), ",")
+    whole = members.groupBy("a", "b").agg(text("candidate").alias("members"), F.count("*").alias("n_members"), F.max("representative").alias("representative"), F.max("b").alias("active_cells"))
+    groups = members.where("alternatives is not null").groupBy("a", "b", "alternatives").agg(text("candidate").alias("of"), F.count("*").alias("n")).where("n > 1")
+    groups = groups.groupBy("a", "b").agg(F.array_join(F.array_sort(F.collect_list(F.concat("alternatives", F.lit("="), "of"))), ";").alias("granularity_groups"))
+    out = whole.join(groups, ["a", "b"], "left").withColumn("unidentifiable", F.col("n_members") > 1)
+    return out.select("members", "n_members", "representative", "active_cells", "unidentifiable", F.coalesce("granularity_groups", F.lit("")).alias("granularity_groups"))
+
+
+def collapsed(found: DataFrame, members: DataFrame) -> DataFrame:
+    """found, where an eligible candidate that another one stands for is no longer eligible, and says so."""
+    rows = found.join(members.select("candidate", "representative"), "candidate")
+    other = F.col("eligible") & (F.col("representative") != F.col("candidate"))
+    reasons = F.when(other, F.concat("reasons", F.array(F.lit("collapsed into an identical activation class")))).otherwise(F.col("reasons"))
+    return rows.withColumn("reasons", reasons).withColumn("eligible", F.size("reasons") == 0)
 
 
 def obligations(cells: DataFrame, facts: DataFrame, contrasts: DataFrame) -> DataFrame:
@@ -89,17 +129,27 @@ def obligation_coverage(active: DataFrame, table: DataFrame, cells: DataFrame, f
     return by_cell.unionByName(by_fact).unionByName(one.select("candidate", F.concat_ws(":", F.lit("contrast"), "left_id", "right_id").alias("obligation")))
 
 
+#: Candidates whose old gains are brought up to date together.
+REFRESH = 8
+
+
 def greedy_cover(covered_by: DataFrame, table: DataFrame, found: DataFrame) -> DataFrame:
-    """Greedy cover with backward pruning: one small job for each chosen bundle.
+    """Greedy cover with backward pruning.
 
     Each round takes the eligible candidate, with the parents it still lacks, that covers most open
     obligations; ties go to the smaller bundle, then less complexity, fewer cells, more support, and id.
     Then, newest first, a candidate goes if no kept one needs it and all stays covered.
     Returns candidate, step, new_obligations and status selected or pruned.
+
+    Obligations are summed up once by the set of candidates that cover them; all later jobs read that table alone. A
+    gain never rises as more is covered, so old gains are upper bounds: they wait in a heap, and only those that may
+    still win are counted again. Pruning asks which kept ones cover an obligation alone, and asks again after a
+    removal only: whoever covers one alone does so after further removals too.
     """
     spark = covered_by.sparkSession
     facts = {r["candidate"]: r for r in table.join(found.select("candidate", "cells", "items", "eligible"), "candidate").collect()}  # the declared candidates
     eligible = sorted(c for c, r in facts.items() if r["eligible"] and all(facts[p]["eligible"] for p in r["parents"]))
+    names = lambda members: F.array(*[F.lit(m) for m in members]).cast("array<string>")
 
     def bundle(c: str, have: list[str]) -> list[str]:
         out, todo = [], [c]
@@ -110,31 +160,55 @@ def greedy_cover(covered_by: DataFrame, table: DataFrame, found: DataFrame) -> D
                 todo.extend(facts[x]["parents"])
         return out
 
-    pairs = cut(covered_by.where(F.col("candidate").isin(eligible)).distinct())
-    everything = pairs.select("obligation").distinct().count()
-    left, chosen, trace, step = pairs, [], [], 0
+    def rank(c: str, gain: int, have: list[str]) -> tuple:
+        b = bundle(c, have)
+        return (-gain, len(b), sum(facts[m]["complexity"] for m in b), sum(facts[m]["cells"] for m in b), sum(facts[m]["interaction"] for m in b), -min(min(facts[m]["cells"], facts[m]["items"]) for m in b), c)
+
+    by = covered_by.where(F.col("candidate").isin(eligible)).groupBy("obligation").agg(F.array_sort(F.collect_set("candidate")).alias("by"))
+    sets = cut(by.groupBy("by").agg(F.count("*").alias("n")))
+
+    def gains(asked: list[str], have: list[str]) -> dict[str, int]:
+        """How many open obligations each one's bundle covers: one pass over the sets."""
+        left = sets.where(~F.arrays_overlap("by", names(have))) if have else sets
+        row = left.agg(*[F.coalesce(F.sum(F.when(F.arrays_overlap("by", names(bundle(c, have))), F.col("n"))), F.lit(0)).alias(f"_{i}") for i, c in enumerate(asked)]).first()
+        return dict(zip(asked, row, strict=True))
+
+    chosen, trace, step = [], [], 0
+    known = gains(eligible, chosen) if eligible else {}
+    counted_at = dict.fromkeys(eligible, 0)
     while True:
-        members = [(c, m) for c in eligible for m in bundle(c, chosen)]
-        if not members:
-            break
-        plan = spark.createDataFrame(members, "chooser string, candidate string")
-        gains = left.join(plan, "candidate").groupBy("chooser").agg(F.countDistinct("obligation").alias("gain")).collect()
-        ranked = sorted((-g["gain"], len(b), sum(facts[m]["complexity"] for m in b), sum(facts[m]["cells"] for m in b), sum(facts[m]["interaction"] for m in b), -min(min(facts[m]["cells"], facts[m]["items"]) for m in b), g["chooser"]) for g in gains for b in [bundle(g["chooser"], chosen)])
-        if not ranked:
+        heap = [(-g, c) for c, g in known.items() if g > 0 and c not in chosen]
+        heapq.heapify(heap)
+        best, old = None, []
+        # all that may still have the most: the best gain so far, or more by their old count
+        while heap and (best is None or heap[0][0] <= best[0]):
+            g, c = heapq.heappop(heap)
+            if counted_at[c] == step:
+                best = min(x for x in (best, rank(c, -g, chosen)) if x)
+            else:
+                old.append(c)
+            if old and (len(old) == REFRESH or not heap or (best is not None and heap[0][0] > best[0])):
+                for c, g in gains(old, chosen).items():
+                    known[c], counted_at[c] = g, step
+                    if g > 0:
+                        heapq.heappush(heap, (-g, c))
+                old = []
+        if best is None:
             break
-        added = sorted(bundle(ranked[0][-1], chosen), key=lambda m: (facts[m]["interaction"], m))
+        added = sorted(bundle(best[-1], chosen), key=lambda m: (facts[m]["interaction"], m))
         step += 1
         chosen += added
-        trace += [(m, step, -ranked[0][0] if m == ranked[0][-1] else 0) for m in added]
-        done = left.where(F.col("candidate").isin(added)).select("obligation").distinct()
-        left = cut(left.join(done, "obligation", "left_anti"))
-        if left.isEmpty():
-            break
-    kept = list(chosen)
+        trace += [(m, step, -best[0] if m == best[-1] else 0) for m in added]
+    kept, alone = list(chosen), None
     for c in reversed(chosen):
-        rest = [k for k in kept if k != c]
-        if not any(c in facts[k]["parents"] for k in rest) and pairs.where(F.col("candidate").isin(rest)).select("obligation").distinct().count() == everything:
-            kept = rest
+        if any(c in facts[k]["parents"] for k in kept if k != c):
+            continue
+        if alone is None:
+            left = sets.select(F.array_intersect("by", names(kept)).alias("by")).where("size(by) = 1")
+            alone = {r["c"] for r in left.select(F.col("by")[0].alias("c")).distinct().collect()}  # declared candidates
+        if c not in alone:
+            kept.remove(c)
+            alone = None
     rows = [(c, s, g, "selected" if c in kept else "pruned") for c, s, g in trace]
     return spark.createDataFrame(rows, "candidate string, step long, new_obligations long, status string")
 

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lucerna.functions import scans
 from lucerna.functions.ids import clipped, smoothed
 from lucerna.operators.guards import lookup, union_streams
-from lucerna.operators.history import long_form, opportunity_index
+from lucerna.operators.history import long_form, opportunity_index, with_earlier, with_overall_rate
+from lucerna.operators.labels import with_label_vector
+from lucerna.sources.cuts import cut
+
+#: Labels whose initial odds are broadcast at most; more of them are joined.
+_LABELS = 100_000
 
 
 @dataclass(frozen=True)
@@ -20,12 +26,11 @@ class Bkt:
     alpha: float = 1.0
     beta: float = 1.0
 
-    def updated(self, mastery: Column, correct: Column) -> Column:
+    def after(self, mastery: float, correct: int) -> float:
         """Mastery after one answer: Bayes' rule, then the chance to learn."""
-        right = mastery * (1 - self.slip) / (mastery * (1 - self.slip) + (1 - mastery) * self.guess)
-        wrong = mastery * self.slip / (mastery * self.slip + (1 - mastery) * (1 - self.guess))
-        after = F.when(correct == 1, right).otherwise(wrong)
-        return after + (1 - after) * self.learn
+        hit, miss = (1 - self.slip, self.guess) if correct else (self.slip, 1 - self.guess)
+        known = mastery * hit / (mastery * hit + (1 - mastery) * miss)
+        return known + (1 - known) * self.learn
 
     def predicted(self, mastery: Column) -> Column:
         return self.guess + (1 - self.slip - self.guess) * mastery
@@ -46,38 +51,84 @@ def initial_mastery(projected: DataFrame, kc_ids: list[str], model: Bkt = Bkt(),
     return every.join(seen, "kc", "left").select("kc", start.alias("initial"), F.coalesce("n", F.lit(0)).alias("train_attempts"))
 
 
-#: Events of a chain that are folded into one array at a time.
-_RUN = 64
+#: Odds of mastery are held under the first, which as a chance is 1 to a double; chances are kept the second from 0.
+_MOST_ODDS, _TINY = 1e200, 1e-100
+
+
+def _factor(model: Bkt, correct: Column) -> Column:
+    """What an answer multiplies the odds of mastery with: Bayes' rule, and the share of the others that doesn't learn."""
+    ratio = lambda known, unknown: max(known, _TINY) / max(unknown, _TINY) / max(1 - model.learn, _TINY)
+    return F.when(correct == 1, ratio(1 - model.slip, model.guess)).otherwise(ratio(model.slip, 1 - model.guess))
+
+
+def _step(model: Bkt, odds: Column, correct: Column) -> Column:
+    """The odds after an answer and the chance to learn."""
+    return F.least(odds * _factor(model, correct) + model.learn / max(1 - model.learn, _TINY), F.lit(_MOST_ODDS))
+
+
+def _chance(odds: Column) -> Column:
+    return odds / (1 + odds)
+
+
+def _chains(rows: DataFrame, initial: DataFrame, model: Bkt) -> DataFrame:
+    """learner, _block, kc, the block's chain of (seq, correct) in order, and `odds` at its start. rows: blocked.
+
+    A step is linear in the odds, so a whole block is too: (a * odds + b) / c, with numbers that the block alone decides,
+    kept in range by their largest. The start of a later block follows from the blocks before it; an array
+    holds a block's events, or a chain's blocks. Learners without later blocks start at the initial odds.
+    """
+    m = F.col("initial")
+    start = cut(initial.select("kc", F.when(m >= 1, _MOST_ODDS).otherwise(m / (1 - m)).alias("first")))
+    start = F.broadcast(start) if start.count() <= _LABELS else start
+    long = rows.select("learner", "_block", "seq", "correct", F.explode("kc_ids").alias("kc"))
+    chains = long.groupBy("learner", "_block", "kc").agg(F.array_sort(F.collect_list(F.struct("seq", "correct"))).alias("chain")).join(start, "kc")
+
+    def through(t: Column, event: Column) -> Column:
+        f = _factor(model, event["correct"])
+        a, b, c = t["a"] * f, t["b"] * f + t["c"] * (model.learn / max(1 - model.learn, _TINY)), t["c"]
+        most = F.greatest(a, b, c)
+        return F.struct((a / most).alias("a"), (b / most).alias("b"), F.greatest(c / most, F.lit(1e-300)).alias("c"))
+
+    far = chains.join(scans.spread_keys(rows, "learner"), "learner", "left_semi")
+    maps = far.select("learner", "kc", "first", "_block", F.aggregate("chain", F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(1.0).alias("c")), through).alias("map"))
+    whole = maps.groupBy("learner", "kc").agg(F.max("first").alias("first"), F.array_sort(F.collect_list(F.struct("_block", "map"))).alias("blocks"))
+    carried = lambda odds, x: F.least((x["map"]["a"] * odds + x["map"]["b"]) / x["map"]["c"], F.lit(_MOST_ODDS))
+    starts = whole.select("learner", "kc", F.explode(F.arrays_zip("blocks", scans.running(F.col("blocks"), F.col("first"), carried, "double").alias("odds"))).alias("x"))
+    by_block = starts.groupBy("learner", F.col("x.blocks._block").alias("_block")).agg(F.map_from_entries(F.collect_list(F.struct("kc", "x.odds"))).alias("_starts"))
+    return chains.join(by_block, ["learner", "_block"], "left").select("learner", "_block", "kc", "chain", F.coalesce(F.try_element_at("_starts", F.col("kc")), "first").alias("odds"))
+
+
+def _mastery(rows: DataFrame, initial: DataFrame, model: Bkt) -> DataFrame:
+    """learner, _block, seq, kc, mastery before the event."""
+    before = scans.running(F.col("chain"), F.col("odds"), lambda odds, e: _step(model, odds, e["correct"]), "double").alias("odds")
+    each = _chains(rows, initial, model).select("learner", "_block", "kc", F.explode(F.arrays_zip(F.col("chain.seq").alias("seq"), before)).alias("x"))
+    return each.select("learner", "_block", "x.seq", "kc", _chance(F.col("x.odds")).alias("mastery"))
 
 
 def mastery_before(projected: DataFrame, initial: DataFrame, model: Bkt = Bkt()) -> DataFrame:
-    """learner, seq, kc, mastery before the event. Each learner's chain of a label is independent of the
-    others; it is folded in order by runs of _RUN events: first the mastery at each run's start, then the
-    running values inside the runs, so that arrays that grow stay short."""
-    chains = long_form(projected).groupBy("learner", "kc").agg(F.array_sort(F.collect_list(F.struct("seq", "correct"))).alias("chain"))
-    after = lambda m, events: F.aggregate(events, m, lambda x, e: model.updated(x, e["correct"]))
-    grown = lambda s, m: F.struct(m.alias("m"), F.concat(s["out"], F.array(s["m"])).alias("out"))
-    none = F.array().cast("array<double>")
-    running = lambda start, events, step: F.aggregate(events, F.struct(start.alias("m"), none.alias("out")), lambda s, e: grown(s, step(s["m"], e)), lambda s: s["out"])
-    cut_up = F.transform(F.sequence(F.lit(0), F.floor((F.size("chain") - 1) / _RUN).cast("int")), lambda i: F.slice("chain", i * _RUN + 1, _RUN))
-    rows = chains.join(initial.select("kc", "initial"), "kc").select("learner", "kc", "initial", F.explode(F.arrays_zip(cut_up.alias("run"), running(F.col("initial"), cut_up, after).alias("start"))).alias("r"))
-    rows = rows.select("learner", "kc", F.explode(F.arrays_zip(F.col("r.run").alias("event"), running(F.col("r.start"), F.col("r.run"), lambda m, e: model.updated(m, e["correct"])).alias("before"))).alias("x"))
-    return rows.select("learner", F.col("x.event.seq").alias("seq"), "kc", F.col("x.before").alias("mastery"))
+    """learner, seq, kc, mastery before the event. Each learner's chain of a label is independent of the others.
+
+    Odds keep differences from 1 that a fold of chances in doubles rounds away: such a fold stays at 1 for good once
+    1 - mastery is under 2^-53, this one falls again after enough wrong answers.
+    """
+    rows = scans.blocked(projected.select("learner", "seq", "correct", "kc_ids"), ["learner"])
+    return _mastery(rows, initial, model).select("learner", "seq", "kc", "mastery")
 
 
 def bkt_predictions(projected: DataFrame, initial: DataFrame, model: Bkt = Bkt()) -> DataFrame:
     """projected with bkt: the chance of success before the event; events without labels have the overall rate."""
-    mean = mastery_before(projected, initial, model).groupBy("learner", "seq").agg(F.avg("mastery").alias("m"))
-    w = Window.partitionBy("learner").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    overall = smoothed(F.coalesce(F.sum("correct").over(w), F.lit(0)), F.count("correct").over(w), model.alpha, model.beta)
-    return projected.withColumn("overall", overall).join(mean, ["learner", "seq"], "left").withColumn("bkt", F.coalesce(model.predicted(F.col("m")), "overall")).drop("m", "overall")
+    rows = scans.blocked(projected, ["learner"])
+    mean = _mastery(rows, initial, model).groupBy("learner", "_block", "seq").agg(F.avg("mastery").alias("m"))
+    scored = with_overall_rate(with_earlier(rows), model.alpha, model.beta).join(mean, ["learner", "_block", "seq"], "left")
+    return scored.select(*[F.col(c) for c in projected.columns], F.coalesce(model.predicted(F.col("m")), "overall_rate").alias("bkt"))
 
 
 def final_mastery(projected: DataFrame, initial: DataFrame, model: Bkt = Bkt()) -> DataFrame:
     """learner, kc, mastery after all the learner's events: the frozen state that probes read."""
-    chains = long_form(projected).groupBy("learner", "kc").agg(F.array_sort(F.collect_list(F.struct("seq", "correct"))).alias("chain"))
-    last = F.aggregate("chain", F.col("initial"), lambda m, e: model.updated(m, e["correct"]))
-    return chains.join(initial.select("kc", "initial"), "kc").select("learner", "kc", last.alias("mastery"))
+    rows = scans.blocked(projected.select("learner", "seq", "correct", "kc_ids"), ["learner"])
+    last = F.aggregate("chain", F.col("odds"), lambda odds, e: _step(model, odds, e["correct"]))
+    ends = _chains(rows, initial, model).select("learner", "kc", "_block", last.alias("odds"))
+    return ends.groupBy("learner", "kc").agg(F.max_by("odds", "_block").alias("odds")).select("learner", "kc", _chance(F.col("odds")).alias("mastery"))
 
 
 def frozen_probes(history: DataFrame, probes: DataFrame, initial: DataFrame, model: Bkt = Bkt(), cold: float = 0.5) -> DataFrame:
@@ -160,10 +211,8 @@ def frozen_state(history: DataFrame, initial: DataFrame, model: Bkt = Bkt()) ->
 
 def _assembled(features: DataFrame, columns: list[str], kc_ids: list[str]) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import array_to_vector
 
-    hot = F.array(*[F.array_contains("kc_ids", k).cast("double") for k in kc_ids])
-    rows = features.withColumn("_hot", array_to_vector(hot)).withColumn("_kc_count", F.size("kc_ids").cast("double"))
+    rows = with_label_vector(features, kc_ids, name="_hot").withColumn("_kc_count", F.size("kc_ids").cast("double"))
     return VectorAssembler(inputCols=[*columns, "_kc_count", "_hot"], outputCol="features").transform(rows)
 
 
@@ -176,6 +225,8 @@ def fit_logistic(features: DataFrame, columns: list[str], kc_ids: list[str], str
 
     train = _assembled(features.where("dataset_split = 'train'"), columns, kc_ids).withColumn("label", F.col("correct").cast("double"))
     model = LogisticRegression(regParam=1.0 / (strength * max(train.count(), 1)), elasticNetParam=0.0, standardization=False, maxIter=rounds, tol=1e-9).fit(train)
+    # the summary holds the session, which can't go to tasks once it has observed a table
+    model._java_obj.setSummary(features.sparkSession._jvm.scala.Option.empty())
 
     def predict(rows: DataFrame, fallback: str) -> DataFrame:
         found = model.transform(_assembled(rows, columns, kc_ids)).withColumn("_p", vector_to_array("probability")[1])

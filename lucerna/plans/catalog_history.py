@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lucerna.functions.ids import hash_uniform
+from lucerna.functions.rules import operation_scope
 from lucerna.operators import canonical, evaluation, history, labels, policies, selection, tracing
 from lucerna.plans.catalog_labels import KCS, _HAMMING, labelled
-from lucerna.plans.policy import CANDIDATES
+from lucerna.plans.policy import CANDIDATES, LEAST_DESCRIPTORS, PATTERNS
 from lucerna.plans.sql import BIG, CELLS, EVENTS, ITEMS, LABELS, condition, quoted, with_
 from lucerna.sources.adapters import COMPILER, DIMENSIONS, cells, interactions, interactions_big, items, table
 
@@ -131,7 +132,8 @@ def metrics(spark, sf):
 @query(_SRATES + """SELECT technique, dataset_split, CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg, CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN round(sum(pos * (2 * below + neg)) / 2 / sum(pos) / sum(neg), 6) END AS auc FROM (
   SELECT *, coalesce(sum(neg) OVER (PARTITION BY technique, dataset_split ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT technique, dataset_split, round(p, 9) AS score, sum(correct) AS pos, sum(1 - correct) AS neg FROM pr GROUP BY 1, 2, 3)) GROUP BY 1, 2""")
 def auc(spark, sf):
-    return rounded(evaluation.auc(predictions(spark, sf), ["technique", "dataset_split"]), "auc")
+    # means are added up in any order, so scores count as equal to 9 digits here
+    return rounded(evaluation.auc(rounded(predictions(spark, sf), "prediction", digits=9), ["technique", "dataset_split"]), "auc")
 
 
 _BIN = " + ".join(f"(round(p, 12) >= {i / 10}::DOUBLE)::INT" for i in range(1, 10))
@@ -259,13 +261,26 @@ def stable_facts(spark, sf):
     return selection.stable_facts(rows, "facts")
 
 
-_TABLE = "tab AS (SELECT * FROM (VALUES " + ", ".join(f"({quoted(c[0])}, {c[1]}, {c[2]}, {c[3]}, {quoted(c[5])}, {str(bool(c[4])).lower()})" for c in CANDIDATES) + ") v(candidate, origin, granularity, complexity, represents, interaction))"
+_TABLE = "tab AS (SELECT * FROM (VALUES " + ", ".join(f"({quoted(c[0])}, {c[1]}, {c[2]}, {c[3]}, {quoted(c[5])}, {str(bool(c[4])).lower()}, {str(operation_scope(c[6])).lower()}, {quoted(c[7]) if len(c) > 7 else 'NULL'})" for c in CANDIDATES) + ") v(candidate, origin, granularity, complexity, represents, interaction, operation, alternatives))"
 _PARENT = "par AS (SELECT * FROM (VALUES " + ", ".join(f"({quoted(c[0])}, {quoted(p)})" for c in CANDIDATES for p in c[4]) + ") v(candidate, parent))"
-_DIAGS = with_(ITEMS, CELLS, _ACT, _STATE, _TABLE, _PARENT, """dg AS (SELECT candidate, CAST(sum((state = 'always')::INT) AS BIGINT) AS cells, CAST(sum((state <> 'never')::INT) AS BIGINT) AS any_cells, CAST(sum((state = 'mixed')::INT) AS BIGINT) AS mixed_cells, CAST(sum(CASE WHEN state = 'always' THEN n_items ELSE 0 END) AS BIGINT) AS items,
+_PATTERNS = "pat AS (SELECT * FROM (VALUES " + ", ".join(f"({quoted(c)}, {quoted(f)})" for c, fs in PATTERNS.items() for f in fs) + ") v(candidate, fact))"
+_STABLE = "stf AS (SELECT cell_id, 'kind:' || kind AS fact FROM cells UNION ALL SELECT cell_id, 'size:' || size FROM cells UNION ALL SELECT cell_id, 'brand:' || brand FROM cells UNION ALL SELECT cell_id, 'pair:' || kind || '+' || brand FROM cells)"
+_ONLY = "po AS (SELECT DISTINCT par.candidate, a.cell_id FROM par JOIN sta a ON a.candidate = par.parent AND a.state = 'always' JOIN sta b ON b.candidate = par.candidate AND b.cell_id = a.cell_id AND b.state = 'never')"
+_EVIDENCE = """ins AS (SELECT candidate, fact, count(*) AS n, count(f.fact2) AS w FROM pat JOIN (SELECT candidate, cell_id FROM sta WHERE state = 'always') al USING (candidate) LEFT JOIN (SELECT cell_id, fact AS fact2 FROM stf) f ON f.cell_id = al.cell_id AND f.fact2 = pat.fact GROUP BY 1, 2),
+out_ AS (SELECT candidate, fact, count(*) AS n, count(f.fact2) AS w FROM pat JOIN po USING (candidate) LEFT JOIN (SELECT cell_id, fact AS fact2 FROM stf) f ON f.cell_id = po.cell_id AND f.fact2 = pat.fact GROUP BY 1, 2),
+evi AS (SELECT pat.candidate, pat.fact, coalesce(ins.n, 0) AS inside_cells, coalesce(out_.n, 0) AS parent_cells, coalesce(ins.n = ins.w, false) AS stable, coalesce(out_.w = 0, false) AS absent FROM pat LEFT JOIN ins USING (candidate, fact) LEFT JOIN out_ USING (candidate, fact))"""
+_DIAGS = with_(ITEMS, CELLS, _ACT, _STATE, _TABLE, _PARENT, _PATTERNS, _STABLE, _ONLY, _EVIDENCE, """dg AS (SELECT candidate, CAST(sum((state = 'always')::INT) AS BIGINT) AS cells, CAST(sum((state <> 'never')::INT) AS BIGINT) AS any_cells, CAST(sum((state = 'mixed')::INT) AS BIGINT) AS mixed_cells, CAST(sum(CASE WHEN state = 'always' THEN n_items ELSE 0 END) AS BIGINT) AS items,
    CAST(sum(CASE WHEN state = 'always' THEN realisations ELSE 0 END) AS BIGINT) AS realisations FROM sta JOIN cells USING (cell_id) GROUP BY 1)""",
     "lp AS (SELECT par.candidate, min(dg.cells) AS least_parent FROM par JOIN dg ON par.parent = dg.candidate GROUP BY 1)",
-    """dx AS (SELECT dg.*, CASE WHEN mixed_cells > 0 THEN 'realisation' ELSE 'cell' END AS scope, array_to_string(list_filter([CASE WHEN cells < 1 THEN 'too few cells' END, CASE WHEN mixed_cells > 0 THEN 'scope is realisation' END, CASE WHEN interaction AND cells < 2 THEN 'too few interaction cells' END,
-   CASE WHEN interaction AND NOT coalesce(cells > 0 AND cells < least_parent, false) THEN 'not a strict part of its parents' END, CASE WHEN NOT interaction AND represents = '' THEN 'stands for nothing' END], lambda x: x IS NOT NULL), ';') AS reasons FROM dg JOIN tab USING (candidate) LEFT JOIN lp USING (candidate))""")
+    "dsc AS (SELECT candidate, count(DISTINCT l_suppkey) AS n FROM sta JOIN items USING (cell_id) JOIN lineitem ON l_partkey = item_id WHERE state = 'always' GROUP BY 1)",
+    "rf AS (SELECT candidate, count(DISTINCT fact) AS n FROM evi WHERE stable AND absent GROUP BY 1)",
+    f"""dx0 AS (SELECT dg.*, coalesce(dsc.n, 0) AS descriptors, coalesce(rf.n, 0) AS residual_facts, cells < 2 AS fragile, CASE WHEN mixed_cells > 0 THEN 'realisation' WHEN operation AND any_cells = 0 THEN 'unverified' ELSE 'cell' END AS scope,
+   list_filter([CASE WHEN cells < 1 THEN 'too few cells' END, CASE WHEN coalesce(dsc.n, 0) < {LEAST_DESCRIPTORS} THEN 'too few source descriptors' END, CASE WHEN mixed_cells > 0 THEN 'scope is realisation' WHEN operation AND any_cells = 0 THEN 'scope is unverified' END,
+   CASE WHEN interaction AND cells < 2 THEN 'too few interaction cells' END, CASE WHEN interaction AND NOT coalesce(cells > 0 AND cells < least_parent, false) THEN 'not a strict part of its parents' END, CASE WHEN interaction AND rf.n IS NULL THEN 'no fact beyond its parents' END,
+   CASE WHEN NOT interaction AND represents = '' THEN 'stands for nothing' END], lambda x: x IS NOT NULL) AS reasons FROM dg JOIN tab USING (candidate) LEFT JOIN lp USING (candidate) LEFT JOIN dsc USING (candidate) LEFT JOIN rf USING (candidate))""",
+    "vec AS (SELECT candidate, string_agg(CASE state WHEN 'always' THEN '1' WHEN 'never' THEN '0' ELSE 'M' END, '' ORDER BY cell_id) AS v, CAST(sum((state <> 'never')::INT) AS BIGINT) AS active_cells FROM sta GROUP BY 1)",
+    "rk AS (SELECT vec.*, alternatives, row_number() OVER (PARTITION BY v ORDER BY (len(reasons) > 0), origin, granularity, -length(represents), complexity, candidate) AS r FROM vec JOIN dx0 USING (candidate) JOIN tab USING (candidate))",
+    "dx AS (SELECT dx0.* EXCLUDE (reasons), array_to_string(CASE WHEN len(reasons) = 0 AND r > 1 THEN ['collapsed into an identical activation class'] ELSE reasons END, ';') AS reasons FROM dx0 JOIN rk USING (candidate))")
 
 
 def _found(spark, sf):
@@ -273,20 +288,25 @@ def _found(spark, sf):
     return parts["active"], parts["table"], parts["found"]
 
 
+def _stable(spark, sf):
+    made = F.array(*[F.concat(F.lit(f"{d}:"), F.col(d)) for d in DIMENSIONS], F.concat(F.lit("pair:"), "kind", F.lit("+"), "brand"))
+    return _dev_cells(spark, sf).select("cell_id", F.explode(made).alias("fact"))
+
+
 def _parts(spark, sf):
-    return policies.discover(_dev_cells(spark, sf), _grid(spark, sf), COMPILER, CANDIDATES, DIMENSIONS)
+    suppliers = items(spark, sf).join(table(spark, sf, "lineitem"), F.col("item_id") == F.col("l_partkey")).select("cell_id", F.col("l_suppkey").alias("source_id")).distinct()
+    return policies.discover(_dev_cells(spark, sf), _grid(spark, sf), COMPILER, CANDIDATES, DIMENSIONS, PATTERNS, _stable(spark, sf), suppliers, LEAST_DESCRIPTORS)
 
 
-@query(_DIAGS + "SELECT candidate, cells, any_cells, mixed_cells, items, realisations, scope, reasons, reasons = '' AS eligible FROM dx")
+@query(_DIAGS + "SELECT candidate, cells, any_cells, mixed_cells, items, realisations, descriptors, residual_facts, fragile, scope, reasons, reasons = '' AS eligible FROM dx")
 def candidate_diagnostics(spark, sf):
-    return _found(spark, sf)[2].withColumn("reasons", F.array_join("reasons", ";"))
+    return _found(spark, sf)[2].withColumn("reasons", F.array_join("reasons", ";")).drop("representative")
 
 
-@query(_DIAGS.rstrip() + """, vec AS (SELECT candidate, string_agg(CASE state WHEN 'always' THEN '1' WHEN 'never' THEN '0' ELSE 'M' END, '' ORDER BY cell_id) AS v, CAST(sum((state <> 'never')::INT) AS BIGINT) AS active_cells FROM sta GROUP BY 1),
-rk AS (SELECT vec.*, row_number() OVER (PARTITION BY v ORDER BY (reasons <> ''), origin, granularity, -length(represents), complexity, candidate) AS r FROM vec JOIN dx USING (candidate) JOIN tab USING (candidate))
-SELECT string_agg(candidate, ',' ORDER BY candidate) AS members, count(*) AS n_members, max(CASE WHEN r = 1 THEN candidate END) AS representative, max(active_cells) AS active_cells FROM rk GROUP BY v""")
+@query(_DIAGS + """SELECT string_agg(candidate, ',' ORDER BY candidate) AS members, count(*) AS n_members, max(CASE WHEN r = 1 THEN candidate END) AS representative, max(active_cells) AS active_cells, count(*) > 1 AS unidentifiable,
+coalesce((SELECT string_agg(g, ';' ORDER BY g) FROM (SELECT alternatives || '=' || string_agg(candidate, ',' ORDER BY candidate) AS g FROM rk k WHERE k.v = rk.v AND alternatives IS NOT NULL GROUP BY alternatives HAVING count(*) > 1)), '') AS granularity_groups FROM rk GROUP BY v""")
 def equivalence_classes(spark, sf):
-    return selection.equivalence_classes(*[x for i, x in sorted(zip((0, 2, 1), _found(spark, sf), strict=True), key=lambda p: p[0])])
+    return _parts(spark, sf)["classes"]
 
 
 _CFACTS = "cfacts AS (SELECT cell_id, unnest(['kind:' || kind, 'size:' || size, 'brand:' || brand]) AS fact FROM cells)"

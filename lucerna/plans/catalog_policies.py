@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lucerna.functions import forms
 from lucerna.functions.ids import content_id
 from lucerna.operators import audits, canonical, labels, policies, records, selection
-from lucerna.plans.catalog_history import _ACT, _CFACTS, _DEV, _DIAGS, _PARENT, _STATE, _cell_facts, _dev_cells, _parts
+from lucerna.plans.catalog_history import _ACT, _CFACTS, _DEV, _DIAGS, _EVIDENCE, _ONLY, _PARENT, _STABLE, _STATE, _cell_facts, _parts, _stable
 from lucerna.plans.catalog_labels import _HAMMING
 from lucerna.plans.policy import CANDIDATES, RULES
 from lucerna.plans.sql import CELLS, ITEMS, condition, quoted, with_
@@ -45,29 +45,19 @@ def compiled_candidates(spark, sf):
     return made.join(held, "candidate", "left").select("candidate", "dimensions", "complexity", F.coalesce("n_items", F.lit(0)).alias("n_items"))
 
 
-_ONLY = "po AS (SELECT DISTINCT par.candidate, a.cell_id FROM par JOIN sta a ON a.candidate = par.parent AND a.state = 'always' JOIN sta b ON b.candidate = par.candidate AND b.cell_id = a.cell_id AND b.state = 'never')"
-
-
 @query(with_(ITEMS, _ACT, _STATE, _PARENT, _ONLY) + "SELECT candidate, cell_id FROM po")
 def parent_only_cells(spark, sf):
     parts = _parts(spark, sf)
     return policies.parent_only_cells(parts["active"], parts["table"])
 
 
-_STABLE = "stf AS (SELECT cell_id, 'kind:' || kind AS fact FROM cells UNION ALL SELECT cell_id, 'size:' || size FROM cells UNION ALL SELECT cell_id, 'brand:' || brand FROM cells UNION ALL SELECT cell_id, 'pair:' || kind || '+' || brand FROM cells)"
-
-
-@query(with_(ITEMS, CELLS, _ACT, _STATE, _PARENT, _ONLY, _STABLE, "pat AS (SELECT DISTINCT 'C_ECONOMY_B0' AS candidate, fact FROM stf JOIN cells USING (cell_id) WHERE canonical_split = 'development')",
-             "ins AS (SELECT candidate, fact, count(*) AS n, count(f.fact2) AS w FROM pat JOIN (SELECT candidate, cell_id FROM sta WHERE state = 'always') al USING (candidate) LEFT JOIN (SELECT cell_id, fact AS fact2 FROM stf) f ON f.cell_id = al.cell_id AND f.fact2 = pat.fact GROUP BY 1, 2)",
-             "out_ AS (SELECT candidate, fact, count(*) AS n, count(f.fact2) AS w FROM pat JOIN po USING (candidate) LEFT JOIN (SELECT cell_id, fact AS fact2 FROM stf) f ON f.cell_id = po.cell_id AND f.fact2 = pat.fact GROUP BY 1, 2)")
-       + "SELECT candidate, fact, inside_cells, parent_cells, stable, absent, stable AND absent AS beyond_parents FROM (SELECT pat.candidate, pat.fact, coalesce(ins.n, 0) AS inside_cells, coalesce(out_.n, 0) AS parent_cells, coalesce(ins.n = ins.w, false) AS stable, coalesce(out_.w = 0, false) AS absent FROM pat LEFT JOIN ins USING (candidate, fact) LEFT JOIN out_ USING (candidate, fact))")
+@query(with_(ITEMS, CELLS, _ACT, _STATE, _PARENT, _ONLY, _STABLE, "pat AS (SELECT DISTINCT 'C_ECONOMY_B0' AS candidate, fact FROM stf JOIN cells USING (cell_id) WHERE canonical_split = 'development')", _EVIDENCE)
+       + "SELECT candidate, fact, inside_cells, parent_cells, stable, absent, stable AND absent AS beyond_parents FROM evi")
 def residual_evidence(spark, sf):
     # every fact of the development cells as a pattern, the pair of kind and brand among them
     parts = _parts(spark, sf)
-    made = F.array(*[F.concat(F.lit(f"{d}:"), F.col(d)) for d in DIMENSIONS], F.concat(F.lit("pair:"), "kind", F.lit("+"), "brand"))
-    facts = _dev_cells(spark, sf).select("cell_id", F.explode(made).alias("fact"))
-    patterns = facts.select(F.lit("C_ECONOMY_B0").alias("candidate"), "fact").distinct()
-    return policies.residual_evidence(parts["active"], parts["table"], facts, patterns)
+    patterns = _stable(spark, sf).select(F.lit("C_ECONOMY_B0").alias("candidate"), "fact").distinct()
+    return policies.residual_evidence(parts["active"], parts["table"], _stable(spark, sf), patterns)
 
 
 _CON = f"con AS (SELECT left_id, right_id FROM ({_HAMMING}) WHERE left_id IN (FROM dev) AND right_id IN (FROM dev))"
@@ -93,7 +83,7 @@ def selection_statuses(spark, sf):
 @query()
 def selection_objective(spark, sf):
     parts = _parts(spark, sf)
-    return policies.objective(policies.select_policy(parts), parts["found"], parts["table"])
+    return policies.objective(policies.select_policy(parts), parts["found"], parts["table"], parts["obligations"], parts["coverage"])
 
 
 #: Rules on cells alone, with what each stands for.

@@ -28,7 +28,8 @@ IMPLICATIONS = [
     ("economy has low size", {"cell": {"kind": "ECONOMY"}}, {"cell": {"size": ["S0", "S1", "S2"]}}),
     ("small has size S0 or S1", {"cell": {"kind": "SMALL"}}, {"cell": {"size": ["S0", "S1"]}}),
 ]
-#: Candidate labels of the selection queries: (id, origin rank, granularity, complexity, parents, what it stands for, rule).
+#: Candidate labels of the selection queries: (id, origin rank, granularity, complexity, parents, what it stands for, rule), some
+#: with a group of alternatives.
 CANDIDATES = [
     ("C_KIND_" + k, 0, 1, 1, [], f"kind:{k}", {"cell": {"kind": k}}) for k in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 ] + [
@@ -36,8 +37,13 @@ CANDIDATES = [
 ] + [
     ("C_BRAND_" + b, 0, 1, 1, [], f"brand:{b}", {"cell": {"brand": b}}) for b in ("B0", "B1", "B2")
 ] + [
-    ("C_LOW", 0, 0, 2, [], "size:low", {"cell": {"size": ["S0", "S1"]}}),
-    ("C_LOW_AGAIN", 1, 0, 2, [], "size:low", {"any": [{"cell": {"size": "S0"}}, {"cell": {"size": "S1"}}]}),
+    ("C_LOW", 0, 0, 2, [], "size:low", {"cell": {"size": ["S0", "S1"]}}, "low sizes"),
+    ("C_LOW_AGAIN", 1, 0, 2, [], "size:low", {"any": [{"cell": {"size": "S0"}}, {"cell": {"size": "S1"}}]}, "low sizes"),
     ("C_RED", 1, 1, 1, [], "", {"operation": "red"}),
     ("C_ECONOMY_B0", 2, 2, 3, ["C_KIND_ECONOMY", "C_BRAND_B0"], "", {"all": [{"cell": {"kind": "ECONOMY"}}, {"cell": {"brand": "B0"}}]}),
+    ("C_SMALL_S0", 2, 2, 3, ["C_KIND_SMALL", "C_SIZE_S0"], "", {"all": [{"cell": {"kind": "SMALL"}}, {"cell": {"size": "S0"}}]}),
 ]
+#: Facts that may show more in an interaction's cells than its parents explain.
+PATTERNS = {"C_ECONOMY_B0": ["kind:ECONOMY", "pair:ECONOMY+B0"], "C_SMALL_S0": ["kind:SMALL", "size:S0"]}
+#: Distinct source descriptors (suppliers) that a candidate's cells need.
+LEAST_DESCRIPTORS = 5

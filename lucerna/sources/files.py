@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lucerna.sources.cuts import cut
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """One object a line; blank lines are skipped, anything else fails."""
@@ -39,10 +43,20 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_id_list(spark: SparkSession, path: str) -> DataFrame:
-    """(position, id): one id a line in file order, blank lines dropped. wholetext keeps the order."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "id"))
-    kept = lines.where(F.trim("id") != "")
-    return kept.select(F.row_number().over(Window.orderBy("line")).alias("position"), F.trim("id").alias("id"))
+    """(position, id): one id a line in file order (files by path), blank lines dropped.
+
+    Files are read in their splits, in as many tasks as there are. A line's place is its file, its split's offset and its
+    number within the split; splits start where the ids before them end, so only their counts are put in order.
+    """
+    where = F.col("_metadata")
+    lines = spark.read.text(path).select(F.trim("value").alias("id"), where["file_path"].alias("file"), where["file_block_start"].alias("start")).where("id <> ''")
+    # numbers rise within a task, and a split is read by one task from its first line on; cut keeps both readings the same
+    numbered = cut(lines.withColumn("_number", F.monotonically_increasing_id()))
+    splits = numbered.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("_number").alias("_first"))
+    before = lambda *keys: Window.partitionBy(*keys).orderBy("file" if not keys else "start").rowsBetween(Window.unboundedPreceding, -1)
+    files = splits.groupBy("file").agg(F.sum("n").alias("n")).select("file", F.coalesce(F.sum("n").over(before()), F.lit(0)).alias("_file"))  # a row a file
+    starts = splits.join(files, "file").select("file", "start", "_first", (F.col("_file") + F.coalesce(F.sum("n").over(before("file")), F.lit(0))).alias("_start"))
+    return numbered.join(starts, ["file", "start"]).select((F.col("_start") + F.col("_number") - F.col("_first") + 1).alias("position"), "id")
 
 
 def write_id_list(df: DataFrame, path: str, position: str = "position", id_col: str = "id") -> None:
@@ -58,10 +72,29 @@ def require_digest(spark: SparkSession, path: str, sha256: str) -> str:
 
 
 def require_count(df: DataFrame, expected: int, what: str = "rows") -> DataFrame:
-    found = df.count()
-    if found != expected:
-        raise ValueError(f"{found} {what}, not {expected}")
-    return df
+    """df, read once into the checkpoint folder and counted on the way; another count than `expected` is an error."""
+    seen = Observation()
+    kept = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    if seen.get["n"] != expected:
+        raise ValueError(f"{seen.get['n']} {what}, not {expected}")
+    return kept
+
+
+def write_counted(df: DataFrame, path: str, expected: int, what: str = "rows") -> None:
+    """Write df as Parquet if it has `expected` rows, counted as they are written. They go to a folder beside the path
+    first, which takes the path's name after the check only: a wrong count publishes nothing. The path must be new."""
+    spark, seen, staged = df.sparkSession, Observation(), f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(target):
+        raise ValueError(f"{path} exists")
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(staged)
+    waiting = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    if seen.get["n"] != expected:
+        files.delete(waiting, True)
+        raise ValueError(f"{seen.get['n']} {what}, not {expected}")
+    if not files.rename(waiting, target):
+        raise OSError(f"{staged} couldn't be renamed to {path}")
 
 
 def write_by_class(df: DataFrame, path: str, column: str) -> None:

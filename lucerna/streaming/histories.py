@@ -1,8 +1,11 @@
-"""Opportunity numbers and mastery over a stream of labelled events.
+"""Opportunity numbers and mastery over a stream of labelled events, in event order.
 
-Late data: the reference form has none, so ours is declared: events more than the watermark behind are
-dropped by the deduplication on event_id; within a trigger, a learner's events of a label are taken in order of
-seq; an event that comes in a later trigger than its successors is numbered after them.
+Late data: the reference form has none, so ours is declared. An event is held until the watermark passes its time;
+then all events of its learner and label up to that time are numbered in order of (ts, seq). An event that
+comes late, but not behind the watermark, thus gets the numbers of the batch form; one behind it is dropped, and one
+that repeats an event_id within the watermark too. What the watermark hasn't passed when a bounded stream ends
+stays held. State is a count, the mastery and the held events. After `idle` without an event (by the events'
+times) a chain is forgotten: a learner who comes back starts anew.
 """
 
 from __future__ import annotations
@@ -10,33 +13,76 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from lucerna.operators.tracing import Bkt
 
 OUTPUT = "event_id long, learner long, kc string, seq long, opportunity long, mastery double"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def trace_stream(events: DataFrame, initial: float = 0.5, model: Bkt = Bkt(), watermark: str = "1 hour") -> DataFrame:
-    """events: event_id, learner, seq, ts, correct, kc_ids. For each event and label: its opportunity number
-    and the mastery before it. State is two numbers for each (learner, label)."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, mastery = state.get if state.exists else (0, initial)
-        rows = pd.concat(list(batches)).sort_values(["seq", "event_id"])
-        numbers, before = [], []
-        for y in rows["correct"]:
-            seen += 1
-            numbers.append(seen)
-            before.append(mastery)
-            hit, miss = (1 - model.slip, model.guess) if y else (model.slip, 1 - model.guess)
-            after = mastery * hit / (mastery * hit + (1 - mastery) * miss)
-            mastery = after + (1 - after) * model.learn
-        state.update((seen, mastery))
-        yield pd.DataFrame({"event_id": rows["event_id"], "learner": key[0], "kc": key[1], "seq": rows["seq"], "opportunity": numbers, "mastery": before})
+class Tracing(StatefulProcessor):
+    """One learner's chain of one label: a count, the mastery after the released events, and the events held."""
 
+    def __init__(self, initial: float, model: Bkt, idle_ms: int):
+        self.first, self.model, self.idle = initial, model, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.chain = handle.getValueState("chain", "seen long, mastery double, last long")
+        self.held = handle.getListState("held", "ms long, seq long, event_id long, correct int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        for frame in rows:
+            frame = frame[frame["ms"] > passed]
+            events = [(int(ms), int(s), int(e), int(c)) for ms, s, e, c in frame[["ms", "seq", "event_id", "correct"]].itertuples(index=False)]
+            if events:
+                self.held.appendList(events)
+            for ms in {e[0] for e in events}:
+                self.handle.registerTimer(ms)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        events = sorted(tuple(e) for e in self.held.get()) if self.held.exists() else []
+        due, later = [e for e in events if e[0] <= now], [e for e in events if e[0] > now]
+        seen, mastery, last = self.chain.get() if self.chain.exists() else (0, self.first, now)
+        if due:
+            numbers, before = [], []
+            for ms, _, _, correct in due:
+                if ms - last > self.idle:
+                    seen, mastery = 0, self.first
+                last = ms
+                seen += 1
+                numbers.append(seen)
+                before.append(mastery)
+                mastery = self.model.after(mastery, correct)
+            self.chain.update((seen, mastery, last))
+            self.handle.registerTimer(last + self.idle + 1)
+            if later:
+                self.held.put(later)
+            else:
+                self.held.clear()
+            yield pd.DataFrame({"event_id": [e[2] for e in due], "learner": key[0], "kc": key[1], "seq": [e[1] for e in due], "opportunity": numbers, "mastery": before})
+        elif now > last + self.idle:
+            self.chain.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def use_rocks(spark: SparkSession) -> None:
+    """Timers and typed state need the RocksDB state store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+
+
+def trace_stream(events: DataFrame, initial: float = 0.5, model: Bkt = Bkt(), watermark: str = "1 hour", idle_seconds: int = 30 * 24 * 3600) -> DataFrame:
+    """events: event_id, learner, seq, ts, correct, kc_ids. For each event and label, once the watermark has passed it:
+    its opportunity number and the mastery before it."""
+    use_rocks(events.sparkSession)
     once = events.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"])
-    long = once.select("event_id", "learner", "seq", "correct", F.explode("kc_ids").alias("kc"))
-    return long.groupBy("learner", "kc").applyInPandasWithState(step, OUTPUT, "seen long, mastery double", "append", GroupStateTimeout.NoTimeout)
+    long = once.select("event_id", "learner", "seq", "ts", F.unix_millis("ts").alias("ms"), "correct", F.explode("kc_ids").alias("kc"))
+    return long.groupBy("learner", "kc").transformWithStateInPandas(Tracing(initial, model, idle_seconds * 1000), OUTPUT, "append", "eventTime")

@@ -356,8 +356,8 @@ def test_discovery_refuses_holdouts_and_ignores_their_content(spark):
         state = {r.candidate: (r.status, r.reason) for r in policies.statuses(trace, parts["found"], parts["coverage"]).collect()}
         assert state["A_Z"][0] == "ineligible" and "too few cells" in state["A_Z"][1]
         kept = {c for c, (s, _) in state.items() if s == "selected"}
-        total = one(policies.objective(trace, parts["found"], parts["table"]))
-        assert total.n_labels == len(kept) == 4 and kept == {"A_X", "A_Y", "B_P", "B_Q"} and total.n_interactions == 0 and total.least_cells == 1
+        total = one(policies.objective(trace, parts["found"], parts["table"], parts["obligations"], parts["coverage"]))
+        assert total.feasible and total.n_labels == len(kept) == 4 and kept == {"A_X", "A_Y", "B_P", "B_Q"} and total.n_interactions == 0 and total.least_cells == 1
     assert chosen[0] == chosen[1]
 
 
@@ -439,3 +439,93 @@ def test_logistic_is_at_the_optimum_of_its_loss(spark):
         w -= np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + ridge, z.T @ (p - y) + ridge @ w)
     want = 1 / (1 + np.exp(-z @ w))
     assert max(abs(out[i] - want[i]) for i, _, k, _, _ in rows if k) < 1e-4
+
+
+# Reasons against candidates
+
+def reasons_case(spark, candidates, patterns=None, stable=None, descriptors=None, least=1):
+    """Cells of two dimensions, one realisation each but for c0, whose two realisations differ in one operation."""
+    cells = spark.createDataFrame([(f"c{i}", a, b, "development", 2) for i, (a, b) in enumerate([("x", "p"), ("x", "q"), ("y", "p"), ("y", "q"), ("x", "r")])], "cell_id string, a string, b string, canonical_split string, n_items long")
+    grid = cells.withColumn("operations", F.when(F.col("cell_id") == "c0", F.array(F.lit("both"), F.lit("once"))).otherwise(F.array(F.lit("both"))))
+    grid = grid.unionByName(cells.where("cell_id = 'c0'").withColumn("operations", F.array(F.lit("both"))))
+    held = spark.createDataFrame(stable, "cell_id string, fact string") if stable else None
+    found = policies.discover(cells, grid, C, candidates, ["a", "b"], patterns, held, spark.createDataFrame(descriptors, "cell_id string, source_id string") if descriptors else None, least)
+    return found, {r.candidate: r for r in found["found"].collect()}
+
+
+A_X, B_P, B_Q = (("A_X", 0, 1, 1, [], "a:x", {"cell": {"a": "x"}}), ("B_P", 0, 1, 1, [], "b:p", {"cell": {"b": "p"}}), ("B_Q", 0, 1, 1, [], "b:q", {"cell": {"b": "q"}}))
+A_X_B_P = ("A_X_B_P", 2, 2, 3, ["A_X", "B_P"], "", {"all": [{"cell": {"a": "x"}}, {"cell": {"b": "p"}}]})
+
+
+def test_interactions_need_a_fact_beyond_their_parents(spark):
+    wide = ("A_X_B_PQ", 2, 2, 3, ["A_X", "B_PQ"], "", {"all": [{"cell": {"a": "x"}}, {"cell": {"b": ["p", "q"]}}]})
+    known = [A_X, ("B_PQ", 0, 1, 1, [], "b:pq", {"cell": {"b": ["p", "q"]}}), wide]
+    own = [("c0", "chain:x>p"), ("c1", "chain:x>p")]
+    for stable, patterns, eligible in (
+        (own, {"A_X_B_PQ": ["chain:x>p"]}, True),
+        (own, {}, False),  # no pattern declared
+        (own[:1], {"A_X_B_PQ": ["chain:x>p"]}, False),  # not in every cell of the interaction
+        ([*own, ("c2", "chain:x>p")], {"A_X_B_PQ": ["chain:x>p"]}, False),  # a cell with a parent alone has it
+    ):
+        _, found = reasons_case(spark, known, patterns, stable)
+        assert found["A_X_B_PQ"].eligible == eligible and found["A_X_B_PQ"].reasons == ([] if eligible else ["no fact beyond its parents"])
+    _, found = reasons_case(spark, [A_X, B_P, A_X_B_P], {"A_X_B_P": ["f"]}, [("c0", "f")])
+    assert found["A_X_B_P"].reasons == ["too few interaction cells"] and found["A_X_B_P"].fragile
+
+
+def test_candidates_need_source_descriptors(spark):
+    sources = [("c0", "s1"), ("c1", "s1"), ("c1", "s2"), ("c2", "s3"), ("c2", "s3")]
+    _, found = reasons_case(spark, [A_X, B_P, B_Q], descriptors=sources, least=2)
+    assert {c: (r.descriptors, r.reasons) for c, r in found.items()} == {"A_X": (2, []), "B_P": (2, []), "B_Q": (2, [])}
+    _, found = reasons_case(spark, [A_X, B_P, B_Q], descriptors=sources[:3], least=2)
+    assert found["B_P"].reasons == ["too few source descriptors"] and found["B_Q"].eligible and found["A_X"].descriptors == 2
+
+
+def test_scope_of_operations(spark):
+    known = [A_X, ("O_BOTH", 1, 1, 1, [], "both", {"operation": "both"}), ("O_ONCE", 1, 1, 1, [], "once", {"operation": "once"}), ("O_NEVER", 1, 1, 1, [], "never", {"operation": "never"}), ("O_BARE", 1, 2, 1, [], "", {"operation": "both"})]
+    _, found = reasons_case(spark, known)
+    assert {c: r.scope for c, r in found.items()} == {"A_X": "cell", "O_BOTH": "cell", "O_ONCE": "realisation", "O_NEVER": "unverified", "O_BARE": "cell"}
+    assert "scope is realisation" in found["O_ONCE"].reasons and "scope is unverified" in found["O_NEVER"].reasons and "stands for nothing" in found["O_BARE"].reasons
+
+
+def test_identical_candidates_collapse_and_are_not_selected(spark):
+    twin = ("A_X_TWIN", 1, 1, 2, [], "a:x", {"any": [{"cell": {"a": "x"}}]}, "x or so")
+    first = (*A_X, "x or so")
+    known = [first, twin, B_P, B_Q, ("A_Y", 0, 1, 1, [], "a:y", {"cell": {"a": "y"}}), ("B_R", 0, 1, 1, [], "b:r", {"cell": {"b": "r"}})]
+    parts, found = reasons_case(spark, known)
+    assert found["A_X"].eligible and found["A_X_TWIN"].reasons == ["collapsed into an identical activation class"]
+    classes = {r.members: r for r in parts["classes"].collect()}
+    both = classes["A_X,A_X_TWIN"]
+    assert both.unidentifiable and both.representative == "A_X" and both.granularity_groups == "x or so=A_X,A_X_TWIN"
+    assert not classes["B_P"].unidentifiable and classes["B_P"].granularity_groups == ""
+    trace = policies.select_policy(parts)
+    assert "A_X_TWIN" not in {r.candidate for r in trace.collect()}
+    whole = policies.objective(trace, parts["found"], parts["table"], parts["obligations"], parts["coverage"]).first()
+    part = policies.objective(trace.where("candidate <> 'A_X'"), parts["found"], parts["table"], parts["obligations"], parts["coverage"]).first()
+    assert whole.feasible and not part.feasible and whole.n_obligations == part.n_obligations
+
+
+def test_greedy_cover_of_many_candidates_counts_few_anew(spark, monkeypatch):
+    rnd = random.Random(9)
+    monkeypatch.setattr(selection, "REFRESH", 3)
+    names = [f"c{i:02d}" for i in range(30)]
+    cover = {n: {f"o{o}" for o in rnd.sample(range(60), 6)} for n in names}
+    parents = {"c05": ["c01"], "c09": ["c02", "c03"]}
+    table = spark.createDataFrame([(n, 0, 1, 1 + i % 2, parents.get(n, []), n, n in parents) for i, n in enumerate(names)], "candidate string, origin long, granularity long, complexity long, parents array<string>, represents string, interaction boolean")
+    found = spark.createDataFrame([(n, len(cover[n]), 3, True) for n in names], "candidate string, cells long, items long, eligible boolean")
+    pairs = spark.createDataFrame([(n, o) for n in names for o in cover[n]], "candidate string, obligation string")
+    got = selection.greedy_cover(pairs, table, found).collect()
+    chosen, left = [], set().union(*cover.values())
+    everything = set(left)
+    while left:
+        best = min(((-len(set().union(*(cover[m] for m in b)) & left), len(b), sum(1 + names.index(m) % 2 for m in b), sum(len(cover[m]) for m in b), sum(m in parents for m in b), -min(min(len(cover[m]), 3) for m in b), n), b)
+                   for n in names for b in [[m for m in [n, *parents.get(n, [])] if m not in chosen]] if b and set().union(*(cover[m] for m in b)) & left)
+        chosen += sorted(best[1], key=lambda m: (m in parents, m))
+        left -= set().union(*(cover[m] for m in best[1]))
+    kept = list(chosen)
+    for c in reversed(chosen):
+        rest = [k for k in kept if k != c]
+        if not any(c in parents.get(k, []) for k in rest) and set().union(*(cover[k] for k in rest)) == everything:
+            kept = rest
+    assert [r.candidate for r in sorted(got, key=lambda r: chosen.index(r.candidate))] == chosen
+    assert {r.candidate for r in got if r.status == "selected"} == set(kept)

@@ -1,23 +1,50 @@
 """The streamed form against the batch form."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
 from lucerna.operators import history, tracing
 from lucerna.streaming.histories import trace_stream
 
+SCHEMA = "event_id long, learner long, seq long, correct int, kc_ids array<string>"
 
-def test_stream_equals_batch(spark, tmp_path):
-    rnd = random.Random(2)
-    rows = [(i, i % 3, i // 3 + 1, rnd.randint(0, 1), rnd.sample(["A", "B"], rnd.randint(0, 2))) for i in range(45)]
-    df = spark.createDataFrame(rows, "event_id long, learner long, seq long, correct int, kc_ids array<string>").withColumn("ts", F.timestamp_seconds(F.col("seq") * 60 + 1_700_000_000))
-    for k in range(3):  # three files in order, the last with repeated events
-        df.where(f"seq > {5 * k} and seq <= {5 * k + 5}").unionByName(df.where("seq = 6" if k == 2 else "false")).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+
+def timed(df):
+    return df.withColumn("ts", F.timestamp_seconds(F.col("seq") * 600 + 1_700_000_000))
+
+
+def traced(spark, df, batches, tmp_path, name, **options):
+    """The stream's rows for batches of seqs, a file each, and its numbers of state rows."""
+    for k, seqs in enumerate(batches):
+        df.where(F.col("seq").isin(seqs)).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+        time.sleep(1.1)  # files are read in order of their times
     source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-    query = trace_stream(source).writeStream.format("memory").queryName("traced").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    query = trace_stream(source, **options).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(200)
+    state = [op for p in query.recentProgress for op in p["stateOperators"] if "transformWithState" in op["operatorName"]]
+    return spark.table(name), state
+
+
+def test_late_events_within_the_watermark_get_the_batch_numbers(spark, tmp_path):
+    rnd = random.Random(2)
+    rows = [(i, i % 3, i // 3 + 1, rnd.randint(0, 1), rnd.sample(["A", "B"], rnd.randint(0, 2))) for i in range(60)]
+    df = timed(spark.createDataFrame(rows, SCHEMA))
+    # six numbers an hour: numbers come before their predecessors, and one comes twice
+    got, _ = traced(spark, df, [[1, 2, 3, 5], [4, 8, 7, 6], [10, 9, 12], [11, 14, 13, 9], [15, 16, 17, 18, 19, 20]], tmp_path, "late")
     start = spark.createDataFrame([("A", 0.5), ("B", 0.5)], "kc string, initial double")
     want = history.opportunity_index(df).join(tracing.mastery_before(df, start), ["learner", "seq", "kc"])
     key = lambda d: sorted((r.learner, r.kc, r.seq, r.opportunity, round(r.mastery, 9)) for r in d.collect())
-    assert key(spark.table("traced")) == key(want)
+    # the watermark ends an hour behind the last event: what it hasn't passed stays held
+    assert key(got) == key(want.where("seq <= 14"))
+
+
+def test_events_behind_the_watermark_are_dropped_and_gone_learners_forgotten(spark, tmp_path):
+    rows = [(1, 1, 1, 1, ["A"]), (2, 1, 2, 0, ["A"]), (3, 2, 40, 1, ["A"]), (4, 1, 3, 1, ["A"]), (5, 2, 400, 1, ["A"]), (6, 1, 401, 1, ["A"]), (7, 2, 500, 1, ["A"])]
+    df = timed(spark.createDataFrame(rows, SCHEMA))
+    got, state = traced(spark, df, [[1, 2], [40], [3], [400], [401], [500]], tmp_path, "gone", idle_seconds=20 * 3600)
+    numbers = sorted((r.event_id, r.opportunity, r.mastery) for r in got.collect())
+    # event 4 came behind the watermark; by event 6 the learner's chain had been forgotten and starts anew
+    assert [(i, n) for i, n, _ in numbers] == [(1, 1), (2, 2), (3, 1), (5, 1), (6, 1)] and numbers[-1][2] == 0.5
+    assert state
