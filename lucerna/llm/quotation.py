@@ -5,8 +5,8 @@ of lines of one level are passages. A passage and the own text of each message a
 whole, each paragraph, each line and each sentence, normalised (marks off, white space single, lower case) and
 hashed. Parts meet by hash: first an earlier message of the same conversation (the latest one), else the
 first message anywhere. A passage is linked by its longest part that meets an original, so a quote of some paragraphs, lines or sentences of a
-message links; one that starts and ends inside sentences and lines doesn't. Parts under LEAST characters
-meet originals of their own conversation only. A message
+message links; one that starts and ends inside sentences and lines doesn't. Whole passages meet originals anywhere,
+however short; parts of passages meet those of other conversations from LEAST characters on. A message
 answers the original of its shallowest linked passage in its conversation; messages are ordered by thread,
 depth of reply and turn, and carry their text without quotes and attribution lines.
 
@@ -28,12 +28,12 @@ from lucerna.llm.common import checkpoint
 
 _QUOTE = r"^(?:[ \t]*>)+[ \t]?"
 #: A line that says whose words follow, such as "On 3 May, Ann wrote:".
-_ATTRIBUTION = r"(?i)^\s*(on\b.{0,200}\bwrote|am\b.{0,200}\bschrieb\b.{0,80}|le\b.{0,200}\ba écrit|el\b.{0,200}\bescribió)\s*:\s*$"
+_ATTRIBUTION = r"(?i)^\s*(on\b.*\bwrote|am\b.*\bschrieb\b[^:]*|le\b.*\ba écrit|el\b.*\bescribió)\s*:\s*$"
 #: Where a sentence or a paragraph ends.
 _SENTENCE = r"\n\s*\n|(?<=[.!?…])\s+|(?<=[。！？])"
 #: Marks of a run's start and of its text; in messages they count as white space.
 _RUN, _BODY = "\x1e", "\x1f"
-#: Shortest normalised part, in characters, that links to another conversation.
+#: Shortest normalised part of a longer passage, in characters, that links to another conversation.
 LEAST = 12
 
 
@@ -88,7 +88,7 @@ def quotation_links(messages: DataFrame) -> DataFrame:
     )
     first = known.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
     linked = near.join(first, "hash", "left")
-    elsewhere = (F.col("n") >= LEAST) & ((F.col("first.conv_id") != F.col("conv_id")) | (F.col("first.turn") < F.col("turn")))
+    elsewhere = ((F.col("n") >= LEAST) | (F.col("hash") == F.col("passage"))) & ((F.col("first.conv_id") != F.col("conv_id")) | (F.col("first.turn") < F.col("turn")))
     inside = F.struct("n", F.lit(1).alias("inside"), F.col("near_turn").alias("by"), F.lit(0).cast("long").alias("then"), F.col("conv_id").alias("to_conv"), F.col("near_turn").alias("to_turn"))
     other = F.struct("n", F.lit(0).alias("inside"), (-F.col("first.conv_id")).alias("by"), (-F.col("first.turn")).alias("then"), F.col("first.conv_id").alias("to_conv"), F.col("first.turn").alias("to_turn"))
     best = F.max(F.when(F.col("near_turn").isNotNull(), inside).when(elsewhere, other))

@@ -69,6 +69,23 @@ def test_pseudonyms_equal_plain_feistel(spark):
     assert text_of(spark, "123-45-6789") == f"{area:03d}-{b // 9999 + 1:02d}-{b % 9999 + 1:04d}"
 
 
+def test_short_whole_quotes_link_to_other_conversations(spark):
+    long = "On 3 May " + "a very long name " * 40 + "wrote:"
+    rows = [(1, 0, "u", "Yes please"), (2, 0, "u", f"Hm.\n{long}\n> Yes please\nAs they said."), (3, 0, "u", "> Yes please\n> and a second line that nobody wrote\nno")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert {(r.conv_id, r.to_conv, r.to_turn) for r in quotation_links(df).collect()} == {(2, 1, 0), (3, None, None)}
+    assert {r.conv_id: r.text for r in conversations_by_reply(df).collect()}[2] == "Hm.\nAs they said."
+
+
+def test_any_mail_name_is_found(spark):
+    names = ["_bob", "x" * 90, "-a.b+c", "9" * 70 + "z", "o'neil"]
+    out = [pii_report(spark.createDataFrame([(i, f"to {n}@mail.example.org now")], "doc_id long, text string"), "k").first() for i, n in enumerate(names)]
+    assert [r.n_email for r in out] == [1] * 5
+    assert all(n not in r.text for n, r in zip(names[:4], out, strict=False)) and all(r.text.endswith("@mail.example.org now") for r in out)
+    long = "a" * 300_000 + " and " + "b.c" * 100_000
+    assert pii_report(spark.createDataFrame([(1, long)], "doc_id long, text string"), "k").first().text == long
+
+
 def test_invalid_values_stay_and_odd_rows_have_results(spark):
     rows = [(1, "4111111111111112 30/02/2000 999.1.1.1 000-12-3456 2024-13-01"), (2, None), (3, ""), (None, "call 123 now"), (2, "x"), (4, "9" * 5000 + " a@b.co")]
     out = pii_report(spark.createDataFrame(rows, "doc_id long, text string").withColumn("found", F.lit(1)), "k").collect()
@@ -173,7 +190,7 @@ def test_links_equal_brute_force(spark):
                 first = min(said.get(p, [(None, None)]))
                 if near:
                     found = (len(p), 1, max(o[1] for o in near), 0, c, max(o[1] for o in near))
-                elif first[0] is not None and len(p) >= 12 and (first[0] != c or first[1] < t):
+                elif first[0] is not None and (len(p) >= 12 or p == re.sub(r"\s+", " ", quoted).strip(" ").lower()) and (first[0] != c or first[1] < t):
                     found = (len(p), 0, -first[0], -first[1], *first)
                 else:
                     continue
