@@ -20,7 +20,7 @@ def coverage_tags(dimensions: list[str], operations: str = "operations") -> Colu
 def tag_value(tags: str, prefix: str) -> Column:
     """What follows the prefix in the only tag that has it; an error if there is none or several."""
     found = F.filter(tags, lambda t: t.startswith(prefix))
-    return F.when(F.size(found) == 1, F.substring(found[0], len(prefix) + 1, 10_000)).otherwise(F.raise_error(F.lit(f"not one tag {prefix}")))
+    return F.when(F.size(found) == 1, F.substr(found[0], F.lit(len(prefix) + 1))).otherwise(F.raise_error(F.lit(f"not one tag {prefix}")))
 
 
 def adjacent_pairs(operations: str = "operations") -> Column:
@@ -56,7 +56,7 @@ def template_candidates(values: DataFrame, template: str) -> DataFrame:
 
 def frozen_full_cell(items: DataFrame, cells: DataFrame) -> DataFrame:
     """items with the label of their cell if it is a development cell; an equi join, not a rule a cell."""
-    known = cells.where("canonical_split = 'development'").select("cell_id", F.concat(F.lit("K_FULL_"), F.substring("cell_id", 6, 40)).alias("kc"))
+    known = cells.where("canonical_split = 'development'").select("cell_id", F.concat(F.lit("K_FULL_"), F.substr("cell_id", F.lit(6))).alias("kc"))
     return items.join(known, "cell_id", "left")
 
 

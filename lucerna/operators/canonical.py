@@ -108,6 +108,15 @@ def mapping_agreement(pairs: DataFrame, dimensions: list[str]) -> DataFrame:
     return pairs.select(each).groupBy("x.measure").agg(F.count("x.same").alias("n"), F.sum("x.same").cast("long").alias("agreed"), F.bround(F.avg("x.same"), 6).alias("rate"))
 
 
+def contribution_changes(pairs: DataFrame, primary: str = "primary_cells", repeat: str = "repeat_cells") -> DataFrame:
+    """pairs with the canonical cells that would come in (added) or go (removed) if the repeated annotation took the
+    primary one's place, and whether that changes the inventory. Both columns hold the cells contributed: none unless complete."""
+    none = F.array().cast("array<string>")
+    a, b = F.coalesce(F.col(primary), none), F.coalesce(F.col(repeat), none)
+    out = pairs.withColumn("added", F.array_sort(F.array_except(b, a))).withColumn("removed", F.array_sort(F.array_except(a, b)))
+    return out.withColumn("affects_inventory", (F.size("added") > 0) | (F.size("removed") > 0))
+
+
 def admissible_grid(cells: DataFrame, frames: DataFrame, admissible) -> DataFrame:
     """Every (cell, frame) that the predicate admits. Frames are a small declared table."""
     return cells.crossJoin(frames).where(admissible)
@@ -156,6 +165,22 @@ def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), F.sum(digits(1)).cast("string").alias("sum_a"), F.sum(digits(13)).cast("string").alias("sum_b"))
 
 
+def private_alignment(observed: DataFrame, private: DataFrame, learner: str = "learner", event: str = "event_id", seq: str = "seq", features: str | None = None) -> DataFrame:
+    """By learner: events in both tables, in one only, at another place in the order of the two, and (given the column
+    `features`) with other features than the private table says; aligned if none is. Events are unique in each."""
+    take = [learner, event, seq, *([features] if features else [])]
+    a = observed.select(*take).withColumn("_in_a", F.lit(True))
+    b = private.select(F.col(learner).alias("_learner"), F.col(event).alias("_event"), F.col(seq).alias("_seq"), *([F.col(features).alias("_features")] if features else []), F.lit(True).alias("_in_b"))
+    both = a.join(b, (F.col(learner) == F.col("_learner")) & (F.col(event) == F.col("_event")), "full")
+    matched = F.col("_in_a").isNotNull() & F.col("_in_b").isNotNull()
+    count = lambda c, name: F.sum(F.coalesce(c, F.lit(False)).cast("long")).alias(name)
+    other = ~F.col(features).eqNullSafe(F.col("_features")) if features else F.lit(False)
+    out = both.groupBy(F.coalesce(learner, "_learner").alias(learner)).agg(
+        count(matched, "n_matched"), count(F.col("_in_b").isNull(), "observed_only"), count(F.col("_in_a").isNull(), "private_only"), count(matched & ~F.col(seq).eqNullSafe(F.col("_seq")), "moved"), count(matched & other, "other_features"),
+    )
+    return out.withColumn("aligned", F.col("observed_only") + F.col("private_only") + F.col("moved") + F.col("other_features") == 0)
+
+
 #: Two primes under 2^31 and bases under them: the digest in order is a polynomial in each.
 MODULI = ((2_147_483_647, 1_103_515_245), (2_147_483_629, 69_621))
 #: Positions are under 2 to this power.

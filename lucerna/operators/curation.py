@@ -106,8 +106,13 @@ def projection_errors(kc_ids: str, indices: str) -> Column:
 RESULTS = ["complete", "partial", "out_of_scope", "unresolved"]
 
 
-def mapping_errors(dimensions: dict[str, list[str]]) -> Column:
-    """What is wrong with a mapping: columns id, result, cells array<struct<dimension: struct<kind, values>>>."""
+#: Results that say nothing of the cells: they have none, and a note that says why.
+ZERO_RESULTS = ["out_of_scope", "unresolved"]
+
+
+def mapping_errors(dimensions: dict[str, list[str]], note: str | None = None) -> Column:
+    """What is wrong with a mapping: columns id, result, cells array<struct<dimension: struct<kind, values>>>, and the
+    note's column if there is one."""
     cells = F.col("cells")
 
     def bad_value(d: str):
@@ -123,13 +128,45 @@ def mapping_errors(dimensions: dict[str, list[str]]) -> Column:
     scalar = lambda c: reduce(lambda a, b: a & b, [c[d]["kind"] == "scalar" for d in dimensions])
     tests["complete has open cells"] = (F.col("result") == "complete") & ((F.size(cells) == 0) | ~F.forall(cells, scalar))
     tests["out of scope has cells"] = (F.col("result") == "out_of_scope") & (F.size(cells) > 0)
+    tests["unresolved has cells"] = (F.col("result") == "unresolved") & (F.size(cells) > 0)
+    tests["partial has no cells"] = (F.col("result") == "partial") & (F.size(cells) == 0)
     tests["partial has no open cell"] = (F.col("result") == "partial") & F.forall(cells, scalar)
+    if note:
+        tests["no note"] = F.col("result").isin(ZERO_RESULTS) & (F.trim(F.coalesce(note, F.lit(""))) == "")
     return F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(name)) for name, t in tests.items()]))
 
 
-def refinement_errors(parents: str, children: str, dimensions: list[str]) -> Column:
-    """Each child cell refines a parent and each parent has a child; nested array tests, no join."""
-    fits = lambda c, p: reduce(lambda a, b: a & b, [refines(c[d], p[d]) for d in dimensions])
+def key_errors(raw: str, keys: list[str], dimensions: list[str], cells: str = "cells", id_key: str | None = None, expected_id: Column | None = None) -> Column:
+    """What is wrong with the keys of a mapping as text: not an object, other keys than `keys`, no list of cells, cells with other
+    keys than the dimensions, an empty id or another one than expected. Order of keys is free."""
+    whole = F.try_parse_json(raw)
+    own = F.json_object_keys(raw)
+    is_object = F.schema_of_variant(whole).startswith("OBJECT")
+    parts = F.from_json(F.get_json_object(raw, f"$.{cells}"), "array<map<string,string>>")
+    differs = lambda found, wanted: F.array_sort(found) != F.array(*[F.lit(k) for k in sorted(wanted)])
+    tests = {
+        "not an object": ~F.coalesce(is_object, F.lit(False)),
+        "other keys": F.coalesce(differs(own, keys), F.lit(False)),
+        "cells are no list": F.coalesce(is_object, F.lit(False)) & (~F.coalesce(F.schema_of_variant(F.try_variant_get(whole, f"$.{cells}", "variant")).startswith("ARRAY"), F.lit(False))),
+        "other dimensions": F.coalesce(F.exists(parts, lambda c: F.coalesce(differs(F.map_keys(c), dimensions), F.lit(True))), F.lit(False)),
+    }
+    if id_key:
+        found = F.get_json_object(raw, f"$.{id_key}")
+        tests["no id"] = F.coalesce(is_object, F.lit(False)) & (F.coalesce(found, F.lit("")) == "")
+        if expected_id is not None:
+            tests["another id"] = F.coalesce((found != "") & (found != expected_id.cast("string")), F.lit(False))
+    return F.array_compact(F.array(*[F.when(t, F.lit(name)) for name, t in tests.items()]))
+
+
+def refinement_errors(parents: str, children: str, dimensions: list[str], eligible: str | None = None) -> Column:
+    """Each child cell refines a parent and each parent has a child; nested array tests, no join. With a column of eligible
+    dimensions only these may be refined, the others stay as they are."""
+
+    def fits(c: Column, p: Column) -> Column:
+        may = (lambda d: F.array_contains(eligible, d)) if eligible else (lambda d: F.lit(True))
+        same = lambda d: (c[d]["kind"] == p[d]["kind"]) & (F.array_sort(c[d]["values"]) == F.array_sort(p[d]["values"]))
+        return reduce(lambda a, b: a & b, [(may(d) & refines(c[d], p[d])) | same(d) for d in dimensions])
+
     orphan = F.exists(children, lambda c: ~F.exists(parents, lambda p: fits(c, p)))
     barren = F.exists(parents, lambda p: ~F.exists(children, lambda c: fits(c, p)))
     return F.array_compact(F.array(F.when(orphan, F.lit("a child refines no parent")), F.when(barren, F.lit("a parent has no child"))))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lucerna.operators import canonical, evaluation, history, rule_index
+from lucerna.functions.ids import content_id
+from lucerna.operators import canonical, curation, evaluation, history, rule_index
 from lucerna.operators.labels import label_items
 from lucerna.plans.catalog_history import rounded, small
 from lucerna.plans.policy import RULES
 from lucerna.plans.sql import EVENTS, ITEMS, LABELS, condition, with_
 from lucerna.sources import files
-from lucerna.sources.adapters import COMPILER, items, table
+from lucerna.sources.adapters import COMPILER, LINE_ORDER, items, table
 from lucerna.sources.cuts import scratch
 from lucerna.streaming.histories import trace_stream
 
@@ -140,3 +142,46 @@ def streamed_opportunities(spark, sf):
     running = traced.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     running.awaitTermination()
     return spark.read.parquet(f"{path}/out").select("event_id", "learner", "kc", "opportunity")
+
+
+# Checks of mappings as text, repeated annotations and private tables
+
+_KEYS = ["item_id", "result", "cells", "note"]
+
+
+@query(with_(ITEMS) + """SELECT item_id, array_to_string(list_filter([CASE WHEN item_id % 11 = 0 THEN 'not an object' END, CASE WHEN item_id % 11 <> 0 AND (size = 'S3' OR brand = 'B2') THEN 'other keys' END,
+ CASE WHEN item_id % 11 <> 0 AND brand = 'B2' THEN 'cells are no list' END, CASE WHEN item_id % 11 <> 0 AND brand <> 'B2' AND kind = 'PROMO' THEN 'other dimensions' END, CASE WHEN item_id % 11 <> 0 AND size = 'S4' THEN 'another id' END], lambda x: x IS NOT NULL), ';') AS errors FROM items""")
+def mapping_key_checks(spark, sf):
+    """Mappings of the parts as text: to_json leaves nulls out, so parts lack keys where a value is null."""
+    cell = F.struct(F.col("kind"), F.when(F.col("kind") != "PROMO", F.col("size")).alias("size"))
+    whole = F.struct(
+        F.when(F.col("size") == "S4", F.lit("0")).otherwise(F.col("item_id").cast("string")).alias("item_id"), F.lit("complete").alias("result"),
+        F.when(F.col("brand") != "B2", F.array(cell)).alias("cells"), F.when(F.col("size") != "S3", F.lit("as given")).alias("note"),
+    )
+    rows = items(spark, sf).withColumn("raw", F.when(F.col("item_id") % 11 == 0, F.to_json(F.array(whole))).otherwise(F.to_json(whole)))
+    errors = curation.key_errors("raw", _KEYS, ["kind", "size"], id_key="item_id", expected_id=F.col("item_id"))
+    return rows.select("item_id", F.array_join(errors, ";").alias("errors"))
+
+
+@query(with_("l AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'N' THEN 'complete' ELSE 'partial' END AS result, 'CELL_' || upper(substr(sha256(CAST(l_suppkey AS VARCHAR)), 1, 16)) AS cell FROM lineitem)",
+             "p AS (SELECT l_orderkey, (l_linenumber + 1) // 2 AS pair, l_linenumber % 2 AS first, CASE WHEN result = 'complete' THEN [cell] ELSE [] END AS cells FROM l)")
+       + "SELECT a.l_orderkey, CAST(a.pair AS BIGINT) AS pair, CASE WHEN len(b.cells) > 0 AND a.cells <> b.cells THEN b.cells[1] ELSE '' END AS added, CASE WHEN len(a.cells) > 0 AND a.cells <> b.cells THEN a.cells[1] ELSE '' END AS removed, a.cells <> b.cells AS affects_inventory FROM p a JOIN p b ON a.l_orderkey = b.l_orderkey AND a.pair = b.pair AND a.first = 1 AND b.first = 0")
+def contribution_changes(spark, sf):
+    """Each second line item as a repeated annotation of the one before: returned or accepted lines are only partial."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") == "N", F.array(content_id("CELL", F.col("l_suppkey")))).otherwise(F.array().cast("array<string>")).alias("cells"))
+    side = lambda odd, name: lines.where(F.col("l_linenumber") % 2 == odd).select("l_orderkey", F.floor((F.col("l_linenumber") + 1) / 2).alias("pair"), F.col("cells").alias(name))
+    out = canonical.contribution_changes(side(1, "primary_cells").join(side(0, "repeat_cells"), ["l_orderkey", "pair"]))
+    return out.select("l_orderkey", "pair", F.array_join("added", ",").alias("added"), F.array_join("removed", ",").alias("removed"), "affects_inventory")
+
+
+@query(with_("o AS (SELECT o_custkey AS learner, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS event_id, event_id AS seq, l_suppkey AS f, l_linestatus, l_returnflag FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
+             "a AS (SELECT * FROM o WHERE l_linestatus = 'F' OR l_returnflag = 'N')", "b AS (SELECT learner, event_id, CASE WHEN l_returnflag = 'A' THEN seq + 1 ELSE seq END AS seq, f FROM o WHERE l_returnflag <> 'R')")
+       + """SELECT coalesce(a.learner, b.learner) AS learner, count(*) FILTER (a.event_id IS NOT NULL AND b.event_id IS NOT NULL) AS n_matched, count(*) FILTER (b.event_id IS NULL) AS observed_only, count(*) FILTER (a.event_id IS NULL) AS private_only,
+ count(*) FILTER (a.seq <> b.seq) AS moved, count(*) FILTER (a.f <> b.f) AS other_features, count(*) FILTER (a.event_id IS NULL OR b.event_id IS NULL OR a.seq <> b.seq OR a.f <> b.f) = 0 AS aligned FROM a FULL JOIN b ON a.learner = b.learner AND a.event_id = b.event_id GROUP BY 1""")
+def private_alignment(spark, sf):
+    """Line items as observed events against a private table that lacks the returned ones and has the accepted ones a place later."""
+    joined = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    order = Window.partitionBy("o_custkey").orderBy(*LINE_ORDER)
+    every = joined.select(F.col("o_custkey").alias("learner"), F.row_number().over(order).alias("event_id"), F.row_number().over(order).alias("seq"), F.col("l_suppkey").alias("features"), "l_linestatus", "l_returnflag")
+    private = every.where("l_returnflag <> 'R'").withColumn("seq", F.when(F.col("l_returnflag") == "A", F.col("seq") + 1).otherwise(F.col("seq")))
+    return canonical.private_alignment(every.where("l_linestatus = 'F' or l_returnflag = 'N'"), private, features="features")
