@@ -178,7 +178,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("y")).where("id is not null and y in (0, 1)")
     known = bounded_sample(known.where(fold(F.col("id")) != 1).groupBy("id").agg(F.max("y").alias("y")), ["id"], fit_rows)
     sample = rows.join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("y", "text")  # fit_rows small rows
-    fit = sample.limit(fit_rows).mapInArrow(_pooler(vectors), "y int, x binary").collect()
+    # where ids repeat there are more rows than labels: of these the first by a hash of what they pool to, in any run
+    pooled = sample.mapInArrow(_pooler(vectors), "y int, x binary")
+    fit = pooled.orderBy(F.xxhash64("x"), "x", "y").limit(fit_rows).collect()
     x = np.array([np.frombuffer(r["x"], np.float32) for r in fit], np.float64).reshape(len(fit), 2 * DIM)
     order = np.lexsort(x.T[::-1]) if len(fit) else np.zeros(0, int)  # the same order however the rows came
     network = Network(x[order], np.array([r["y"] for r in fit], np.float64)[order])

@@ -10,6 +10,9 @@ splitters can range-partition the suffixes by their leading LEAD bytes: equal st
 gram that is common in many surroundings still spreads. Each bucket sorts the strings of its suffixes by
 multikey quicksort on their bytes, eight at a time; equal neighbours take the smallest doc_id.
 
+Runs whose anchor a sample shows in many surroundings are dealt to buckets by their bytes instead of their anchor (each of
+them is known to have others beside it), so that a gram that most documents hold isn't one task's group.
+
 A chunk of documents sends each distinct run once, so a passage that a third of the documents hold is one entry
 per chunk, and never are more entries sent than runs. Chunks hold about CHUNK_CHARS of text. In the first step
 hashes of 80 bits stand for equal runs; in the second strings are compared byte by byte.
@@ -27,9 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucerna.llm.common import bounded_sample, mix, shuffle_partitions, utf8
+from lucerna.llm.common import bounded_sample, mix, shuffle_partitions, slices, utf8
 
 SPAN, GRAM, HALF, LEAD = 50, 24, 13, 37
+#: Documents whose runs tell common anchors, kinds of run there that make an anchor common, and most anchors kept as such.
+HOT_SAMPLE, HOT_KINDS, MOST_HOT = 2_000, 8, 100_000
 #: Documents that the splitters are drawn from, and characters of text in a chunk.
 SAMPLES, CHUNK_CHARS = (20_000, 200_000), 16 << 20
 _LAST = 2**63 - 1
@@ -146,11 +151,11 @@ class _Chunk:
         self.ids = ids[self.order]
         self.data, self.offsets = utf8(table.column("text").take(pa.array(self.order)))
 
-    def distinct_runs(self, buckets: int):
+    def distinct_runs(self, buckets: int, hot: np.ndarray):
         """Runs; for each the number of its distinct (bucket, anchor, bytes); the distinct ones in order of
-        bucket with their smallest id."""
+        bucket with their smallest id. Runs of one anchor share a bucket, but those of a hot one are dealt by their bytes."""
         doc, at, many, anchor, whole, place_of = runs(self.data, self.offsets)
-        bucket = (anchor >> np.uint64(40)) % np.uint64(buckets)
+        bucket = (np.where(np.isin(anchor, hot), mix(anchor ^ whole), anchor) >> np.uint64(40)) % np.uint64(buckets)
         key = mix(anchor ^ mix(whole))
         _, first, which = np.unique(key, return_index=True, return_inverse=True)  # documents come in order of id
         rank = np.lexsort((first, bucket[first]))
@@ -170,9 +175,9 @@ def _packed(name: str, chunk: int, bucket: np.ndarray, arrays: list[np.ndarray])
     return pa.table(cols)
 
 
-def _send_runs(buckets: int):
+def _send_runs(buckets: int, hot: np.ndarray):
     def send(table: pa.Table) -> pa.Table:
-        _, _, (bucket, anchor, whole, ids) = _Chunk(table).distinct_runs(buckets)
+        _, _, (bucket, anchor, whole, ids) = _Chunk(table).distinct_runs(buckets, hot)
         return _packed("a", table.column("chunk")[0].as_py(), bucket, [anchor.astype(np.uint32), (whole >> np.uint64(32)).astype(np.uint32), (whole >> np.uint64(16)).astype(np.uint16), ids])
 
     return send
@@ -187,21 +192,26 @@ def _answers(table: pa.Table, kind: int, flags: np.ndarray, sizes: list[int]) ->
     return pa.table({"chunk": table.column("chunk"), "kind": pa.array(np.full(len(sizes), kind), pa.int32()), "bucket": table.column("bucket"), "flags": pa.array([flags[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
 
 
-def _meet_runs(table: pa.Table) -> pa.Table:
+def _meet_runs(hot: np.ndarray):
     """For each run: 1 if an earlier document holds it whole; 2 if it is the first of its kind and its
-    anchor has other kinds; else 0."""
-    a, w, v, ids = _joined(table, "a0", np.uint32), _joined(table, "a1", np.uint32), _joined(table, "a2", np.uint16), _joined(table, "a3", np.int64)
-    order = np.lexsort((ids, v, w, a))
-    a, w, v, ids = a[order], w[order], v[order], ids[order]
-    anchor = np.ones(len(a), bool)
-    anchor[1:] = a[1:] != a[:-1]
-    kind = anchor.copy()
-    kind[1:] |= (w[1:] != w[:-1]) | (v[1:] != v[:-1])
-    least = ids[kind][np.cumsum(kind) - 1]
-    kinds = np.add.reduceat(kind.astype(np.int64), np.flatnonzero(anchor))[np.cumsum(anchor) - 1]
-    flags = np.zeros(len(a), np.uint8)
-    flags[order] = np.where(least < ids, 1, np.where(kinds > 1, 2, 0))
-    return _answers(table, 1, flags, [len(x) // 4 for x in table.column("a0").to_pylist()])
+    anchor has other kinds, as hot ones have (some may lie in other buckets); else 0."""
+    known = np.unique(hot.astype(np.uint32))
+
+    def meet(table: pa.Table) -> pa.Table:
+        a, w, v, ids = _joined(table, "a0", np.uint32), _joined(table, "a1", np.uint32), _joined(table, "a2", np.uint16), _joined(table, "a3", np.int64)
+        order = np.lexsort((ids, v, w, a))
+        a, w, v, ids = a[order], w[order], v[order], ids[order]
+        anchor = np.ones(len(a), bool)
+        anchor[1:] = a[1:] != a[:-1]
+        kind = anchor.copy()
+        kind[1:] |= (w[1:] != w[:-1]) | (v[1:] != v[:-1])
+        least = ids[kind][np.cumsum(kind) - 1]
+        kinds = np.add.reduceat(kind.astype(np.int64), np.flatnonzero(anchor))[np.cumsum(anchor) - 1]
+        flags = np.zeros(len(a), np.uint8)
+        flags[order] = np.where(least < ids, 1, np.where((kinds > 1) | np.isin(a, known), 2, 0))
+        return _answers(table, 1, flags, [len(x) // 4 for x in table.column("a0").to_pylist()])
+
+    return meet
 
 
 def _flags(replies: pa.Table, kind: int, of: type = np.uint8) -> np.ndarray:
@@ -210,10 +220,10 @@ def _flags(replies: pa.Table, kind: int, of: type = np.uint8) -> np.ndarray:
     return np.frombuffer(b"".join(f for _, f in rows), of)
 
 
-def _open_runs(chunk: _Chunk, buckets: int, replies: pa.Table, splitters: np.ndarray):
+def _open_runs(chunk: _Chunk, buckets: int, hot: np.ndarray, replies: pa.Table, splitters: np.ndarray):
     """Runs removed whole (start, strings); runs still open (start, and their number among the chunk's distinct
     open ones); and the suffixes of these (bucket, run's start, length, anchor's offset, far, id, number), in order of bucket."""
-    (doc, at, many, anchor), which, (_, _, _, least) = chunk.distinct_runs(buckets)
+    (doc, at, many, anchor), which, (_, _, _, least) = chunk.distinct_runs(buckets, hot)
     flag = _flags(replies, 1)[which] if len(which) else np.zeros(0, np.uint8)
     gone = (flag == 1) | (chunk.ids[doc] > least[which])
     ask = np.flatnonzero((flag == 2) & ~gone)
@@ -230,12 +240,12 @@ def _open_runs(chunk: _Chunk, buckets: int, replies: pa.Table, splitters: np.nda
     return (at[gone], many[gone]), (at[ask], number, len(one)), (bucket[order].astype(np.int64), at[rows], many[rows] + SPAN - 1, offset[run], back > 0, chunk.ids[doc[rows]], run)
 
 
-def _send_suffixes(buckets: int, splitters: np.ndarray):
+def _send_suffixes(buckets: int, hot: np.ndarray, splitters: np.ndarray):
     def send(docs: pa.Table, replies: pa.Table) -> pa.Table:
         if docs.num_rows == 0:
             return _packed("a", 0, np.zeros(0, np.int64), [np.zeros(0, np.uint8)] * 5)
         chunk = _Chunk(docs)
-        _, _, (bucket, at, length, offset, far, ids, _) = _open_runs(chunk, buckets, replies, splitters)
+        _, _, (bucket, at, length, offset, far, ids, _) = _open_runs(chunk, buckets, hot, replies, splitters)
         ends = np.cumsum(length)
         blob = chunk.data[np.repeat(at - (ends - length), length) + np.arange(int(length.sum()))]
         # the bytes lie end to end by bucket, so they are cut where the buckets' runs end
@@ -273,13 +283,13 @@ def _sort_suffixes(table: pa.Table) -> pa.Table:
     return _answers(table, 2, bits, [len(x) for x in table.column("a0").to_pylist()])
 
 
-def _remove(buckets: int, splitters: np.ndarray):
+def _remove(buckets: int, hot: np.ndarray, splitters: np.ndarray):
     def remove(docs: pa.Table, replies: pa.Table) -> pa.Table:
         kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary()}
         if docs.num_rows == 0:
             return pa.table({k: pa.array([], t) for k, t in kinds.items()})
         chunk = _Chunk(docs)
-        (at, many), (open_at, number, distinct), (_, _, _, _, _, _, run) = _open_runs(chunk, buckets, replies, splitters)
+        (at, many), (open_at, number, distinct), (_, _, _, _, _, _, run) = _open_runs(chunk, buckets, hot, replies, splitters)
         bits = np.zeros(distinct, np.uint32)
         np.bitwise_or.at(bits, run, _flags(replies, 2, np.uint32))
         mine = bits[number] if distinct else np.zeros(0, np.uint32)
@@ -320,25 +330,43 @@ def _splitters(rows: DataFrame, buckets: int) -> np.ndarray:
     return np.unique(leads[(np.arange(1, buckets) * len(leads)) // buckets]) if len(leads) else leads
 
 
+def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The anchor and the bytes' hash of each text's runs."""
+    for batch in batches:
+        data, offsets = utf8(batch.column("text"))
+        for lo, hi in slices(offsets):
+            _, _, _, anchor, whole, _ = runs(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64))], names=["anchor", "whole"])
+
+
+def _hot_anchors(rows: DataFrame) -> np.ndarray:
+    """Anchors that very many kinds of run have, by a sample of HOT_SAMPLE documents, sorted. What is not among them is
+    rare enough for one bucket; what is may be common or not, the results are the same."""
+    sample = bounded_sample(rows.where(F.length("text") >= SPAN).select("text", "text_hash", "doc_id"), ["text_hash", "doc_id"], HOT_SAMPLE).select("text")
+    found = sample.mapInArrow(_kinds, "anchor long, whole long").groupBy("anchor").agg(F.countDistinct("whole").alias("n")).where(F.col("n") >= HOT_KINDS)
+    most = found.orderBy(F.desc("n"), "anchor").limit(MOST_HOT).select("anchor").collect()
+    return np.sort(np.array([r[0] for r in most], np.int64).view(np.uint64))
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     chars = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     n = max(shuffle_partitions(docs.sparkSession), -(-chars // CHUNK_CHARS))
-    splitters = _splitters(rows, n)
+    splitters, hot = _splitters(rows, n), _hot_anchors(rows)
     # by id and text, so that no id and no text that very many rows have fills a chunk
     chunks = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(n)))
     reply = "chunk long, kind int, bucket long, flags binary"
     run_flags = (
-        chunks.groupBy("chunk").applyInArrow(_send_runs(n), "bucket long, chunk long, a0 binary, a1 binary, a2 binary, a3 binary")
-        .groupBy("bucket").applyInArrow(_meet_runs, reply)
+        chunks.groupBy("chunk").applyInArrow(_send_runs(n, hot), "bucket long, chunk long, a0 binary, a1 binary, a2 binary, a3 binary")
+        .groupBy("bucket").applyInArrow(_meet_runs(hot), reply)
     )
     suffix_flags = (
-        chunks.groupBy("chunk").cogroup(run_flags.groupBy("chunk")).applyInArrow(_send_suffixes(n, splitters), "bucket long, chunk long, a0 binary, a1 binary, a2 binary, a3 binary, a4 binary")
+        chunks.groupBy("chunk").cogroup(run_flags.groupBy("chunk")).applyInArrow(_send_suffixes(n, hot, splitters), "bucket long, chunk long, a0 binary, a1 binary, a2 binary, a3 binary, a4 binary")
         .groupBy("bucket").applyInArrow(_sort_suffixes, reply)
     )
     flags = run_flags.unionByName(suffix_flags)
-    return chunks.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(_remove(n, splitters), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return chunks.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(_remove(n, hot, splitters), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:

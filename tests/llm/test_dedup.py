@@ -277,3 +277,27 @@ def test_suffix_dedup_with_more_buckets_than_leads(spark, monkeypatch):
     monkeypatch.setattr(s, "CHUNK_CHARS", 40)
     docs = corpus(3, 20)
     assert result(suffix_dedup(frame(spark, docs))) == repeats(docs)
+
+
+def test_runs_of_a_hot_anchor_spread_over_buckets(spark, monkeypatch):
+    from lucerna.llm import suffix_dedup as s
+
+    gram = "a gram of 24 characters!"
+    rnd = random.Random(4)
+    docs = [(i, " ".join(str(rnd.random()) for _ in range(3)) + gram + " ".join(str(rnd.random()) for _ in range(3))) for i in range(300)]
+    docs += [(300 + i, docs[i][1]) for i in range(20)]
+    df = spark.createDataFrame([(i, t, F_hash) for (i, t), F_hash in zip(docs, range(320), strict=True)], "doc_id long, text string, text_hash long")
+    hot = s._hot_anchors(df)
+    assert len(hot) >= 1
+    import pyarrow as pa
+
+    chunk = s._Chunk(pa.table({"doc_id": [i for i, _ in docs], "text": [t for _, t in docs], "text_hash": [i for i, _ in docs]}))
+    for anchors, spread in ((hot, True), (hot[:0], False)):
+        _, _, (bucket, anchor, _, _) = chunk.distinct_runs(64, anchors)
+        common = np.bincount(bucket[np.isin(anchor, hot)], minlength=64)
+        assert (common.max() <= 4 * max(1, common.sum() // 64) + 8) == spread
+    for kinds in (2, 8):
+        monkeypatch.setattr(s, "HOT_KINDS", kinds)
+        assert result(suffix_dedup(frame(spark, docs))) == repeats(docs)
+    monkeypatch.setattr(s, "HOT_KINDS", 1)  # every anchor counts as hot
+    assert result(suffix_dedup(frame(spark, corpus(5, 30)))) == repeats(corpus(5, 30))
