@@ -84,10 +84,17 @@ def chronological_split(events: DataFrame, train: float = 0.6, validation: float
 
 
 def sequence_gaps(events: DataFrame, seq: str = "seq", time: str = "ts") -> DataFrame:
-    """By learner: events, sequence steps other than 1, and times that don't rise."""
-    w = Window.partitionBy("learner").orderBy(seq)
-    rows = events.select("learner", (F.col(seq) - F.coalesce(F.lag(seq).over(w), F.lit(0)) != 1).cast("int").alias("gap"), F.coalesce(F.col(time) <= F.lag(time).over(w), F.lit(False)).cast("int").alias("stuck"))
-    return rows.groupBy("learner").agg(F.count("*").alias("n_events"), F.sum("gap").alias("gaps"), F.sum("stuck").alias("not_rising"))
+    """By learner: events, sequence steps other than 1, and times that don't rise. Steps are looked at inside blocks; the first
+    event of a later block meets the last one of those before it."""
+    rows = scans.blocked(events.select("learner", F.col(seq).alias("_seq"), F.col(time).alias("_time")), ["learner"], "_seq")
+    last = rows.groupBy("learner", "_block").agg(F.max(F.struct("_seq", "_time")).alias("_last"))
+    before = Window.partitionBy("learner").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    far = last.join(scans.spread_keys(rows, "learner"), "learner", "left_semi").select("learner", "_block", F.max("_last").over(before).alias("_last"))
+    w = Window.partitionBy("learner", "_block").orderBy("_seq")
+    previous = rows.join(far, ["learner", "_block"], "left")
+    seq_before, time_before = F.coalesce(F.lag("_seq").over(w), "_last._seq", F.lit(0)), F.coalesce(F.lag("_time").over(w), F.when(F.lag("_seq").over(w).isNull(), F.col("_last._time")))
+    steps = previous.select("learner", (F.col("_seq") - seq_before != 1).cast("int").alias("gap"), F.coalesce(F.col("_time") <= time_before, F.lit(False)).cast("int").alias("stuck"))
+    return steps.groupBy("learner").agg(F.count("*").alias("n_events"), F.sum("gap").alias("gaps"), F.sum("stuck").alias("not_rising"))
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[str], take: list[str]) -> DataFrame:

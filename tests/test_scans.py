@@ -59,6 +59,23 @@ def test_history_in_blocks_equals_plain_python(spark, monkeypatch, block):
     assert numbers == {(*key, x): i for key, w in want.items() for x, i in w[3].items()}
 
 
+def test_gaps_over_blocks_equal_plain_python(spark, monkeypatch):
+    rnd = random.Random(6)
+    rows, want = [], {}
+    for learner, size in ((1, 200), (2, 3), (3, 1)):
+        seq, time, own = 0, 100, [0, 0, 0]
+        for i in range(size):
+            step, later = rnd.choice([1, 1, 2, 5]), rnd.choice([0, 1, 1, -1])
+            own = [own[0] + 1, own[1] + (step != 1), own[2] + (i > 0 and later <= 0)]
+            seq, time = seq + step, time + later
+            rows.append((learner, seq, time))
+        want[learner] = tuple(own)
+    df = spark.createDataFrame(rows, "learner long, seq long, ts long")
+    for block in (4, 32_768):
+        monkeypatch.setattr(scans, "BLOCK", block)
+        assert {r.learner: tuple(r)[1:] for r in history.sequence_gaps(df).collect()} == want
+
+
 @pytest.mark.parametrize("block, run", [(5, 64), (50, 3), (32_768, 64)])
 def test_mastery_in_blocks_equals_a_fold(spark, monkeypatch, block, run):
     monkeypatch.setattr(scans, "BLOCK", block)
