@@ -36,23 +36,26 @@ def _zero(c) -> Column:
     return F.coalesce(c, F.lit(0))
 
 
-def _of_label(what: str) -> Column:
-    return _zero(F.try_element_at("_by_kc", F.col("kc"))[what])
+def _of_label(what: str, several: bool) -> Column:
+    """What earlier blocks hold of the row's label."""
+    return _zero(F.try_element_at("_by_kc", F.col("kc"))[what]) if several else F.lit(0)
 
 
 def opportunity_index(projected: DataFrame) -> DataFrame:
     """learner, seq, kc, opportunity: 1-based number of the learner's event with the label."""
-    rows = with_earlier(scans.blocked(projected.select("learner", "seq", "correct", "kc_ids"), ["learner"]))
-    long = rows.select("learner", "_block", "seq", "_by_kc", F.explode("kc_ids").alias("kc"))
+    rows, several = scans.blocked(projected.select("learner", "seq", "correct", "kc_ids"), ["learner"])
+    rows = with_earlier(rows) if several else rows
+    long = rows.select("learner", "_block", "seq", *(["_by_kc"] if several else []), F.explode("kc_ids").alias("kc"))
     w = Window.partitionBy("learner", "_block", "kc").orderBy("seq")
-    return long.select("learner", "seq", "kc", (F.row_number().over(w) + _of_label("k")).cast("long").alias("opportunity"))
+    return long.select("learner", "seq", "kc", (F.row_number().over(w) + _of_label("k", several)).cast("long").alias("opportunity"))
 
 
-def with_overall_rate(rows: DataFrame, alpha: float = 1.0, beta: float = 1.0) -> DataFrame:
-    """rows of with_earlier with overall_rate, the learner's smoothed success before the event."""
+def with_overall_rate(rows: DataFrame, several: bool, alpha: float = 1.0, beta: float = 1.0) -> DataFrame:
+    """Blocked rows (those of with_earlier, if there are several blocks) with overall_rate, the learner's smoothed success
+    before the event."""
     own = _before("learner", "_block")
-    attempts, successes = F.count("correct").over(own) + _zero(F.col("_n")), _zero(F.sum("correct").over(own)) + _zero(F.col("_s"))
-    return rows.withColumn("overall_rate", smoothed(successes, attempts, alpha, beta))
+    n, s = (_zero(F.col("_n")), _zero(F.col("_s"))) if several else (F.lit(0), F.lit(0))
+    return rows.withColumn("overall_rate", smoothed(_zero(F.sum("correct").over(own)) + s, F.count("correct").over(own) + n, alpha, beta))
 
 
 def prior_rates(projected: DataFrame, alpha: float = 1.0, beta: float = 1.0) -> DataFrame:
@@ -61,11 +64,12 @@ def prior_rates(projected: DataFrame, alpha: float = 1.0, beta: float = 1.0) ->
     Rows are dealt once, by learner and block; the windows run inside blocks and the labels' means come back to
     the event by grouping, not by a join. (learner, seq) is unique.
     """
-    whole = with_overall_rate(with_earlier(scans.blocked(projected, ["learner"])), alpha, beta)
+    rows, several = scans.blocked(projected, ["learner"])
+    whole = with_overall_rate(with_earlier(rows) if several else rows, several, alpha, beta)
     event = F.struct(*projected.columns, "overall_rate").alias("_event")
-    long = whole.select("learner", "_block", "seq", "correct", "_by_kc", event, F.explode_outer("kc_ids").alias("kc"))
+    long = whole.select("learner", "_block", "seq", "correct", *(["_by_kc"] if several else []), event, F.explode_outer("kc_ids").alias("kc"))
     label = _before("learner", "_block", "kc")
-    seen, right = F.count("correct").over(label) + _of_label("n"), _zero(F.sum("correct").over(label)) + _of_label("s")
+    seen, right = F.count("correct").over(label) + _of_label("n", several), _zero(F.sum("correct").over(label)) + _of_label("s", several)
     # a label that is null stands for an event without labels
     rates = long.select("learner", "_block", "seq", "_event", F.when(F.col("kc").isNotNull(), smoothed(right, seen, alpha, beta)).alias("rate"), F.when(F.col("kc").isNotNull(), F.log1p(seen.cast("double"))).alias("seen"))
     out = rates.groupBy("learner", "_block", "seq").agg(F.first("_event").alias("e"), F.avg("rate").alias("active"), F.avg("seen").alias("mean_log"))
@@ -86,13 +90,16 @@ def chronological_split(events: DataFrame, train: float = 0.6, validation: float
 def sequence_gaps(events: DataFrame, seq: str = "seq", time: str = "ts") -> DataFrame:
     """By learner: events, sequence steps other than 1, and times that don't rise. Steps are looked at inside blocks; the first
     event of a later block meets the last one of those before it."""
-    rows = scans.blocked(events.select("learner", F.col(seq).alias("_seq"), F.col(time).alias("_time")), ["learner"], "_seq")
-    last = rows.groupBy("learner", "_block").agg(F.max(F.struct("_seq", "_time")).alias("_last"))
-    before = Window.partitionBy("learner").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    far = last.join(scans.spread_keys(rows, "learner"), "learner", "left_semi").select("learner", "_block", F.max("_last").over(before).alias("_last"))
+    rows, several = scans.blocked(events.select("learner", F.col(seq).alias("_seq"), F.col(time).alias("_time")), ["learner"], "_seq")
     w = Window.partitionBy("learner", "_block").orderBy("_seq")
-    previous = rows.join(far, ["learner", "_block"], "left")
-    seq_before, time_before = F.coalesce(F.lag("_seq").over(w), "_last._seq", F.lit(0)), F.coalesce(F.lag("_time").over(w), F.when(F.lag("_seq").over(w).isNull(), F.col("_last._time")))
+    previous, seq_before, time_before = rows, F.lag("_seq").over(w), F.lag("_time").over(w)
+    if several:
+        last = rows.groupBy("learner", "_block").agg(F.max(F.struct("_seq", "_time")).alias("_last"))
+        before = Window.partitionBy("learner").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        far = last.join(scans.spread_keys(rows, "learner"), "learner", "left_semi").select("learner", "_block", F.max("_last").over(before).alias("_last"))
+        previous = rows.join(far, ["learner", "_block"], "left")
+        seq_before, time_before = F.coalesce(seq_before, "_last._seq"), F.coalesce(time_before, F.when(seq_before.isNull(), F.col("_last._time")))
+    seq_before = F.coalesce(seq_before, F.lit(0))
     steps = previous.select("learner", (F.col("_seq") - seq_before != 1).cast("int").alias("gap"), F.coalesce(F.col("_time") <= time_before, F.lit(False)).cast("int").alias("stuck"))
     return steps.groupBy("learner").agg(F.count("*").alias("n_events"), F.sum("gap").alias("gaps"), F.sum("stuck").alias("not_rising"))
 

@@ -70,8 +70,8 @@ def _chance(odds: Column) -> Column:
     return odds / (1 + odds)
 
 
-def _chains(rows: DataFrame, initial: DataFrame, model: Bkt) -> DataFrame:
-    """learner, _block, kc, the block's chain of (seq, correct) in order, and `odds` at its start. rows: blocked.
+def _chains(rows: DataFrame, several: bool, initial: DataFrame, model: Bkt) -> DataFrame:
+    """learner, _block, kc, the block's chain of (seq, correct) in order, and `odds` at its start. rows, several: blocked.
 
     A step is linear in the odds, so a whole block is too: (a * odds + b) / c, with numbers that the block alone decides,
     kept in range by their largest. The start of a later block follows from the blocks before it; an array
@@ -82,6 +82,8 @@ def _chains(rows: DataFrame, initial: DataFrame, model: Bkt) -> DataFrame:
     start = F.broadcast(start) if start.count() <= _LABELS else start
     long = rows.select("learner", "_block", "seq", "correct", F.explode("kc_ids").alias("kc"))
     chains = long.groupBy("learner", "_block", "kc").agg(F.array_sort(F.collect_list(F.struct("seq", "correct"))).alias("chain")).join(start, "kc")
+    if not several:
+        return chains.withColumnRenamed("first", "odds")
 
     def through(t: Column, event: Column) -> Column:
         f = _factor(model, event["correct"])
@@ -98,10 +100,10 @@ def _chains(rows: DataFrame, initial: DataFrame, model: Bkt) -> DataFrame:
     return chains.join(by_block, ["learner", "_block"], "left").select("learner", "_block", "kc", "chain", F.coalesce(F.try_element_at("_starts", F.col("kc")), "first").alias("odds"))
 
 
-def _mastery(rows: DataFrame, initial: DataFrame, model: Bkt) -> DataFrame:
+def _mastery(rows: DataFrame, several: bool, initial: DataFrame, model: Bkt) -> DataFrame:
     """learner, _block, seq, kc, mastery before the event."""
     before = scans.running(F.col("chain"), F.col("odds"), lambda odds, e: _step(model, odds, e["correct"]), "double").alias("odds")
-    each = _chains(rows, initial, model).select("learner", "_block", "kc", F.explode(F.arrays_zip(F.col("chain.seq").alias("seq"), before)).alias("x"))
+    each = _chains(rows, several, initial, model).select("learner", "_block", "kc", F.explode(F.arrays_zip(F.col("chain.seq").alias("seq"), before)).alias("x"))
     return each.select("learner", "_block", "x.seq", "kc", _chance(F.col("x.odds")).alias("mastery"))
 
 
@@ -111,23 +113,23 @@ def mastery_before(projected: DataFrame, initial: DataFrame, model: Bkt = Bkt())
     Odds keep differences from 1 that a fold of chances in doubles rounds away: such a fold stays at 1 for good once
     1 - mastery is under 2^-53, this one falls again after enough wrong answers.
     """
-    rows = scans.blocked(projected.select("learner", "seq", "correct", "kc_ids"), ["learner"])
-    return _mastery(rows, initial, model).select("learner", "seq", "kc", "mastery")
+    rows, several = scans.blocked(projected.select("learner", "seq", "correct", "kc_ids"), ["learner"])
+    return _mastery(rows, several, initial, model).select("learner", "seq", "kc", "mastery")
 
 
 def bkt_predictions(projected: DataFrame, initial: DataFrame, model: Bkt = Bkt()) -> DataFrame:
     """projected with bkt: the chance of success before the event; events without labels have the overall rate."""
-    rows = scans.blocked(projected, ["learner"])
-    mean = _mastery(rows, initial, model).groupBy("learner", "_block", "seq").agg(F.avg("mastery").alias("m"))
-    scored = with_overall_rate(with_earlier(rows), model.alpha, model.beta).join(mean, ["learner", "_block", "seq"], "left")
+    rows, several = scans.blocked(projected, ["learner"])
+    mean = _mastery(rows, several, initial, model).groupBy("learner", "_block", "seq").agg(F.avg("mastery").alias("m"))
+    scored = with_overall_rate(with_earlier(rows) if several else rows, several, model.alpha, model.beta).join(mean, ["learner", "_block", "seq"], "left")
     return scored.select(*[F.col(c) for c in projected.columns], F.coalesce(model.predicted(F.col("m")), "overall_rate").alias("bkt"))
 
 
 def final_mastery(projected: DataFrame, initial: DataFrame, model: Bkt = Bkt()) -> DataFrame:
     """learner, kc, mastery after all the learner's events: the frozen state that probes read."""
-    rows = scans.blocked(projected.select("learner", "seq", "correct", "kc_ids"), ["learner"])
+    rows, several = scans.blocked(projected.select("learner", "seq", "correct", "kc_ids"), ["learner"])
     last = F.aggregate("chain", F.col("odds"), lambda odds, e: _step(model, odds, e["correct"]))
-    ends = _chains(rows, initial, model).select("learner", "kc", "_block", last.alias("odds"))
+    ends = _chains(rows, several, initial, model).select("learner", "kc", "_block", last.alias("odds"))
     return ends.groupBy("learner", "kc").agg(F.max_by("odds", "_block").alias("odds")).select("learner", "kc", _chance(F.col("odds")).alias("mastery"))
 
 
