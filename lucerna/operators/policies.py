@@ -84,9 +84,19 @@ def development_only(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
+class Parts(dict):
+    """Tables by name; one given as a function is made when it is first asked for."""
+
+    def __getitem__(self, name: str) -> DataFrame:
+        value = super().__getitem__(name)
+        if callable(value):
+            value = self[name] = value()
+        return value
+
+
 def discover(
     cells: DataFrame, grid: DataFrame, compiler: Compiler, candidates: list[Candidate], dimensions: list[str], patterns: dict[str, list[str]] | None = None, stable: DataFrame | None = None, descriptors: DataFrame | None = None, least_descriptors: int = 1
-) -> dict[str, DataFrame]:
+) -> Parts:
     """Everything that selection reads, from development rows alone; others are refused.
 
     patterns: the facts of each interaction that may go beyond its parents. stable: (cell_id, fact), the facts that every
@@ -99,15 +109,15 @@ def discover(
     asked = spark.createDataFrame([(c, f) for c, facts in sorted((patterns or {}).items()) for f in facts], "candidate string, fact string")
     held = stable if stable is not None else selection.stable_facts(grid, compiler.operations)
     evidence = residual_evidence(active, table, held, asked)
-    alone = cut(selection.diagnostics(active, cells.select("cell_id", "n_items"), table, least_descriptors=least_descriptors, descriptors=descriptors, residual=evidence))  # a row a candidate
-    members = selection.class_members(active, alone, table)
-    found = selection.collapsed(alone, members)
     facts = cells.select("cell_id", "canonical_split", F.explode(F.array(*[F.concat(F.lit(f"{d}:"), F.col(d)) for d in dimensions])).alias("fact"))
     contrasts = canonical.hamming_one(cells, dimensions)
-    return {
-        "table": table, "active": active, "found": found, "facts": facts, "contrasts": contrasts, "classes": selection.equivalence_classes(members), "evidence": evidence,
-        "obligations": selection.obligations(cells, facts.select("cell_id", "fact"), contrasts), "coverage": selection.obligation_coverage(active, table, cells, facts, contrasts),
-    }
+    parts = Parts(
+        table=table, active=active, facts=facts, contrasts=contrasts, evidence=evidence,
+        obligations=lambda: selection.obligations(cells, facts.select("cell_id", "fact"), contrasts), coverage=lambda: selection.obligation_coverage(active, table, cells, facts, contrasts),
+        alone=lambda: cut(selection.diagnostics(active, cells.select("cell_id", "n_items"), table, least_descriptors=least_descriptors, descriptors=descriptors, residual=evidence)),  # a row a candidate
+        members=lambda: cut(selection.class_members(active, parts["alone"], table)), found=lambda: selection.collapsed(parts["alone"], parts["members"]), classes=lambda: selection.equivalence_classes(parts["members"]),
+    )
+    return parts
 
 
 def uncoverable(obligations: DataFrame, coverage: DataFrame, found: DataFrame) -> DataFrame:

@@ -334,7 +334,7 @@ def obligations(spark, sf):
 SELECT candidate, 'cell:' || cell_id AS obligation FROM onn UNION ALL SELECT candidate, 'fact:' || represents FROM tab WHERE represents IN (SELECT fact FROM cfacts WHERE cell_id IN (FROM dev))
 UNION ALL SELECT candidate, 'contrast:' || left_id || ':' || right_id FROM con JOIN onn ON cell_id = left_id OR cell_id = right_id GROUP BY candidate, left_id, right_id HAVING count(*) = 1""")
 def obligation_coverage(spark, sf):
-    return _covered(spark, sf)[0]
+    return _parts(spark, sf)["coverage"]
 
 
 @query()

@@ -226,3 +226,18 @@ def test_fit_with_very_many_labels(spark):
     df = spark.createDataFrame(rows, "i int, dataset_split string, correct int, kc_ids array<string>, overall_rate double").withColumn("x", F.lit(0.0))
     p = {r.i: r.logistic for r in tracing.logistic_predictions(df, ["x"], kcs, strength=10.0).collect()}
     assert np.mean([p[i] for i in range(1, 200, 2)]) > 0.7 > 0.3 > np.mean([p[i] for i in range(0, 200, 2)])
+
+
+def test_empty_tables_have_empty_results(spark, tmp_path):
+    schema = "learner long, seq long, correct int, kc_ids array<string>"
+    spark.createDataFrame([(1, 1, 1, ["A"])], schema).write.parquet(str(tmp_path / "x"))
+    start = spark.createDataFrame([("A", 0.5)], "kc string, initial double")
+    full = spark.read.parquet(str(tmp_path / "x"))
+    for df in (spark.createDataFrame([], schema), full.where("seq > 1"), full.join(full.where("seq > 1").select("learner"), "learner")):
+        assert history.prior_rates(df).count() == history.opportunity_index(df).count() == tracing.mastery_before(df, start).count() == tracing.final_mastery(df, start).count() == 0
+        assert history.sequence_gaps(df, time="correct").count() == 0
+    assert evaluation.auc(spark.createDataFrame([], "k string, prediction double, correct int"), ["k"]).count() == 0
+    table = rule_index.rule_table(spark, [{"kc_id": "K", "rule": {"operation": "o1"}}], C)
+    rows = items(spark, random.Random(1), 5)
+    assert rule_index.label_by_index(rows.limit(0), "id", table, C).count() == 0
+    assert {tuple(r.kc_ids) for r in rule_index.label_by_index(rows, "id", table.limit(0), C).collect()} == {()}
