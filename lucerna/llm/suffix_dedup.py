@@ -155,7 +155,10 @@ class _Chunk:
         """Runs; for each the number of its distinct (bucket, anchor, bytes); the distinct ones in order of
         bucket with their smallest id. Runs of one anchor share a bucket, but those of a hot one are dealt by their bytes."""
         doc, at, many, anchor, whole, place_of = runs(self.data, self.offsets)
-        bucket = (np.where(np.isin(anchor, hot), mix(anchor ^ whole), anchor) >> np.uint64(40)) % np.uint64(buckets)
+        dealt = anchor.copy()
+        common = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] == anchor) if len(hot) else np.zeros(0, np.int64)
+        dealt[common] = mix(anchor[common] ^ whole[common])
+        bucket = ((dealt >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
         key = mix(anchor ^ mix(whole))
         _, first, which = np.unique(key, return_index=True, return_inverse=True)  # documents come in order of id
         rank = np.lexsort((first, bucket[first]))
@@ -295,19 +298,27 @@ def _remove(buckets: int, hot: np.ndarray, splitters: np.ndarray):
         mine = bits[number] if distinct else np.zeros(0, np.uint32)
         pos = np.concatenate([open_at[:0], *[open_at[(mine >> np.uint32(k)) & np.uint32(1) == 1] + k for k in range(SPAN - GRAM + 1)]])
         start, end = np.concatenate([at, pos]), np.concatenate([at + many + SPAN - 1, pos + SPAN])
-        n = len(chunk.data)
-        change = np.bincount(start, minlength=n + 1) - np.bincount(end, minlength=n + 1)
-        covered = np.cumsum(change)[:n] > 0
-        begins = covered.copy()
-        begins[1:] &= ~covered[:-1]
-        edges = chunk.offsets[:-1][chunk.offsets[:-1] < n]
-        begins[edges] = covered[edges]
-        removed, spans = np.append(0, np.cumsum(covered)), np.append(0, np.cumsum(begins))
-        lo, hi = chunk.offsets[:-1], chunk.offsets[1:]
-        data, keep = chunk.data, ~covered
-        kept = [data[x:y][keep[x:y]].tobytes() for x, y in zip(lo, hi, strict=True)]
+        sort = np.argsort(start, kind="stable")
+        start, end = start[sort], end[sort]
+        n_removed, n_spans, kept = [], [], []
+        for lo, hi in slices(chunk.offsets):  # some documents at a time: no array as long as the chunk's text
+            base, edges = chunk.offsets[lo], chunk.offsets[lo : hi + 1] - chunk.offsets[lo]
+            n = int(edges[-1])
+            mine = slice(*np.searchsorted(start, [base, base + n]))
+            change = np.bincount(start[mine] - base, minlength=n + 1) - np.bincount(end[mine] - base, minlength=n + 1)
+            covered = np.cumsum(change)[:n] > 0
+            begins = covered.copy()
+            begins[1:] &= ~covered[:-1]
+            first = edges[:-1][edges[:-1] < n]
+            begins[first] = covered[first]
+            for flags, out in ((covered, n_removed), (begins, n_spans)):
+                sums = np.append(0, np.cumsum(flags))
+                out.append(sums[edges[1:]] - sums[edges[:-1]])
+            data, keep = chunk.data[base : base + n], ~covered
+            kept += [data[x:y][keep[x:y]].tobytes() for x, y in zip(edges[:-1], edges[1:], strict=True)]
+        lengths = np.diff(chunk.offsets)
         names = docs.column("doc_id").take(pa.array(chunk.order))
-        return pa.table([names, pa.array(hi - lo, pa.int64()), pa.array(removed[hi] - removed[lo], pa.int64()), pa.array(spans[hi] - spans[lo], pa.int64()), pa.array(kept, pa.binary())], names=list(kinds))
+        return pa.table([names, pa.array(lengths, pa.int64()), pa.array(np.concatenate(n_removed), pa.int64()), pa.array(np.concatenate(n_spans), pa.int64()), pa.array(kept, pa.binary())], names=list(kinds))
 
     return remove
 
