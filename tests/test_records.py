@@ -44,15 +44,15 @@ def test_mapping_rules(spark, result, cells, note, errors):
 
 
 def test_keys_of_mappings_as_text(spark):
-    good = {"egp_id": "7", "result": "complete", "cells": [{"tense": "past", "voice": None}], "note": None}
+    good = {"unit_id": "7", "result": "complete", "cells": [{"tense": "past", "voice": None}], "note": None}
     cases = [
         (good, []), (dict(reversed(good.items())), []), ({**good, "more": 1}, ["other keys"]), ({k: x for k, x in good.items() if k != "note"}, ["other keys"]), ({**good, "cells": {}}, ["cells are no list"]),
         ({**good, "cells": [{"tense": "past"}]}, ["other dimensions"]), ({**good, "cells": [good["cells"][0], {"tense": "a", "voice": "b", "mood": "c"}]}, ["other dimensions"]),
-        ({**good, "egp_id": "8"}, ["another id"]), ({**good, "egp_id": ""}, ["no id"]), ({**good, "cells": []}, []),
+        ({**good, "unit_id": "8"}, ["another id"]), ({**good, "unit_id": ""}, ["no id"]), ({**good, "cells": []}, []),
     ]
     raw = [(json.dumps(c), e) for c, e in cases] + [("[1]", ["not an object"]), ("{", ["not an object"]), ("nothing", ["not an object"])]
     df = spark.createDataFrame([(r, e, 7) for r, e in raw], "raw string, want array<string>, id int")
-    found = curation.key_errors("raw", list(good), ["tense", "voice"], id_key="egp_id", expected_id=F.col("id"))
+    found = curation.key_errors("raw", list(good), ["tense", "voice"], id_key="unit_id", expected_id=F.col("id"))
     for r in df.select("raw", "want", found.alias("got")).collect():
         assert r.got == r.want, r.raw
 
