@@ -57,9 +57,9 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         edges = checkpoint(edges.repartition(n, "u").mapInArrow(_contract, "u long, v long"))
         if _settled(edges):
             break
-        # the no-op on the key keeps both sides of the join behind exchanges of their own
+        # the no-op on the key keeps both sides of the join behind exchanges of their own, and neither goes through the driver
         above = edges.groupBy("u").agg(F.min("v").alias("top")).select(F.col("u").bitwiseXOR(F.lit(0).cast("long")).alias("k"), "top")
-        edges = edges.join(above, F.col("v") == F.col("k"), "left").select("u", F.coalesce("top", "v").alias("v"))
+        edges = edges.join(above.hint("merge"), F.col("v") == F.col("k"), "left").select("u", F.coalesce("top", "v").alias("v"))
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("v").alias("node")).distinct()

@@ -215,6 +215,11 @@ def _own_exchange(key: str) -> Column:
     return F.col(key).bitwiseXOR(F.lit(0).cast("long"))
 
 
+def _dealt(side: DataFrame) -> DataFrame:
+    """The side of a join that is dealt by key: Spark would send one that looks small through the driver, some thirty times a run."""
+    return side.hint("merge")
+
+
 def _blocks(count: Column, size: int) -> Column:
     return F.greatest(F.ceil(count / size), F.lit(1)).cast("long")
 
@@ -231,27 +236,40 @@ def _meeting(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links that span the similar pairs of the nodes of rows (node, rep).
 
     Grouping by bucket is what Spark must honour: a node's rows are in one bucket, and a bucket in one task."""
-    held = rows.join(sets.select(F.col("rep").alias("k"), "sketch", "size"), F.col("rep") == F.col("k")).drop("k")
+    held = rows.join(_dealt(sets.select(F.col("rep").alias("k"), "sketch", "size")), F.col("rep") == F.col("k")).drop("k")
     return _bucketed(held, F.xxhash64("node"), -(-rows.count() // AT_ONCE)).groupBy("bucket").applyInArrow(_comparer(percent), "u long, v long")
 
 
 def _trees(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Small nodes of two classes or more, and crowds, as (node, rep); crowds with their size n."""
+    """Small nodes of two classes or more, and crowds, as (node, rep); crowds merged, with their size n."""
     nodes = sets.select("rep", F.posexplode("tokens").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "rep", F.lit(None).cast("long").alias("parent"))
     small, crowds = [], []
     while True:  # nodes that go on have at most CROWD of their parents' classes
         counts = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select(_own_exchange("node").alias("k"), "n")
-        sized = checkpoint(nodes.join(counts, F.col("node") == F.col("k")).select("node", "rep", "n", "parent"))
+        sized = checkpoint(nodes.join(_dealt(counts), F.col("node") == F.col("k")).select("node", "rep", "n", "parent"))
         small.append(sized.where(F.col("n") <= SMALL).select("node", "rep"))
         stuck = F.coalesce(F.col("n") > CROWD * F.col("parent"), F.lit(False))
         big = sized.where(F.col("n") > SMALL)
-        crowds.append(big.where(stuck).select("node", "rep", "n"))
+        crowds.append(big.where(stuck).select("node", "rep"))
         big = big.where(~stuck)
         if big.isEmpty():
             break
-        nodes = big.join(sets.select(F.col("rep").alias("k"), "sketch"), F.col("rep") == F.col("k")).select("node", "rep", "n", "sketch").mapInArrow(_branch, "node long, rep long, parent long")
+        nodes = big.join(_dealt(sets.select(F.col("rep").alias("k"), "sketch")), F.col("rep") == F.col("k")).select("node", "rep", "n", "sketch").mapInArrow(_branch, "node long, rep long, parent long")
     union = lambda dfs: dfs[0] if len(dfs) == 1 else union([dfs[0].unionByName(dfs[1]), *dfs[2:]])
-    return union(small), union(crowds)
+    return union(small), _merged(union(crowds))
+
+
+def _merged(crowds: DataFrame) -> DataFrame:
+    """Crowds (node, rep) of nearly the same classes as one, with their size n.
+
+    A group of near copies is a crowd in each tree and in both children. Crowds are one if two minwise hashes of
+    their members agree; their union holds every pair that one of them holds.
+    """
+    least = lambda salt: F.min(F.xxhash64(F.lit(salt), "rep"))
+    names = crowds.groupBy("node").agg(F.xxhash64(least(1), least(2)).alias("name")).select(_own_exchange("node").alias("k"), "name")
+    members = checkpoint(crowds.join(_dealt(names), F.col("node") == F.col("k")).select(F.col("name").alias("node"), "rep").distinct())
+    sizes = members.groupBy("node").agg(F.count("*").alias("n")).select(_own_exchange("node").alias("k"), "n")
+    return members.join(_dealt(sizes), F.col("node") == F.col("k")).select("node", "rep", "n")
 
 
 def _crowd_blocks(crowds: DataFrame) -> DataFrame:
@@ -275,8 +293,8 @@ def _mine(count: Column) -> Column:
 def _crowd_rest(crowds: DataFrame, parts: DataFrame) -> DataFrame:
     """Blocks in which what is outside a crowd's largest part meets all members of the crowd."""
     half = SMALL // 2
-    placed = crowds.join(parts, "rep", "left").withColumn("part", F.coalesce("part", "rep"))
-    met = placed.join(_outside(placed, "node", half), F.col("node") == F.col("k")).withColumn("blocks", _blocks(F.col("n"), half))
+    placed = crowds.join(_dealt(parts), "rep", "left").withColumn("part", F.coalesce("part", "rep"))
+    met = placed.join(_dealt(_outside(placed, "node", half)), F.col("node") == F.col("k")).withColumn("blocks", _blocks(F.col("n"), half))
     ask = met.where("part <> largest").select("node", "rep", _mine(F.col("asked")).alias("i"), F.explode(_all_below(F.col("blocks"))).alias("j"))
     told = met.select("node", "rep", F.explode(_all_below(F.col("asked"))).alias("i"), _mine(F.col("blocks")).alias("j"))
     return ask.unionByName(told).select(F.xxhash64("node", "i", "j").alias("node"), "rep").distinct()
@@ -288,12 +306,12 @@ def _parts(links: DataFrame) -> DataFrame:
 
 def _confirmed(groups: DataFrame, rows: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
     """Links on full sets that span the components of the candidate components `groups` (rep, part)."""
-    wanted = sets.select("rep", "rep_hash").join(groups, "rep")
-    texts = rows.join(wanted, (F.col("doc_id") == F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))).groupBy("rep", "rep_hash").agg(F.first("part").alias("comp"), F.first("text").alias("text"))
+    wanted = sets.select("rep", "rep_hash").join(_dealt(groups), "rep")
+    texts = rows.join(_dealt(wanted), (F.col("doc_id") == F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))).groupBy("rep", "rep_hash").agg(F.first("part").alias("comp"), F.first("text").alias("text"))
     texts = checkpoint(texts.withColumn("size", F.length("text").cast("long")))
     blocks = F.greatest(_blocks(F.count("*"), BLOCK), _blocks(F.sum("size"), BLOCK_CHARS)).alias("blocks")
     sizes = texts.groupBy("comp").agg(blocks).select(_own_exchange("comp").alias("k"), "blocks")
-    members = texts.join(sizes, F.col("comp") == F.col("k")).select("rep", "comp", "blocks", _mine(F.col("blocks")).alias("own"), "text", "size")
+    members = texts.join(_dealt(sizes), F.col("comp") == F.col("k")).select("rep", "comp", "blocks", _mine(F.col("blocks")).alias("own"), "text", "size")
     buckets = -(-(texts.agg(F.sum("size")).first()[0] or 0) // BUCKET_CHARS)
 
     def links(grouped: DataFrame) -> DataFrame:
@@ -307,11 +325,11 @@ def _confirmed(groups: DataFrame, rows: DataFrame, sets: DataFrame, width: int,
     large = members.where("blocks > 1")
     if large.isEmpty():
         return sure
-    placed = checkpoint(large.select("rep", "comp", "blocks", "own").join(_parts(sure), "rep", "left").withColumn("part", F.coalesce("part", "rep")))
-    met = placed.join(_outside(placed, "comp", BLOCK), F.col("comp") == F.col("k")).drop("k")
+    placed = checkpoint(large.select("rep", "comp", "blocks", "own").join(_dealt(_parts(sure)), "rep", "left").withColumn("part", F.coalesce("part", "rep")))
+    met = placed.join(_dealt(_outside(placed, "comp", BLOCK)), F.col("comp") == F.col("k")).drop("k")
     ask = met.where("part <> largest").select("comp", "rep", _mine(F.col("asked")).alias("i"), F.explode(_all_below(F.col("blocks"))).alias("j"))
     told = met.select("comp", "rep", F.explode(_all_below(F.col("asked"))).alias("i"), F.col("own").alias("j"))
-    again = ask.unionByName(told).distinct().join(large.select(F.col("rep").alias("k"), "blocks", "text"), F.col("rep") == F.col("k")).drop("k")
+    again = ask.unionByName(told).distinct().join(_dealt(large.select(F.col("rep").alias("k"), "blocks", "text")), F.col("rep") == F.col("k")).drop("k")
     return sure.unionByName(links(again))
 
 
@@ -332,10 +350,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     links = _confirmed(groups, rows, sets, width, percent)
     # an id that repeats joins the classes of its texts
     repeated = named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("id"))
-    of_one = named.join(repeated, F.col("doc_id") == F.col("id")).select("doc_id", "digest").join(sets.select("digest", "rep"), "digest")
+    of_one = named.join(_dealt(repeated), F.col("doc_id") == F.col("id")).select("doc_id", "digest").join(_dealt(sets.select("digest", "rep")), "digest")
     least = of_one.groupBy("doc_id").agg(F.min("rep").alias("v")).select(_own_exchange("doc_id").alias("k"), "v")
-    links = checkpoint(links.unionByName(of_one.join(least, F.col("doc_id") == F.col("k")).where("rep <> v").select(F.col("rep").alias("u"), "v").distinct()))
+    links = checkpoint(links.unionByName(of_one.join(_dealt(least), F.col("doc_id") == F.col("k")).where("rep <> v").select(F.col("rep").alias("u"), "v").distinct()))
     parts = _parts(links)
-    found = checkpoint(sets.select("digest", "rep").join(parts, "rep", "left").select("digest", F.coalesce("part", "rep").alias("component")))
-    out = read.select("doc_id", "n_shingles", "digest").join(found, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    found = checkpoint(sets.select("digest", "rep").join(_dealt(parts), "rep", "left").select("digest", F.coalesce("part", "rep").alias("component")))
+    out = read.select("doc_id", "n_shingles", "digest").join(_dealt(found), "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

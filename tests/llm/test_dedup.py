@@ -130,6 +130,19 @@ def test_crowd_of_near_copies_equals_brute_force(spark, monkeypatch):
     assert len({c for _, c, _ in want.values()}) > 3 and got == want
 
 
+def test_a_group_is_one_crowd_not_one_a_tree(spark, monkeypatch):
+    from lucerna.llm import minhash_dedup
+
+    small_nodes(monkeypatch, 64, 8)
+    seen, blocks, plans = [], minhash_dedup._crowd_blocks, []
+    monkeypatch.setattr(minhash_dedup, "_crowd_blocks", lambda crowds: seen.append(crowds.count()) or plans.append(crowds._jdf.queryExecution().toString()) or blocks(crowds))
+    rnd = random.Random(6)
+    docs = [(i, " ".join(f"edit{i}" if k == at else f"w{k}" for k in range(200))) for i in range(600) for at in [rnd.randint(0, 199)]]
+    assert result(near_duplicates(frame(spark, docs))) == near(docs)
+    # ten trees, two children each: 8,000 rows and more before
+    assert 600 <= seen[0] < 5000 and "Broadcast" not in plans[0]
+
+
 def test_pairs_under_a_common_beginning_are_all_linked(spark, monkeypatch):
     small_nodes(monkeypatch, 64, 8)
     # 64 shared words and then 50 of each pair's own: large nodes of sets that are alike, but no links
