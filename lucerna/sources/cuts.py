@@ -25,6 +25,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys over all shuffle partitions. A number that is named isn't lowered by adaptive execution, which
+    goes by compressed bytes and so would give a task rows of many times their size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"

@@ -189,6 +189,16 @@ def test_indexed_rules_equal_compiled_ones(spark):
     assert {r.id: r.kc_ids for r in got.collect()} == want and any(want.values())
 
 
+def test_rows_to_label_are_not_sent_through_the_driver(spark, tmp_path):
+    # a small file of many rows looks small enough to broadcast
+    rows = items(spark, random.Random(9))
+    rows.write.parquet(str(tmp_path / "rows"))
+    rules = [{"kc_id": "K", "rule": random_rule(random.Random(7))}]
+    got = rule_index.label_by_index(spark.read.parquet(str(tmp_path / "rows")), "id", rule_index.rule_table(spark, rules, C), C)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == 2 and "strategy=merge" in plan  # the filed rules and the one row of those that hold everywhere
+
+
 def test_ten_thousand_rules_have_the_plan_of_ten(spark):
     rnd = random.Random(8)
     rows = items(spark, rnd, 40)
