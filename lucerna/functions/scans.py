@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from lucerna.sources.cuts import cut
+from lucerna.sources.cuts import cut, dealt
 
 #: Sequence numbers of one block; unique numbers bound its rows.
 BLOCK = 32_768
@@ -22,12 +22,13 @@ RUN = 64
 
 
 def blocked(df: DataFrame, keys: list[str], order: str = "seq") -> tuple[DataFrame, bool]:
-    """df with _block, dealt by keys and block once and checkpointed, so that what follows by keys and block isn't shuffled
-    again; and whether any row lies outside the first block, seen on the way. Only then is there anything to carry."""
+    """df with _block, checkpointed and then dealt by keys and block (a checkpoint forgets how its rows were dealt), so that
+    what follows by keys and block isn't shuffled again; and whether any row lies outside the first block, seen on the
+    way. Only then is there anything to carry."""
     seen = Observation()
     block = F.floor(F.col(order) / BLOCK)
-    rows = cut(df.withColumn("_block", block).observe(seen, F.max(F.col("_block") != 0).alias("several")).repartition(*keys, "_block"))
-    return rows, bool(seen.get["several"])
+    rows = cut(df.withColumn("_block", block).observe(seen, F.max(F.col("_block") != 0).alias("several")))
+    return dealt(rows, *keys, "_block"), bool(seen.get["several"])
 
 
 def ranged(df: DataFrame, order: list[str]) -> DataFrame:

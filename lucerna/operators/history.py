@@ -62,17 +62,19 @@ def prior_rates(projected: DataFrame, alpha: float = 1.0, beta: float = 1.0) ->
     """projected with overall_rate, active_rate (overall_rate without labels) and mean_log_opportunity.
 
     Rows are dealt once, by learner and block; the windows run inside blocks and the labels' means come back to
-    the event by grouping, not by a join. (learner, seq) is unique.
+    the event by grouping, not by a join, which would deal all rows anew. Only the row of an event's first label carries the event.
+    (learner, seq) is unique.
     """
     rows, several = scans.blocked(projected, ["learner"])
     whole = with_overall_rate(with_earlier(rows) if several else rows, several, alpha, beta)
-    event = F.struct(*projected.columns, "overall_rate").alias("_event")
-    long = whole.select("learner", "_block", "seq", "correct", *(["_by_kc"] if several else []), event, F.explode_outer("kc_ids").alias("kc"))
+    event = F.struct(*projected.columns, "overall_rate")
+    each = whole.select("learner", "_block", "seq", "correct", *(["_by_kc"] if several else []), event.alias("_event"), F.posexplode_outer("kc_ids").alias("_place", "kc"))
+    long = each.withColumn("_event", F.when(F.coalesce("_place", F.lit(0)) == 0, F.col("_event"))).drop("_place")
     label = _before("learner", "_block", "kc")
     seen, right = F.count("correct").over(label) + _of_label("n", several), _zero(F.sum("correct").over(label)) + _of_label("s", several)
     # a label that is null stands for an event without labels
     rates = long.select("learner", "_block", "seq", "_event", F.when(F.col("kc").isNotNull(), smoothed(right, seen, alpha, beta)).alias("rate"), F.when(F.col("kc").isNotNull(), F.log1p(seen.cast("double"))).alias("seen"))
-    out = rates.groupBy("learner", "_block", "seq").agg(F.first("_event").alias("e"), F.avg("rate").alias("active"), F.avg("seen").alias("mean_log"))
+    out = rates.groupBy("learner", "_block", "seq").agg(F.first("_event", ignorenulls=True).alias("e"), F.avg("rate").alias("active"), F.avg("seen").alias("mean_log"))
     return out.select("e.*", F.coalesce("active", "e.overall_rate").alias("active_rate"), F.coalesce("mean_log", F.lit(0.0)).alias("mean_log_opportunity"))
 
 

@@ -141,8 +141,9 @@ def rule_support(labelled: DataFrame, split: str = "development") -> DataFrame:
 
 
 def project(events: DataFrame, labelled: DataFrame) -> DataFrame:
-    """Events with their item's labels; an event of an unknown item keeps null labels for the guard below."""
-    return events.join(labelled.select("item_id", "kc_ids"), "item_id", "left")
+    """Events with their item's labels; an event of an unknown item keeps null labels for the guard below. Items are never
+    broadcast: a file of some MB may hold labels of some hundred."""
+    return events.join(labelled.select("item_id", "kc_ids").hint("merge"), "item_id", "left")
 
 
 def missing_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -251,3 +251,15 @@ def test_empty_tables_have_empty_results(spark, tmp_path):
     rows = items(spark, random.Random(1), 5)
     assert rule_index.label_by_index(rows.limit(0), "id", table, C).count() == 0
     assert {tuple(r.kc_ids) for r in rule_index.label_by_index(rows, "id", table.limit(0), C).collect()} == {()}
+
+
+def test_blocked_rows_are_dealt_once(spark):
+    from lucerna.operators import history
+
+    rows = spark.range(400).selectExpr("id % 7 as learner", "id as seq", "cast(id % 2 as int) as correct", "array('A', 'B') as kc_ids")
+    plan = history.prior_rates(rows)
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    final = text[: text.index("Initial Plan")]
+    # after the checkpoint: one exchange for the windows of the learner, of the labels and for the grouping, and of all partitions
+    assert final.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in final
