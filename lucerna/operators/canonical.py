@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lucerna.functions.positions import with_positions
+from lucerna.sources.cuts import dealt
 
 def canonical_dedup(edges: DataFrame, cell: str = "cell_id", source: str = "source_id", note: str = "note") -> DataFrame:
     """One row a cell: distinct sources, all edges, and the first source with its note (least source, then position)."""
@@ -82,6 +86,53 @@ def contrast_matching(pairs: DataFrame, most_rounds: int = 100) -> DataFrame:
     return rest if taken is None else taken
 
 
+def _match_arrivals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matches rows that come by group and id: each with the least waiting one that differs in one dimension, or it waits."""
+    group, waiting = None, {}
+    for batch in batches:
+        a, b = [], []
+        for g, i, cell in zip(batch.column("group").to_pylist(), batch.column("id").to_pylist(), map(tuple, batch.column("cell").to_pylist()), strict=True):
+            if g != group:
+                group, waiting = g, {}
+            # cells are few, and no two that hold waiting rows differ in one dimension alone
+            near = [c for c, ids in waiting.items() if ids[0] < i and sum(x != y for x, y in zip(c, cell, strict=True)) == 1]
+            if near:
+                best = min(near, key=lambda c: waiting[c][0])
+                a.append(waiting[best].popleft())
+                b.append(i)
+                if not waiting[best]:
+                    del waiting[best]
+            else:
+                waiting.setdefault(cell, deque()).append(i)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def contrast_matching_by_group(rows: DataFrame, key: str, group: str, dimensions: list[str]) -> DataFrame:
+    """contrast_matching() of the rows of equal `group` that differ in exactly one dimension, without making the pairs.
+
+    A scan in order of (a, b) gives each row the least later partner that no smaller row has; so does taking rows as
+    they come and giving each to the least one waiting. Groups are dealt to tasks and sorted there; a task holds
+    the ids that wait. key: long. Rows with a null value match nothing; rows with ids that stand in several groups or cells go through pairs.
+    """
+    whole = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in (key, group, *dimensions)])
+    known = rows.where(whole).select(F.col(key).cast("long").alias("id"), F.col(group).alias("group"), F.array(*[F.col(d).cast("string") for d in dimensions]).alias("cell")).distinct()
+    if not known.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return contrast_matching(contrast_pairs(rows, key, group, dimensions))
+    return dealt(known, "group").sortWithinPartitions("group", "id").mapInArrow(_match_arrivals, "a long, b long")
+
+
+def contrast_pairs(rows: DataFrame, key: str, group: str, dimensions: list[str]) -> DataFrame:
+    """Pairs (a < b) of rows of equal `group` that differ in exactly one dimension."""
+    out = None
+    for d in dimensions:
+        rest = [x for x in dimensions if x != d]
+        left = rows.select(F.col(key).alias("a"), F.col(d).alias("u"), group, *rest)
+        right = rows.select(F.col(key).alias("b"), F.col(d).alias("v"), group, *rest)
+        p = left.join(right, [group, *rest]).where("a < b and u <> v").select("a", "b")
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
 def repeat_agreement(primary: DataFrame, repeat: DataFrame, key: str, dimensions: list[str]) -> DataFrame:
     """Agreement of two annotations of the same units: one row a dimension and one for all of them."""
     second = repeat.select(key, *[F.col(d).alias(f"r_{d}") for d in dimensions])

@@ -246,14 +246,7 @@ def cross_split_contrasts(spark, sf):
 def contrast_matching(spark, sf):
     # items with equal words whose cells differ in one dimension, matched one to one
     rows = items(spark, sf).withColumn("nuisance", F.array_join("operations", " "))
-    out = None
-    for d in DIMENSIONS:
-        rest = [x for x in DIMENSIONS if x != d]
-        left = rows.select(F.col("item_id").alias("a"), F.col(d).alias("u"), "nuisance", *rest)
-        right = rows.select(F.col("item_id").alias("b"), F.col(d).alias("v"), "nuisance", *rest)
-        p = left.join(right, ["nuisance", *rest]).where("a < b and u <> v").select("a", "b")
-        out = p if out is None else out.unionByName(p)
-    return canonical.contrast_matching(out)
+    return canonical.contrast_matching_by_group(rows, "item_id", "nuisance", DIMENSIONS)
 
 
 @query(with_(ITEMS, CELLS) + "SELECT cell_id, frame, weight FROM cells CROSS JOIN (VALUES ('plain', 1), ('boxed', 2), ('bulk', 5)) f(frame, weight) WHERE NOT (frame = 'bulk' AND kind = 'SMALL') AND NOT (frame = 'boxed' AND size IN ('S3', 'S4'))")

@@ -529,3 +529,36 @@ def test_greedy_cover_of_many_candidates_counts_few_anew(spark, monkeypatch):
             kept = rest
     assert [r.candidate for r in sorted(got, key=lambda r: chosen.index(r.candidate))] == chosen
     assert {r.candidate for r in got if r.status == "selected"} == set(kept)
+
+
+def test_matching_by_group_equals_the_scan_of_all_pairs(spark):
+    import random
+
+    from lucerna.operators import canonical
+
+    rnd = random.Random(5)
+    rows = [(i, rnd.choice(["g", "h", None]), rnd.choice("ab"), rnd.choice(["x", "y", "z", None]), rnd.choice("pq")) for i in range(300)]
+    rnd.shuffle(rows)
+    for extra in ([], [(7, "g", "a", "x", "p"), (7, "h", "b", "y", "q")]):  # the second time an id stands in several groups
+        df = spark.createDataFrame(rows + extra, "id long, word string, d string, e string, f string")
+        pairs = {(r.a, r.b) for r in canonical.contrast_pairs(df, "id", "word", ["d", "e", "f"]).collect()}
+        used, want = set(), []
+        for a, b in sorted(pairs):
+            if not {a, b} & used:
+                used |= {a, b}
+                want.append((a, b))
+        got = canonical.contrast_matching_by_group(df, "id", "word", ["d", "e", "f"])
+        assert len(want) > 50 and sorted((r.a, r.b) for r in got.collect()) == want
+    many = spark.range(3000).selectExpr("id", "'w' as word", "cast(id % 2 as string) as d", "'x' as e", "'p' as f")
+    # more rounds than the form by pairs allows, and 2 million pairs
+    assert canonical.contrast_matching_by_group(many, "id", "word", ["d", "e", "f"]).count() == 1500
+
+
+def test_edges_are_counted_once_and_nulls_are_equal(spark):
+    from lucerna.operators import guards
+
+    left = spark.createDataFrame([(1, "a"), (1, "a"), (1, "a"), (2, None), (3, "c")], "k long, v string")
+    right = spark.createDataFrame([(1, "a"), (2, None), (3, "c"), (3, "c"), (4, "d")], "k long, v string")
+    changes = guards.edge_changes(left, right)
+    assert sorted(tuple(r) for r in changes.collect()) == [(1, "a", "left_only"), (1, "a", "left_only"), (3, "c", "right_only"), (4, "d", "right_only")]
+    assert changes._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
