@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lucerna.operators.labels import missing_keys, repeated_keys
+from lucerna.sources.cuts import dealt
 from lucerna.sources.files import checked
 
 SPLITS = ["development", "compositional_holdout", "novel_feature_holdout"]
@@ -107,9 +108,12 @@ def union_streams(streams: dict[str, DataFrame]) -> DataFrame:
 
 
 def edge_changes(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Edges that one run alone has, with their side; repeated edges count."""
-    side = lambda a, b, name: a.exceptAll(b).withColumn("side", F.lit(name))
-    return side(left, right, "left_only").unionByName(side(right, left, "right_only"))
+    """Edges that one run alone has, with their side; repeated edges count. Both runs are dealt by edge and counted once."""
+    columns = left.columns
+    both = dealt(left.withColumn("_one", F.lit(1)).union(right.withColumn("_one", F.lit(-1))), *columns)
+    more = both.groupBy(*columns).agg(F.sum("_one").alias("_more")).where("_more <> 0")
+    rows = more.withColumn("side", F.when(F.col("_more") > 0, "left_only").otherwise("right_only"))
+    return rows.select(*columns, "side", F.explode(F.sequence(F.lit(1), F.abs("_more"))).alias("_copy")).drop("_copy")
 
 
 def metric_deltas(left: DataFrame, right: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
