@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lucerna.functions.rules import Compiler, operation_scope
+from lucerna.sources.cuts import dealt
 from lucerna.sources.files import checked
 
 
@@ -62,8 +63,11 @@ def inventory(labelled: DataFrame, rules: list[dict]) -> DataFrame:
     """Labels that fired, with their distinct cells, items and rule number; broadcasts the rule list."""
     spark = labelled.sparkSession
     names = spark.createDataFrame([(r["kc_id"], i) for i, r in enumerate(rules)], "kc string, rule_no long")
-    fired = labelled.select("item_id", "cell_id", F.explode("kc_ids").alias("kc")).groupBy("kc").agg(F.countDistinct("cell_id").alias("n_cells"), F.countDistinct("item_id").alias("n_items"), F.min("cell_id").alias("first_cell"))
-    return fired.join(names, "kc")
+    # dealt by item, so that a task meets all rows of its items and counts them without knowing other tasks' items
+    fired = dealt(labelled.select("item_id", "cell_id", "kc_ids"), "item_id").select("item_id", "cell_id", F.explode("kc_ids").alias("kc"))
+    items = fired.groupBy("item_id", "kc").agg(F.lit(1).alias("one")).groupBy("kc").agg(F.count("item_id").alias("n_items"))
+    cells = fired.groupBy("kc", "cell_id").agg(F.lit(1).alias("one")).groupBy("kc").agg(F.count("cell_id").alias("n_cells"), F.min("cell_id").alias("first_cell"))
+    return cells.join(items, cells["kc"].eqNullSafe(items["kc"])).drop(items["kc"]).join(names, "kc").select("kc", "n_cells", "n_items", "first_cell", "rule_no")
 
 
 def wide(labelled: DataFrame, kc_ids: list[str], key: str = "item_id") -> DataFrame:
