@@ -41,15 +41,16 @@ class Tracing(StatefulProcessor):
             events = [(int(ms), int(s), int(e), int(c)) for ms, s, e, c in frame[["ms", "seq", "event_id", "correct"]].itertuples(index=False)]
             if events:
                 self.held.appendList(events)
-            for ms in {e[0] for e in events}:
-                self.handle.registerTimer(ms)
+                self.handle.registerTimer(min(e[0] for e in events))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        # all that the watermark has passed, at once; other timers that have expired with this one find nothing left
+        expired, passed = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        now = max(expired, passed)
         events = sorted(tuple(e) for e in self.held.get()) if self.held.exists() else []
         due, later = [e for e in events if e[0] <= now], [e for e in events if e[0] > now]
-        seen, mastery, last = self.chain.get() if self.chain.exists() else (0, self.first, now)
+        seen, mastery, last = self.chain.get() if self.chain.exists() else (0, self.first, events[0][0] if events else now)
         if due:
             numbers, before = [], []
             for ms, _, _, correct in due:
@@ -64,6 +65,7 @@ class Tracing(StatefulProcessor):
             self.handle.registerTimer(last + self.idle + 1)
             if later:
                 self.held.put(later)
+                self.handle.registerTimer(later[0][0])
             else:
                 self.held.clear()
             yield pd.DataFrame({"event_id": [e[2] for e in due], "learner": key[0], "kc": key[1], "seq": [e[1] for e in due], "opportunity": numbers, "mastery": before})
