@@ -12,7 +12,7 @@ from lucerna.functions.ids import clipped, smoothed
 from lucerna.operators.guards import lookup, union_streams
 from lucerna.operators.history import long_form, opportunity_index, with_earlier, with_overall_rate
 from lucerna.operators.labels import with_label_vector
-from lucerna.sources.cuts import cut
+from lucerna.sources.cuts import cut, dealt
 
 #: Labels whose initial odds are broadcast at most; more of them are joined.
 _LABELS = 100_000
@@ -38,7 +38,8 @@ class Bkt:
 
 def learner_state(projected: DataFrame) -> DataFrame:
     """Attempts and successes of each learner and label."""
-    return long_form(projected).groupBy("learner", "kc").agg(F.count("*").alias("attempts"), F.sum("correct").alias("successes"))
+    # dealt first, so that a task's table of learners and labels is a part of them, not its file's share of them all
+    return long_form(dealt(projected.select("learner", "seq", "correct", "kc_ids"), "learner")).groupBy("learner", "kc").agg(F.count("*").alias("attempts"), F.sum("correct").alias("successes"))
 
 
 def initial_mastery(projected: DataFrame, kc_ids: list[str], model: Bkt = Bkt(), cold: float | None = None) -> DataFrame:
