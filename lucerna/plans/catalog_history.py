@@ -11,6 +11,7 @@ from lucerna.plans.catalog_labels import KCS, _HAMMING, labelled
 from lucerna.plans.policy import CANDIDATES, LEAST_DESCRIPTORS, PATTERNS
 from lucerna.plans.sql import BIG, CELLS, EVENTS, ITEMS, LABELS, condition, quoted, with_
 from lucerna.sources.adapters import COMPILER, DIMENSIONS, cells, interactions, interactions_big, items, table
+from lucerna.sources.cuts import cut
 
 QUERIES, ORACLES = {}, {}
 
@@ -106,7 +107,7 @@ _FOLD = f"lambda m, c: {_STEP} + (1 - {_STEP}) * 0.04"
              f"mast AS (SELECT learner, seq, avg(list_reduce([initial] || past, {_FOLD})) AS m FROM before JOIN init USING (kc) GROUP BY 1, 2)",
              f"ov AS (SELECT learner, seq, (coalesce(sum(correct) {_WL}, 0) + 1.0::DOUBLE) / (count(correct) {_WL} + 2.0::DOUBLE) AS o FROM big)") + "SELECT learner, seq, round(coalesce(0.2 + (1 - 0.1 - 0.2) * m, o), 6) AS bkt FROM ov LEFT JOIN mast USING (learner, seq)")
 def bkt(spark, sf):
-    rows = history.chronological_split(big(spark, sf))
+    rows = cut(history.chronological_split(big(spark, sf)))  # read twice
     return rounded(tracing.bkt_predictions(rows, tracing.initial_mastery(rows, KCS)).select("learner", "seq", "bkt"), "bkt")
 
 
@@ -176,7 +177,7 @@ def bootstrap(spark, sf):
 
 def frozen(spark, sf):
     """History: events of items outside the holdouts; probes: the others, scored from frozen state."""
-    rows = small(spark, sf).join(items(spark, sf).select("item_id", "canonical_split"), "item_id")
+    rows = cut(small(spark, sf).join(items(spark, sf).select("item_id", "canonical_split").hint("merge"), "item_id"))  # read several times
     known = history.chronological_split(rows.where("canonical_split = 'development'"))
     start = tracing.initial_mastery(known, KCS)
     # learners without development events have no state that a probe could read
