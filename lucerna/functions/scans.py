@@ -24,11 +24,11 @@ RUN = 64
 def blocked(df: DataFrame, keys: list[str], order: str = "seq") -> tuple[DataFrame, bool]:
     """df with _block, checkpointed and then dealt by keys and block (a checkpoint forgets how its rows were dealt), so that
     what follows by keys and block isn't shuffled again; and whether any row lies outside the first block, seen on the
-    way. Only then is there anything to carry."""
+    way. Only then is there anything to carry. Rows are counted on the way too, and dealt over as many tasks as they need."""
     seen = Observation()
     block = F.floor(F.col(order) / BLOCK)
-    rows = cut(df.withColumn("_block", block).observe(seen, F.max(F.col("_block") != 0).alias("several")))
-    return dealt(rows, *keys, "_block"), bool(seen.get["several"])
+    rows = cut(df.withColumn("_block", block).observe(seen, F.max(F.col("_block") != 0).alias("several"), F.count("*").alias("n")))
+    return dealt(rows, *keys, "_block", rows=seen.get["n"]), bool(seen.get["several"])
 
 
 def ranged(df: DataFrame, order: list[str]) -> DataFrame:

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of one task, where a table is dealt by its counted rows.
+TASK_ROWS = 1 << 16
+
 
 def _shared(spark: SparkSession) -> str:
     """Spark's checkpoint folder; one of our own only in local mode (tests)."""
@@ -25,10 +28,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def dealt(df: DataFrame, *keys: str) -> DataFrame:
+def dealt(df: DataFrame, *keys: str, rows: int = 0) -> DataFrame:
     """df dealt by keys over all shuffle partitions. A number that is named isn't lowered by adaptive execution, which
-    goes by compressed bytes and so would give a task rows of many times their size."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    goes by compressed bytes and so would give a task rows of many times their size. If the number of rows is known, over
+    as many partitions as it asks for, so that a task's rows don't grow with the table."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(n, -(-rows // TASK_ROWS)), *keys)
 
 
 def scratch(spark: SparkSession, name: str) -> str:

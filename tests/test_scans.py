@@ -263,3 +263,17 @@ def test_blocked_rows_are_dealt_once(spark):
     final = text[: text.index("Initial Plan")]
     # after the checkpoint: one exchange for the windows of the learner, of the labels and for the grouping, and of all partitions
     assert final.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in final
+
+
+def test_blocked_rows_are_dealt_by_their_number(spark, monkeypatch):
+    from lucerna.operators import history
+    from lucerna.sources import cuts
+
+    rows = spark.range(4000).selectExpr("id % 700 as learner", "id as seq", "cast(id % 3 = 0 as int) as correct", "array('A', 'B') as kc_ids")
+    want = sorted(map(tuple, history.prior_rates(rows).drop("kc_ids").collect()))
+    monkeypatch.setattr(cuts, "TASK_ROWS", 100)
+    dealt, _ = scans.blocked(rows, ["learner"])
+    # more tasks than shuffle partitions, so that a task's rows stay as they are when the table grows
+    assert dealt.rdd.getNumPartitions() == 40 and max(dealt.rdd.glom().map(len).collect()) < 300
+    assert sorted(map(tuple, history.prior_rates(rows).drop("kc_ids").collect())) == want
+    assert scans.blocked(rows.limit(0), ["learner"])[0].rdd.getNumPartitions() == 4
