@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lucerna.functions import scans
 from lucerna.functions.ids import clipped, hash_uniform
 from lucerna.functions.positions import with_positions
-from lucerna.sources.cuts import cut
+from lucerna.sources.cuts import cut, dealt
 
 EDGE = 1e-6
 
@@ -78,7 +78,10 @@ def paired_bootstrap(pairs: DataFrame, repetitions: int = 1000, seed: int = 17)
     size = total["learners"]
     ids = spark.range(repetitions * size).select((F.col("id") / size).cast("long").alias("rep"), (F.col("id") % size).alias("draw"))
     picks = ids.select("rep", F.least(F.floor(hash_uniform(F.lit(seed), F.col("rep"), F.col("draw")) * size).cast("long"), F.lit(size - 1)).alias("position"))
-    means = picks.groupBy("rep", "position").agg(F.count("*").alias("times")).join(numbered, "position").groupBy("rep").agg((F.sum(F.col("d") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("mean"))
+    # draws meet their learners unsorted and uncounted: a task holds its learners and a sum a repetition. A draw is two
+    # numbers, so a task takes 16 times as many as of other rows
+    met = dealt(picks, "position", rows=repetitions * size // 16).join(numbered.hint("shuffle_hash"), "position")
+    means = met.groupBy("rep").agg((F.sum("d") / F.sum("n")).alias("mean"))
     q = means.agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"))
     return _compared(q, whole)
 

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -277,3 +278,17 @@ def test_blocked_rows_are_dealt_by_their_number(spark, monkeypatch):
     assert dealt.rdd.getNumPartitions() == 40 and max(dealt.rdd.glom().map(len).collect()) < 300
     assert sorted(map(tuple, history.prior_rates(rows).drop("kc_ids").collect())) == want
     assert scans.blocked(rows.limit(0), ["learner"])[0].rdd.getNumPartitions() == 4
+
+
+def test_draws_are_not_counted_before_they_meet_learners(spark, monkeypatch):
+    from lucerna.sources import cuts
+
+    pairs = spark.range(200).selectExpr("id % 20 as learner", "cast(id % 3 = 0 as int) as correct", "(id % 7 + 1) / 9 as a", "(id % 5 + 1) / 8 as b")
+    want = evaluation.paired_bootstrap(pairs, 40).first()
+    monkeypatch.setattr(cuts, "TASK_ROWS", 10)
+    plan = evaluation.paired_bootstrap(pairs, 40)
+    got = plan.first()
+    assert got[:2] == want[:2] and got.direction == want.direction and np.allclose(got[2:5], want[2:5])
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    # a table of (repetition, learner) counts would grow with their product; 800 draws of 16 to a row are five tasks
+    assert "keys=[rep#" in text and not re.search(r"keys=\[rep#\d+L?, position", text) and re.search(r"hashpartitioning\(position#\d+L?, 5\), REPARTITION_BY_NUM", text)
