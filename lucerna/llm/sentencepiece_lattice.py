@@ -19,10 +19,8 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import re
 from bisect import insort
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +37,8 @@ _LITERAL = "\ud800"
 #: Chunks in each of the two generations of paths that a worker keeps; longest chunk that is kept, in characters;
 #: and characters searched in lockstep at once.
 KEPT_CHUNKS, KEPT_CHARS, AT_ONCE = 250_000, 64, 1 << 19
+#: Kinds of characters: of words, signs that no piece joins to them, word marks, line feeds.
+_OTHER, _SIGN, _BEFORE, _LINE = range(4)
 #: Parts the chunks searched in lockstep (no character).
 _END = 0x110000
 
@@ -54,6 +54,15 @@ def _signs(pieces: list[str]) -> str:
         signs -= joined
 
 
+def _named(text: str) -> bytes:
+    """The name of a chunk: its characters, four bytes each."""
+    return text.encode("utf-32-le", "surrogatepass")
+
+
+def _chunk(name: bytes) -> str:
+    return name.decode("utf-32-le", "surrogatepass")
+
+
 class Lattice:
     """Pieces, scores and segmentation; `pieces` are (text, score, id) of ordinary pieces."""
 
@@ -69,8 +78,10 @@ class Lattice:
         self.lowest = min(s for _, s, _ in pieces if s > -1e8) - 10
         self.byte_ids = byte_ids
         self.raw = {i: t.replace(MARK, " ").encode() for t, _, i in pieces} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
-        signs = re.escape(_signs([t for t, _, _ in pieces]))
-        self.chunks = re.compile(f"{MARK}*[^{MARK}\n{signs}]+|{MARK}*[{signs}]+|{MARK}+|\n")
+        #: Kinds of characters up to the word mark, and of all after it, by which a text is cut into chunks.
+        self.kinds = np.full(ord(MARK) + 2, _OTHER, np.uint8)
+        self.kinds[[ord(c) for c in _signs([t for t, _, _ in pieces])]] = _SIGN
+        self.kinds[[ord(MARK), ord("\n")]] = _BEFORE, _LINE
         names = ["", *self.scores]
         place = {p: i for i, p in enumerate(names)}
         steps = sorted((place[p[:-1]] << 21 | ord(p[-1]), i) for p, i in place.items() if p)
@@ -87,9 +98,9 @@ class Lattice:
         self.longest = max(len(t) for t, _, _ in pieces)
         top = max(self.raw) + 1
         self.raw_bytes = pa.array([self.raw.get(i, b"") for i in range(top)], pa.large_binary())
-        #: Paths of chunks: (ids as int32 bytes, score, loss of the second best).
-        self.best: dict[str, tuple[bytes, float, float]] = {}
-        self.older: dict[str, tuple[bytes, float, float]] = {}
+        #: Paths of chunks by name: (ids as int32 bytes, score, loss of the second best).
+        self.best: dict[bytes, tuple[bytes, float, float]] = {}
+        self.older: dict[bytes, tuple[bytes, float, float]] = {}
         self.others: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
 
     @classmethod
@@ -137,30 +148,36 @@ class Lattice:
 
     def learn(self, chunks: list[str]) -> dict[str, tuple[bytes, float, float]]:
         """The paths of these chunks; those of up to KEPT_CHARS characters are kept for later calls."""
-        new, out = [], {}
-        for c in set(chunks):
-            if (known := self.best.get(c) or self.older.get(c)) is not None:
-                out[c] = known
-            else:
-                new.append(c)
+        different = list(dict.fromkeys(chunks))
+        return dict(zip(different, self._learned([_named(c) for c in different]), strict=True))
+
+    def _learned(self, names: list[bytes]) -> list[tuple[bytes, float, float]]:
+        """learn() of different chunks, by their names."""
+        best, older = self.best.get, self.older.get
+        out = [best(c) or older(c) for c in names]
+        new = [i for i, known in enumerate(out) if known is None]
         if len(self.best) + len(new) > KEPT_CHUNKS:
             self.older, self.best = self.best, {}
-        short = sorted((c for c in new if len(c) <= KEPT_CHARS), key=len, reverse=True)
+        chunks = {i: _chunk(names[i]) for i in new}
+        short = sorted((i for i in new if len(chunks[i]) <= KEPT_CHARS), key=lambda i: len(chunks[i]), reverse=True)
         at, size = 0, 0
-        for i, c in enumerate(short):
-            size += len(c) + 1
-            if size >= AT_ONCE or i == len(short) - 1:
-                self.best.update(zip(short[at : i + 1], self._lockstep(short[at : i + 1]), strict=True))
-                at, size = i + 1, 0
-        for c in new:
-            out[c] = self.best[c] if len(c) <= KEPT_CHARS else self.path(c)
+        for k, i in enumerate(short):
+            size += len(chunks[i]) + 1
+            if size >= AT_ONCE or k == len(short) - 1:
+                some = short[at : k + 1]
+                for j, path in zip(some, self._lockstep([chunks[j] for j in some]), strict=True):
+                    out[j] = self.best[names[j]] = path
+                at, size = k + 1, 0
+        for i in new:
+            if out[i] is None:
+                out[i] = self.path(chunks[i])
         return out
 
     def _lockstep(self, chunks: list[str]) -> list[tuple[bytes, float, float]]:
         """path() of many chunks, the longest first, by the same sums in the same order."""
         sizes = np.array([len(c) for c in chunks])
         base = np.cumsum(sizes + 1) - sizes - 1
-        signs = np.frombuffer("".join(c + "\0" for c in chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        signs = np.frombuffer(_named("\0".join([*chunks, ""])), np.uint32).astype(np.int64)
         signs[base + sizes] = _END
         # pieces by length and first character: every place walks down the trie as far as it leads
         edge = np.full((self.longest + 1, len(signs)), self.no_edge, np.int32)
@@ -268,36 +285,60 @@ class Lattice:
                 self.others[(chunk, n)] = known
         return known
 
-    def split(self, text: str) -> list[str]:
-        if not text:
-            return []
-        return self.chunks.findall(MARK + text.replace(MARK, _LITERAL).replace(" ", MARK))
+    def split(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The names of the chunks of all texts, end to end, and where each text's begin. A chunk is word marks and what
+        follows of one kind, word marks alone, or a line feed."""
+        signs = np.frombuffer(_named("".join([" " + t for t in texts if t])), np.uint32).copy()
+        spaces = signs == ord(" ")
+        signs[signs == ord(MARK)] = ord(_LITERAL)
+        signs[spaces] = ord(MARK)
+        kind = self.kinds[np.minimum(signs, len(self.kinds) - 1)]
+        here, last = kind[1:], kind[:-1]
+        starts = np.ones(len(signs) + 1, bool)
+        starts[1:-1] = (here == _LINE) | (last == _LINE) | ((here != last) & (last != _BEFORE))
+        first = np.cumsum([0, *(len(t) + 1 if t else 0 for t in texts)])
+        starts[first] = True
+        bounds = np.flatnonzero(starts)
+        names = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(4 * bounds), pa.py_buffer(signs)])
+        return names, np.searchsorted(bounds, first)
 
     def segmentations(self, texts: list[str], n: int) -> list[list[tuple[float, bytes]]]:
-        """The n best (score, ids as int32 bytes) of each text, best first."""
-        cut = [self.split(t) for t in texts]
-        known = self.learn(list(chain.from_iterable(cut)))
-        return [self._merged(chunks, [known[c] for c in chunks], n) for chunks in cut]
-
-    def _merged(self, chunks: list[str], paths: list[tuple[bytes, float, float]], n: int) -> list[tuple[float, bytes]]:
-        parts = [p[0] for p in paths]
-        best = [(float(sum([p[1] for p in paths])), ())]
-        if n > 1 and chunks:
+        """The n best (score, ids as int32 bytes) of each text, best first. Equal chunks of the texts are looked up once."""
+        names, first = self.split(texts)
+        found = names.dictionary_encode()
+        different, which = found.dictionary.to_pylist(), found.indices.to_numpy()
+        paths = self._learned(different)
+        scores = np.array([p[1] for p in paths])[which].tolist()
+        losses = np.array([p[2] for p in paths])[which]
+        # each chunk's ids, end to end: where they lie in those of the different chunks, counted from where they go
+        sizes = np.array([len(p[0]) for p in paths], np.int64) // 4
+        pool, counts = np.frombuffer(b"".join([p[0] for p in paths]), np.int32), sizes[which]
+        ends = np.append(0, np.cumsum(counts))
+        ids = pool[np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], counts) + np.arange(ends[-1])].tobytes()
+        out = []
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            chunk = lambda k: _chunk(different[which[a + k]])  # noqa: B023, E731
+            at = 4 * ends[a : b + 1]
+            out.append(self._merged(chunk, ids[at[0] : at[-1]], at - at[0], float(sum(scores[a:b])), losses[a:b], n))
+        return out
+
+    def _merged(self, chunk: Callable[[int], str], path: bytes, ends: np.ndarray, score: float, losses: np.ndarray, n: int) -> list[tuple[float, bytes]]:
+        """The n best of one text from its best path, in which chunk k lies from ends[k] to ends[k + 1]."""
+        best = [(score, ())]
+        if n > 1 and len(losses):
             # a segmentation that leaves the best path elsewhere than at the n-1 cheapest chunks has n-1 better ones
-            losses = np.array([p[2] for p in paths])
             for k in np.argsort(losses, kind="stable")[: n - 1].tolist():
                 if losses[k] < np.inf:
-                    others = self.nbest(chunks[k], n)
+                    others = self.nbest(chunk(k), n)
                     sums = [(s - others[0][0] + x, (*pick, (k, ids)) if c else pick) for s, pick in best for c, (x, ids) in enumerate(others)]
                     best = heapq.nlargest(n, sums, key=lambda x: x[0])
         out = []
         for score, choices in best:
-            mine = parts
-            if choices:
-                mine = parts.copy()
-                for k, ids in choices:
-                    mine[k] = ids
-            out.append((score, b"".join(mine)))
+            parts, at = [], 0
+            for k, ids in sorted(choices):
+                parts += [path[at : ends[k]], ids]
+                at = ends[k + 1]
+            out.append((score, b"".join([*parts, path[at:]])))
         return out
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
@@ -340,7 +381,8 @@ def _encoder(vocabulary: tuple, n: int):
                 every = [x for t, b in zip(texts, best, strict=True) if t is not None for x in b]
                 bounds = np.cumsum([0, *(len(ids) // 4 for _, ids in every)])
                 ids = np.frombuffer(b"".join([x for _, x in every]), np.int32)
-                wanted = [b" " + t.encode() if t else b"" for t, c in zip(texts, counts, strict=True) for _ in range(c)]
+                whole = [b" " + t.encode() if t else b"" for t in texts]
+                wanted = [t for t, c in zip(whole, counts, strict=True) for _ in range(c)]
                 right = np.array([a == b for a, b in zip(lattice.decode(ids, bounds), wanted, strict=True)], bool)
                 ends = np.cumsum([0, *counts])
                 wrong = np.append(0, np.cumsum(~right))

@@ -273,6 +273,24 @@ def test_every_one_of_the_nbest_leaves_the_task(spark, lattice):
         assert row.ids == row.nbest[0].ids
 
 
+def test_chunks_of_all_texts_are_cut_at_once(lattice, monkeypatch):
+    from lucerna.llm import sentencepiece_lattice as module
+
+    rnd = random.Random(4)
+    texts = ["", " ", "\n", "a▁b ▁ ▁▁", "🙂\r\n);\r", "  \n  "] + ["".join(rnd.choice("ab .,\n▁é你🙂-'\r\t  ") for _ in range(rnd.randint(0, 40))) for _ in range(300)]
+    signs = re.escape("".join(chr(c) for c in range(128) if lattice.kinds[c] == module._SIGN))
+    plain = re.compile(f"{MARK}*[^{MARK}\n{signs}]+|{MARK}*[{signs}]+|{MARK}+|\n")
+    want = [plain.findall(MARK + t.replace(MARK, "\ud800").replace(" ", MARK)) if t else [] for t in texts]
+    names, first = lattice.split(texts)
+    got = [module._chunk(x) for x in names.to_pylist()]
+    assert signs and [got[a:b] for a, b in zip(first[:-1], first[1:], strict=True)] == want
+    # chunks that several texts hold are looked up once, and a text's results don't hang on those beside it
+    alone, seen, learned = [lattice.segmentations([t], 4)[0] for t in texts], [], lattice._learned
+    monkeypatch.setattr(lattice, "_learned", lambda names: seen.extend(names) or learned(names))
+    assert lattice.segmentations(texts + texts, 4) == alone + alone
+    assert len(seen) == len(set(seen)) == len({c for cut in want for c in cut})
+
+
 def test_best_path_is_the_first_of_the_astar(lattice):
     for chunk in ("x" * 7, "aaaa", "hexenxox", MARK * 5, "bathtaxi"):
         assert lattice.learn([chunk])[chunk][:2] == lattice.nbest(chunk, 4)[0][::-1]
