@@ -7,6 +7,7 @@ order of score. No piece has a word mark after another character, holds a line f
 signs to letters, so the lattice falls apart into chunks at these places (checked when the model is read): a chunk's paths are searched
 alone and kept for its later occurrences, and the N best of a text are the N best sums over its chunks.
 The first two results of new chunks are searched for in lockstep: one numpy step advances the search in all of them.
+What is kept of chunks are arrays too (names, scores, ids end to end), in which those of a slice of texts are found at once.
 
 Encoding: a word mark is put before the text, and stands for each space. Decoding is exact for every
 text: a literal U+2581 has no piece here and is spelled in bytes. Ties go to the longer last piece.
@@ -21,6 +22,7 @@ import hashlib
 import heapq
 from bisect import insort
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +36,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Stands in the lattice for a literal word mark of the text (a lone surrogate, which no text holds).
 _LITERAL = "\ud800"
-#: Chunks in each of the two generations of paths that a worker keeps; longest chunk that is kept, in characters;
-#: and characters searched in lockstep at once.
-KEPT_CHUNKS, KEPT_CHARS, AT_ONCE = 250_000, 64, 1 << 19
+#: Chunks whose paths a worker keeps; longest chunk that is kept, in characters; characters searched in lockstep at
+#: once; and bytes of text that are cut at once.
+KEPT_CHUNKS, KEPT_CHARS, AT_ONCE, CUT_BYTES = 250_000, 64, 1 << 18, 1 << 20
 #: Kinds of characters: of words, signs that no piece joins to them, word marks, line feeds.
 _OTHER, _SIGN, _BEFORE, _LINE = range(4)
 #: Parts the chunks searched in lockstep (no character).
@@ -63,6 +65,44 @@ def _chunk(name: bytes) -> str:
     return name.decode("utf-32-le", "surrogatepass")
 
 
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all runs, one after another: sizes[i] of them from starts[i] on."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+@dataclass
+class Paths:
+    """Best paths of chunks: ids of chunk i (sizes[i] of them from starts[i] on), its score, and the loss of its second best (inf
+    without one)."""
+
+    ids: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+    scores: np.ndarray
+    losses: np.ndarray
+
+    @classmethod
+    def made(cls, found: list[tuple[bytes, float, float]]) -> Paths:
+        sizes = np.array([len(f[0]) // 4 for f in found], np.int64)
+        return cls(np.frombuffer(b"".join([f[0] for f in found]), np.int32), np.cumsum(sizes) - sizes, sizes, np.array([f[1] for f in found], np.float64), np.array([f[2] for f in found], np.float64))
+
+    def then(self, other: Paths) -> Paths:
+        pairs = ((self.ids, other.ids), (self.starts, other.starts + len(self.ids)), (self.sizes, other.sizes), (self.scores, other.scores), (self.losses, other.losses))
+        return Paths(*[np.concatenate(p) for p in pairs])
+
+    def of(self, which: np.ndarray) -> Paths:
+        """The paths at these places, which need not hold their ids in this order."""
+        return Paths(self.ids, self.starts[which], self.sizes[which], self.scores[which], self.losses[which])
+
+    def packed(self) -> Paths:
+        """The same with no other ids."""
+        return Paths(self.ids[_runs(self.starts, self.sizes)], np.cumsum(self.sizes) - self.sizes, self.sizes, self.scores, self.losses)
+
+    def each(self) -> list[tuple[bytes, float, float]]:
+        return [(self.ids[a : a + n].tobytes(), s, x) for a, n, s, x in zip(self.starts.tolist(), self.sizes.tolist(), self.scores.tolist(), self.losses.tolist(), strict=True)]
+
+
 class Lattice:
     """Pieces, scores and segmentation; `pieces` are (text, score, id) of ordinary pieces."""
 
@@ -98,9 +138,8 @@ class Lattice:
         self.longest = max(len(t) for t, _, _ in pieces)
         top = max(self.raw) + 1
         self.raw_bytes = pa.array([self.raw.get(i, b"") for i in range(top)], pa.large_binary())
-        #: Paths of chunks by name: (ids as int32 bytes, score, loss of the second best).
-        self.best: dict[bytes, tuple[bytes, float, float]] = {}
-        self.older: dict[bytes, tuple[bytes, float, float]] = {}
+        #: Names of the chunks that are kept, and their paths.
+        self.known, self.paths = pa.array([], pa.large_binary()), Paths.made([])
         self.others: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
 
     @classmethod
@@ -149,39 +188,46 @@ class Lattice:
     def learn(self, chunks: list[str]) -> dict[str, tuple[bytes, float, float]]:
         """The paths of these chunks; those of up to KEPT_CHARS characters are kept for later calls."""
         different = list(dict.fromkeys(chunks))
-        return dict(zip(different, self._learned([_named(c) for c in different]), strict=True))
-
-    def _learned(self, names: list[bytes]) -> list[tuple[bytes, float, float]]:
-        """learn() of different chunks, by their names."""
-        best, older = self.best.get, self.older.get
-        out = [best(c) or older(c) for c in names]
-        new = [i for i, known in enumerate(out) if known is None]
-        if len(self.best) + len(new) > KEPT_CHUNKS:
-            self.older, self.best = self.best, {}
-        chunks = {i: _chunk(names[i]) for i in new}
-        short = sorted((i for i in new if len(chunks[i]) <= KEPT_CHARS), key=lambda i: len(chunks[i]), reverse=True)
-        at, size = 0, 0
-        for k, i in enumerate(short):
-            size += len(chunks[i]) + 1
-            if size >= AT_ONCE or k == len(short) - 1:
-                some = short[at : k + 1]
-                for j, path in zip(some, self._lockstep([chunks[j] for j in some]), strict=True):
-                    out[j] = self.best[names[j]] = path
-                at, size = k + 1, 0
-        for i in new:
-            if out[i] is None:
-                out[i] = self.path(chunks[i])
-        return out
+        return dict(zip(different, self._learned(pa.array([_named(c) for c in different], pa.large_binary())).each(), strict=True))
+
+    def _learned(self, names: pa.Array) -> Paths:
+        """learn() of different chunks, by their names. What is known is found, and what is new searched, by arrays."""
+        at = pc.fill_null(pc.index_in(names, self.known), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        sizes = pc.binary_length(names).to_numpy() // 4
+        new = new[np.argsort(-sizes[new], kind="stable")]
+        long = int(np.searchsorted(-sizes[new], -KEPT_CHARS, side="left"))
+        whole = self.paths.then(Paths.made([self.path(_chunk(n)) for n in names.take(pa.array(new[:long])).to_pylist()]))
+        ends, lo = np.cumsum(sizes[new] + 1), long
+        while lo < len(new):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + AT_ONCE, side="right")))
+            whole = whole.then(self._together(names.take(pa.array(new[lo:hi])), sizes[new[lo:hi]]))
+            lo = hi
+        at[new] = len(self.known) + np.arange(len(new))
+        if len(self.known) + len(new) - long > KEPT_CHUNKS:
+            keep = np.flatnonzero(sizes <= KEPT_CHARS)[:KEPT_CHUNKS]  # start anew, from the chunks at hand
+            self.known, self.paths = names.take(pa.array(keep)), whole.of(at[keep]).packed()
+        elif len(new) > long:
+            keep = np.append(np.arange(len(self.known)), at[new[long:]])
+            self.known, self.paths = pa.concat_arrays([self.known, names.take(pa.array(new[long:]))]), whole.of(keep).packed() if long else whole
+        return whole.of(at)
 
     def _lockstep(self, chunks: list[str]) -> list[tuple[bytes, float, float]]:
         """path() of many chunks, the longest first, by the same sums in the same order."""
-        sizes = np.array([len(c) for c in chunks])
+        return self._together(pa.array([_named(c) for c in chunks], pa.large_binary()), np.array([len(c) for c in chunks])).each()
+
+    def _together(self, names: pa.Array, sizes: np.ndarray) -> Paths:
+        """_lockstep() of chunks by their names and numbers of characters."""
         base = np.cumsum(sizes + 1) - sizes - 1
-        signs = np.frombuffer(_named("\0".join([*chunks, ""])), np.uint32).astype(np.int64)
-        signs[base + sizes] = _END
+        signs = np.full(int(sizes.sum()) + len(sizes), _END, np.int64)
+        inside = np.ones(len(signs), bool)
+        inside[base + sizes] = False
+        _, offsets, data = names.buffers()
+        from_, to = np.frombuffer(offsets, np.int64)[[names.offset, names.offset + len(names)]]
+        signs[inside] = np.frombuffer(data, np.uint32)[from_ // 4 : to // 4]
         # pieces by length and first character: every place walks down the trie as far as it leads
         edge = np.full((self.longest + 1, len(signs)), self.no_edge, np.int32)
-        live, node, lengths = np.flatnonzero(signs != _END), np.zeros(len(signs) - len(chunks), np.int64), []
+        live, node, lengths = np.flatnonzero(inside), np.zeros(len(signs) - len(sizes), np.int64), []
         for d in range(1, self.longest + 1):
             key = node << 21 | signs[live + d - 1]
             at = np.minimum(np.searchsorted(self.steps, key), len(self.steps) - 1)
@@ -211,7 +257,7 @@ class Lattice:
             first[here], second[here], step[here] = best, other, length
         # backward: the first state popped is followed to the start, and the best other state is left open
         ends = base + sizes
-        place, done, open_, who = ends.copy(), np.zeros(len(chunks)), np.full(len(chunks), -np.inf), np.arange(len(chunks))
+        place, done, open_, who = ends.copy(), np.zeros(len(sizes)), np.full(len(sizes), -np.inf), np.arange(len(sizes))
         owners, pieces = [], []
         while len(who):
             at = place[who]
@@ -225,10 +271,14 @@ class Lattice:
         owner, piece = np.concatenate(owners[::-1]), np.concatenate(pieces[::-1])
         order = np.argsort(owner, kind="stable")
         owner, ids = owner[order], piece[order].astype(np.int32)
-        bounds = (4 * np.searchsorted(owner, np.arange(len(chunks) + 1))).tolist()
-        spelled = set(owner[ids == self.plain].tolist())
-        raw, total, loss = ids.tobytes(), first[ends].tolist(), (first[ends] - open_).tolist()
-        return [self.path(c) if i in spelled else (raw[bounds[i] : bounds[i + 1]], total[i], loss[i]) for i, c in enumerate(chunks)]
+        bounds = np.searchsorted(owner, np.arange(len(sizes) + 1))
+        out = Paths(ids, bounds[:-1], np.diff(bounds), first[ends], first[ends] - open_)
+        spelled = np.unique(owner[ids == self.plain])
+        if len(spelled):
+            at = np.arange(len(sizes))
+            at[spelled] = len(sizes) + np.arange(len(spelled))
+            out = out.then(Paths.made([self.path(_chunk(n)) for n in names.take(pa.array(spelled)).to_pylist()])).of(at).packed()
+        return out
 
     def _search(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best (score, ids) of a chunk: backward A-star under the forward scores.
@@ -306,18 +356,14 @@ class Lattice:
         """The n best (score, ids as int32 bytes) of each text, best first. Equal chunks of the texts are looked up once."""
         names, first = self.split(texts)
         found = names.dictionary_encode()
-        different, which = found.dictionary.to_pylist(), found.indices.to_numpy()
-        paths = self._learned(different)
-        scores = np.array([p[1] for p in paths])[which].tolist()
-        losses = np.array([p[2] for p in paths])[which]
-        # each chunk's ids, end to end: where they lie in those of the different chunks, counted from where they go
-        sizes = np.array([len(p[0]) for p in paths], np.int64) // 4
-        pool, counts = np.frombuffer(b"".join([p[0] for p in paths]), np.int32), sizes[which]
-        ends = np.append(0, np.cumsum(counts))
-        ids = pool[np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], counts) + np.arange(ends[-1])].tobytes()
+        different, which = found.dictionary, found.indices.to_numpy()
+        paths = self._learned(different).of(which)
+        scores, losses = paths.scores.tolist(), paths.losses
+        # each chunk's ids, end to end
+        ends, ids = np.append(0, np.cumsum(paths.sizes)), paths.ids[_runs(paths.starts, paths.sizes)].tobytes()
         out = []
         for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            chunk = lambda k: _chunk(different[which[a + k]])  # noqa: B023, E731
+            chunk = lambda k: _chunk(different[int(which[a + k])].as_py())  # noqa: B023, E731
             at = 4 * ends[a : b + 1]
             out.append(self._merged(chunk, ids[at[0] : at[-1]], at - at[0], float(sum(scores[a:b])), losses[a:b], n))
         return out
@@ -373,7 +419,7 @@ def _encoder(vocabulary: tuple, n: int):
         for batch in batches:
             kept = [k for k in batch.schema.names if k != "text"]
             _, offsets = utf8(batch.column("text"))
-            for lo, hi in slices(offsets, AT_ONCE):
+            for lo, hi in slices(offsets, CUT_BYTES):
                 part = batch.slice(lo, hi - lo)
                 texts = part.column("text").to_pylist()
                 best = lattice.segmentations([t or "" for t in texts], n)

@@ -291,6 +291,26 @@ def test_chunks_of_all_texts_are_cut_at_once(lattice, monkeypatch):
     assert len(seen) == len(set(seen)) == len({c for cut in want for c in cut})
 
 
+def test_kept_paths_are_found_by_arrays(monkeypatch):
+    from lucerna.llm import sentencepiece_lattice as module
+
+    lattice, rnd, searched = Lattice.read(), random.Random(5), []
+    together = lattice._together
+    monkeypatch.setattr(lattice, "_together", lambda names, sizes: searched.extend(names.to_pylist()) or together(names, sizes))
+    texts = ["".join(rnd.choice("abthenoxi ,.é你") for _ in range(rnd.randint(0, 60))) for _ in range(200)] + ["x" * 100, "a▁b 🙂"]
+    want = lattice.segmentations(texts, 4)
+    # long chunks are not kept, others are searched once
+    assert len(searched) == len(set(searched)) == len(lattice.known) and lattice.segmentations(texts, 4) == want and len(searched) == len(lattice.known)
+    assert lattice.paths.each() == [lattice.path(module._chunk(n)) for n in lattice.known.to_pylist()]
+    # whatever is kept, and however much is searched at once, results are the same
+    monkeypatch.setattr(module, "KEPT_CHUNKS", 20)
+    monkeypatch.setattr(module, "AT_ONCE", 50)
+    small = Lattice.read()
+    for k in range(0, len(texts), 7):
+        assert small.segmentations(texts[k : k + 7], 4) == want[k : k + 7] and len(small.known) <= 20
+        assert small.paths.each() == [small.path(module._chunk(n)) for n in small.known.to_pylist()]
+
+
 def test_best_path_is_the_first_of_the_astar(lattice):
     for chunk in ("x" * 7, "aaaa", "hexenxox", MARK * 5, "bathtaxi"):
         assert lattice.learn([chunk])[chunk][:2] == lattice.nbest(chunk, 4)[0][::-1]
