@@ -48,6 +48,8 @@ TREES, SMALL, CROWD = 10, 512, 0.6
 BINS, FAR = 128, 0.52
 #: Pivots in every block of a crowd, and rows whose sketches are compared at once.
 PIVOTS, AT_ONCE = 64, 1024
+#: Bytes of text whose shingles are made at once: a byte takes some hundred bytes of arrays.
+TEXT_BYTES = 1 << 19
 #: Classes and characters in a block of exact comparison, and characters of small components compared at once.
 BLOCK, BLOCK_CHARS, BUCKET_CHARS = 512, 8 << 20, 1 << 20
 _EDGES = (np.arange(BINS + 1, dtype=object) * (2**64 // BINS)).tolist()
@@ -73,7 +75,7 @@ def _reader(width: int):
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             ids = batch.column("doc_id")
-            for lo, hi in slices(offsets):
+            for lo, hi in slices(offsets, TEXT_BYTES):
                 h, at = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], width)
                 digest, sketch, tokens = [], [], np.zeros((hi - lo, TREES), np.int64)
                 full = np.flatnonzero(np.diff(at))
@@ -198,7 +200,7 @@ def _confirmer(width: int, percent: int):
         for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             sets, at = [], [0]
             mine = offsets[s : e + 1]
-            for lo, hi in slices(mine):
+            for lo, hi in slices(mine, TEXT_BYTES):
                 h, o = shingle_sets(data[mine[lo] : mine[hi]], mine[lo : hi + 1] - mine[lo], width)
                 sets.append(h)
                 at.extend((o[1:] + at[-1]).tolist())

@@ -32,6 +32,8 @@ from lucerna.llm.common import bounded_sample, checkpoint, class_table, slices,
 FIT_ROWS = 20_000
 #: Places of hashed features (a bound that no input moves), lengths of word beginnings, largest count told apart.
 BUCKETS, PREFIXES, MOST = 1 << 20, (4, 5, 6, 7, 8), 255
+#: Bytes of text whose features are made at once: a byte takes some hundred bytes of arrays.
+AT_ONCE = 1 << 18
 #: Parts in which the labelled rows' features come to the driver.
 _PARTS = 24
 #: Cells that a fit goes over in all, within 8 to 400 rounds.
@@ -43,7 +45,7 @@ LETTERS = class_table(_PART, rest=1)
 def _features(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """First row, feature hashes, and their rows from it."""
     data, offsets = utf8(column)
-    for lo, hi in slices(offsets, 1 << 20):
+    for lo, hi in slices(offsets, AT_ONCE):
         whole, at, *heads = word_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], LETTERS, PREFIXES)
         row = np.repeat(np.arange(hi - lo), np.diff(at))
         h, r = np.concatenate([whole, *heads]), np.tile(row, 1 + len(heads))

@@ -501,3 +501,28 @@ def test_near_dedup_keeps_one_row_of_each_group(spark, tables):
 
     out = sorted(((r.doc_id, r.text) for r in pipeline.near_dedup(spark, odd_documents(spark), tables).collect()), key=repr)
     assert [i for i, t in out if t and t.startswith("one text")] == [1] and len(out) == 8 and len([1 for i, _ in out if i == 5]) == 2
+
+
+def test_features_and_shingles_are_made_of_little_text_at_once():
+    """Arrays of some hundred bytes a byte of text, in every worker of an executor: they are bounded by the slice, not the batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from lucerna.llm import minhash_dedup, toxicity
+
+    rnd = random.Random(6)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9))) for _ in range(3000)]
+    texts = [" ".join(rnd.choices(words, k=300)) for _ in range(2000)]
+    batch = pa.record_batch({"doc_id": pa.array(range(2000)), "text": pa.array(texts), "text_hash": pa.array(range(2000))})
+
+    def peak(run):
+        tracemalloc.start()
+        for _ in run():
+            pass
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most / 1e6
+
+    assert peak(lambda: toxicity._vectors(batch.column("text"))) < 50
+    assert peak(lambda: minhash_dedup._reader(5)(iter([batch]))) < 50
