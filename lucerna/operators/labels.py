@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lucerna.functions.rules import Compiler, operation_scope
-from lucerna.sources.cuts import dealt
+from lucerna.sources.cuts import dealt, sized
 from lucerna.sources.files import checked
 
 
@@ -144,9 +144,10 @@ def rule_support(labelled: DataFrame, split: str = "development") -> DataFrame:
     return labelled.where(F.col("canonical_split") == split).select("item_id", "cell_id", F.explode("kc_ids").alias("kc")).groupBy("kc").agg(F.count("*").alias("n_items"), F.countDistinct("cell_id").alias("n_cells"))
 
 
-def project(events: DataFrame, labelled: DataFrame) -> DataFrame:
+def project(events: DataFrame, labelled: DataFrame, rows: int = 0) -> DataFrame:
     """Events with their item's labels; an event of an unknown item keeps null labels for the guard below. Items are never
-    broadcast: a file of some MB may hold labels of some hundred."""
+    broadcast: a file of some MB may hold labels of some hundred. If the number of events is known, they are dealt by it."""
+    events = sized(events, "item_id", rows=rows) if rows else events
     return events.join(labelled.select("item_id", "kc_ids").hint("merge"), "item_id", "left")
 
 

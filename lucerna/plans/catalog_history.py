@@ -32,7 +32,12 @@ def big(spark, sf):
 
 
 def small(spark, sf):
-    return labels.project(interactions(spark, sf), labelled(spark, sf))
+    return labels.project(interactions(spark, sf), labelled(spark, sf), table(spark, sf, "events").count())
+
+
+def small_split(spark, sf):
+    """small with dataset_split, found while the events are still dealt by learner."""
+    return labels.project(history.chronological_split(interactions(spark, sf)), labelled(spark, sf), table(spark, sf, "events").count())
 
 
 def rounded(df, *columns, digits: int = 6):
@@ -120,7 +125,7 @@ _TECHNIQUES = ["overall_rate", "active_rate"]
 
 
 def predictions(spark, sf):
-    rows = history.chronological_split(history.prior_rates(small(spark, sf)))
+    rows = history.prior_rates(small_split(spark, sf))
     return evaluation.long_predictions(rows, _TECHNIQUES, ["learner", "seq", "dataset_split"])
 
 
@@ -149,7 +154,7 @@ def ece(spark, sf):
  (SELECT * FROM (VALUES ('overall_rate'), ('active_rate')) a(technique), (VALUES ('train'), ('validation'), ('test')) b(dataset_split), (VALUES ('all'), ('covered'), ('uncovered')) c(scope)) g LEFT JOIN
  (SELECT technique, dataset_split, scope, {_MET} FROM (SELECT pr.*, unnest(['all', CASE WHEN cov.seq IS NULL THEN 'uncovered' ELSE 'covered' END]) AS scope FROM pr LEFT JOIN (SELECT DISTINCT learner, seq FROM slong) cov USING (learner, seq)) GROUP BY 1, 2, 3) m USING (technique, dataset_split, scope)""")
 def evaluation_grid(spark, sf):
-    rows = history.chronological_split(history.prior_rates(small(spark, sf)))
+    rows = history.prior_rates(small_split(spark, sf))
     scope = F.explode(F.array(F.lit("all"), F.when(F.size("kc_ids") > 0, "covered").otherwise("uncovered"))).alias("scope")
     long = evaluation.long_predictions(rows.select("*", scope), _TECHNIQUES, ["dataset_split", "scope"])
     grid = spark.createDataFrame([(t, s, c) for t in _TECHNIQUES for s in ("train", "validation", "test") for c in ("all", "covered", "uncovered")], "technique string, dataset_split string, scope string")
@@ -224,7 +229,7 @@ def difficulty():
 
 @query()
 def logistic(spark, sf):
-    rows = history.chronological_split(history.prior_rates(small(spark, sf))).withColumn("item_difficulty", difficulty())
+    rows = history.prior_rates(small_split(spark, sf)).withColumn("item_difficulty", difficulty())
     out = tracing.logistic_predictions(rows, FEATURES, KCS)
     return rounded(out.select("learner", "seq", "dataset_split", "logistic"), "logistic")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lucerna.functions.ids import content_id
 from lucerna.functions.rules import Compiler
+from lucerna.sources.cuts import sized
 
 DIMENSIONS = ["kind", "size", "brand"]
 COMPILER = Compiler({d: d for d in DIMENSIONS})
@@ -39,8 +40,10 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events: event_id, learner, item_id, seq (1-based by time and id), ts, correct."""
+    events = table(spark, sf_dir, "events")
+    rows = sized(events.select("event_id", "user_id", "ts", "value", "props"), "user_id", rows=events.count())
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select(
+    return rows.select(
         "event_id", F.col("user_id").alias("learner"), F.regexp_extract("props", "[0-9]+", 0).cast("long").alias("item_id"),
         F.row_number().over(order).cast("long").alias("seq"), "ts", (F.col("value") >= 35).cast("int").alias("correct"),
     )

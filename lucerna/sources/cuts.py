@@ -36,6 +36,12 @@ def dealt(df: DataFrame, *keys: str, rows: int = 0) -> DataFrame:
     return df.repartition(max(n, -(-rows // TASK_ROWS)), *keys)
 
 
+def sized(df: DataFrame, *keys: str, rows: int) -> DataFrame:
+    """df dealt by keys over as many tasks as its number of rows (or a bound of it) asks for, and a task a core at least. What
+    a window or join then takes by the same keys stays of one size, which adaptive execution would set by compressed bytes."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)), *keys)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"

@@ -292,3 +292,22 @@ def test_draws_are_not_counted_before_they_meet_learners(spark, monkeypatch):
     text = plan._jdf.queryExecution().executedPlan().toString()
     # a table of (repetition, learner) counts would grow with their product; 800 draws of 16 to a row are five tasks
     assert "keys=[rep#" in text and not re.search(r"keys=\[rep#\d+L?, position", text) and re.search(r"hashpartitioning\(position#\d+L?, 5\), REPARTITION_BY_NUM", text)
+
+
+def test_events_are_dealt_by_their_number(spark, tables, monkeypatch):
+    from lucerna.operators import history
+    from lucerna.plans import catalog_history as plans
+    from lucerna.sources import adapters, cuts
+
+    n = adapters.table(spark, tables, "events").count()
+    row = lambda d: sorted(map(str, d.select("learner", "seq", "item_id", "correct", "kc_ids", "dataset_split").collect()))
+    want = row(history.chronological_split(plans.small(spark, tables)))
+    monkeypatch.setattr(cuts, "TASK_ROWS", max(1, n // 20))
+    # windows over a learner and the join of items take as many tasks as the events ask for, whatever their bytes
+    events, split = adapters.interactions(spark, tables), plans.small_split(spark, tables)
+    assert events.rdd.getNumPartitions() == split.rdd.getNumPartitions() == -(-n // (n // 20))
+    assert row(split) == want
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    exchanges = re.findall(r"Exchange hashpartitioning\((\w+?)#\d+L?, \d+\), (\w+)", plan)
+    # the split is found where the events are numbered: they are dealt by learner once
+    assert {e[0] for e in exchanges if e[1] == "REPARTITION_BY_NUM"} == {"item_id", "user_id"} and not any(e[0] == "learner" for e in exchanges)
