@@ -3,7 +3,9 @@
 A round deals the links by their larger end, joins up what meets in a task (so each task's links become
 a forest), and then lets every node point past its parent to the parent's least parent. The jump is a join
 whose hot side Spark can split, and its other side a grouped minimum, so a node that very many others
-point to stays no single task's work. Nothing goes to the driver but whether a round settled.
+point to stays no single task's work. Nothing goes to the driver but the links' number and whether a round
+settled. Up to FEW links, counted first, are joined up by one task in one round: dealing them out would cost
+three rounds of tasks that hold nearly nothing.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from lucerna.llm.common import checkpoint, local_components, shuffle_partitions
 
 #: Links that a task joins up at once; what is left apart meets in a later round.
 AT_ONCE = 1 << 20
+#: Links (4 MB) up to which one task joins up all; any more are dealt.
+FEW = 1 << 18
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,7 +57,8 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     n = shuffle_partitions(links.sparkSession)
     a, b = links.columns[:2]
     edges = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
-    for _ in range(most_rounds):
+    few = edges.count() <= FEW
+    for _ in range(0 if few else most_rounds):
         edges = checkpoint(edges.repartition(n, "u").mapInArrow(_contract, "u long, v long"))
         if _settled(edges):
             break
@@ -61,6 +66,8 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         above = edges.groupBy("u").agg(F.min("v").alias("top")).select(F.col("u").bitwiseXOR(F.lit(0).cast("long")).alias("k"), "top")
         edges = edges.join(above.hint("merge"), F.col("v") == F.col("k"), "left").select("u", F.coalesce("top", "v").alias("v"))
     else:
-        raise RuntimeError("components did not settle")
+        if not few:
+            raise RuntimeError("components did not settle")
+        edges = checkpoint(edges.repartition(1).mapInArrow(_contract, "u long, v long"))
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lucerna.llm.common import checkpoint, group_bounds, local_components, mix, shingle_sets, slices, utf8
+from lucerna.llm.common import checkpoint, group_bounds, local_components, mix, shingle_sets, shuffle_partitions, slices, utf8
 from lucerna.llm.components import connected_components
 
 #: Trees, most classes of a node that is compared whole, and the share of its node that makes a large child a crowd.
@@ -48,6 +48,8 @@ TREES, SMALL, CROWD = 10, 512, 0.6
 BINS, FAR = 128, 0.52
 #: Pivots in every block of a crowd, and rows whose sketches are compared at once.
 PIVOTS, AT_ONCE = 64, 1024
+#: Rows of large nodes that a task branches, where that makes few tasks.
+BRANCHED = 8192
 #: Bytes of text whose shingles are made at once: a byte takes some hundred bytes of arrays.
 TEXT_BYTES = 1 << 19
 #: Classes and characters in a block of exact comparison, and characters of small components compared at once.
@@ -234,6 +236,16 @@ def _bucketed(rows: DataFrame, key: Column, buckets: int) -> DataFrame:
     return rows.withColumn("bucket", F.pmod(key, F.lit(max(1, buckets))))
 
 
+def _tasks(count: int, a_task: int) -> int:
+    return max(1, -(-count // a_task))
+
+
+def _gathered(rows: DataFrame, count: int, a_task: int) -> DataFrame:
+    """Few rows in as few tasks as their number asks for: a Python task costs some 70 ms, also an empty one."""
+    tasks = _tasks(count, a_task)
+    return rows.repartition(tasks) if 4 * tasks <= shuffle_partitions(rows.sparkSession) else rows
+
+
 def _meeting(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links that span the similar pairs of the nodes of rows (node, rep).
 
@@ -245,18 +257,21 @@ def _meeting(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _trees(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Small nodes of two classes or more, and crowds, as (node, rep); crowds merged, with their size n."""
     nodes = sets.select("rep", F.posexplode("tokens").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "rep", F.lit(None).cast("long").alias("parent"))
-    small, crowds = [], []
+    small, crowds, left = [], [], 0
     while True:  # nodes that go on have at most CROWD of their parents' classes
         counts = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select(_own_exchange("node").alias("k"), "n")
-        sized = checkpoint(nodes.join(_dealt(counts), F.col("node") == F.col("k")).select("node", "rep", "n", "parent"))
+        joined = nodes.join(_dealt(counts), F.col("node") == F.col("k")).select("node", "rep", "n", "parent")
+        sized = checkpoint(joined.coalesce(_tasks(2 * left, BRANCHED)) if left else joined)  # children of few rows: few tasks here and in all that reads them
         small.append(sized.where(F.col("n") <= SMALL).select("node", "rep"))
         stuck = F.coalesce(F.col("n") > CROWD * F.col("parent"), F.lit(False))
         big = sized.where(F.col("n") > SMALL)
         crowds.append(big.where(stuck).select("node", "rep"))
         big = big.where(~stuck)
-        if big.isEmpty():
+        left = big.count()
+        if not left:
             break
-        nodes = big.join(_dealt(sets.select(F.col("rep").alias("k"), "sketch")), F.col("rep") == F.col("k")).select("node", "rep", "n", "sketch").mapInArrow(_branch, "node long, rep long, parent long")
+        drawn = big.join(_dealt(sets.select(F.col("rep").alias("k"), "sketch")), F.col("rep") == F.col("k")).select("node", "rep", "n", "sketch")
+        nodes = checkpoint(_gathered(drawn, left, BRANCHED).mapInArrow(_branch, "node long, rep long, parent long"))  # read twice: counted and sized
     union = lambda dfs: dfs[0] if len(dfs) == 1 else union([dfs[0].unionByName(dfs[1]), *dfs[2:]])
     return union(small), _merged(union(crowds))
 
@@ -271,7 +286,7 @@ def _merged(crowds: DataFrame) -> DataFrame:
     names = crowds.groupBy("node").agg(F.xxhash64(least(1), least(2)).alias("name")).select(_own_exchange("node").alias("k"), "name")
     members = checkpoint(crowds.join(_dealt(names), F.col("node") == F.col("k")).select(F.col("name").alias("node"), "rep").distinct())
     sizes = members.groupBy("node").agg(F.count("*").alias("n")).select(_own_exchange("node").alias("k"), "n")
-    return members.join(_dealt(sizes), F.col("node") == F.col("k")).select("node", "rep", "n")
+    return checkpoint(members.join(_dealt(sizes), F.col("node") == F.col("k")).select("node", "rep", "n"))
 
 
 def _crowd_blocks(crowds: DataFrame) -> DataFrame:
@@ -295,7 +310,7 @@ def _mine(count: Column) -> Column:
 def _crowd_rest(crowds: DataFrame, parts: DataFrame) -> DataFrame:
     """Blocks in which what is outside a crowd's largest part meets all members of the crowd."""
     half = SMALL // 2
-    placed = crowds.join(_dealt(parts), "rep", "left").withColumn("part", F.coalesce("part", "rep"))
+    placed = checkpoint(crowds.join(_dealt(parts), "rep", "left").withColumn("part", F.coalesce("part", "rep")))
     met = placed.join(_dealt(_outside(placed, "node", half)), F.col("node") == F.col("k")).withColumn("blocks", _blocks(F.col("n"), half))
     ask = met.where("part <> largest").select("node", "rep", _mine(F.col("asked")).alias("i"), F.explode(_all_below(F.col("blocks"))).alias("j"))
     told = met.select("node", "rep", F.explode(_all_below(F.col("asked"))).alias("i"), _mine(F.col("blocks")).alias("j"))
@@ -345,10 +360,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
         .select("digest", F.col("least.doc_id").alias("rep"), F.col("least.text_hash").alias("rep_hash"), "sketch", "tokens", "size")
     )
     small, crowds = _trees(sets)
-    similar = checkpoint(_meeting(small.unionByName(_crowd_blocks(crowds)), sets, percent))
+    similar = checkpoint(_meeting(small.unionByName(checkpoint(_crowd_blocks(crowds))), sets, percent))
     groups = _parts(similar)
     if not crowds.isEmpty():
-        groups = _parts(checkpoint(similar.unionByName(_meeting(checkpoint(_crowd_rest(crowds, groups)), sets, percent))))
+        rest = checkpoint(_crowd_rest(crowds, groups))
+        if not rest.isEmpty():
+            groups = _parts(checkpoint(similar.unionByName(_meeting(rest, sets, percent))))
     links = _confirmed(groups, rows, sets, width, percent)
     # an id that repeats joins the classes of its texts
     repeated = named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("id"))

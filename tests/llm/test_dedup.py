@@ -143,6 +143,21 @@ def test_a_group_is_one_crowd_not_one_a_tree(spark, monkeypatch):
     assert 600 <= seen[0] < 5000 and "Broadcast" not in plans[0]
 
 
+def test_large_nodes_are_branched_once_and_in_few_tasks(spark, monkeypatch):
+    from lucerna.llm import minhash_dedup
+
+    small_nodes(monkeypatch, 8, 2)
+    monkeypatch.setattr(minhash_dedup, "shuffle_partitions", lambda spark: 211)
+    made, checkpoint = [], minhash_dedup.checkpoint
+    monkeypatch.setattr(minhash_dedup, "checkpoint", lambda df: made.append((df._jdf.queryExecution().executedPlan().toString().count("MapInArrow"), df.columns, out := checkpoint(df))) or out)
+    docs = [(i, " ".join(f"edit{i}" if k == i else f"w{k}" for k in range(100))) for i in range(100)]
+    assert result(near_duplicates(frame(spark, docs))) == near(docs)
+    # each level's children were made twice before, once to count and once to size them
+    assert max(n for n, _, _ in made) == 1
+    branched = [out.rdd.getNumPartitions() for n, columns, out in made if n and columns == ["node", "rep", "parent"]]
+    assert branched and set(branched) == {1}
+
+
 def test_pairs_under_a_common_beginning_are_all_linked(spark, monkeypatch):
     small_nodes(monkeypatch, 64, 8)
     # 64 shared words and then 50 of each pair's own: large nodes of sets that are alike, but no links
@@ -260,6 +275,22 @@ def test_components_of_chains_and_stars(spark):
     assert dict(zip(u.tolist(), v.tolist(), strict=True)) == got
 
 
+@pytest.mark.parametrize("few", [None, 0])
+def test_few_links_are_joined_up_in_one_round(spark, monkeypatch, few):
+    from lucerna.llm import components as module
+
+    rounds, checkpoint = [], module.checkpoint
+    monkeypatch.setattr(module, "checkpoint", lambda df: rounds.append(1) or checkpoint(df))
+    if few is not None:
+        monkeypatch.setattr(module, "FEW", few)
+    rnd = random.Random(1)
+    links = [(i + 1, i) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(rnd.randint(200, 400), rnd.randint(200, 400)) for _ in range(150)]
+    nodes = {x for p in links if p[0] != p[1] for x in p}
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {n: c for n, c in components({x for p in links for x in p}, links).items() if n in nodes}
+    assert (len(rounds) == 1) == (few is None)
+
+
 def test_shingle_sets_do_not_cross_rows():
     text = ["A b c d e f", "", "a  b", "c d e f g h"]
     raw = [t.encode() for t in text]
